@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import quality_rules, sharding
 from .common import read_table
 
 SHARDS = 40
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and the cascade's verdict for every document."""
+    return quality_rules.apply_rules(read_table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     placed = sharding.kd_shards(read_table(spark, sf_dir, "documents"), shards=SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op9_kd_sharding": op9_kd_sharding}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op9_kd_sharding": op9_kd_sharding,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
+}
