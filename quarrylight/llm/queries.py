@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding
+from . import bpe_counts, lang_id, quality_rules, sharding
 from .common import read_table
 
 SHARDS = 40
@@ -16,6 +16,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def crc32_of_id() -> Column:
+    """Unsigned CRC-32 of the doc_id as text, by which the contracts deal out folds."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a quarter is held out of training."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_of_id() % 4 == 2, F.lit(False))
+    model = lang_id.fit(docs, ~held_out)
+    found = lang_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the public piece_bpe_32k model."""
+    return bpe_counts.token_counts(read_table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     placed = sharding.kd_shards(read_table(spark, sf_dir, "documents"), shards=SHARDS)
@@ -24,6 +43,8 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_language_id": op6_language_id,
+    "op8_token_counts": op8_token_counts,
     "op9_kd_sharding": op9_kd_sharding,
 }
 
