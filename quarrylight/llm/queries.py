@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, lang_id, quality_rules, sharding
+from . import bpe_counts, decontaminate, lang_id, quality_rules, sharding
 from .common import read_table
 
 SHARDS = 40
@@ -16,6 +16,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds."""
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def crc32_of_id() -> Column:
     """Unsigned CRC-32 of the doc_id as text, by which the contracts deal out folds."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -43,6 +48,7 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
     "op6_language_id": op6_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_kd_sharding": op9_kd_sharding,
