@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, decontaminate, lang_id, quality_rules, sharding
+from . import bpe_counts, decontaminate, jaccard_join, lang_id, quality_rules, sharding
 from .common import read_table
 
 SHARDS = 40
@@ -21,6 +21,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("t")
+
+
 def crc32_of_id() -> Column:
     """Unsigned CRC-32 of the doc_id as text, by which the contracts deal out folds."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -49,6 +54,7 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_kd_sharding": op9_kd_sharding,
