@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, decontaminate, jaccard_join, lang_id, quality_rules, sharding, suffix_dedup
+from . import bpe_counts, decontaminate, jaccard_join, lang_id, piece_lattice, quality_rules, sharding, suffix_dedup
 from .common import read_table
 
 SHARDS = 40
@@ -26,6 +26,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("t")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best segmentation (as a digest), the four best scores and the round trip of every document."""
+    return piece_lattice.encode(read_table(spark, sf_dir, "documents"), "piece_bpe_32k.model", n=4, with_ids=False)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document when repeated 200-byte strings go."""
     return suffix_dedup.removal_digest(read_table(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
