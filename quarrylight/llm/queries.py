@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, decontaminate, jaccard_join, lang_id, piece_lattice, quality_rules, sharding, suffix_dedup
+from . import bpe_counts, decontaminate, jaccard_join, lang_id, piece_lattice, quality_rules, resample, sharding, suffix_dedup, toxicity
 from .common import read_table
 
 SHARDS = 40
@@ -50,11 +50,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log weight of every document towards the texts labelled good, and whether the Gumbel top-k draw took it."""
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the public piece_bpe_32k model."""
     return bpe_counts.token_counts(read_table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth is held out of training."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_of_id() % 5 == 0, F.lit(False))
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     placed = sharding.kd_shards(read_table(spark, sf_dir, "documents"), shards=SHARDS)
@@ -68,8 +81,10 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
+    "op7_importance_resampling": op7_importance_resampling,
     "op8_token_counts": op8_token_counts,
     "op9_kd_sharding": op9_kd_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
