@@ -2,7 +2,8 @@
 
 Each text becomes the set of its word k-shingles (64-bit hashes). The hashes fall into GROUPS groups; the counts
 of a set in each group are a point, and the sum over the groups of the smaller of two counts bounds the overlap
-of two sets from above. Work in stages, each a Spark job over compact rows:
+of two sets from above. A larger set has more groups (a power of two, so that counts of more groups fold onto fewer): with
+a fixed number, chance differences would vanish in the slack that long texts have. Work in stages, each a Spark job over compact rows:
 
 1. One pass over the texts gives a digest of the set, its size, its point and its prefix: sets that link share one
    of the first n - ceil(t n) + 1 members under any common order. The order puts members that a bounded sample
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, as_long, chunks, lists, mix, prefix_hash, ship, shingles, spans, text_of, word_spans, written
 from .components import components
 
-GROUPS, LEAF = 32, 16
+GROUPS, MOST_GROUPS, LEAF = 32, 4096, 16
+#: Members of a set for each of its groups, once it has more than GROUPS.
+A_GROUP = 16
 #: Rows of the sample that finds frequent shingles, how many texts of it make one frequent, and how many are kept.
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 20_000, 12, 200_000
 #: Classes that meet in one task; classes whose sets one task holds.
@@ -61,45 +64,74 @@ def sets_of(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return h, np.searchsorted(text, np.arange(len(off)))
 
 
-def points_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Group counts of each set."""
-    n = len(first) - 1
-    text = np.repeat(np.arange(n), np.diff(first))
-    return np.bincount(text * GROUPS + (h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+def points_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group counts of each set, flat, and the index of each set's first group."""
+    n = np.diff(first)
+    groups = np.clip(2.0 ** np.ceil(np.log2(np.maximum(n, 1) / A_GROUP)), GROUPS, MOST_GROUPS).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(groups)])
+    text = np.repeat(np.arange(len(n)), n)
+    at = start[text] + ((h >> np.uint64(40)).astype(np.int64) & (groups[text] - 1))
+    return np.bincount(at, minlength=start[-1]).astype(np.int32), start
+
+
+class Points:
+    """Group counts of a run of sets, and bounds on the overlap of pairs of them."""
+
+    def __init__(self, flat: np.ndarray, first: np.ndarray):
+        self.flat, self.first, self.groups = flat, first, np.diff(first)
+        self.base = np.zeros((len(self.groups), GROUPS), np.int32)
+        for g in np.unique(self.groups).tolist():
+            rows = np.flatnonzero(self.groups == g)
+            self.base[rows] = self._folded(rows, g, GROUPS)
+        self.size = self.base.sum(1)
+
+    def _folded(self, rows: np.ndarray, g: int, to: int) -> np.ndarray:
+        return self.flat[self.first[rows][:, None] + np.arange(g)].reshape(len(rows), g // to, to).sum(1)
+
+    def subset(self, lo: int, hi: int) -> Points:
+        return Points(self.flat[self.first[lo] : self.first[hi]], self.first[lo : hi + 1] - self.first[lo])
+
+    def passing(self, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which pairs may reach the needed overlap: by the base groups first, then by as many as both sets have."""
+        need = needed(num, den, self.size[a] + self.size[b])
+        ok = np.minimum(self.size[a], self.size[b]) >= need
+        at = np.flatnonzero(ok)
+        ok[at] = np.minimum(self.base[a[at]], self.base[b[at]]).sum(1) >= need[at]
+        at = np.flatnonzero(ok & (np.minimum(self.groups[a], self.groups[b]) > GROUPS))
+        kind = self.groups[a[at]] * (2 * MOST_GROUPS) + self.groups[b[at]]
+        for k in np.unique(kind).tolist():
+            ga, gb = divmod(k, 2 * MOST_GROUPS)
+            same = at[kind == k]
+            for lo in range(0, len(same), 256):
+                p = same[lo : lo + 256]
+                to = min(ga, gb)
+                ok[p] = np.minimum(self._folded(a[p], ga, to), self._folded(b[p], gb, to)).sum(1) >= need[p]
+        return ok
 
 
 class RTree:
     """Points packed by size and then by their first coordinates into boxes of LEAF, for overlap searches."""
 
-    def __init__(self, points: np.ndarray):
-        self.size = points.sum(1)
-        self.order = np.lexsort((points[:, 1], points[:, 0], self.size))
-        self.points = points[self.order]
-        at = np.arange(0, len(points), LEAF)
-        self.high = np.maximum.reduceat(self.points, at, axis=0)
-        self.low_size = np.minimum.reduceat(self.size[self.order], at)
+    def __init__(self, points: Points):
+        self.points = points
+        self.order = np.lexsort((points.base[:, 1], points.base[:, 0], points.size))
+        at = np.arange(0, len(self.order), LEAF)
+        self.high = np.maximum.reduceat(points.base[self.order], at, axis=0)
+        self.low_size = np.minimum.reduceat(points.size[self.order], at)
 
     def search(self, i: int, ok: np.ndarray, num: int, den: int) -> np.ndarray:
         """Points among `ok` (flags) whose bound with point i reaches the needed overlap."""
-        p, n = self._point(i), self.size[i]
-        boxes = np.flatnonzero(np.minimum(self.high, p).sum(1) >= needed(num, den, n + self.low_size))
+        p = self.points
+        boxes = np.flatnonzero(np.minimum(self.high, p.base[i]).sum(1) >= needed(num, den, p.size[i] + self.low_size))
         rows = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
-        rows = rows[rows < len(self.points)]
-        rows = rows[ok[self.order[rows]]]
-        bound = np.minimum(self.points[rows], p).sum(1)
-        found = self.order[rows]
-        return found[bound >= needed(num, den, n + self.size[found])]
+        found = self.order[rows[rows < len(self.order)]]
+        found = found[ok[found]]
+        return found[p.passing(np.full(len(found), i), found, num, den)]
 
-    def _point(self, i: int) -> np.ndarray:
-        if not hasattr(self, "_place"):
-            self._place = np.empty(len(self.order), np.int64)
-            self._place[self.order] = np.arange(len(self.order))
-        return self.points[self._place[i]]
 
-
-def spanning(points: np.ndarray, num: int, den: int, verify=None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def spanning(points: Points, num: int, den: int, verify=None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between points that aren't connected yet. verify(i, js) keeps the true ones; side: only across its two values."""
-    m = len(points)
+    m = len(points.size)
     tree, label, out = RTree(points), np.arange(m), []
     for i in range(m):
         ok = label != label[i]
@@ -118,17 +150,16 @@ def spanning(points: np.ndarray, num: int, den: int, verify=None, side: np.ndarr
     return out
 
 
-def _small_meetings(points: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within many small meetings at once: those whose bound passes."""
+def _small_meetings(points: Points, first: np.ndarray, rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within many small meetings at once: those whose bound passes. rows: the points of the meetings, in order."""
     out_a, out_b = [], []
     counts = np.diff(first)
-    size = points.sum(1)
     for m in np.unique(counts[counts > 1]).tolist():
         at = first[:-1][counts == m]
         for i in range(m):
             for j in range(i + 1, m):
-                a, b = at + i, at + j
-                ok = np.minimum(points[a], points[b]).sum(1) >= needed(num, den, size[a] + size[b])
+                a, b = rows[at + i], rows[at + j]
+                ok = points.passing(a, b, num, den)
                 out_a.append(a[ok])
                 out_b.append(b[ok])
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
@@ -176,9 +207,9 @@ def set_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             take = np.where(n > 0, n - -(-num * n // den) + 1, 0)
             place = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(take)[:-1]]), take) + np.arange(take.sum())
             prefix = as_long(np.ascontiguousarray(h[order][place]))
-            points = points_of(h, first)
+            points, point_first = points_of(h, first)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("t"), pa.array(digest[0]), pa.array(digest[1]), pa.array(n), lists(prefix, np.concatenate([[0], np.cumsum(take)]), pa.int64()), lists(points.ravel(), np.arange(len(n) + 1) * GROUPS, pa.int32())], schema=schema
+                [rows.column("doc_id"), rows.column("t"), pa.array(digest[0]), pa.array(digest[1]), pa.array(n), lists(prefix, np.concatenate([[0], np.cumsum(take)]), pa.int64()), lists(points, point_first, pa.int32())], schema=schema
             )
 
     source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", F.xxhash64("text").alias("t"), "text")
@@ -231,16 +262,17 @@ def candidate_links(classes: DataFrame, num: int, den: int, meeting: int = MEETI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, ["x"], 20_000):
             s1 = table.column("s1").to_numpy()
-            points = table.column("point").combine_chunks().values.to_numpy().reshape(-1, GROUPS)
+            held = table.column("point").combine_chunks()
+            points = Points(held.flatten().to_numpy(), held.offsets.to_numpy().astype(np.int64) - held.offsets[0].as_py())
             first = _starts(table, ["x"])
             counts = np.diff(first)
             small = counts <= 12
             rows = np.flatnonzero(np.repeat(small, counts))
-            a, b = _small_meetings(points[rows], np.concatenate([[0], np.cumsum(counts[small])]), num, den)
-            out = [np.stack([s1[rows[a]], s1[rows[b]]])]
+            a, b = _small_meetings(points, np.concatenate([[0], np.cumsum(counts[small])]), rows, num, den)
+            out = [np.stack([s1[a], s1[b]])]
             for g in np.flatnonzero(~small):
                 lo, hi = first[g], first[g + 1]
-                links = spanning(points[lo:hi], num, den)
+                links = spanning(points.subset(lo, hi), num, den)
                 if links:
                     out.append(s1[lo + np.array(links).T])
             a, b = np.unique(np.concatenate(out, axis=1), axis=1)
@@ -297,7 +329,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: in
                     flags[own] = False
                     return js[both * den >= num * (count + n[i] - both)]
 
-                links = spanning(points_of(raw.view(np.uint64), start), num, den, verify, side)
+                links = spanning(Points(*points_of(raw.view(np.uint64), start)), num, den, verify, side)
                 if links:
                     out.append(node[np.array(links).T])
             a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
