@@ -1,0 +1 @@
+"""Security log analytics on Spark: parsing, enrichment, detection rules and event queries."""

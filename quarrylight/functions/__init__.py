@@ -1,0 +1 @@
+"""Column functions: event fields, numbers, durations, addresses, regular expressions."""

@@ -1,0 +1 @@
+"""Relational operators: detection, enrichment, event store queries, statistics."""

@@ -1,0 +1 @@
+"""Sources and sinks: log lines, threat feeds, event and alert tables, configuration, sample logs."""
