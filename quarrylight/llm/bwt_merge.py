@@ -2,7 +2,7 @@
 
 A string is read in blocks of `step` bytes: the suffix at byte p begins with the block at p and goes on at
 p + step, so a string makes `step` interleaved symbol strings and `depth` symbols are step * depth bytes. Symbols
-are dense ranks of block hashes, the same in all shards.
+are dense numbers of the distinct block hashes, the same in all shards.
 
 A shard holds its suffixes in order (to `depth` symbols) and, for each, the symbol before it: its transform. Two
 shards are merged without sorting suffixes again: the interleave of their suffixes starts as "all of the first,
@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 
 from .common import prefix_hash, spans
 
@@ -43,10 +44,9 @@ class Symbols:
         p = place - string  # byte
         end = off[string + 1]
         whole = p + step <= end
-        at = np.full(len(p), -1, np.int64)
-        _, ranks = np.unique(spans(prefix_hash(data), p[whole], p[whole] + step), return_inverse=True)
-        at[whole] = ranks
-        before = np.full(len(p), -1, np.int64)
+        at = np.full(len(p), -1, np.int32)
+        at[whole] = pd.factorize(spans(prefix_hash(data), p[whole], p[whole] + step))[0]
+        before = np.full(len(p), -1, np.int32)
         inner = np.flatnonzero(p - off[string] >= step)
         before[inner] = at[inner - step]
         return cls(at, before, step)
@@ -60,22 +60,20 @@ def _stable_order(x: np.ndarray) -> np.ndarray:
 
 
 def shard(s: Symbols, lo: int, hi: int, depth: int) -> Shard:
-    """Sort the suffixes at places lo to hi (whole strings) by prefix doubling."""
+    """Sort the suffixes at places lo to hi (whole strings): a radix sort over their symbols, last one first."""
     sym = s.at[lo:hi]
-    ends = np.flatnonzero(sym < 0)
-    rank = sym + len(ends)
-    rank[ends] = np.arange(len(ends))
-    n, known = len(rank), 1
-    order = None
-    while known < depth or order is None:
-        further = np.minimum(np.arange(n) + known * s.step, n - 1)
-        key = rank * (int(rank.max()) + 1) + np.where(sym < 0, 0, rank[further]) if known < depth else rank
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], (key[order][1:] != key[order][:-1]).astype(np.int64)])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        known *= 2
-    return Shard(order + lo, s.before[lo:hi][order], len(ends))
+    n = len(sym)
+    order = np.arange(n)
+    # the i-th symbol after each place; 0 once the string has ended
+    ahead = [sym + 1]
+    for _ in range(depth - 1):
+        nxt = np.zeros(n, np.int32)
+        nxt[: n - s.step] = ahead[-1][s.step :]
+        nxt[sym < 0] = 0
+        ahead.append(nxt)
+    for symbol in reversed(ahead):
+        order = order[_stable_order(symbol[order])]
+    return Shard(order + lo, s.before[lo:hi][order], int((sym < 0).sum()))
 
 
 def merge(a: Shard, b: Shard, depth: int) -> tuple[Shard, np.ndarray]:

@@ -67,7 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,7 +33,9 @@ from .bwt_merge import repeated_places
 from .common import as_long, buffers, chunks, lists, mix, powers, prefix_hash, ship, spans, text_of, written
 from .jaccard_join import _runs
 
-LENGTH, ANCHOR, DEPTH = 200, 32, 8
+LENGTH, ANCHOR, DEPTH = 200, 32, 4
+#: An anchor hash with more than this share of all anchors is hot: at most its inverse are.
+HOT_SHARE = 0.001
 #: Context bytes that a task merges at a time.
 CHUNK_PLACES = 1 << 20
 
@@ -156,8 +158,13 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     texts = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
     texts = written(texts, "texts")
     anchors = texts.select("tid", F.posexplode("anchors").alias("i", "h"))
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    repeated = anchors.join(twice, "h").groupBy("tid").agg(F.collect_list("i").alias("repeated"))
+    total = texts.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    twice = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+    # hot hashes are few and broadcast, so the join by hash has no hot key
+    hot = twice.filter(F.col("n") > max(1000, int(HOT_SHARE * total))).select("h", F.lit(True).alias("hot"))
+    marked = anchors.join(F.broadcast(hot), "h", "left")
+    repeated = marked.filter("hot").select("tid", "i").unionByName(marked.filter("hot is null").join(twice.select("h"), "h").select("tid", "i"))
+    repeated = repeated.groupBy("tid").agg(F.collect_list("i").alias("repeated"))
     repeated = repeated.join(texts.select("tid", F.col("doc_id").alias("rep")), "tid")
     source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
     # the one row that stands for its text; should that row itself be repeated, one of it
