@@ -1,0 +1 @@
+"""Structured Streaming: live parsing, detection with keyed state, sinks."""
