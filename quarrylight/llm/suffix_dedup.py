@@ -11,7 +11,8 @@ Every byte that lies in a string of LENGTH bytes which also starts elsewhere in
    (their windows repeat), which also folds a hot passage before anything is gathered by its hash.
 3. The contexts of an anchor hash come together in a task, about CHUNK_PLACES bytes at a time. Each chunk is cut into
    shards; the shards' transforms are merged by interleave refinement (see bwt_merge), whose common prefixes give
-   the repeated windows.
+   the repeated windows. An anchor hash with more than HOT_CONTEXTS distinct contexts (the edge of a very common passage)
+   would fill one task: its windows are counted by their own hashes instead, a group-by that combines on the map side.
 4. Repeated windows go back to their texts, where the union of their bytes is removed.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes stay whole; repeated rows are copies of each
@@ -36,6 +37,8 @@ from .jaccard_join import _runs
 LENGTH, ANCHOR, DEPTH = 200, 32, 4
 #: An anchor hash with more than this share of all anchors is hot: at most its inverse are.
 HOT_SHARE = 0.001
+#: Distinct contexts of one anchor hash that a task may hold.
+HOT_CONTEXTS = 20_000
 #: Context bytes that a task merges at a time.
 CHUNK_PLACES = 1 << 20
 
@@ -114,7 +117,29 @@ def _contexts(candidates: DataFrame, length: int, anchor: int) -> DataFrame:
     return candidates.select("tid", "repeated", "text").mapInArrow(run, "h long, c1 long, c2 long, tid long, at long, windows int, context binary")
 
 
-def _repeated_windows(contexts: DataFrame, length: int, depth: int) -> DataFrame:
+def _counted_windows(whole: DataFrame, length: int) -> DataFrame:
+    """The same as _repeated_windows for contexts of hot anchors, by counting window hashes."""
+    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("k", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in chunks(batches, CHUNK_PLACES, "context"):
+            n = np.diff(off) - length + 1
+            row = np.repeat(np.arange(len(n)), n)
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at, prefix = off[row] + k, prefix_hash(data)
+            half = at + length // 2
+            w1, w2 = spans(prefix, at, at + length), mix(spans(prefix, at, half) * np.uint64(3) + spans(prefix, half, at + length))
+            c1, c2 = (rows.column(c).to_numpy()[row] for c in ("c1", "c2"))
+            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(k.astype(np.int32)), pa.array(as_long(w1)), pa.array(as_long(w2))], schema=schema)
+
+    windows = written(whole.select("c1", "c2", "context").mapInArrow(run, "c1 long, c2 long, k int, w1 long, w2 long"), "hot-windows")
+    twice = windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
+    found = windows.join(twice, ["w1", "w2"]).select("c1", "c2", F.array("k", "k").alias("pair"))
+    copied = whole.filter("copies > 1").select("c1", "c2", F.array(F.lit(0), F.col("windows") - 1).alias("pair"))
+    return found.unionByName(copied).groupBy("c1", "c2").agg(F.flatten(F.collect_list("pair")).alias("spans"))
+
+
+def _repeated_windows(contexts: DataFrame, length: int, depth: int, hot_contexts: int) -> DataFrame:
     """(c1, c2, spans): the repeated windows of each distinct context, as pairs of first and last window."""
     schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
@@ -146,10 +171,17 @@ def _repeated_windows(contexts: DataFrame, length: int, depth: int) -> DataFrame
 
     whole = contexts.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.max("windows").alias("windows"), F.first("context", ignorenulls=True).alias("context"))
     whole = whole.withColumn("size", F.octet_length("context"))
-    return whole.repartition("h").sortWithinPartitions("h").mapInArrow(run, "c1 long, c2 long, spans array<int>")
+    hot = written(contexts.select("h", "c1", "c2").distinct().groupBy("h").count().filter(F.col("count") > hot_contexts).select("h"), "hot-anchors")
+    counted = None
+    if hot.limit(1).count():
+        counted = _counted_windows(whole.join(hot, "h", "left_semi"), length)
+        whole = whole.join(hot, "h", "left_anti")
+    merged = whole.select("h", "c1", "c2", "copies", "windows", "context", "size")
+    merged = merged.repartition("h").sortWithinPartitions("h").mapInArrow(run, "c1 long, c2 long, spans array<int>")
+    return merged if counted is None else merged.unionByName(counted)
 
 
-def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH, hot_contexts: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, tid, n_bytes, full, copies) and, for distinct texts with repeated windows, (tid, text, spans)."""
     if length % depth or anchor > length:
         raise ValueError("depth must divide length, and anchor be no longer")
@@ -173,7 +205,7 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     if candidates.groupBy("tid").count().filter("count > 1").limit(1).count():
         candidates = candidates.dropDuplicates(["tid"])
     contexts = written(_contexts(candidates, length, anchor), "contexts")
-    found = _repeated_windows(contexts, length, depth)
+    found = _repeated_windows(contexts, length, depth, hot_contexts)
     windows = contexts.select("c1", "c2", "tid", "at").join(found, ["c1", "c2"]).select("tid", "at", "spans")
     windows = windows.groupBy("tid").agg(F.collect_list(F.struct("at", "spans")).alias("found"))
     windows = windows.select("tid", F.flatten(F.transform("found", lambda x: F.transform(x["spans"], lambda s: s + x["at"]))).alias("spans"))
@@ -211,9 +243,9 @@ def _cut_texts(parts: DataFrame, length: int, with_text: bool) -> DataFrame:
     return parts.mapInArrow(run, f"tid long, n_removed long, n_spans long, {last[0]} string")
 
 
-def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH) -> DataFrame:
+def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows, parts = repeated_parts(docs, length, anchor, depth)
+    rows, parts = repeated_parts(docs, length, anchor, depth, hot_contexts)
     cut = _cut_texts(parts, length, with_text=False)
     out = rows.join(cut, "tid", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
@@ -227,9 +259,9 @@ def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     )
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """The documents with repeated bytes taken out of their texts; bytes of a character cut in two go as well. Null texts stay null."""
-    rows, parts = repeated_parts(docs, length, anchor, depth)
+    rows, parts = repeated_parts(docs, length, anchor, depth, hot_contexts)
     cut = _cut_texts(parts, length, with_text=True)
     whole = rows.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("tid").distinct().withColumn("whole", F.lit(True))
     change = cut.select("tid", "kept_text").join(whole, "tid", "full").select("tid", F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
