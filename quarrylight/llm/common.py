@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one round of numpy operations takes; a longer text makes a round of its own.
 CHUNK_BYTES = 1 << 20
 
+#: Rows of a batch that Spark hands to Python.
+BATCH_ROWS = 2000
+
 #: Word separators fixed by the data contracts: space, and tab to carriage return.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -38,6 +41,9 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, for clusters whose Python path doesn't have it."""
+    # texts are long: smaller batches bound what a worker and its executor hold
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_quarrylight_shipped", False):
         return
@@ -68,7 +74,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarrylight_path = path
+    return out
+
+
+class Scratch:
+    """Tables of an operator's inner steps: written to the shared folder and deleted when the block ends.
+
+    What leaves the block must not read them any more, so an operator writes its result before it ends the block.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        self.paths.append(_path_of(out))
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete one table early."""
+        path = _path_of(df)
+        if path in self.paths:
+            self.paths.remove(path)
+            _delete(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            _delete(self.spark, path)
+
+
+def _path_of(df: DataFrame) -> str:
+    return df._quarrylight_path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,6 +199,20 @@ def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = CHUNK_BYTES) -> np.ndarray:
+    """Hashes of words in a text run of any length, a piece of about `size` bytes at a time."""
+    if len(data) <= 2 * size:
+        return spans(prefix_hash(data), starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(int(np.searchsorted(ends, starts[at] + size, "right")), at + 1)
+        base = starts[at]
+        out[at:to] = spans(prefix_hash(data[base : ends[to - 1]]), starts[at:to] - base, ends[at:to] - base)
+        at = to
+    return out
+
+
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of each text: starts, ends and the index of the first word of each text."""
     n = len(data)
