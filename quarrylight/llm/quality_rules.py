@@ -139,7 +139,7 @@ def _odd_word_length(t: Texts) -> np.ndarray:
 
 def _repeated_lines(t: Texts) -> np.ndarray:
     n, again = lines(t)
-    return 10 * again > 3 * n
+    return 2 * again > n
 
 
 def _shouting(t: Texts) -> np.ndarray:
@@ -261,7 +261,7 @@ base AS (
   FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN top USING (r) LEFT JOIN al USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * n_lines
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_dup_lines > n_lines
     OR n_upper > n_lower OR 2 * n_bang > n_words OR 10 * n_alpha < 7 * n_words OR 10 * n_top > 3 * n_words) AS kept
 FROM f
 """
