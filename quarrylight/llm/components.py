@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,15 +29,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node of its component, roots included."""
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
-        edges = written(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
+    with Scratch(edges.sparkSession) as scratch:
+        edges = scratch.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+        before = None
+        for _ in range(max_rounds):
+            last, edges = edges, scratch.written(_small_star(_large_star(edges)), "edges")
+            scratch.drop(last)
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError("components did not settle")
+        roots = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+        return written(edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots), "components")

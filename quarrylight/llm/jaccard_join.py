@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_long, chunks, lists, mix, prefix_hash, ship, shingles, spans, text_of, word_spans, written
+from .common import LOWER, Scratch, as_long, chunks, lists, mix, prefix_hash, ship, shingles, spans, text_of, word_spans, written
 from .components import components
 
 GROUPS, MOST_GROUPS, LEAF = 32, 4096, 16
@@ -181,7 +181,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
 
 
-def set_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def set_rows(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """doc_id, t (text hash), s1, s2 (set digest), n, prefix and point of each row."""
     spark = docs.sparkSession
     ship(spark)
@@ -213,7 +213,7 @@ def set_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             )
 
     source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", F.xxhash64("text").alias("t"), "text")
-    return written(source.mapInArrow(run, "doc_id long, t long, s1 long, s2 long, n long, prefix array<long>, point array<int>"), "sets")
+    return scratch.written(source.mapInArrow(run, "doc_id long, t long, s1 long, s2 long, n long, prefix array<long>, point array<int>"), "sets")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, weigh: str | None = None) -> Iterator[pa.Table]:
@@ -252,11 +252,11 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def candidate_links(classes: DataFrame, num: int, den: int, meeting: int = MEETING) -> DataFrame:
+def candidate_links(classes: DataFrame, num: int, den: int, meeting: int, scratch: Scratch) -> DataFrame:
     """Spanning links (a, b) between classes that can link."""
     met = classes.select("s1", F.explode("prefix").alias("x"))
     w = Window.partitionBy("x")
-    met = written(met.select("s1", "x", F.count(F.lit(1)).over(w).alias("m"), F.min("s1").over(w).alias("low")).filter("m > 1"), "meetings")
+    met = scratch.written(met.select("s1", "x", F.count(F.lit(1)).over(w).alias("m"), F.min("s1").over(w).alias("low")).filter("m > 1"), "meetings")
     large = met.filter(F.col("m") > meeting).filter("s1 <> low").select(F.col("low").alias("a"), F.col("s1").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,14 +347,28 @@ def _binary(column) -> tuple[np.ndarray, np.ndarray]:
 
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, meeting: int = MEETING, block: int = BLOCK) -> DataFrame:
     """doc_id, t (xxhash64 of the text), n_shingles and component_id of every row; sets link when overlap / union >= num / den."""
-    rows = set_rows(docs, k, num, den)
-    first_row = F.min(F.struct("doc_id", "t")).alias("r")
-    classes = rows.filter("n > 0").groupBy("s1", "s2").agg(first_row, F.min("doc_id").alias("low"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
-    classes = written(classes.select("s1", "s2", "low", F.col("r.doc_id").alias("doc_id"), F.col("r.t").alias("t"), "prefix", "point"), "classes")
-    groups = components(candidate_links(classes, num, den, meeting))
-    found = components(verified_links(docs, classes, groups, k, num, den, block))
-    ids = found.join(classes.select(F.col("s1").alias("node"), "low"), "node")
-    ids = ids.join(ids.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(F.col("node").alias("s1"), "component_id")
-    classes = classes.select("s1", "s2", "low").join(ids, "s1", "left").select("s1", "s2", F.coalesce("component_id", "low").alias("component_id"))
-    out = rows.select("doc_id", "t", "s1", "s2", F.col("n").alias("n_shingles")).join(classes, ["s1", "s2"], "left")
-    return out.select("doc_id", "t", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = set_rows(docs, k, num, den, scratch)
+        first_row = F.min(F.struct("doc_id", "t")).alias("r")
+        classes = rows.filter("n > 0").groupBy("s1", "s2").agg(first_row, F.min("doc_id").alias("low"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
+        classes = scratch.written(classes.select("s1", "s2", "low", F.col("r.doc_id").alias("doc_id"), F.col("r.t").alias("t"), "prefix", "point"), "classes")
+        groups = components(candidate_links(classes, num, den, meeting, scratch))
+        found = components(verified_links(docs, classes, groups, k, num, den, block))
+        ids = found.join(classes.select(F.col("s1").alias("node"), "low"), "node")
+        ids = ids.join(ids.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(F.col("node").alias("s1"), "component_id")
+        classes = classes.select("s1", "s2", "low").join(ids, "s1", "left").select("s1", "s2", F.coalesce("component_id", "low").alias("component_id"))
+        out = rows.select("doc_id", "t", "s1", "s2", F.col("n").alias("n_shingles")).join(classes, ["s1", "s2"], "left")
+        return written(out.select("doc_id", "t", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "jaccard")
+
+
+#: The four-word, 0.85 join in DuckDB: all pairs, then reachability. For small tables.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+x AS (SELECT r, len(s) AS n, unnest(s) AS g FROM s),
+pair AS (SELECT a.r AS a, b.r AS b, a.n AS na, b.n AS nb, count(*) AS o FROM x a JOIN x b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+link AS (SELECT a, b FROM pair WHERE 100 * o >= 85 * (na + nb - o)),
+lk AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, lk.b FROM reach JOIN lk ON reach.b = lk.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(t.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.a JOIN s t ON t.r = reach.b GROUP BY s.r, s.doc_id, s.s
+"""

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import Scratch, text_of, written
 
 #: Bytes that each document takes besides its text.
 ROW_BYTES = 16
@@ -89,7 +89,7 @@ def _cuts(points: DataFrame, wanted: dict[int, float], dimension: dict[int, int]
     return cuts
 
 
-def _tree(points: DataFrame, leaves: int, total: int) -> DataFrame:
+def _tree(points: DataFrame, leaves: int, total: int, scratch: Scratch) -> DataFrame:
     """The points with their leaf as `shard`. Each level is written out: later levels read it, and a lost executor costs one level."""
     share = {0: (0, leaves)}  # open cells: their first leaf and how many they hold
     spot: dict[int, int] = {}  # closed cells: their leaf
@@ -113,7 +113,7 @@ def _tree(points: DataFrame, leaves: int, total: int) -> DataFrame:
         cuts = _cuts(placed, wanted, dimension, ranges, CLOSE * total / leaves)
         cell = F.col("cell")
         goes_right = (_key(dimension, cell) >= _by_cell(cuts, cell)).cast("long")
-        placed = written(placed.withColumn("cell", cell * 2 + F.when(cell.isin(list(share)), goes_right).otherwise(0)), "shard-cells")
+        placed = scratch.written(placed.withColumn("cell", cell * 2 + F.when(cell.isin(list(share)), goes_right).otherwise(0)), "shard-cells")
         spot = {2 * c: leaf for c, leaf in spot.items()}
         share = {k: v for c, (first, n) in share.items() for k, v in ((2 * c, (first, left[c])), (2 * c + 1, (first + left[c], n - left[c])))}
 
@@ -123,35 +123,36 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 
     Returns doc_id, size, text_crc32, shard and slot (0, 1, ... without gaps in each shard).
     """
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    slim = written(
-        text_of(docs, "doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).select(
-            "doc_id", "lang", "source", (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("d1"), F.xxhash64(F.lit(7), raw).alias("d2")
-        ),
-        "shard-rows",
-    )
-    total = slim.agg(F.sum("size")).first()[0] or 0
-    leaves = shards or max(1, math.ceil(total / target_bytes))
-    cap = max(1, int(GROUP_SHARE * total / leaves))
-
-    # At most total / cap texts have that many bytes in copies, whatever the size of the corpus.
-    big = slim.groupBy("d1", "d2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")).filter((F.col("bytes") > cap) & (F.col("copies") > 1))
-    big = big.select("d1", "d2", F.ceil(F.col("bytes") / cap).alias("parts"))
-    rows = slim.join(F.broadcast(big), ["d1", "d2"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id", "source"), F.col("parts")))).drop("parts")
-
-    half = 2**31 - 1
-    category = lambda name: F.coalesce(F.crc32(F.min(name).cast("binary")) / 2, F.lit(0)).cast("long")
-    coordinates = [category("source"), category("lang"), (F.log2(F.min("size")) * 2**25).cast("long")]
-    units = rows.groupBy("d1", "d2", "part").agg(F.sum("size").alias("weight"), *[F.least(c, F.lit(half)).alias(f"c{i}") for i, c in enumerate(coordinates)])
-    tie = F.pmod(F.xxhash64("d1", "d2", "part"), F.lit(2**32))
-    units = written(units.select("d1", "d2", "part", "weight", *[(F.col(f"c{i}") * 2**32 + tie).alias(f"k{i}") for i in range(len(DIMENSIONS))]), "shard-points")
-
-    placed = _tree(units, leaves, total).select("d1", "d2", "part", "shard")
-    rows = rows.join(placed, ["d1", "d2", "part"])
-
-    # Slots: rows are numbered within small hash buckets of a shard, which begin where the buckets before them end.
-    buckets = max(1, math.ceil(slim.count() / leaves / SLOT_ROWS))
-    rows = written(rows.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "d1"), F.lit(buckets)).alias("bucket")), "shard-placed")
+    with Scratch(docs.sparkSession) as scratch:
+        raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+        slim = scratch.written(
+            text_of(docs, "doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).select(
+                "doc_id", "lang", "source", (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("d1"), F.xxhash64(F.lit(7), raw).alias("d2")
+            ),
+            "shard-rows",
+        )
+        total = slim.agg(F.sum("size")).first()[0] or 0
+        leaves = shards or max(1, math.ceil(total / target_bytes))
+        cap = max(1, int(GROUP_SHARE * total / leaves))
+
+        # At most total / cap texts have that many bytes in copies, whatever the size of the corpus.
+        big = slim.groupBy("d1", "d2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")).filter((F.col("bytes") > cap) & (F.col("copies") > 1))
+        big = big.select("d1", "d2", F.ceil(F.col("bytes") / cap).alias("parts"))
+        rows = slim.join(F.broadcast(big), ["d1", "d2"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id", "source"), F.col("parts")))).drop("parts")
+
+        half = 2**31 - 1
+        category = lambda name: F.coalesce(F.crc32(F.min(name).cast("binary")) / 2, F.lit(0)).cast("long")
+        coordinates = [category("source"), category("lang"), (F.log2(F.min("size")) * 2**25).cast("long")]
+        units = rows.groupBy("d1", "d2", "part").agg(F.sum("size").alias("weight"), *[F.least(c, F.lit(half)).alias(f"c{i}") for i, c in enumerate(coordinates)])
+        tie = F.pmod(F.xxhash64("d1", "d2", "part"), F.lit(2**32))
+        units = scratch.written(units.select("d1", "d2", "part", "weight", *[(F.col(f"c{i}") * 2**32 + tie).alias(f"k{i}") for i in range(len(DIMENSIONS))]), "shard-points")
+
+        placed = _tree(units, leaves, total, scratch).select("d1", "d2", "part", "shard")
+        rows = rows.join(placed, ["d1", "d2", "part"])
+
+        # Slots: rows are numbered within small hash buckets of a shard, which begin where the buckets before them end.
+        buckets = max(1, math.ceil(slim.count() / leaves / SLOT_ROWS))
+        rows = written(rows.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "d1"), F.lit(buckets)).alias("bucket")), "shard-placed")
     ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begins"))
     numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt_merge import repeated_places
-from .common import as_long, buffers, chunks, lists, mix, powers, prefix_hash, ship, spans, text_of, written
+from .common import Scratch, as_long, buffers, chunks, lists, mix, powers, prefix_hash, ship, spans, text_of, written
 from .jaccard_join import _runs
 
 LENGTH, ANCHOR, DEPTH = 200, 32, 4
@@ -76,7 +76,7 @@ def runs(data: np.ndarray, off: np.ndarray, length: int, anchor: int) -> tuple[n
     return text[first], starts[first], starts[final], gram[a[first]]
 
 
-def _text_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+def _text_rows(docs: DataFrame, length: int, anchor: int, scratch: Scratch) -> DataFrame:
     """doc_id, tid (text hash), n_bytes, full (SHA-256 of the text) and anchors of each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n_bytes", pa.int64()), ("full", pa.binary()), ("anchors", pa.list_(pa.int64()))])
 
@@ -88,7 +88,7 @@ def _text_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tid"), pa.array(np.diff(off)), pa.array(full), lists(as_long(h), np.searchsorted(text, np.arange(len(off))), pa.int64())], schema=schema)
 
     source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "text")
-    return written(source.mapInArrow(run, "doc_id long, tid long, n_bytes long, full binary, anchors array<long>"), "text-rows")
+    return scratch.written(source.mapInArrow(run, "doc_id long, tid long, n_bytes long, full binary, anchors array<long>"), "text-rows")
 
 
 def _contexts(candidates: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -117,7 +117,7 @@ def _contexts(candidates: DataFrame, length: int, anchor: int) -> DataFrame:
     return candidates.select("tid", "repeated", "text").mapInArrow(run, "h long, c1 long, c2 long, tid long, at long, windows int, context binary")
 
 
-def _counted_windows(whole: DataFrame, length: int) -> DataFrame:
+def _counted_windows(whole: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """The same as _repeated_windows for contexts of hot anchors, by counting window hashes."""
     schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("k", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
 
@@ -132,14 +132,14 @@ def _counted_windows(whole: DataFrame, length: int) -> DataFrame:
             c1, c2 = (rows.column(c).to_numpy()[row] for c in ("c1", "c2"))
             yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(k.astype(np.int32)), pa.array(as_long(w1)), pa.array(as_long(w2))], schema=schema)
 
-    windows = written(whole.select("c1", "c2", "context").mapInArrow(run, "c1 long, c2 long, k int, w1 long, w2 long"), "hot-windows")
+    windows = scratch.written(whole.select("c1", "c2", "context").mapInArrow(run, "c1 long, c2 long, k int, w1 long, w2 long"), "hot-windows")
     twice = windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
     found = windows.join(twice, ["w1", "w2"]).select("c1", "c2", F.array("k", "k").alias("pair"))
     copied = whole.filter("copies > 1").select("c1", "c2", F.array(F.lit(0), F.col("windows") - 1).alias("pair"))
     return found.unionByName(copied).groupBy("c1", "c2").agg(F.flatten(F.collect_list("pair")).alias("spans"))
 
 
-def _repeated_windows(contexts: DataFrame, length: int, depth: int, hot_contexts: int) -> DataFrame:
+def _repeated_windows(contexts: DataFrame, length: int, depth: int, hot_contexts: int, scratch: Scratch) -> DataFrame:
     """(c1, c2, spans): the repeated windows of each distinct context, as pairs of first and last window."""
     schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
@@ -171,27 +171,27 @@ def _repeated_windows(contexts: DataFrame, length: int, depth: int, hot_contexts
 
     whole = contexts.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.max("windows").alias("windows"), F.first("context", ignorenulls=True).alias("context"))
     whole = whole.withColumn("size", F.octet_length("context"))
-    hot = written(contexts.select("h", "c1", "c2").distinct().groupBy("h").count().filter(F.col("count") > hot_contexts).select("h"), "hot-anchors")
+    hot = scratch.written(contexts.select("h", "c1", "c2").distinct().groupBy("h").count().filter(F.col("count") > hot_contexts).select("h"), "hot-anchors")
     counted = None
     if hot.limit(1).count():
-        counted = _counted_windows(whole.join(hot, "h", "left_semi"), length)
+        counted = _counted_windows(whole.join(hot, "h", "left_semi"), length, scratch)
         whole = whole.join(hot, "h", "left_anti")
     merged = whole.select("h", "c1", "c2", "copies", "windows", "context", "size")
     merged = merged.repartition("h").sortWithinPartitions("h").mapInArrow(run, "c1 long, c2 long, spans array<int>")
     return merged if counted is None else merged.unionByName(counted)
 
 
-def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH, hot_contexts: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH, hot_contexts: int = HOT_CONTEXTS, *, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, tid, n_bytes, full, copies) and, for distinct texts with repeated windows, (tid, text, spans)."""
     if length % depth or anchor > length:
         raise ValueError("depth must divide length, and anchor be no longer")
     ship(docs.sparkSession)
-    rows = _text_rows(docs, length, anchor)
+    rows = _text_rows(docs, length, anchor, scratch)
     texts = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
-    texts = written(texts, "texts")
+    texts = scratch.written(texts, "texts")
     anchors = texts.select("tid", F.posexplode("anchors").alias("i", "h"))
     total = texts.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    twice = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+    twice = scratch.written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
     # hot hashes are few and broadcast, so the join by hash has no hot key
     hot = twice.filter(F.col("n") > max(1000, int(HOT_SHARE * total))).select("h", F.lit(True).alias("hot"))
     marked = anchors.join(F.broadcast(hot), "h", "left")
@@ -201,11 +201,11 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
     # the one row that stands for its text; should that row itself be repeated, one of it
     candidates = source.join(repeated, (source["tid"] == repeated["tid"]) & source["doc_id"].eqNullSafe(repeated["rep"])).select(source["tid"], "repeated", "text")
-    candidates = written(candidates, "candidates")
+    candidates = scratch.written(candidates, "candidates")
     if candidates.groupBy("tid").count().filter("count > 1").limit(1).count():
         candidates = candidates.dropDuplicates(["tid"])
-    contexts = written(_contexts(candidates, length, anchor), "contexts")
-    found = _repeated_windows(contexts, length, depth, hot_contexts)
+    contexts = scratch.written(_contexts(candidates, length, anchor), "contexts")
+    found = _repeated_windows(contexts, length, depth, hot_contexts, scratch)
     windows = contexts.select("c1", "c2", "tid", "at").join(found, ["c1", "c2"]).select("tid", "at", "spans")
     windows = windows.groupBy("tid").agg(F.collect_list(F.struct("at", "spans")).alias("found"))
     windows = windows.select("tid", F.flatten(F.transform("found", lambda x: F.transform(x["spans"], lambda s: s + x["at"]))).alias("spans"))
@@ -245,25 +245,47 @@ def _cut_texts(parts: DataFrame, length: int, with_text: bool) -> DataFrame:
 
 def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows, parts = repeated_parts(docs, length, anchor, depth, hot_contexts)
-    cut = _cut_texts(parts, length, with_text=False)
-    out = rows.join(cut, "tid", "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, nothing).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("full")))).alias("kept_sha256"),
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        rows, parts = repeated_parts(docs, length, anchor, depth, hot_contexts, scratch=scratch)
+        cut = _cut_texts(parts, length, with_text=False)
+        out = rows.join(cut, "tid", "left")
+        whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+        nothing = F.lit(hashlib.sha256(b"").hexdigest())
+        out = out.select(
+            "doc_id",
+            "n_bytes",
+            F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+            F.when(whole, nothing).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("full")))).alias("kept_sha256"),
+        )
+        return written(out, "removal")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """The documents with repeated bytes taken out of their texts; bytes of a character cut in two go as well. Null texts stay null."""
-    rows, parts = repeated_parts(docs, length, anchor, depth, hot_contexts)
-    cut = _cut_texts(parts, length, with_text=True)
-    whole = rows.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("tid").distinct().withColumn("whole", F.lit(True))
-    change = cut.select("tid", "kept_text").join(whole, "tid", "full").select("tid", F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
-    keyed = docs.withColumn("tid", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(change, "tid", "left").select(*[F.coalesce("kept_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    with Scratch(docs.sparkSession) as scratch:
+        rows, parts = repeated_parts(docs, length, anchor, depth, hot_contexts, scratch=scratch)
+        cut = _cut_texts(parts, length, with_text=True)
+        whole = rows.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("tid").distinct().withColumn("whole", F.lit(True))
+        change = cut.select("tid", "kept_text").join(whole, "tid", "full").select("tid", F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
+        change = written(change, "cut-texts")
+    keyed = docs.withColumn("__tid", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    out = keyed.join(change.withColumnRenamed("tid", "__tid").withColumnRenamed("kept_text", "__kept"), "__tid", "left")
+    return out.select(*[F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The removal of repeated 200-byte strings in DuckDB, over hexadecimal texts. For small tables.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT r, unnest(range(0, len(x) // 2 - 199)) AS p, x FROM d WHERE len(x) >= 400),
+h AS (SELECT r, p, md5_number(substr(x, 2 * p + 1, 400)) AS h FROM win),
+rep AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+isl AS (SELECT r, p, sum(CASE WHEN p > coalesce(prev, -999) + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS g FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS prev FROM rep)),
+span AS (SELECT r, g, min(p) AS a, max(p) + 200 AS b FROM isl GROUP BY r, g),
+gap AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM span),
+agg AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM span GROUP BY r),
+kept AS (SELECT gap.r, string_agg(substr(d.x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS k FROM gap JOIN d USING (r) GROUP BY gap.r)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN agg.r IS NULL THEN x ELSE k || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN agg USING (r) LEFT JOIN kept USING (r)
+"""
