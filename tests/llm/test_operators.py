@@ -152,7 +152,9 @@ def test_n_best_against_all_paths():
     for _ in range(150):
         t = "".join(rng.choice(["a", "the", "er", "▁", "in", "é", "\U0001f984", "n", " ", "9", "\n"]) for _ in range(rng.randint(1, 7)))[:11]
         every = all_paths("▁" + t.replace(" ", "▁"))
-        assert piece_lattice.n_best(v, "▁" + t.replace(" ", "▁"), 5) == every[:5]
+        found = piece_lattice.n_best(v, "▁" + t.replace(" ", "▁"), 5)
+        assert [s for s, _ in found] == [s for s, _ in every[:5]]
+        assert all(p in every for p in found) and len({tuple(ids) for _, ids in found}) == len(found)
         data = np.frombuffer(t.encode(), np.uint8)
         b = piece_lattice.Batch(v, data, np.array([0, 0, len(data)]), 4)
         assert b.scores == [[0], [s for s, _ in every[:4]]] and b.ids.tolist() == every[0][1]
