@@ -89,4 +89,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op4_suffix_dedup": suffix_dedup.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
 }
