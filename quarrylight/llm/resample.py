@@ -70,12 +70,13 @@ def kth_largest(values: DataFrame, k: int) -> int | None:
     ends = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
     if not k or ends[0] is None or k > ends[2]:
         return None
-    low, width, above = ends[0], max(1, -(-(ends[1] - ends[0] + 1) // BINS)), 0
-    while True:
-        rows = values.filter((F.col("v") >= low) & (F.col("v") < low + width * BINS)).groupBy(F.expr(f"(v - {low}L) div {width}L").alias("bin")).count().collect()
+    low, high, width, above = ends[0], ends[1], max(1, -(-(ends[1] - ends[0] + 1) // BINS)), 0
+    while True:  # the value lies in [low, high], and `above` rows lie beyond
+        rows = values.filter(F.col("v").between(low, high)).groupBy(F.expr(f"(v - {low}L) div {width}L").alias("bin")).count().collect()
         for r in sorted(rows, key=lambda r: -r["bin"]):
             if above + r["count"] >= k:
                 low += r["bin"] * width
+                high = min(high, low + width - 1)
                 break
             above += r["count"]
         if width == 1:

@@ -358,6 +358,18 @@ def test_resampling(spark, odd_texts, empty):
     assert resample.kth_largest(spark.createDataFrame([(x,) for x in (5, -7, 5, 2, 10**12)], "v bigint"), 3) == 5
 
 
+def test_kth_largest_of_many(spark):
+    """A third of the rows near one value: as many rows reach the k-th as with a sort."""
+    noise = -F.log(-F.log((F.pmod(F.xxhash64("id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
+    weight = F.when(F.col("id") % 3 == 0, 0.0).otherwise((F.pmod(F.xxhash64("id", F.lit(7)), F.lit(40_000)) - 20_000) / 100.0)
+    values = spark.range(100_000).select(((weight + noise) * resample.SCALE).cast("long").alias("v")).cache()
+    v = np.sort(values.toPandas().v.to_numpy())[::-1]
+    for k in (1, 1_000, 30_000, 50_000, 60_000, 100_000):
+        last = resample.kth_largest(values, k)
+        assert last == v[k - 1] and (v >= last).sum() == (v >= v[k - 1]).sum(), k
+    values.unpersist()
+
+
 # -- token counts
 
 
