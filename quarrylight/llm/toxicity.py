@@ -7,7 +7,8 @@ before, are scored; a text's score is that of its worst window.
 
 Labels say which texts are toxic, not where. So training alternates: score all windows of the training texts, take each
 text's worst window (at first the one with the highest log odds), and fit the network on those and on one random window of
-each clean text. It uses at most TRAIN_ROWS labelled rows, picked by hash, and TRAIN_WORDS words of each.
+each clean text. It uses at most TRAIN_ROWS labelled rows, picked by hash, each with its whole text. Tasks count their words
+and score their windows; only the odds of words in ODDS_TEXTS texts and two windows a text reach the driver.
 
 Defined cases: null or empty texts, and texts without words, are one window of no words, scored like any other; without
 training rows every score is 0; repeated rows get equal scores.
@@ -15,18 +16,18 @@ training rows every score is 0; repeated rows get equal scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, record, ship, text_of, word_hashes, word_spans
+from .common import LOWER, Scratch, as_long, chunks, mix, owner, record, ship, text_of, word_hashes, word_spans
 
 WINDOW, STRIDE = 32, 16
 WORDS, WORD_SIZE, TRIGRAMS, TRIGRAM_SIZE, HIDDEN = 1 << 12, 8, 1 << 10, 8, 8
-TRAIN_ROWS, TRAIN_WORDS, EPOCHS = 4000, 1500, 6
+TRAIN_ROWS, EPOCHS = 4000, 6
 #: Texts that a word must be in before its log odds count.
 ODDS_TEXTS = 5
 
@@ -49,6 +50,7 @@ class Vocabulary:
         before = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
         data, off = LOWER[data[keep]], before[off]
         starts, ends, self.first = word_spans(data, off)
+        self.data, self.starts, self.ends = data, starts, ends
         h, one, self.word = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         self.hash = h
         size = (ends - starts)[one]
@@ -71,6 +73,12 @@ class Vocabulary:
         words = np.append(self.word, len(self.hash))
         return words[np.where(at < self.first[1:][text][:, None], at, len(self.word))], text
 
+    def spelled(self, text: int, nth: int) -> bytes:
+        """The words proper of a text's nth window, with spaces between."""
+        lo = self.first[text] + nth * STRIDE
+        hi = min(lo + WINDOW, self.first[text + 1])
+        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[lo:hi], self.ends[lo:hi], strict=True))
+
 
 class BiGRU:
     def __init__(self, seed: int = 5):
@@ -175,36 +183,37 @@ class BiGRU:
         np.add.at(g["trigram"], v.trigram[at], np.repeat(drows[used, WORD_SIZE:-1] / size[:, None], size, axis=0))
         return g
 
-    def train(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> None:
-        if not texts:
-            return
-        rng = np.random.default_rng(seed)
-        raw = [t.encode() for t in texts]
-        v = Vocabulary(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-        text_of_word = np.repeat(np.arange(len(texts)), np.diff(v.first))
-        pairs = np.unique(v.word * len(texts) + text_of_word)
-        word, toxic = pairs // len(texts), labels[pairs % len(texts)]
-        bad, good = np.bincount(word, toxic, len(v.hash)), np.bincount(word, 1 - toxic, len(v.hash))
-        odds = np.log((bad + 0.5) / (labels.sum() + 1)) - np.log((good + 0.5) / ((1 - labels).sum() + 1))
-        self.odds_hash, self.odds = v.hash, (np.where(bad + good >= ODDS_TEXTS, np.clip(odds, -4, 6), 0) / 2).astype(np.float32)
-        self.p["bias"][0] = np.log((labels.sum() + 1) / ((1 - labels).sum() + 1))
+    def weigh(self, h: np.ndarray, bad: np.ndarray, good: np.ndarray, toxic: int, clean: int) -> None:
+        """Set log odds of words, from the toxic and clean training texts that each is in and the numbers of all such texts."""
+        odds = (np.clip(np.log((bad + 0.5) / (toxic + 1)) - np.log((good + 0.5) / (clean + 1)), -4, 6) / 2).astype(np.float32)
+        seen = np.argsort(h)
+        seen = seen[odds[seen] != 0]
+        self.odds_hash, self.odds = h[seen], odds[seen]
+        self.p["bias"][0] = np.log((toxic + 1) / (clean + 1))
+
+    def pick(self, data: np.ndarray, off: np.ndarray, key: np.ndarray, epoch: int) -> tuple[list[bytes], list[bytes]]:
+        """The worst window of each whole text (in epoch 0 the one with the highest log odds), and one by chance."""
+        v = Vocabulary(data, off)
         ids, text = v.windows()
-        edge = np.searchsorted(text, np.arange(len(texts) + 1))
-        score = np.append(self.odds, np.float32(-9))[ids].max(1)
-        m, s, step = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2)), {}, 0
-        m, s = m
-        for epoch in range(epochs):
-            worst = np.array([a + int(score[a:b].argmax()) for a, b in zip(edge, edge[1:], strict=False)])
-            clean = np.flatnonzero(labels == 0)
-            other = edge[clean] + (rng.random(len(clean)) * np.diff(edge)[clean]).astype(np.int64)
-            chosen, target = np.concatenate([worst, other]), np.concatenate([labels, np.zeros(len(other))])
-            order = rng.permutation(len(chosen))
+        edge = np.searchsorted(text, np.arange(len(off)))
+        score = self.logits(v, ids) if epoch else np.append(self.log_odds(v.hash), np.float32(-9))[ids].max(1)
+        other = (mix(key ^ mix(np.array([epoch + 1], np.uint64))) % np.diff(edge).astype(np.uint64)).astype(np.int64)
+        return [v.spelled(i, int(score[a:b].argmax())) for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False))], [v.spelled(i, int(n)) for i, n in enumerate(other)]
+
+    def train(self, rounds: Iterable[tuple[list[bytes], np.ndarray]], epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> None:
+        """Each round has the windows of an epoch and their labels, and is asked for when the one before is done."""
+        rng = np.random.default_rng(seed)
+        m, s, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
+        for epoch, (windows, target) in enumerate(rounds):
+            v = Vocabulary(np.frombuffer(b"".join(windows), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in windows])]).astype(np.int64))
+            ids, _ = v.windows()
+            order = rng.permutation(len(ids))
             for lo in range(0, len(order), batch):
                 b = order[lo : lo + batch]
-                need, local = np.unique(ids[chosen[b]], return_inverse=True)
+                need, local = np.unique(ids[b], return_inverse=True)
                 part = _part(v, need)
                 local = local.reshape(len(b), WINDOW)
-                local = np.where(ids[chosen[b]] == len(v.hash), len(part.hash), local)
+                local = np.where(ids[b] == len(v.hash), len(part.hash), local)
                 g = self.gradients(part, self.inputs(part), local, target[b].astype(np.float32))
                 step += 1
                 for k, x in self.p.items():
@@ -212,21 +221,19 @@ class BiGRU:
                     m[k] += 0.1 * (gk - m[k])
                     s[k] += 0.001 * (gk * gk - s[k])
                     x -= rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-            rows = self.inputs(v)
-            score = np.concatenate([self.forward(rows, ids[lo : lo + 4096]) for lo in range(0, len(ids), 4096)])
-        seen = np.flatnonzero(self.odds)
-        self.odds_hash, self.odds = self.odds_hash[seen], self.odds[seen]
         self.trained = True
 
+    def logits(self, v: Vocabulary, ids: np.ndarray) -> np.ndarray:
+        rows = self.inputs(v)
+        return np.concatenate([self.forward(rows, ids[lo : lo + 2048]) for lo in range(0, len(ids), 2048)])
+
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Scores of whole texts."""
         if not self.trained:
             return np.zeros(len(off) - 1)
         v = Vocabulary(data, off)
         ids, text = v.windows()
-        rows = self.inputs(v)
-        logit = np.concatenate([self.forward(rows, ids[lo : lo + 2048]) for lo in range(0, len(ids), 2048)])
-        worst = np.maximum.reduceat(logit, np.searchsorted(text, np.arange(len(off) - 1)))
+        worst = np.maximum.reduceat(self.logits(v, ids), np.searchsorted(text, np.arange(len(off) - 1)))
         return _sigmoid(worst.astype(np.float64))
 
 
@@ -241,16 +248,56 @@ def _part(v: Vocabulary, words: np.ndarray) -> Vocabulary:
     return out
 
 
+def word_labels(texts: DataFrame) -> DataFrame:
+    """Words in at least ODDS_TEXTS of the texts (text, toxic): h, and the toxic (bad) and clean (good) texts that they are in."""
+    schema = pa.schema([("h", pa.int64()), ("bad", pa.int64()), ("good", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in chunks(batches):
+            v, toxic = Vocabulary(data, off), np.asarray(rows.column("toxic"))
+            pairs = np.unique(v.word * rows.num_rows + owner(v.first))
+            word, label = pairs // rows.num_rows, toxic[pairs % rows.num_rows]
+            yield record(schema, as_long(v.hash), *[np.bincount(word, x, len(v.hash)).astype(np.int64) for x in (label, 1 - label)])
+
+    counts = texts.mapInArrow(run, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return counts.filter(F.col("bad") + F.col("good") >= ODDS_TEXTS)
+
+
+def windows_of(texts: DataFrame, model: BiGRU, epoch: int) -> tuple[list[bytes], np.ndarray]:
+    """What an epoch trains on: the worst window of each text and a random one of each clean text, with their labels."""
+    schema = pa.schema([("key", pa.int64()), ("toxic", pa.int32()), ("worst", pa.binary()), ("other", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in chunks(batches):
+            key = np.asarray(rows.column("key"))
+            worst, other = model.pick(data, off, key.view(np.uint64), epoch)
+            yield record(schema, rows.column("key"), rows.column("toxic"), pa.array(worst, pa.binary()), pa.array(other, pa.binary()))
+
+    got = texts.mapInArrow(run, "key long, toxic int, worst binary, other binary").toArrow().sort_by("key")  # two windows of at most TRAIN_ROWS texts
+    toxic = got.column("toxic").to_numpy()
+    other = got.filter(pa.array(toxic == 0)).column("other").to_pylist()
+    return got.column("worst").to_pylist() + other, np.concatenate([toxic, np.zeros(len(other))])
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> BiGRU:
     """Train on labelled documents (labels: doc_id, toxic) whose id fulfils `usable`."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     known = labels.filter(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
-    words = F.slice(F.split(F.col("text"), r"[ \t-\r]+"), 1, TRAIN_WORDS)
-    found = text_of(docs, "doc_id").join(F.broadcast(picked), "doc_id").filter("text is not null")  # at most TRAIN_ROWS rows
-    got = found.select(F.array_join(words, " ").alias("text"), "toxic").groupBy("text").agg(F.max("toxic").alias("toxic")).orderBy("text").limit(rows).collect()
+    found = text_of(docs, "doc_id").join(F.broadcast(picked), "doc_id").filter("text is not null")  # at most TRAIN_ROWS ids
     model = BiGRU()
-    model.train([r["text"] for r in got], np.array([r["toxic"] for r in got], np.int64))
+    with Scratch(spark) as scratch:
+        texts = found.groupBy("text").agg(F.max("toxic").alias("toxic")).select(F.xxhash64("text").alias("key"), "toxic", "text")
+        texts = scratch.written(texts.sortWithinPartitions("key"), "training")
+        if texts.count() > rows:  # ids with several texts
+            last = texts.select("key").orderBy("key").limit(rows).agg(F.max("key")).first()[0]
+            texts = texts.filter(F.col("key") <= last)
+        n, toxic = texts.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+        if n:
+            odds = word_labels(texts).toArrow()
+            model.weigh(odds.column("h").to_numpy().view(np.uint64), odds.column("bad").to_numpy(), odds.column("good").to_numpy(), toxic, n - toxic)
+            model.train(windows_of(texts, model, epoch) for epoch in range(EPOCHS))
     return model
 
 

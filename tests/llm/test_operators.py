@@ -465,6 +465,37 @@ def test_toxicity(spark, empty):
     assert set(toxicity.predict(odd, toxicity.fit(docs, labels, F.lit(False))).toPandas().score) == {0.0}
 
 
+def test_toxicity_late_in_texts(spark):
+    """Training reads whole texts: here what tells toxic ones apart comes after 1,600 words."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        w = [f"w{rng.randrange(200)}" for _ in range(rng.randint(1600, 1700))]
+        rows.append((i, " ".join([*w, "vile!" if i % 3 == 0 else "kind!", *w[:10]]), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id bigint, quality int, toxic int")
+    counts = toxicity.word_labels(docs.join(labels, "doc_id").select("text", "toxic")).toPandas()
+    found = Counter()
+    for _, text, t in rows:
+        found.update((w.strip("!"), t) for w in set(text.split()))
+    words = {w for w, _ in found}
+    assert sorted(zip(counts.bad, counts.good, strict=True)) == sorted((found[w, 1], found[w, 0]) for w in words)
+    model = toxicity.fit(docs, labels, F.col("doc_id") % 5 != 0)
+    h = toxicity.Vocabulary(np.frombuffer(b"vile", np.uint8), np.array([0, 4])).hash
+    assert model.log_odds(h)[0] > 1
+    got = rows_of(toxicity.predict(docs, model))
+    assert np.mean([(got.score[i] >= 0.5) == bool(t) for i, _, t in rows if i % 5 == 0]) > 0.95
+
+
+def test_picked_windows_are_the_texts_own():
+    texts = [b"", b"?!", b"One two!  " * 40, b"a b"]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    model = toxicity.BiGRU()
+    for epoch in (0, 1):
+        for got in model.pick(data, off, np.arange(4, dtype=np.uint64), epoch):
+            assert got == [b"", b"", b" ".join([b"one two"] * 16), b"a b"]
+
+
 def test_sparse_words_keep_windows():
     v = toxicity.Vocabulary(np.frombuffer(b"a " * 70, np.uint8), np.array([0, 140, 140]))
     ids, text = v.windows()
