@@ -20,7 +20,8 @@ No stage lists all pairs of a group: links are spanning links, one less than the
 
 Defined cases: null or empty texts and texts without words have an empty set and link with nothing (component: their
 own doc_id); texts with fewer than k words have one shingle of all their words; repeated rows share a component; null
-doc_ids count in no minimum; an empty table gives an empty result.
+doc_ids count in no minimum; an empty table gives an empty result. A component's representative is its row with the
+smallest (doc_id, text hash), null doc_ids last; ids alone need not tell its rows apart.
 """
 
 from __future__ import annotations
@@ -346,19 +347,24 @@ def _binary(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, meeting: int = MEETING, block: int = BLOCK) -> DataFrame:
-    """doc_id, t (xxhash64 of the text), n_shingles and component_id of every row; sets link when overlap / union >= num / den."""
+    """doc_id, t (xxhash64 of the text), n_shingles, component_id and component_t of every row; sets link when overlap / union >= num / den.
+
+    (component_id, component_t) are the doc_id and t of the component's representative.
+    """
+    first_of = lambda name: F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias(name)
     with Scratch(docs.sparkSession) as scratch:
         rows = set_rows(docs, k, num, den, scratch)
-        first_row = F.min(F.struct("doc_id", "t")).alias("r")
-        classes = rows.filter("n > 0").groupBy("s1", "s2").agg(first_row, F.min("doc_id").alias("low"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
-        classes = scratch.written(classes.select("s1", "s2", "low", F.col("r.doc_id").alias("doc_id"), F.col("r.t").alias("t"), "prefix", "point"), "classes")
+        classes = rows.filter("n > 0").groupBy("s1", "s2").agg(first_of("r"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
+        classes = scratch.written(classes.select("s1", "s2", F.col("r.doc_id").alias("doc_id"), F.col("r.t").alias("t"), "prefix", "point"), "classes")
         groups = components(candidate_links(classes, num, den, meeting, scratch))
         found = components(verified_links(docs, classes, groups, k, num, den, block))
-        ids = found.join(classes.select(F.col("s1").alias("node"), "low"), "node")
-        ids = ids.join(ids.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(F.col("node").alias("s1"), "component_id")
-        classes = classes.select("s1", "s2", "low").join(ids, "s1", "left").select("s1", "s2", F.coalesce("component_id", "low").alias("component_id"))
+        ids = found.join(classes.select(F.col("s1").alias("node"), "doc_id", "t"), "node")
+        ids = ids.join(ids.groupBy("root").agg(first_of("c")), "root").select(F.col("node").alias("s1"), "c")
+        own = F.struct(F.col("doc_id").isNull(), "doc_id", "t")
+        classes = classes.select("s1", "s2", "doc_id", "t").join(ids, "s1", "left").select("s1", "s2", F.coalesce("c", own).alias("c"))
         out = rows.select("doc_id", "t", "s1", "s2", F.col("n").alias("n_shingles")).join(classes, ["s1", "s2"], "left")
-        return written(out.select("doc_id", "t", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "jaccard")
+        of = lambda name: F.when(F.col("n_shingles") > 0, F.col(f"c.{name}")).otherwise(F.col(name)).alias(f"component_{name.removeprefix('doc_')}")
+        return written(out.select("doc_id", "t", "n_shingles", of("doc_id"), of("t")), "jaccard")
 
 
 #: The four-word, 0.85 join in DuckDB: all pairs, then reachability. For small tables.

@@ -23,7 +23,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingle sets have a Jaccard similarity of 0.85 or more."""
-    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("t")
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("t", "component_t")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

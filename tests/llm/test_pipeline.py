@@ -100,6 +100,20 @@ def test_stages(spark, made):
     assert len(out) == len(after) and all(r.round_trip for r in out)
 
 
+def test_near_duplicates_without_telling_ids(spark):
+    """Near copies that all have a null doc_id, or share the smallest: one of each group stays."""
+    rng = random.Random(12)
+    groups = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    ids = [(None, None, None), (None, None, None), (7, 7, 8), (None, 3, 3), (4, 4, None)]
+    rows = [(i, f"{g} {end}") for g, own in zip(groups, ids, strict=True) for i, end in zip(own, ("", "x", "y"), strict=True)]
+    rows += [rows[0], rows[6], (None, "a text of its own"), (7, "another text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    kept = [[x for x in got if x[1].startswith(g)] for g in groups]
+    assert [[i for i, _ in k] for k in kept] == [[None], [None], [7], [3], [4]] and set(got) <= set(rows)
+    assert len(got) == 7 and set(rows[-2:]) <= set(got)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
