@@ -4,15 +4,17 @@ The documents become weighted points: one per distinct text, with the coordinate
 and length. Starting from one cell, every cell is split along its widest dimension (extent relative
 to the whole corpus) at the weighted median, or at the fraction that the numbers of leaves on both
 sides call for, until each leaf holds the target bytes. The medians of all cells of a level are found
-together by histogram refinement: a group-by on (cell, bin) per round, of which only the bounded
-table of bin weights (cells x BINS) comes to the driver.
+together by histogram refinement: a group-by on (cell, bin) a round, whose running sums tell each cell's
+next range. Cells, ranges and cuts are tables that are joined with the points; the driver sees the number of
+open cells only.
 
-Equal texts are one point, so they share a shard. A text whose copies hold more than GROUP_SHARE of
-a shard is dealt over several points (at most shards / GROUP_SHARE points exist for such texts), so
-that one hot text can't unbalance the shards.
+Equal texts are one point, so they always share a shard. A point that is heavier than a shard's even part of what the
+others leave is a leaf of its own (fewer such points exist than shards), and the tree deals the rest over the other leaves.
+So shards are near equal unless the copies of one text exceed a shard; that shard is then as large as those copies.
 
-Defined cases: a null or empty text has the size 16; null source or language is a category of its own;
-repeated rows are placed like any other rows; an empty table gives an empty result.
+Defined cases: a null or empty text has the size 16; texts of any length are one point; null source or language is a category
+of its own; ties in a coordinate are told apart by the text's hash; repeated rows are placed like any other rows; other
+columns, whatever their names, are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,95 +29,91 @@ from .common import Scratch, text_of, written
 #: Bytes that each document takes besides its text.
 ROW_BYTES = 16
 #: Bins of one round of refinement, and the share of a shard's bytes at which a cut is close enough.
-BINS, CLOSE = 1024, 0.0005
-#: A text whose copies take more than this share of a shard is split.
-GROUP_SHARE = 0.25
+BINS, CLOSE = 4096, 0.001
+#: Bits of a coordinate, and of the hash that tells points of one coordinate apart.
+COORDINATE_BITS, TIE_BITS = 16, 24
 #: Rows that one task numbers at a time.
 SLOT_ROWS = 50_000
 
 DIMENSIONS = ("source", "lang", "length")
+_KEYS = [f"k{i}" for i in range(len(DIMENSIONS))]
 
 
-def _by_cell(values: dict[int, int], cell: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)]), cell).cast("long")
-
-
-def _key(dimension: dict[int, int], cell: Column) -> Column:
-    chosen = _by_cell(dimension, cell)
-    out = F.col("k0")
-    for i in range(1, len(DIMENSIONS)):
-        out = F.when(chosen == i, F.col(f"k{i}")).otherwise(out)
+def _chosen(columns: list[Column]) -> Column:
+    """The one of the columns whose number `dim` gives."""
+    out = columns[0]
+    for i, c in enumerate(columns[1:], 1):
+        out = F.when(F.col("dim") == i, c).otherwise(out)
     return out
 
 
-def _cuts(points: DataFrame, wanted: dict[int, float], dimension: dict[int, int], ranges: dict[int, tuple[int, int]], tolerance: float) -> dict[int, int]:
-    """For each cell the key at which the weight below comes closest to what is wanted."""
-    low = {c: r[0] for c, r in ranges.items()}
-    width = {c: max(1, -(-(r[1] - r[0] + 1) // BINS)) for c, r in ranges.items()}
-    below = dict.fromkeys(ranges, 0.0)
-    cuts: dict[int, int] = {}
-    key = _key(dimension, F.col("cell"))
-    while low:
-        open_cells = list(low)
-        rows = (
-            points.filter(F.col("cell").isin(open_cells))
-            .select("cell", "weight", key.alias("key"), _by_cell(low, F.col("cell")).alias("low"), _by_cell(width, F.col("cell")).alias("width"))
-            .filter((F.col("key") >= F.col("low")) & (F.col("key") < F.col("low") + F.col("width") * BINS))
-            .groupBy("cell", F.expr("cast((key - low) div width as int)").alias("bin"))
-            .agg(F.sum("weight").alias("weight"))
-            .collect()
-        )
-        by_cell: dict[int, list[tuple[int, float]]] = {c: [] for c in open_cells}
-        for r in rows:
-            by_cell[r["cell"]].append((r["bin"], float(r["weight"])))
-        for c, bins in by_cell.items():
-            so_far, hit = below[c], None
-            for b, weight in sorted(bins):
-                if so_far + weight >= wanted[c]:
-                    hit = (b, weight)
-                    break
-                so_far += weight
-            if hit is None:
-                cuts[c] = low[c] + width[c] * BINS
-            elif width[c] == 1 or hit[1] <= tolerance:
-                after = so_far + hit[1] - wanted[c] < wanted[c] - so_far
-                cuts[c] = low[c] + width[c] * (hit[0] + after)
-            else:
-                low[c] += width[c] * hit[0]
-                width[c] = max(1, -(-width[c] // BINS))
-                below[c] = so_far
-                continue
-            del low[c], width[c]
-    return cuts
-
-
-def _tree(points: DataFrame, leaves: int, total: int, scratch: Scratch) -> DataFrame:
-    """The points with their leaf as `shard`. Each level is written out: later levels read it, and a lost executor costs one level."""
-    share = {0: (0, leaves)}  # open cells: their first leaf and how many they hold
-    spot: dict[int, int] = {}  # closed cells: their leaf
-    placed = points.withColumn("cell", F.lit(0).cast("long"))
-    scale: list[float] = []
+def heavy_limit(points: DataFrame, leaves: int) -> tuple[int, float]:
+    """How many points are leaves of their own, and the weight above which they are: more than an even part of the rest."""
+    total = points.agg(F.sum("weight")).first()[0] or 0
+    n, limit = 0, total / leaves
     while True:
-        for c in [c for c, (_, n) in share.items() if n == 1]:
-            spot[c] = share.pop(c)[0]
-        ends = [f(f"k{i}").alias(f"{n}{i}") for i in range(len(DIMENSIONS)) for n, f in (("a", F.min), ("b", F.max))]
-        stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.sum("weight").alias("w"), *ends).collect()} if share else {}
-        for c in [c for c in share if c not in stats]:  # no points: its leaves stay empty
-            spot[c] = share.pop(c)[0]
-        if not share:
-            return placed.withColumn("shard", _by_cell(spot, F.col("cell")).cast("int"))
-        extent = {c: [(stats[c][f"b{i}"] >> 32) - (stats[c][f"a{i}"] >> 32) for i in range(len(DIMENSIONS))] for c in share}
-        scale = scale or [max(1, x) for x in extent[0]]
-        dimension = {c: max(range(len(DIMENSIONS)), key=lambda i: extent[c][i] / scale[i]) for c in share}
-        left = {c: n // 2 for c, (_, n) in share.items()}
-        wanted = {c: float(stats[c]["w"]) * left[c] / n for c, (_, n) in share.items()}
-        ranges = {c: (stats[c][f"a{dimension[c]}"], stats[c][f"b{dimension[c]}"]) for c in share}
-        cuts = _cuts(placed, wanted, dimension, ranges, CLOSE * total / leaves)
-        cell = F.col("cell")
-        goes_right = (_key(dimension, cell) >= _by_cell(cuts, cell)).cast("long")
-        placed = scratch.written(placed.withColumn("cell", cell * 2 + F.when(cell.isin(list(share)), goes_right).otherwise(0)), "shard-cells")
-        spot = {2 * c: leaf for c, leaf in spot.items()}
-        share = {k: v for c, (first, n) in share.items() for k, v in ((2 * c, (first, left[c])), (2 * c + 1, (first + left[c], n - left[c])))}
+        found, held = points.filter(F.col("weight") > limit).agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if found == n:
+            return n, limit
+        n, limit = found, (total - held) / (leaves - found)
+
+
+def _searches(points: DataFrame, cells: DataFrame, scale: list[int]) -> DataFrame:
+    """For each open cell with points: its leaves, the dimension to split, the weight wanted below the cut and the range that holds the cut."""
+    ends = [f(k).alias(f"{name}{i}") for i, k in enumerate(_KEYS) for name, f in (("low", F.min), ("high", F.max))]
+    found = points.groupBy("cell").agg(F.sum("weight").alias("w"), *ends).join(cells, "cell")
+    extents = [(F.shiftright(f"high{i}", TIE_BITS) - F.shiftright(f"low{i}", TIE_BITS)) / scale[i] for i in range(len(_KEYS))]
+    widest = F.greatest(*extents)
+    dim = F.coalesce(*[F.when(e == widest, i) for i, e in enumerate(extents)])
+    found = found.withColumn("dim", dim).withColumn("left", F.expr("n div 2").cast("int"))
+    low, high = (_chosen([F.col(f"{name}{i}") for i in range(len(_KEYS))]) for name in ("low", "high"))
+    width = F.greatest(F.ceil((high - low + 1) / BINS).cast("long"), F.lit(1).cast("long"))
+    return found.select("cell", "first", "n", "left", "dim", (F.col("w") * F.col("left") / F.col("n")).alias("wanted"), low.alias("low"), width.alias("width"), F.lit(0.0).alias("below"))
+
+
+def _refined(points: DataFrame, searches: DataFrame, tolerance: float) -> DataFrame:
+    """One round: every search gets its cut, or a range that is BINS times smaller (cut: null)."""
+    within = points.select("cell", "weight", *_KEYS).join(searches, "cell").withColumn("key", _chosen([F.col(k) for k in _KEYS]))
+    within = within.filter((F.col("key") >= F.col("low")) & (F.col("key") < F.col("low") + F.col("width") * BINS))
+    bins = within.groupBy(*searches.columns, F.expr("cast((key - low) div width as int)").alias("bin")).agg(F.sum("weight").alias("weight"))
+    so_far = F.col("below") + F.sum("weight").over(Window.partitionBy("cell").orderBy("bin"))  # at most BINS rows a cell
+    bins = bins.withColumn("so_far", so_far).withColumn("at", F.struct("bin", "weight", "so_far"))
+    s = bins.groupBy(*searches.columns).agg(F.coalesce(F.min(F.when(F.col("so_far") >= F.col("wanted"), F.col("at"))), F.max("at")).alias("hit"))
+    before = F.col("hit.so_far") - F.col("hit.weight")
+    # the edge of the bin that is closer to what is wanted
+    edge = F.col("hit.bin") + F.when(F.col("hit.so_far") - F.col("wanted") < F.col("wanted") - before, 1).otherwise(0)
+    ready = (F.col("width") == 1) | (F.col("hit.weight") <= tolerance)
+    low, width = F.col("low") + F.col("width") * F.col("hit.bin"), F.ceil(F.col("width") / BINS).cast("long")
+    return s.select("cell", "first", "n", "left", "dim", "wanted", low.alias("low"), width.alias("width"), before.alias("below"), F.when(ready, F.col("low") + F.col("width") * edge).alias("cut"))
+
+
+def _tree(points: DataFrame, leaves: int, total: int, scratch: Scratch) -> list[DataFrame]:
+    """Tables of d1, d2, shard, which together hold the points. Each level is written out: the next one reads it, and a lost executor costs one level."""
+    if not total:
+        return []
+    ends = points.agg(*[f(F.shiftright(k, TIE_BITS)) for k in _KEYS for f in (F.max, F.min)]).first()
+    scale = [max(1, (ends[2 * i] or 0) - (ends[2 * i + 1] or 0)) for i in range(len(_KEYS))]
+    cells = points.sparkSession.range(1).select(F.lit(0).cast("long").alias("cell"), F.lit(0).alias("first"), F.lit(leaves).alias("n"))
+    open_points, done, most = points.withColumn("cell", F.lit(0).cast("long")), [], leaves
+    while most > 1:
+        searches, cuts = _searches(open_points, cells, scale), None
+        while True:
+            found = scratch.written(_refined(open_points, searches, CLOSE * total / leaves), "shard-cuts")
+            cut = found.filter("cut is not null").select("cell", "first", "n", "left", "dim", "cut")
+            cuts = cut if cuts is None else cuts.unionByName(cut)
+            searches = found.filter("cut is null").drop("cut")
+            if not searches.limit(1).count():
+                break
+        right = (_chosen([F.col(k) for k in _KEYS]) >= F.col("cut")).cast("int")
+        leaf, share = F.col("first") + F.col("left") * F.col("side"), F.when(F.col("side") == 1, F.col("n") - F.col("left")).otherwise(F.col("left"))
+        moved = open_points.join(cuts, "cell").withColumn("side", right)
+        moved = scratch.written(moved.select("d1", "d2", "weight", *_KEYS, (F.col("cell") * 2 + F.col("side")).alias("cell"), leaf.alias("leaf"), share.alias("share")), "shard-level")
+        done.append(moved.filter("share = 1").select("d1", "d2", F.col("leaf").alias("shard")))
+        open_points = moved.filter("share > 1").drop("leaf", "share")
+        halves = cuts.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+        cells = halves.select((F.col("cell") * 2 + F.col("side")).alias("cell"), leaf.alias("first"), share.alias("n")).filter("n > 1")
+        most -= most // 2
+    return done or [points.select("d1", "d2", F.lit(0).alias("shard"))]
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -131,29 +129,30 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
             ),
             "shard-rows",
         )
-        total = slim.agg(F.sum("size")).first()[0] or 0
+        most = 2**COORDINATE_BITS - 1
+        category = lambda name: F.coalesce(F.shiftright(F.crc32(F.min(name).cast("binary")), 32 - COORDINATE_BITS), F.lit(0)).cast("long")
+        # 2048 steps of length to each power of two
+        coordinates = [category("source"), category("lang"), (F.log2(F.min("size")) * 2048).cast("long")]
+        points = slim.groupBy("d1", "d2").agg(F.sum("size").alias("weight"), *[F.least(c, F.lit(most)).alias(f"c{i}") for i, c in enumerate(coordinates)])
+        tie = F.pmod(F.xxhash64("d1", "d2"), F.lit(2**TIE_BITS))
+        points = scratch.written(points.select("d1", "d2", "weight", *[(F.col(f"c{i}") * 2**TIE_BITS + tie).alias(k) for i, k in enumerate(_KEYS)]), "shard-points")
+        total = points.agg(F.sum("weight")).first()[0] or 0
         leaves = shards or max(1, math.ceil(total / target_bytes))
-        cap = max(1, int(GROUP_SHARE * total / leaves))
-
-        # At most total / cap texts have that many bytes in copies, whatever the size of the corpus.
-        big = slim.groupBy("d1", "d2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")).filter((F.col("bytes") > cap) & (F.col("copies") > 1))
-        big = big.select("d1", "d2", F.ceil(F.col("bytes") / cap).alias("parts"))
-        rows = slim.join(F.broadcast(big), ["d1", "d2"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id", "source"), F.col("parts")))).drop("parts")
-
-        half = 2**31 - 1
-        category = lambda name: F.coalesce(F.crc32(F.min(name).cast("binary")) / 2, F.lit(0)).cast("long")
-        coordinates = [category("source"), category("lang"), (F.log2(F.min("size")) * 2**25).cast("long")]
-        units = rows.groupBy("d1", "d2", "part").agg(F.sum("size").alias("weight"), *[F.least(c, F.lit(half)).alias(f"c{i}") for i, c in enumerate(coordinates)])
-        tie = F.pmod(F.xxhash64("d1", "d2", "part"), F.lit(2**32))
-        units = scratch.written(units.select("d1", "d2", "part", "weight", *[(F.col(f"c{i}") * 2**32 + tie).alias(f"k{i}") for i in range(len(DIMENSIONS))]), "shard-points")
-
-        placed = _tree(units, leaves, total, scratch).select("d1", "d2", "part", "shard")
-        rows = rows.join(placed, ["d1", "d2", "part"])
-
-        # Slots: rows are numbered within small hash buckets of a shard, which begin where the buckets before them end.
-        buckets = max(1, math.ceil(slim.count() / leaves / SLOT_ROWS))
-        rows = written(rows.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "d1"), F.lit(buckets)).alias("bucket")), "shard-placed")
-    ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begins"))
-    numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")))
-    return numbered.join(begins, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("begins") + F.col("at") - 1).cast("long").alias("slot"))
+
+        heavy, limit = heavy_limit(points, leaves)
+        rest = points.filter(F.col("weight") <= limit)
+        placed = _tree(rest, leaves - heavy, rest.agg(F.sum("weight")).first()[0] or 0, scratch) if heavy < leaves else []
+        nth = F.row_number().over(Window.orderBy(F.desc("weight"), "d1", "d2"))  # fewer rows than shards
+        own = points.filter(F.col("weight") > limit).select("d1", "d2", (F.lit(leaves) - nth).cast("int").alias("shard"))
+        for part in placed:
+            own = own.unionByName(part)
+        # `salt` deals even equal rows to different buckets; it is drawn once, as the table is written
+        rows = scratch.written(slim.join(own, ["d1", "d2"]).select("doc_id", "size", "text_crc32", "shard", F.xxhash64(F.monotonically_increasing_id()).alias("salt")), "shard-placed")
+
+        # Slots: rows are numbered within small buckets of a shard, which begin where the buckets before them end.
+        sizes = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SLOT_ROWS).alias("buckets"))
+        rows = rows.join(sizes, "shard").withColumn("bucket", F.pmod("salt", "buckets"))
+        ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        begins = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begins"))
+        numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "salt")))
+        return written(numbered.join(begins, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("begins") + F.col("at") - 1).cast("long").alias("slot")), "shards")
