@@ -5,11 +5,13 @@ filter needs, so no n-gram is missed). Bytes are embedded, convolved with filter
 max-pooled over the window, and a softmax layer gives the languages. A text's prediction is the mean of
 its windows' probabilities, weighted by their letters.
 
-Training uses windows of at most TRAIN_TEXTS labelled texts a language, picked by hash; that bound is the
-only sample. Every byte of every text is scored.
+Training uses distinct labelled texts, taken by hash and each with all its windows: at most TRAIN_TEXTS texts and
+TRAIN_WINDOWS windows a language, for the MOST_LANGUAGES languages with the most rows. These bounds are the only sample
+(a text of more than TRAIN_WINDOWS windows is never in it); every byte of every text is scored.
 
-Defined cases: null text, or text without a letter, gives `und` with score 0; a table without labels
-learns nothing and gives `und` throughout; repeated rows get equal results.
+Defined cases: null text, or text without a letter, gives `und` with score 0; texts of any length are scored whole; of equally
+likely languages the first in alphabetical order wins; a table without labels, or without rows, learns nothing and gives `und`
+throughout; repeated rows get equal results; columns that aren't in `keep`, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -18,15 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, chunks, record, ship, text_of
 
 WINDOW = 192
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
-#: Labelled texts a language, windows a text, and passes over them.
-TRAIN_TEXTS, TEXT_WINDOWS, EPOCHS = 400, 4, 6
+#: Labelled texts and their windows a language, languages, and passes over the windows.
+TRAIN_TEXTS, TRAIN_WINDOWS, MOST_LANGUAGES, EPOCHS = 400, 3000, 200, 4
 UNKNOWN = "und"
 
 _SPAN = WINDOW + max(WIDTHS) - 1
@@ -132,44 +134,39 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return found
 
 
-def fit(docs: DataFrame, usable: Column, texts: int = TRAIN_TEXTS) -> ByteCNN:
+def fit(docs: DataFrame, usable: Column, texts: int = TRAIN_TEXTS, most_windows: int = TRAIN_WINDOWS) -> ByteCNN:
     """Train on rows where `usable` holds and lang isn't null."""
     ship(docs.sparkSession)
-    labelled = text_of(docs, F.col("doc_id").alias("doc_id"), F.col("lang").cast("string").alias("lang"), usable.alias("usable")).filter("usable and lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = text_of(docs, F.col("lang").cast("string").alias("lang"), usable.alias("usable")).filter("usable and lang is not null and octet_length(text) > 0")
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     labels = sorted(counts)
     if not labels:
         return ByteCNN([UNKNOWN])
-    # twice the bound by hash, then the first of them: a bounded sample without a sort of all rows
+    # ten times the bound by hash, then distinct texts in the order of their hash: a bounded sample without a sort of all rows
     share = F.lit(None)
     for name, n in counts.items():
-        share = F.when(F.col("lang") == name, min(1.0, 2 * texts / n)).otherwise(share)
-    picked = labelled.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))).filter(F.col("h") < share * (1 << 30))
+        share = F.when(F.col("lang") == name, min(1.0, 10 * texts / n)).otherwise(share)
+    near = labelled.withColumns({"h": F.xxhash64("text"), "size": F.ceil(F.octet_length("text") / WINDOW)})
+    near = near.filter((F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)) & (F.col("size") <= most_windows)).groupBy("lang", "h").agg(F.min("size").alias("size"))
+    by = Window.partitionBy("lang").orderBy("h")
+    near = near.withColumns({"nth": F.row_number().over(by), "windows": F.sum("size").over(by)})
+    picked = near.filter((F.col("nth") <= texts) & (F.col("windows") <= most_windows)).select("lang", "h")
     schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("rows", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
             w, text = windows(data, off)
-            out = []
-            for i in range(rows.num_rows):
-                own = np.flatnonzero(text == i)
-                if len(own):
-                    out.append(w[own[np.linspace(0, len(own) - 1, min(TEXT_WINDOWS, len(own))).astype(int)]].tobytes())
-                else:
-                    out.append(b"")
-            yield record(schema, rows.column("lang"), rows.column("h"), out)
-
-    got = sorted(picked.mapInArrow(cut, "lang string, h long, rows binary").collect(), key=lambda r: (r["lang"], r["h"], r["rows"]))
-    x, y, taken = [], [], dict.fromkeys(labels, 0)
-    for r in got:
-        if taken[r["lang"]] < texts and r["rows"]:
-            taken[r["lang"]] += 1
-            w = np.frombuffer(r["rows"], np.uint8).reshape(-1, _SPAN)
-            x.append(w)
-            y += [labels.index(r["lang"])] * len(w)
+            first = np.searchsorted(text, np.arange(len(off)))
+            yield record(schema, rows.column("lang"), rows.column("h"), [w[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)])
+
+    whole = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "h"])  # at most MOST_LANGUAGES * TRAIN_TEXTS rows
+    whole = whole.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = whole.mapInArrow(cut, "lang string, h long, rows binary").orderBy("lang", "h").collect()
+    x = [np.frombuffer(r["rows"], np.uint8).reshape(-1, _SPAN) for r in got]
+    y = np.repeat([labels.index(r["lang"]) for r in got], [len(w) for w in x])
     model = ByteCNN(labels)
     if x:
-        model.train(np.concatenate(x), np.array(y))
+        model.train(np.concatenate(x), y)
     return model
 
 

@@ -1,17 +1,19 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as a hashed word embedding, as the mean of its hashed character-trigram embeddings, and with the log odds of
-its texts' labels in training. Two gated recurrent layers read a window of words forward and backward, attention pools
+A word enters as three learned embeddings: of the hashed word, of its hashed first HEAD bytes, and the mean of those of its
+character trigrams. Two gated recurrent layers read a window of words forward and backward, attention pools
 their states, and a logistic unit gives the window's score. All windows of WINDOW words, each STRIDE after the one
 before, are scored; a text's score is that of its worst window.
 
 Labels say which texts are toxic, not where. So training alternates: score all windows of the training texts, take each
-text's worst window (at first the one with the highest log odds), and fit the network on those and on one random window of
-each clean text. It uses at most TRAIN_ROWS labelled rows, picked by hash, each with its whole text. Tasks count their words
-and score their windows; only the odds of words in ODDS_TEXTS texts and two windows a text reach the driver.
-
-Defined cases: null or empty texts, and texts without words, are one window of no words, scored like any other; without
-training rows every score is 0; repeated rows get equal scores.
+text's worst window (twice if the text is toxic, else with one by chance), and fit the network on those. The first WARM_EPOCHS
+take WARM_WINDOWS windows of each text by chance. At most TRAIN_ROWS labelled rows are used, picked by hash, each with its
+whole text. Tasks score their windows; only those few windows a text reach the driver.
+
+Defined cases: null or empty texts, and texts without words, are one window of no words, scored like any other; texts of any
+length are scored whole; of windows with equal scores training takes the first; without training rows (an empty table has none)
+every score is 0; a doc_id labelled more than once is toxic if any of its labels is; repeated rows get equal scores; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, as_long, chunks, mix, owner, record, ship, text_of, word_hashes, word_spans
+from .common import LOWER, Scratch, chunks, mix, record, ship, text_of, word_hashes, word_spans
 
-WINDOW, STRIDE = 32, 16
-WORDS, WORD_SIZE, TRIGRAMS, TRIGRAM_SIZE, HIDDEN = 1 << 12, 8, 1 << 10, 8, 8
-TRAIN_ROWS, EPOCHS = 4000, 6
-#: Texts that a word must be in before its log odds count.
-ODDS_TEXTS = 5
+WINDOW, STRIDE = 48, 24
+WORDS, WORD_SIZE, HEADS, HEAD_SIZE, TRIGRAMS, TRIGRAM_SIZE, HIDDEN = 1 << 13, 8, 1 << 13, 8, 1 << 10, 8, 8
+#: Bytes of a word that its head has.
+HEAD = 6
+TRAIN_ROWS, EPOCHS = 4000, 8
+#: The first epochs take windows by chance: so many of each text.
+WARM_EPOCHS, WARM_WINDOWS = 2, 3
+#: Batches that an epoch has at least: a few windows are gone through more often.
+LEAST_BATCHES = 60
 
-_INPUT = WORD_SIZE + TRIGRAM_SIZE + 1
+_INPUT = WORD_SIZE + HEAD_SIZE + TRIGRAM_SIZE
 _STRIP = np.ones(256, bool)  # bytes of a word proper: letters, digits, beyond ASCII
 _STRIP[:128] = False
 for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
@@ -54,6 +60,8 @@ class Vocabulary:
         h, one, self.word = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         self.hash = h
         size = (ends - starts)[one]
+        letter = np.concatenate([data, np.zeros(HEAD, np.uint8)])[starts[one][:, None] + np.arange(HEAD)]
+        self.head = mix((np.where(np.arange(HEAD) < size[:, None], letter, 0).astype(np.uint64) << np.arange(0, 8 * HEAD, 8, dtype=np.uint64)).sum(1, dtype=np.uint64))
         begin = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(starts[one] - begin[:-1], size) + np.arange(begin[-1])
         padded = np.concatenate([[0], data, [0]]).astype(np.int64)
@@ -84,19 +92,12 @@ class BiGRU:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         g = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
-        self.p = {"word": g(WORDS, WORD_SIZE, s=0.1), "trigram": g(TRIGRAMS, TRIGRAM_SIZE, s=0.1)}
+        self.p = {"word": g(WORDS, WORD_SIZE, s=0.1), "head": g(HEADS, HEAD_SIZE, s=0.1), "trigram": g(TRIGRAMS, TRIGRAM_SIZE, s=0.1)}
         for d in "fb":
             self.p |= {f"{d}w": g(_INPUT, 3 * HIDDEN, s=_INPUT**-0.5), f"{d}u": g(HIDDEN, 3 * HIDDEN, s=HIDDEN**-0.5), f"{d}c": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"att": g(2 * HIDDEN, 2 * HIDDEN, s=0.3), "query": g(2 * HIDDEN, s=0.3), "out": g(2 * HIDDEN, s=0.3), "bias": np.zeros(1, np.float32)}
-        self.odds_hash, self.odds = np.zeros(0, np.uint64), np.zeros(0, np.float32)
         self.trained = False
 
-    def log_odds(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.odds_hash):
-            return np.zeros(len(h), np.float32)
-        at = np.searchsorted(self.odds_hash, h).clip(max=len(self.odds_hash) - 1)
-        return np.where(self.odds_hash[at] == h, self.odds[at], 0).astype(np.float32)
-
     def inputs(self, v: Vocabulary) -> np.ndarray:
         """A row for each distinct word, and a zero row for padding."""
         out = np.zeros((len(v.hash) + 1, _INPUT), np.float32)
@@ -105,8 +106,8 @@ class BiGRU:
             out[:n, :WORD_SIZE] = self.p["word"][v.hash % np.uint64(WORDS)]
             size = np.diff(v.trigram_first)
             total = np.add.reduceat(self.p["trigram"][v.trigram], v.trigram_first[:-1])
-            out[:n, WORD_SIZE:-1] = total / size[:, None]
-            out[:n, -1] = self.log_odds(v.hash)
+            out[:n, WORD_SIZE : WORD_SIZE + HEAD_SIZE] = self.p["head"][v.head % np.uint64(HEADS)]
+            out[:n, WORD_SIZE + HEAD_SIZE :] = total / size[:, None]
         return out
 
     def _read(self, d: str, projected: np.ndarray, ids: np.ndarray, hold: list | None = None) -> np.ndarray:
@@ -176,40 +177,38 @@ class BiGRU:
             g[f"{side}u"], g[f"{side}w"], g[f"{side}c"] = gu, rows.T @ gx, gx.sum(0)
             drows += gx @ w.T
         used = np.flatnonzero(drows[:-1].any(1))
-        g["word"], g["trigram"] = np.zeros_like(p["word"]), np.zeros_like(p["trigram"])
+        for name in ("word", "head", "trigram"):
+            g[name] = np.zeros_like(p[name])
         np.add.at(g["word"], (v.hash[used] % np.uint64(WORDS)).astype(np.int64), drows[used, :WORD_SIZE])
+        np.add.at(g["head"], (v.head[used] % np.uint64(HEADS)).astype(np.int64), drows[used, WORD_SIZE : WORD_SIZE + HEAD_SIZE])
         size = np.diff(v.trigram_first)[used]
         at = np.repeat(v.trigram_first[:-1][used] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        np.add.at(g["trigram"], v.trigram[at], np.repeat(drows[used, WORD_SIZE:-1] / size[:, None], size, axis=0))
+        np.add.at(g["trigram"], v.trigram[at], np.repeat(drows[used, WORD_SIZE + HEAD_SIZE :] / size[:, None], size, axis=0))
         return g
 
-    def weigh(self, h: np.ndarray, bad: np.ndarray, good: np.ndarray, toxic: int, clean: int) -> None:
-        """Set log odds of words, from the toxic and clean training texts that each is in and the numbers of all such texts."""
-        odds = (np.clip(np.log((bad + 0.5) / (toxic + 1)) - np.log((good + 0.5) / (clean + 1)), -4, 6) / 2).astype(np.float32)
-        seen = np.argsort(h)
-        seen = seen[odds[seen] != 0]
-        self.odds_hash, self.odds = h[seen], odds[seen]
-        self.p["bias"][0] = np.log((toxic + 1) / (clean + 1))
-
-    def pick(self, data: np.ndarray, off: np.ndarray, key: np.ndarray, epoch: int) -> tuple[list[bytes], list[bytes]]:
-        """The worst window of each whole text (in epoch 0 the one with the highest log odds), and one by chance."""
+    def pick(self, data: np.ndarray, off: np.ndarray, key: np.ndarray, toxic: np.ndarray, epoch: int) -> list[list[bytes]]:
+        """The windows of each whole text that an epoch trains on: some by chance at first, later the worst one, and one by chance if the text is clean."""
         v = Vocabulary(data, off)
         ids, text = v.windows()
         edge = np.searchsorted(text, np.arange(len(off)))
-        score = self.logits(v, ids) if epoch else np.append(self.log_odds(v.hash), np.float32(-9))[ids].max(1)
-        other = (mix(key ^ mix(np.array([epoch + 1], np.uint64))) % np.diff(edge).astype(np.uint64)).astype(np.int64)
-        return [v.spelled(i, int(score[a:b].argmax())) for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False))], [v.spelled(i, int(n)) for i, n in enumerate(other)]
-
-    def train(self, rounds: Iterable[tuple[list[bytes], np.ndarray]], epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> None:
-        """Each round has the windows of an epoch and their labels, and is asked for when the one before is done."""
+        chance = [(mix(key ^ mix(np.array([WARM_WINDOWS * epoch + n + 1], np.uint64))) % np.diff(edge).astype(np.uint64)).astype(np.int64) for n in range(WARM_WINDOWS)]
+        if epoch < WARM_EPOCHS:
+            nth = np.stack(chance, 1)
+        else:
+            score = self.logits(v, ids)
+            worst = np.array([score[a:b].argmax() for a, b in zip(edge, edge[1:], strict=False)], np.int64)
+            nth = np.stack([worst, np.where(toxic == 1, worst, chance[0])], 1)
+        return [[v.spelled(i, int(n)) for n in own] for i, own in enumerate(nth)]
+
+    def train(self, rounds: Iterable[tuple[list[bytes], np.ndarray]], epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, decay: float = 0.6, seed: int = 3) -> None:
+        """Each round has the windows of an epoch and their labels, and is asked for when the one before is done. decay: shared by the windows of an epoch."""
         rng = np.random.default_rng(seed)
         m, s, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         for epoch, (windows, target) in enumerate(rounds):
             v = Vocabulary(np.frombuffer(b"".join(windows), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in windows])]).astype(np.int64))
             ids, _ = v.windows()
-            order = rng.permutation(len(ids))
-            for lo in range(0, len(order), batch):
-                b = order[lo : lo + batch]
+            passes = -(-LEAST_BATCHES // -(-len(ids) // batch))
+            for b in (x for _ in range(passes) for x in _batches(rng.permutation(len(ids)), batch)):
                 need, local = np.unique(ids[b], return_inverse=True)
                 part = _part(v, need)
                 local = local.reshape(len(b), WINDOW)
@@ -217,7 +216,7 @@ class BiGRU:
                 g = self.gradients(part, self.inputs(part), local, target[b].astype(np.float32))
                 step += 1
                 for k, x in self.p.items():
-                    gk = g[k] + decay * x if k != "bias" else g[k]
+                    gk = g[k] + decay / len(ids) * x if k != "bias" else g[k]
                     m[k] += 0.1 * (gk - m[k])
                     s[k] += 0.001 * (gk * gk - s[k])
                     x -= rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
@@ -237,46 +236,33 @@ class BiGRU:
         return _sigmoid(worst.astype(np.float64))
 
 
+def _batches(order: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    return (order[lo : lo + size] for lo in range(0, len(order), size))
+
+
 def _part(v: Vocabulary, words: np.ndarray) -> Vocabulary:
     """The vocabulary of these words only (padding left out)."""
     words = words[words < len(v.hash)]
     out = Vocabulary.__new__(Vocabulary)
     size = np.diff(v.trigram_first)[words]
-    out.hash = v.hash[words]
+    out.hash, out.head = v.hash[words], v.head[words]
     out.trigram_first = np.concatenate([[0], np.cumsum(size)])
     out.trigram = v.trigram[np.repeat(v.trigram_first[:-1][words] - out.trigram_first[:-1], size) + np.arange(size.sum())]
     return out
 
 
-def word_labels(texts: DataFrame) -> DataFrame:
-    """Words in at least ODDS_TEXTS of the texts (text, toxic): h, and the toxic (bad) and clean (good) texts that they are in."""
-    schema = pa.schema([("h", pa.int64()), ("bad", pa.int64()), ("good", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in chunks(batches):
-            v, toxic = Vocabulary(data, off), np.asarray(rows.column("toxic"))
-            pairs = np.unique(v.word * rows.num_rows + owner(v.first))
-            word, label = pairs // rows.num_rows, toxic[pairs % rows.num_rows]
-            yield record(schema, as_long(v.hash), *[np.bincount(word, x, len(v.hash)).astype(np.int64) for x in (label, 1 - label)])
-
-    counts = texts.mapInArrow(run, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    return counts.filter(F.col("bad") + F.col("good") >= ODDS_TEXTS)
-
-
 def windows_of(texts: DataFrame, model: BiGRU, epoch: int) -> tuple[list[bytes], np.ndarray]:
-    """What an epoch trains on: the worst window of each text and a random one of each clean text, with their labels."""
-    schema = pa.schema([("key", pa.int64()), ("toxic", pa.int32()), ("worst", pa.binary()), ("other", pa.binary())])
+    """What an epoch trains on: a few windows of each text (key, toxic, text) and its label for each of them."""
+    schema = pa.schema([("key", pa.int64()), ("toxic", pa.int32()), ("windows", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
-            key = np.asarray(rows.column("key"))
-            worst, other = model.pick(data, off, key.view(np.uint64), epoch)
-            yield record(schema, rows.column("key"), rows.column("toxic"), pa.array(worst, pa.binary()), pa.array(other, pa.binary()))
+            key, toxic = np.asarray(rows.column("key")), np.asarray(rows.column("toxic"))
+            yield record(schema, rows.column("key"), rows.column("toxic"), pa.array(model.pick(data, off, key.view(np.uint64), toxic, epoch), pa.list_(pa.binary())))
 
-    got = texts.mapInArrow(run, "key long, toxic int, worst binary, other binary").toArrow().sort_by("key")  # two windows of at most TRAIN_ROWS texts
-    toxic = got.column("toxic").to_numpy()
-    other = got.filter(pa.array(toxic == 0)).column("other").to_pylist()
-    return got.column("worst").to_pylist() + other, np.concatenate([toxic, np.zeros(len(other))])
+    got = texts.mapInArrow(run, "key long, toxic int, windows array<binary>").toArrow().sort_by("key")  # WARM_WINDOWS windows of at most TRAIN_ROWS texts
+    windows = got.column("windows").to_pylist()
+    return [w for own in windows for w in own], np.repeat(got.column("toxic").to_numpy(), [len(own) for own in windows])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> BiGRU:
@@ -295,8 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_RO
             texts = texts.filter(F.col("key") <= last)
         n, toxic = texts.agg(F.count(F.lit(1)), F.sum("toxic")).first()
         if n:
-            odds = word_labels(texts).toArrow()
-            model.weigh(odds.column("h").to_numpy().view(np.uint64), odds.column("bad").to_numpy(), odds.column("good").to_numpy(), toxic, n - toxic)
+            model.p["bias"][0] = np.log((toxic + 1) / (n - toxic + 1))
             model.train(windows_of(texts, model, epoch) for epoch in range(EPOCHS))
     return model
 
