@@ -1,4 +1,4 @@
-"""Shipping the package to executors whose Python path doesn't have it."""
+"""Shipping the package to executors whose Python path doesn't have it, and the folder for checkpoints."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_engine(spark: SparkSession) -> None:
@@ -24,3 +24,14 @@ def ship_engine(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, os.path.dirname(top)))
     sc.addPyFile(archive)
     sc._quarrylight_engine = True
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in spark.checkpoint.dir. Where that is unset and all runs on one machine, in a folder of our own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-quarrylight-"))
+    return df.checkpoint()

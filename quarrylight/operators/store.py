@@ -12,6 +12,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..deploy import checkpointed
 from ..functions.fields import STATUSES, storage_time
 
 PAGE, MOST = 100, 1000
@@ -95,14 +96,28 @@ def kept_events(events: DataFrame, now: datetime, retention: timedelta) -> DataF
     return events.filter(F.col("timestamp") >= F.lit(now - retention))
 
 
+#: A partition's rows are numbered in the low bits of what Spark calls monotonically increasing ids.
+_ROW_BITS = 33
+
+
 def with_ids(events: DataFrame, after: int = 0, order: Sequence[str] = ("timestamp",)) -> DataFrame:
-    """Ids after + 1, after + 2, ... in the given order, without a sort on one task: ranges are numbered each for themselves, then shifted."""
+    """Ids after + 1, after + 2, ... in the given order, without a sort on one task.
+
+    Rows are dealt to ranges, sorted and numbered there; the numbered rows are kept as a checkpoint, from which both the sizes of
+    the ranges and the ids are read, so that they can't differ. Rows that are equal in the order follow a hash of all they hold.
+    """
+    payload = [c for c in events.columns if c != "id"]
+    kinds = dict(events.dtypes)
+    tie = F.xxhash64(*[F.to_json(F.struct(c)) if "map" in kinds[c] else F.col(c) for c in payload])
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = events.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").count()
-    begins = counts.select("__p", (F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__b"))  # a row a partition
-    numbered = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    return numbered.join(F.broadcast(begins), "__p").withColumn("id", F.col("__b") + F.col("__n") + after).select("id", *[c for c in events.columns if c != "id"])
+    keys = [*order, "__tie"]
+    ranged = events.select(*payload).withColumn("__tie", tie).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = checkpointed(ranged.withColumn("__row", F.monotonically_increasing_id()).drop("__tie"))
+    part, nth = F.shiftright("__row", _ROW_BITS), F.col("__row").bitwiseAND((1 << _ROW_BITS) - 1)
+    sizes = ranged.groupBy(part.alias("__part")).agg((F.max(nth) + 1).alias("n"))
+    begins = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__begins"))  # a row a partition
+    numbered = ranged.withColumn("__part", part).join(F.broadcast(begins), "__part")
+    return numbered.select((F.lit(after) + F.col("__begins") + nth + 1).alias("id"), *payload)
 
 
 def write_events(events: DataFrame, path: str) -> None:
