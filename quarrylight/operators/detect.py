@@ -1,23 +1,29 @@
 """Detection over a table of events, in (timestamp, id) order: match, threshold, distinct and sequence rules.
 
-One scan compiles all rules into an array of the rules that an event concerns; exploding it gives slim hit rows. Counts are
-window frames over (rule, group, time slice): frames only look one window back, so a group's rows are cut into slices of
-SLICE windows, each with the rows of one window before it, and a group that holds a third of all events spreads over
-many tasks. Rows whose frame reaches the threshold are candidates. Suppression keeps a candidate if the last kept one of its
-group is at least a window older; it streams over sorted candidates and keeps one number a group.
-
-Clearing the hits when a rule fires needs no work in timestamp order: hits up to the last fire are out of the window by
-the time the rule may fire again.
+One scan compiles all rules into an array of the rules that an event concerns; exploding it gives slim hit rows. These are dealt
+by (rule, group, time slice), so that a group which holds a third of all events spreads over many tasks: a slice is SLICE windows
+long, and has the rows of the window before it as halo. A fold over a slice's sorted rows keeps the hits of one window
+(at most MOST_HITS, as the rules' memory is bounded) and finds the candidates: rows at which the count reaches the threshold.
+
+A candidate fires if the last fire of its group is at least a window older. Which candidates of a slice fire depends on the slice
+before only by the first of them. So it takes three steps:
+
+1. Each slice tells, for every candidate that may be its first fire, what its last fire would be. Fires from different starts
+   soon fall together, and one pass follows all of them.
+2. These few rows are read in time order group by group, which picks each slice's first fire.
+3. Each slice is folded again from its first fire on, and gives the fires with their counts and event ids.
+
+Step 3 reads the shuffled rows of step 1. Clearing the hits when a rule fires needs no work in timestamp order: hits up to the
+last fire are out of the window by the time the rule may fire again.
 """
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator
-from functools import reduce
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import field_ref
@@ -26,11 +32,13 @@ from ..plans.rules import Rule
 
 MOST_HITS = 10_000
 ALERT_IDS = 50
+#: Windows of a slice.
 SLICE = 64
+#: Rows that a fold gives to Spark at a time.
+OUT_ROWS = 10_000
 
-
-def _micros(c: Column) -> Column:
-    return F.unix_micros(c)
+_FIRE = "rule int, grp string, ts bigint, id bigint, ev array<string>, n int, since bigint, ids array<bigint>"
+_ALERT = "rule_id string, rule_name string, severity string, group_key string, count int, description string, first_seen timestamp, last_seen timestamp, event_ids array<bigint>, status string"
 
 
 def _hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -46,112 +54,205 @@ def _hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
         values = [field_ref(f).value for f in rule.event_fields()]
         entry = F.struct(F.lit(n).alias("rule"), grp.alias("grp"), first.alias("first"), then.alias("then"), (field_ref(rule.distinct).value if rule.distinct else F.lit("")).alias("val"), (F.array(*values) if values else F.array().cast("array<string>")).alias("ev"))
         entries.append(F.when(wanted, entry))
-    found = events.select(_micros(F.col("timestamp")).alias("ts"), "id", F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("h"))
+    found = events.select(F.unix_micros("timestamp").alias("ts"), "id", F.explode(F.array(*entries)).alias("h")).filter("h is not null")
     return found.select("h.*", "ts", "id")
 
 
-def _sliced(hits: DataFrame, window: int) -> DataFrame:
-    """Rows with their time slice; those less than a window before the next slice are in it too, as halo."""
-    span = SLICE * window
+def _of_rule(values: list, rule: Column) -> Column:
+    """The value of each rule, by its number."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), rule + 1)
+
+
+def _sliced(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Hits dealt by rule, group and time slice; those less than a window before the next slice are in it too, as halo."""
+    rule = F.col("rule")
+    window = _of_rule([r.window for r in rules], rule).cast("long")
+    span = window * SLICE
     own = F.floor(F.col("ts") / span)
-    both = F.when(F.col("ts") > (own + 1) * span - window, F.array(own, own + 1)).otherwise(F.array(own))
-    out = hits.withColumn("slice", F.explode(both))
-    return out.withColumn("halo", F.col("slice") != own)
-
-
-def _counted(hits: DataFrame, window: int, distinct: bool, sequence: bool) -> DataFrame:
-    """Hits with n (hits or values in the window), since (oldest of them) and ids (last of them)."""
-    by = Window.partitionBy("rule", "grp", "slice")
-    order = by.orderBy("ts", "id")
-    is_hit = F.col("first") if sequence else F.lit(True)
-    count = lambda c, w: F.coalesce(F.sum(c.cast("long")).over(w), F.lit(0))
-    until = -1 if sequence else 0  # a sequence counts the hits before the event
-    so_far = count(is_hit, order.rowsBetween(Window.unboundedPreceding, until))
-    gone = count(is_hit, by.orderBy("ts").rangeBetween(Window.unboundedPreceding, -window))
-    row = F.struct("ts", "id", "val")
-    kept = F.collect_list(F.when(is_hit, row)).over(by.orderBy("ts").rangeBetween(-(window - 1), Window.currentRow))
-    out = _sliced(hits, window).withColumn("n", F.least(so_far - gone, F.lit(MOST_HITS)))
-    if distinct:
-        # frames by time hold later rows of equal time, which the event hasn't seen
-        seen = F.filter(kept, lambda x: (x["ts"] < F.col("ts")) | (x["id"] <= F.col("id")))
-        seen = F.slice(F.array_sort(seen), F.greatest(F.size(seen) - MOST_HITS + 1, F.lit(1)), MOST_HITS)
-        return out.withColumn("seen", seen).withColumn("n", F.size(F.array_distinct(F.col("seen.val"))).cast("long"))
-    return out
-
-
-def _threshold(hits: DataFrame, rules: list[Rule], window: int, distinct: bool, sequence: bool) -> DataFrame:
-    """Candidates of rules with one window: rule, grp, ts, id, ev, n, since, ids."""
-    by = Window.partitionBy("rule", "grp", "slice")
-    order = by.orderBy("ts", "id")
-    counted = _counted(hits, window, distinct, sequence)
-    least = F.element_at(F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (n, r.threshold)]), F.col("rule"))
-    if distinct:
-        found = counted.filter(~F.col("halo") & (F.col("n") >= least))
-        since, ids = F.col("seen")[0]["ts"], F.col("seen.id")
-    else:
-        # hits are numbered in their slice; those of the window are the last n numbers
-        is_hit = F.col("first") if sequence else F.lit(True)
-        if sequence:
-            recent = F.collect_list(F.when(is_hit, F.struct("ts", "id"))).over(by.orderBy("ts").rangeBetween(-(window - 1), Window.currentRow))
-            recent = F.array_sort(F.filter(recent, lambda x: (x["ts"] < F.col("ts")) | (x["id"] < F.col("id"))))
+    near = (F.col("ts") > (own + 1) * span - window) & _of_rule([r.kind != "match" for r in rules], rule)
+    out = hits.withColumn("own", own).withColumn("slice", F.explode(F.when(near, F.array(own, own + 1)).otherwise(F.array(own))))
+    return out.withColumn("halo", F.col("slice") != F.col("own")).drop("own").repartition("rule", "grp", "slice")
+
+
+class Hits:
+    """What a rule remembers of one group: the hits of its window, oldest first."""
+
+    def __init__(self, rule: Rule):
+        self.rule, self.hits, self.values = rule, deque(), Counter()
+
+    def _add(self, ts: int, event: int, val: str) -> None:
+        self.hits.append((ts, event, val))
+        if self.rule.distinct:
+            self.values[val] += 1
+        if len(self.hits) > MOST_HITS:
+            self._drop()
+
+    def _drop(self) -> None:
+        val = self.hits.popleft()[2]
+        if self.rule.distinct:
+            self.values[val] -= 1
+            if not self.values[val]:
+                del self.values[val]
+
+    def see(self, ts: int, event: int, first: bool, then: bool, val: str) -> int:
+        """The count if the rule may fire at this event, else 0. A sequence counts the hits before the event."""
+        rule = self.rule
+        if rule.kind == "match":
+            return 1
+        while self.hits and self.hits[0][0] <= ts - rule.window:
+            self._drop()
+        if rule.kind == "sequence":
+            n = len(self.hits) if then else 0
         else:
-            recent = F.collect_list(F.struct("ts", "id")).over(order.rowsBetween(1 - ALERT_IDS, 0))
-        oldest = F.min(F.when(is_hit, F.col("ts"))).over(by.orderBy("ts").rangeBetween(-(window - 1), Window.currentRow))
-        found = counted.withColumns({"oldest": oldest, "recent": recent}).filter(~F.col("halo") & (F.col("n") >= least))
-        since, ids = F.col("oldest"), F.col("recent.id")
-        ids = F.slice(ids, F.greatest(F.size(ids) - F.col("n").cast("int") + 1, F.lit(1)), MOST_HITS)
-    if sequence:
-        found = found.filter("then")
-    ids = F.slice(ids, F.greatest(F.size(ids) - ALERT_IDS + 1, F.lit(1)), ALERT_IDS)
-    if sequence:
-        ids = F.concat(ids, F.array("id"))
-    return found.select("rule", "grp", "ts", "id", "ev", F.col("n").cast("int").alias("n"), since.alias("since"), ids.alias("ids"))
-
-
-def suppressed(candidates: DataFrame, window_of: Column) -> DataFrame:
-    """Candidates (rule, grp, ts, id, ...) at least `window_of` microseconds after the last kept one of their rule and group."""
-    rows = candidates.withColumn("__w", window_of.cast("long")).repartition("rule", "grp").sortWithinPartitions("rule", "grp", "ts", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, free = None, 0
-        for batch in batches:
-            rule, grp = batch.column("rule").to_numpy(), batch.column("grp").to_pylist()
-            ts, w = batch.column("ts").to_numpy(), batch.column("__w").to_numpy()
-            keep = np.zeros(len(ts), bool)
-            for i, now in enumerate(zip(rule.tolist(), grp, strict=True)):
-                if now != key:
-                    key, free = now, None
-                if free is None or ts[i] >= free:
-                    keep[i] = True
-                    free = ts[i] + w[i]
-            yield batch.filter(pa.array(keep))
-
-    return rows.mapInArrow(run, rows.schema).drop("__w")
+            self._add(ts, event, val)
+            n = len(self.values) if rule.distinct else len(self.hits)
+        return n if n >= rule.threshold else 0
+
+    def seen(self, ts: int, event: int, first: bool, val: str) -> None:
+        """The event is over: it may be a hit of a sequence."""
+        if first and self.rule.kind == "sequence":
+            self._add(ts, event, val)
+
+    def told(self, ts: int, event: int) -> tuple[int, list[int]]:
+        """Time of the oldest hit and event ids of an alert at this event."""
+        if self.rule.kind == "match":
+            return ts, [event]
+        ids = [h[1] for h in list(self.hits)[-ALERT_IDS:]] if len(self.hits) <= 2 * ALERT_IDS else [self.hits[i][1] for i in range(-ALERT_IDS, 0)]
+        return self.hits[0][0], ids + [event] * (self.rule.kind == "sequence")
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], rules: list[Rule]) -> Iterator[tuple]:
+    """(new, rule, grp, slice, ts, id, n, hits, batch, row) of the first candidate at each time of a slice; `new`: of another slice than the last one."""
+    key, hits, last, fresh = None, None, None, True
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("rule", "grp", "slice", "ts", "id", "first", "then", "val", "halo")]
+        for row, (rule, grp, slice_, ts, event, first, then, val, halo) in enumerate(zip(*columns, strict=True)):
+            if key != (rule, grp, slice_):
+                key, hits, last, fresh = (rule, grp, slice_), Hits(rules[rule]), None, True
+            n = hits.see(ts, event, first, then, val)
+            if n and not halo and ts != last:
+                yield fresh, rule, grp, slice_, ts, event, n, hits, batch, row
+                last, fresh = ts, False
+            hits.seen(ts, event, first, val)
+
+
+class Chains:
+    """Fires of one slice from every possible first one. Chains that meet are one from then on."""
+
+    def __init__(self, begin: int, window: int):
+        self.window, self.early, self.late = window, begin + window, False
+        self.entries: list[int] = []
+        self.groups: deque[tuple[int, list[int]]] = deque()  # last fire of some chains, and the entries that they began with
+
+    def step(self, ts: int) -> None:
+        members: list[int] = []
+        while self.groups and self.groups[0][0] + self.window <= ts:
+            more = self.groups.popleft()[1]
+            if len(more) > len(members):
+                members, more = more, members
+            members += more
+        if ts < self.early or not self.late:
+            # a fire of the slice before ends its quiet in this slice's first window, or before
+            self.late = ts >= self.early
+            members.append(len(self.entries))
+            self.entries.append(ts)
+        if members:
+            self.groups.append((ts, members))
+
+    def ends(self) -> Iterator[tuple[int, int]]:
+        last = dict.fromkeys(range(len(self.entries)), 0)
+        for ts, members in self.groups:
+            for m in members:
+                last[m] = ts
+        return zip(self.entries, last.values(), strict=True)
+
+
+def _outputs(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= OUT_ROWS:
+            yield _batch(held, schema)
+            held = []
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+_KEY = [("rule", pa.int32()), ("grp", pa.string())]
+
+
+def suppressed(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The fires among the hits of rules with a window: rule, grp, ts, id, ev, n, since, ids."""
+    sliced = _sliced(hits, rules)
+    order = ["rule", "grp", "slice", "ts", "id"]
+    entry_schema = pa.schema([*_KEY, ("slice", pa.int64()), ("entry", pa.int64()), ("last", pa.int64())])
+    pick_schema = pa.schema([*_KEY, ("slice", pa.int64()), ("entry", pa.int64())])
+    fire_schema = pa.schema([*_KEY, ("ts", pa.int64()), ("id", pa.int64()), ("ev", pa.list_(pa.string())), ("n", pa.int32()), ("since", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            key, chains = None, None
+            for fresh, rule, grp, slice_, ts, *_ in _candidates(batches, rules):
+                if fresh:
+                    if key:
+                        yield from ((*key, *x) for x in chains.ends())
+                    key, chains = (rule, grp, slice_), Chains(slice_ * SLICE * rules[rule].window, rules[rule].window)
+                chains.step(ts)
+            if key:
+                yield from ((*key, *x) for x in chains.ends())
+
+        return _outputs(rows(), entry_schema)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            group, chosen, free = None, None, None
+            for batch in batches:
+                for rule, grp, slice_, entry, last in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if group != (rule, grp):
+                        group, chosen, free = (rule, grp), None, None
+                    if slice_ != chosen and (free is None or entry >= free):
+                        chosen, free = slice_, last + rules[rule].window
+                        yield rule, grp, slice_, entry
+
+        return _outputs(rows(), pick_schema)
+
+    def fires(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            free = 0
+            some = (b.filter(b.column("entry").is_valid()) for b in batches)  # slices in which nothing fires have no entry
+            for fresh, rule, grp, _, ts, event, n, hits, batch, row in _candidates(some, rules):
+                if fresh:
+                    free = batch.column("entry")[row].as_py()
+                if ts >= free:
+                    free = ts + rules[rule].window
+                    yield (rule, grp, ts, event, batch.column("ev")[row].as_py(), n, *hits.told(ts, event))
+
+        return _outputs(rows(), fire_schema)
+
+    ends = sliced.sortWithinPartitions(*order).mapInArrow(entries, "rule int, grp string, slice long, entry long, last long")
+    first = ends.repartition("rule", "grp").sortWithinPartitions("rule", "grp", "slice", "entry").mapInArrow(pick, "rule int, grp string, slice long, entry long")
+    # a left join, as an inner one would filter its sides and so shuffle the hits a second time
+    return sliced.join(first, ["rule", "grp", "slice"], "left").sortWithinPartitions(*order).mapInArrow(fires, _FIRE)
 
 
 def evaluate(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """All alerts of the rules over the events: rule_id, rule_name, severity, group_key, count, description, first_seen, last_seen, event_ids, status."""
     rules = [r for r in rules if not r.disabled]
     if not rules:
-        return events.sparkSession.createDataFrame([], "rule_id string, rule_name string, severity string, group_key string, count int, description string, first_seen timestamp, last_seen timestamp, event_ids array<bigint>, status string")
-    parts = []
-    kinds = sorted({(r.kind, r.window if r.kind != "match" else 0, bool(r.distinct)) for r in rules})
-    for kind, window, distinct in kinds:
-        own = [r for r in rules if (r.kind, r.window if r.kind != "match" else 0, bool(r.distinct)) == (kind, window, distinct)]
-        hits = _hits(events, own)
-        if kind == "match":
-            found = hits.select("rule", "grp", "ts", "id", "ev", F.lit(1).alias("n"), F.col("ts").alias("since"), F.array("id").alias("ids"))
-        else:
-            found = _threshold(hits, own, window, distinct, kind == "sequence")
-        number = F.element_at(F.create_map(*[F.lit(x) for n, r in enumerate(own) for x in (n, rules.index(r))]), F.col("rule"))
-        parts.append(found.withColumn("rule", number))
-    candidates = reduce(DataFrame.unionByName, parts)
-    window_of = F.element_at(F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (n, r.window)]), F.col("rule"))
-    unlimited = [n for n, r in enumerate(rules) if r.window == 0]
-    fires = suppressed(candidates.filter(~F.col("rule").isin(unlimited)) if unlimited else candidates, window_of)
-    if unlimited:
-        fires = fires.unionByName(candidates.filter(F.col("rule").isin(unlimited)))
-    return alerts_of(fires, rules)
+        return events.sparkSession.createDataFrame([], _ALERT)
+    hits = _hits(events, rules)
+    at_once = [n for n, r in enumerate(rules) if r.window == 0]  # match rules that fire on every event
+    found = None
+    if len(at_once) < len(rules):
+        found = suppressed(hits.filter(~F.col("rule").isin(at_once)) if at_once else hits, rules)
+    if at_once:
+        every = hits.filter(F.col("rule").isin(at_once)).select("rule", "grp", "ts", "id", "ev", F.lit(1).alias("n"), F.col("ts").alias("since"), F.array("id").alias("ids"))
+        found = every if found is None else found.unionByName(every)
+    return alerts_of(found, rules)
 
 
 def alerts_of(fires: DataFrame, rules: list[Rule]) -> DataFrame:
