@@ -73,7 +73,8 @@ def in_prefix(ip: Column, cidr: str) -> Column:
 def address_bits(addresses: DataFrame) -> DataFrame:
     """(ip, family, bits) of the distinct parseable values of the column `ip`."""
     distinct = addresses.select("ip").filter("ip is not null and ip <> ''").distinct()
-    v4 = distinct.select("ip", F.lit(4).alias("family"), bits_v4(F.col("ip")).alias("bits")).filter("bits is not null")
+    # behind a generator, so that filters on the bits don't repeat their making
+    v4 = distinct.select("ip", F.lit(4).alias("family"), F.explode(F.array(bits_v4(F.col("ip")))).alias("bits")).filter("bits is not null")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -87,8 +88,8 @@ def address_bits(addresses: DataFrame) -> DataFrame:
 
 def routable(bits: Column) -> Column:
     """False for addresses in UNROUTABLE."""
-    out = F.lit(True)
+    inside = {4: F.lit(False), 6: F.lit(False)}
     for cidr in UNROUTABLE:
         family, network = parse_prefix(cidr)
-        out &= ~((F.length(bits) == (32 if family == 4 else 128)) & bits.startswith(network))
-    return out
+        inside[family] |= bits.startswith(network)
+    return F.when(F.length(bits) == 32, ~inside[4]).otherwise(~inside[6])

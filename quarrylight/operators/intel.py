@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import checkpointed
 from ..functions.addresses import address_bits, routable
 
 #: Prefixes below this number are broadcast; more are joined by a shuffle.
@@ -20,13 +21,12 @@ def lookup(addresses: DataFrame, prefixes: DataFrame, public_only: bool = True)
     bits = address_bits(addresses)
     if public_only:
         bits = bits.filter(routable(F.col("bits")))
-    lengths: dict[int, list[int]] = {4: [], 6: []}
-    for r in prefixes.select("family", "len").distinct().collect():  # at most 162 rows
-        lengths[r["family"]].append(r["len"])
-    pick = F.when(F.col("family") == 4, F.array(*[F.lit(n) for n in sorted(lengths[4])]).cast("array<int>")).otherwise(F.array(*[F.lit(n) for n in sorted(lengths[6])]).cast("array<int>"))
+    side = checkpointed(prefixes.select("feed_idx", "feed", "family", "len", "network"))  # parsed once
+    kinds = side.groupBy("family", "len").count().collect()  # at most 162 rows
+    lengths = {family: sorted(r["len"] for r in kinds if r["family"] == family) for family in (4, 6)}
+    pick = F.when(F.col("family") == 4, F.array(*[F.lit(n) for n in lengths[4]]).cast("array<int>")).otherwise(F.array(*[F.lit(n) for n in lengths[6]]).cast("array<int>"))
     pieces = bits.select("ip", "family", "bits", F.explode(pick).alias("len")).withColumn("network", F.expr("substring(bits, 1, len)")).drop("bits")
-    side = prefixes.select("feed_idx", "feed", "family", "len", "network")
-    if side.limit(BROADCAST_PREFIXES + 1).count() <= BROADCAST_PREFIXES:
+    if sum(r["count"] for r in kinds) <= BROADCAST_PREFIXES:
         side = F.broadcast(side)
     found = pieces.join(side, ["family", "len", "network"]).select("ip", "feed_idx", "feed").distinct()
     named = found.groupBy("ip").agg(F.array_sort(F.collect_list(F.struct("feed_idx", "feed"))).alias("f"))
