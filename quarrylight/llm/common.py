@@ -6,10 +6,8 @@ words, hashes and n-grams of thousands of documents come from a few array operat
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship_engine
+
 #: Bytes of text that one round of numpy operations takes; a longer text makes a round of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -44,19 +44,7 @@ def ship(spark: SparkSession) -> None:
     # texts are long: smaller batches bound what a worker and its executor hold
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if getattr(sc, "_quarrylight_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(), "quarrylight.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
-    sc.addPyFile(archive)
-    sc._quarrylight_shipped = True
+    ship_engine(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -88,13 +88,13 @@ def _refined(points: DataFrame, searches: DataFrame, tolerance: float) -> DataFr
 
 
 def _tree(points: DataFrame, leaves: int, total: int, scratch: Scratch) -> list[DataFrame]:
-    """Tables of d1, d2, shard, which together hold the points. Each level is written out: the next one reads it, and a lost executor costs one level."""
+    """Tables of d1, d2, shard, which together hold the points (all in cell 0). Each level is written out: the next one reads it, and a lost executor costs one level."""
     if not total:
         return []
     ends = points.agg(*[f(F.shiftright(k, TIE_BITS)) for k in _KEYS for f in (F.max, F.min)]).first()
     scale = [max(1, (ends[2 * i] or 0) - (ends[2 * i + 1] or 0)) for i in range(len(_KEYS))]
-    cells = points.sparkSession.range(1).select(F.lit(0).cast("long").alias("cell"), F.lit(0).alias("first"), F.lit(leaves).alias("n"))
-    open_points, done, most = points.withColumn("cell", F.lit(0).cast("long")), [], leaves
+    cells = points.select("cell").limit(1).select("cell", F.lit(0).alias("first"), F.lit(leaves).alias("n"))
+    open_points, done, most = points, [], leaves
     while most > 1:
         searches, cuts = _searches(open_points, cells, scale), None
         while True:
@@ -135,7 +135,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         coordinates = [category("source"), category("lang"), (F.log2(F.min("size")) * 2048).cast("long")]
         points = slim.groupBy("d1", "d2").agg(F.sum("size").alias("weight"), *[F.least(c, F.lit(most)).alias(f"c{i}") for i, c in enumerate(coordinates)])
         tie = F.pmod(F.xxhash64("d1", "d2"), F.lit(2**TIE_BITS))
-        points = scratch.written(points.select("d1", "d2", "weight", *[(F.col(f"c{i}") * 2**TIE_BITS + tie).alias(k) for i, k in enumerate(_KEYS)]), "shard-points")
+        points = scratch.written(points.select("d1", "d2", "weight", F.lit(0).cast("long").alias("cell"), *[(F.col(f"c{i}") * 2**TIE_BITS + tie).alias(k) for i, k in enumerate(_KEYS)]), "shard-points")
         total = points.agg(F.sum("weight")).first()[0] or 0
         leaves = shards or max(1, math.ceil(total / target_bytes))
 
