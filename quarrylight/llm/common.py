@@ -111,6 +111,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """`text` (a string), and all other columns in the struct `row`, so that no name can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, from `row` and `text`."""
+    return found.select(*[F.col("text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def text_of(docs: DataFrame, *columns: str) -> DataFrame:
     """The needed columns and the whole text; texts are cast to string, all else is left out."""
     return docs.select(*columns, F.col("text").cast("string").alias("text"))

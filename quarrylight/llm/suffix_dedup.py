@@ -12,12 +12,15 @@ Every byte that lies in a string of LENGTH bytes which also starts elsewhere in
 3. The contexts of an anchor hash come together in a task, about CHUNK_PLACES bytes at a time. Each chunk is cut into
    shards; the shards' transforms are merged by interleave refinement (see bwt_merge), whose common prefixes give
    the repeated windows. An anchor hash with more than HOT_CONTEXTS distinct contexts (the edge of a very common passage)
-   would fill one task: its windows are counted by their own hashes instead, a group-by that combines on the map side.
+   would fill one task: its interleave is refined across tasks, a group-by a round, with the places that still share
+   their class and next symbol dealt to finer classes and those alone in theirs left out.
 4. Repeated windows go back to their texts, where the union of their bytes is removed.
 
-Defined cases: a null text counts as empty; texts under LENGTH bytes stay whole; repeated rows are copies of each
-other; removal is judged on the input; an empty table gives an empty result. Texts are told apart by a 64-bit hash
-in the joins.
+Texts are told apart by their SHA-256, and numbered once they are distinct.
+
+Defined cases: a null text counts as empty; texts under LENGTH bytes stay whole; texts of any length take part whole; repeated
+rows are copies of each other; of the rows of a text the one with the smallest doc_id (null first) stands for it; removal is judged on the input; an
+empty table gives an empty result; other columns may have any name and stay as they are.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bwt_merge import repeated_places
-from .common import Scratch, as_long, buffers, chunks, lists, mix, powers, prefix_hash, ship, spans, text_of, written
+from .common import Scratch, as_long, buffers, chunks, lists, mix, packed, powers, prefix_hash, ship, spans, text_of, unpacked, written
 from .jaccard_join import _runs
 
 LENGTH, ANCHOR, DEPTH = 200, 32, 4
@@ -76,24 +79,26 @@ def runs(data: np.ndarray, off: np.ndarray, length: int, anchor: int) -> tuple[n
     return text[first], starts[first], starts[final], gram[a[first]]
 
 
+def _sha(text: str = "text") -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
 def _text_rows(docs: DataFrame, length: int, anchor: int, scratch: Scratch) -> DataFrame:
-    """doc_id, tid (text hash), n_bytes, full (SHA-256 of the text) and anchors of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n_bytes", pa.int64()), ("full", pa.binary()), ("anchors", pa.list_(pa.int64()))])
+    """doc_id, tid (SHA-256 of the text), n_bytes and anchors of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.binary()), ("n_bytes", pa.int64()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
             text, _, _, h = runs(data, off, length, anchor)
-            raw = data.tobytes()
-            full = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(off, off[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tid"), pa.array(np.diff(off)), pa.array(full), lists(as_long(h), np.searchsorted(text, np.arange(len(off))), pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tid"), pa.array(np.diff(off)), lists(as_long(h), np.searchsorted(text, np.arange(len(off))), pa.int64())], schema=schema)
 
-    source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "text")
-    return scratch.written(source.mapInArrow(run, "doc_id long, tid long, n_bytes long, full binary, anchors array<long>"), "text-rows")
+    source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", _sha().alias("tid"), "text")
+    return scratch.written(source.mapInArrow(run, "doc_id long, tid binary, n_bytes long, anchors array<long>"), "text-rows")
 
 
 def _contexts(candidates: DataFrame, length: int, anchor: int) -> DataFrame:
     """A row for each run with a repeated anchor: its text, place and context hashes; the bytes once a batch."""
-    schema = pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("tid", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("context", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("t", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
@@ -111,32 +116,29 @@ def _contexts(candidates: DataFrame, length: int, anchor: int) -> DataFrame:
             once[np.unique(c1, return_index=True)[1]] = True
             raw = data.tobytes()
             bytes_ = pa.array([raw[a:b] if f else None for a, b, f in zip(lo, end, once, strict=True)], pa.binary())
-            tid = rows.column("tid").to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(as_long(c1)), pa.array(as_long(c2)), pa.array(tid), pa.array(lo - off[text]), pa.array((hi - lo + 1).astype(np.int32)), bytes_], schema=schema)
-
-    return candidates.select("tid", "repeated", "text").mapInArrow(run, "h long, c1 long, c2 long, tid long, at long, windows int, context binary")
-
-
-def _counted_windows(whole: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """The same as _repeated_windows for contexts of hot anchors, by counting window hashes."""
-    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("k", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in chunks(batches, CHUNK_PLACES, "context"):
-            n = np.diff(off) - length + 1
-            row = np.repeat(np.arange(len(n)), n)
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at, prefix = off[row] + k, prefix_hash(data)
-            half = at + length // 2
-            w1, w2 = spans(prefix, at, at + length), mix(spans(prefix, at, half) * np.uint64(3) + spans(prefix, half, at + length))
-            c1, c2 = (rows.column(c).to_numpy()[row] for c in ("c1", "c2"))
-            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(k.astype(np.int32)), pa.array(as_long(w1)), pa.array(as_long(w2))], schema=schema)
-
-    windows = scratch.written(whole.select("c1", "c2", "context").mapInArrow(run, "c1 long, c2 long, k int, w1 long, w2 long"), "hot-windows")
-    twice = windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-    found = windows.join(twice, ["w1", "w2"]).select("c1", "c2", F.array("k", "k").alias("pair"))
+            t = rows.column("t").to_numpy()[text]
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(as_long(c1)), pa.array(as_long(c2)), pa.array(t), pa.array(lo - off[text]), pa.array((hi - lo + 1).astype(np.int32)), bytes_], schema=schema)
+
+    return candidates.select("t", "repeated", "text").mapInArrow(run, "h long, c1 long, c2 long, t long, at long, windows int, context binary")
+
+
+def _refined_windows(whole: DataFrame, length: int, depth: int, scratch: Scratch) -> DataFrame:
+    """The same as _repeated_windows for contexts of hot anchors: every round one group-by over all places of all tasks."""
+    step = length // depth
+    whole = scratch.written(whole.select(F.monotonically_increasing_id().alias("c"), "c1", "c2", "copies", "windows", "context"), "hot-contexts")
+    places = whole.select("c", "context", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("k"), F.lit(0).cast("long").alias("class"))
+    for i in range(depth):
+        symbol = F.substring("context", F.col("k") + (1 + i * step), F.lit(step))
+        places = places.select("c", "k", "class", symbol.alias("symbol"))
+        # classes of one place can't hold a repeated window; the others are numbered anew
+        classes = places.groupBy("class", "symbol").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        classes = scratch.written(classes.select("class", "symbol", F.monotonically_increasing_id().alias("next")), "hot-classes")
+        places = scratch.written(places.join(classes, ["class", "symbol"]).select("c", "k", F.col("next").alias("class")), "hot-places")
+        if i + 1 < depth:
+            places = places.join(whole.select("c", "context"), "c")
+    found = places.join(whole.select("c", "c1", "c2"), "c").select("c1", "c2", F.array("k", "k").alias("pair"))
     copied = whole.filter("copies > 1").select("c1", "c2", F.array(F.lit(0), F.col("windows") - 1).alias("pair"))
-    return found.unionByName(copied).groupBy("c1", "c2").agg(F.flatten(F.collect_list("pair")).alias("spans"))
+    return found.unionByName(copied).groupBy("c1", "c2").agg(F.flatten(F.collect_list("pair")).alias("spans"))  # at most the windows of one context
 
 
 def _repeated_windows(contexts: DataFrame, length: int, depth: int, hot_contexts: int, scratch: Scratch) -> DataFrame:
@@ -172,45 +174,44 @@ def _repeated_windows(contexts: DataFrame, length: int, depth: int, hot_contexts
     whole = contexts.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.max("windows").alias("windows"), F.first("context", ignorenulls=True).alias("context"))
     whole = whole.withColumn("size", F.octet_length("context"))
     hot = scratch.written(contexts.select("h", "c1", "c2").distinct().groupBy("h").count().filter(F.col("count") > hot_contexts).select("h"), "hot-anchors")
-    counted = None
+    refined = None
     if hot.limit(1).count():
-        counted = _counted_windows(whole.join(hot, "h", "left_semi"), length, scratch)
+        refined = _refined_windows(whole.join(hot, "h", "left_semi"), length, depth, scratch)
         whole = whole.join(hot, "h", "left_anti")
     merged = whole.select("h", "c1", "c2", "copies", "windows", "context", "size")
     merged = merged.repartition("h").sortWithinPartitions("h").mapInArrow(run, "c1 long, c2 long, spans array<int>")
-    return merged if counted is None else merged.unionByName(counted)
+    return merged if refined is None else merged.unionByName(refined)
 
 
 def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH, hot_contexts: int = HOT_CONTEXTS, *, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, tid, n_bytes, full, copies) and, for distinct texts with repeated windows, (tid, text, spans)."""
+    """The rows (doc_id, tid, n_bytes, copies, t: the text's number) and, for distinct texts with repeated windows, (t, text, spans)."""
     if length % depth or anchor > length:
         raise ValueError("depth must divide length, and anchor be no longer")
     ship(docs.sparkSession)
     rows = _text_rows(docs, length, anchor, scratch)
-    texts = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
-    texts = scratch.written(texts, "texts")
-    anchors = texts.select("tid", F.posexplode("anchors").alias("i", "h"))
+    texts = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id")).alias("rep"), F.first("anchors").alias("anchors"))
+    texts = scratch.written(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
+    anchors = texts.select("t", F.posexplode("anchors").alias("i", "h"))
     total = texts.agg(F.sum(F.size("anchors"))).first()[0] or 0
     twice = scratch.written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
     # hot hashes are few and broadcast, so the join by hash has no hot key
     hot = twice.filter(F.col("n") > max(1000, int(HOT_SHARE * total))).select("h", F.lit(True).alias("hot"))
     marked = anchors.join(F.broadcast(hot), "h", "left")
-    repeated = marked.filter("hot").select("tid", "i").unionByName(marked.filter("hot is null").join(twice.select("h"), "h").select("tid", "i"))
-    repeated = repeated.groupBy("tid").agg(F.collect_list("i").alias("repeated"))
-    repeated = repeated.join(texts.select("tid", F.col("doc_id").alias("rep")), "tid")
-    source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
+    repeated = marked.filter("hot").select("t", "i").unionByName(marked.filter("hot is null").join(twice.select("h"), "h").select("t", "i"))
+    repeated = repeated.groupBy("t").agg(F.collect_list("i").alias("repeated"))
+    repeated = repeated.join(texts.select("t", "tid", F.col("rep.doc_id").alias("rep")), "t")
+    source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tid", _sha())
     # the one row that stands for its text; should that row itself be repeated, one of it
-    candidates = source.join(repeated, (source["tid"] == repeated["tid"]) & source["doc_id"].eqNullSafe(repeated["rep"])).select(source["tid"], "repeated", "text")
+    candidates = source.join(repeated, (source["tid"] == repeated["tid"]) & source["doc_id"].eqNullSafe(repeated["rep"])).select("t", "repeated", "text")
     candidates = scratch.written(candidates, "candidates")
-    if candidates.groupBy("tid").count().filter("count > 1").limit(1).count():
-        candidates = candidates.dropDuplicates(["tid"])
+    if candidates.groupBy("t").count().filter("count > 1").limit(1).count():
+        candidates = candidates.dropDuplicates(["t"])
     contexts = scratch.written(_contexts(candidates, length, anchor), "contexts")
     found = _repeated_windows(contexts, length, depth, hot_contexts, scratch)
-    windows = contexts.select("c1", "c2", "tid", "at").join(found, ["c1", "c2"]).select("tid", "at", "spans")
-    windows = windows.groupBy("tid").agg(F.collect_list(F.struct("at", "spans")).alias("found"))
-    windows = windows.select("tid", F.flatten(F.transform("found", lambda x: F.transform(x["spans"], lambda s: s + x["at"]))).alias("spans"))
-    copies = texts.select("tid", "copies")
-    return rows.select("doc_id", "tid", "n_bytes", "full").join(copies, "tid"), candidates.select("tid", "text").join(windows, "tid")
+    windows = contexts.select("c1", "c2", "t", "at").join(found, ["c1", "c2"]).select("t", "at", "spans")
+    windows = windows.groupBy("t").agg(F.collect_list(F.struct("at", "spans")).alias("found"))
+    windows = windows.select("t", F.flatten(F.transform("found", lambda x: F.transform(x["spans"], lambda s: s + x["at"]))).alias("spans"))
+    return rows.select("doc_id", "tid", "n_bytes").join(texts.select("tid", "t", "copies"), "tid"), candidates.select("t", "text").join(windows, "t")
 
 
 def _removed(data: np.ndarray, off: np.ndarray, pairs: pa.ListArray, length: int) -> np.ndarray:
@@ -224,9 +225,9 @@ def _removed(data: np.ndarray, off: np.ndarray, pairs: pa.ListArray, length: int
 
 
 def _cut_texts(parts: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """(tid, n_removed, n_spans, kept_sha256 or kept_text) of the texts with repeated windows."""
+    """(t, n_removed, n_spans, kept_sha256 or kept_text) of the texts with repeated windows."""
     last = ("kept_text", pa.string()) if with_text else ("kept_sha256", pa.string())
-    schema = pa.schema([("tid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), last])
+    schema = pa.schema([("t", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), last])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
@@ -238,9 +239,9 @@ def _cut_texts(parts: DataFrame, length: int, with_text: bool) -> DataFrame:
             total = [np.concatenate([[0], np.cumsum(f, dtype=np.int64)]) for f in (gone, begins)]
             kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(off, off[1:], strict=False)]
             out = [k.decode("utf-8", "ignore") if with_text else hashlib.sha256(k).hexdigest() for k in kept]
-            yield pa.RecordBatch.from_arrays([rows.column("tid"), *[pa.array(t[off[1:]] - t[off[:-1]]) for t in total], pa.array(out, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column("t"), *[pa.array(t[off[1:]] - t[off[:-1]]) for t in total], pa.array(out, pa.string())], schema=schema)
 
-    return parts.mapInArrow(run, f"tid long, n_removed long, n_spans long, {last[0]} string")
+    return parts.mapInArrow(run, f"t long, n_removed long, n_spans long, {last[0]} string")
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, depth: int = DEPTH, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -248,7 +249,7 @@ def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     with Scratch(docs.sparkSession) as scratch:
         rows, parts = repeated_parts(docs, length, anchor, depth, hot_contexts, scratch=scratch)
         cut = _cut_texts(parts, length, with_text=False)
-        out = rows.join(cut, "tid", "left")
+        out = rows.join(cut, "t", "left")
         whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
         nothing = F.lit(hashlib.sha256(b"").hexdigest())
         out = out.select(
@@ -256,7 +257,7 @@ def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             "n_bytes",
             F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
             F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-            F.when(whole, nothing).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("full")))).alias("kept_sha256"),
+            F.when(whole, nothing).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("tid")))).alias("kept_sha256"),
         )
         return written(out, "removal")
 
@@ -266,12 +267,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     with Scratch(docs.sparkSession) as scratch:
         rows, parts = repeated_parts(docs, length, anchor, depth, hot_contexts, scratch=scratch)
         cut = _cut_texts(parts, length, with_text=True)
-        whole = rows.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("tid").distinct().withColumn("whole", F.lit(True))
-        change = cut.select("tid", "kept_text").join(whole, "tid", "full").select("tid", F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
+        whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+        texts = rows.groupBy("tid", "t").agg(F.max(whole).alias("whole")).join(cut.select("t", "kept_text"), "t", "left")
+        change = texts.filter("whole or kept_text is not null").select("tid", F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
         change = written(change, "cut-texts")
-    keyed = docs.withColumn("__tid", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = keyed.join(change.withColumnRenamed("tid", "__tid").withColumnRenamed("kept_text", "__kept"), "__tid", "left")
-    return out.select(*[F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    keyed = packed(docs).withColumn("tid", _sha())
+    out = keyed.join(change, "tid", "left").select("row", F.coalesce("kept_text", "text").alias("text"))
+    return unpacked(out, docs)
 
 
 #: The removal of repeated 200-byte strings in DuckDB, over hexadecimal texts. For small tables.
