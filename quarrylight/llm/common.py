@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..deploy import ship_engine
 
@@ -111,6 +112,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sha_of(text: str) -> Column:
+    """SHA-256 of a text's bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """`text` (a string), and all other columns in the struct `row`, so that no name can clash with an operator's own."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
@@ -121,6 +127,12 @@ def unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select(*[F.col("text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
+def with_fields(source: DataFrame, keep: list[str], more: str) -> StructType:
+    """The schema of the columns of `keep`, whatever their names and types, and the further fields."""
+    kept = [f for c in keep for f in source.schema if f.name == c]
+    return StructType([*kept, *StructType.fromDDL(more)])
+
+
 def text_of(docs: DataFrame, *columns: str) -> DataFrame:
     """The needed columns and the whole text; texts are cast to string, all else is left out."""
     return docs.select(*columns, F.col("text").cast("string").alias("text"))

@@ -155,7 +155,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     keep = keep or ["doc_id"]
     out = docs.select(*keep, *([F.col("text").cast("string").alias("text")] if "text" not in keep else []))
     out = out.withColumns({"item_ids": F.array().cast("array<long>"), "matched_words": F.lit(0).cast("long")})
-    kinds = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
+    schema = out.schema
     for items in blocks(benchmark, block_bytes):
         index = spark.sparkContext.broadcast(Index(items))
 
@@ -172,5 +172,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
                 names = rows.schema.names
                 yield pa.RecordBatch.from_arrays([ids if c == "item_ids" else pa.array(most, pa.int64()) if c == "matched_words" else rows.column(c) for c in names], names=names)
 
-        out = out.mapInArrow(run, kinds)
+        out = out.mapInArrow(run, schema)
     return out.select(*keep, (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "matched_words")

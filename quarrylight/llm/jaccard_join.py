@@ -7,21 +7,27 @@ a fixed number, chance differences would vanish in the slack that long texts hav
 
 1. One pass over the texts gives a digest of the set, its size, its point and its prefix: sets that link share one
    of the first n - ceil(t n) + 1 members under any common order. The order puts members that a bounded sample
-   finds frequent last; it changes the work, never the result. Equal sets become one class.
-2. Classes that share a prefix member meet. An R-tree over their points (boxes of LEAF points) answers, for each
-   point, which points of other branches can reach the needed overlap; a union-find keeps the spanning links only.
-   A meeting of more than MEETING classes is linked to its smallest class without a test, since stage 3 tests all.
+   finds frequent last; it changes the work, never the result. Equal sets (by 128 bits) become one class, with a number.
+2. Classes that share a prefix member meet. An R-tree over their points (LEAF points or boxes to a box, level on level)
+   answers, for each point, which points of other branches can reach the needed overlap; a union-find keeps the
+   spanning links only.
 3. Connected candidates come together with their whole sets, and pairs that the R-tree passes are verified exactly,
-   again only between branches that aren't connected yet. Candidate groups of more than BLOCK classes are split into
-   blocks, and each pair of blocks is one group.
+   again only between branches that aren't connected yet.
 4. Connected verified links are the components.
 
+A meeting of more than MEETING classes, or a candidate group of more than HELD shingles, is dealt to parts. Each part links its
+own members and one pivot of the whole; members that aren't connected with the pivot are then held against every other part,
+the rest needs no more links. So a large group of near copies costs about what its members cost; only groups that hang
+together by candidate links alone cost more (those members times the parts). Shingles that the sample finds in HOT_SHARE of the
+texts are dealt to parts before they are gathered.
+
 No stage lists all pairs of a group: links are spanning links, one less than the texts that they connect.
 
 Defined cases: null or empty texts and texts without words have an empty set and link with nothing (component: their
-own doc_id); texts with fewer than k words have one shingle of all their words; repeated rows share a component; null
-doc_ids count in no minimum; an empty table gives an empty result. A component's representative is its row with the
-smallest (doc_id, text hash), null doc_ids last; ids alone need not tell its rows apart.
+own doc_id); texts with fewer than k words have one shingle of all their words; texts of any length take part whole; repeated rows
+share a component; null doc_ids count in no minimum; an empty table gives an empty result; other columns, whatever their names,
+are left out. A component's representative is its row with the smallest (doc_id, SHA-256 of the text), null doc_ids last; ids alone
+need not tell its rows apart.
 """
 
 from __future__ import annotations
@@ -30,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, as_long, chunks, lists, mix, prefix_hash, ship, shingles, spans, text_of, word_spans, written
+from .common import LOWER, Scratch, as_long, buffers, chunks, lists, mix, prefix_hash, sha_of, ship, shingles, spans, tasks_for, text_of, word_spans, written
 from .components import components
 
 GROUPS, MOST_GROUPS, LEAF = 32, 4096, 16
@@ -41,10 +47,10 @@ GROUPS, MOST_GROUPS, LEAF = 32, 4096, 16
 A_GROUP = 16
 #: Rows of the sample that finds frequent shingles, how many texts of it make one frequent, and how many are kept.
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 20_000, 12, 200_000
-#: Classes that meet in one task; classes whose sets one task holds.
-MEETING, BLOCK = 20_000, 4096
-#: Shingles that a verifying task holds at a time.
-HELD = 2_000_000
+#: Share of the sampled texts from which a shingle is hot: at most its inverse times the shingles of a prefix are.
+HOT_SHARE, MOST_HOT = 0.01, 10_000
+#: Classes that meet in one part; shingles of whole sets that one part holds.
+MEETING, HELD = 20_000, 2_000_000
 
 
 def needed(num: int, den: int, n: np.ndarray) -> np.ndarray:
@@ -111,34 +117,38 @@ class Points:
 
 
 class RTree:
-    """Points packed by size and then by their first coordinates into boxes of LEAF, for overlap searches."""
+    """Points packed by size and then by their first coordinates, LEAF to a box and LEAF boxes to a box above, for overlap searches."""
 
     def __init__(self, points: Points):
         self.points = points
         self.order = np.lexsort((points.base[:, 1], points.base[:, 0], points.size))
-        at = np.arange(0, len(self.order), LEAF)
-        self.high = np.maximum.reduceat(points.base[self.order], at, axis=0)
-        self.low_size = np.minimum.reduceat(points.size[self.order], at)
+        high, low = points.base[self.order], points.size[self.order]
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # of each level the largest coordinates and the least size in a box
+        while len(high) > 1 or not self.levels:
+            at = np.arange(0, len(high), LEAF)
+            high, low = np.maximum.reduceat(high, at, axis=0), np.minimum.reduceat(low, at)
+            self.levels.append((high, low))
 
     def search(self, i: int, ok: np.ndarray, num: int, den: int) -> np.ndarray:
         """Points among `ok` (flags) whose bound with point i reaches the needed overlap."""
-        p = self.points
-        boxes = np.flatnonzero(np.minimum(self.high, p.base[i]).sum(1) >= needed(num, den, p.size[i] + self.low_size))
-        rows = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
-        found = self.order[rows[rows < len(self.order)]]
+        p, boxes = self.points, np.zeros(1, np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            high, low = self.levels[depth]
+            boxes = boxes[np.minimum(high[boxes], p.base[i]).sum(1) >= needed(num, den, p.size[i] + low[boxes])]
+            inside = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
+            boxes = inside[inside < (len(self.levels[depth - 1][0]) if depth else len(self.order))]
+        found = self.order[boxes]
         found = found[ok[found]]
         return found[p.passing(np.full(len(found), i), found, num, den)]
 
 
-def spanning(points: Points, num: int, den: int, verify=None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links between points that aren't connected yet. verify(i, js) keeps the true ones; side: only across its two values."""
+def spanning(points: Points, num: int, den: int, verify=None, queries: int | None = None) -> list[tuple[int, int]]:
+    """Links between points that aren't connected yet. verify(i, js) keeps the true ones; queries: only from the first so many points to the others."""
     m = len(points.size)
     tree, label, out = RTree(points), np.arange(m), []
-    for i in range(m):
+    for i in range(m if queries is None else queries):
         ok = label != label[i]
-        ok[: i + 1] = False
-        if side is not None:
-            ok &= side != side[i]
+        ok[: i + 1 if queries is None else queries] = False
         if not ok.any():
             continue
         js = tree.search(i, ok, num, den)
@@ -166,11 +176,12 @@ def _small_meetings(points: Points, first: np.ndarray, rows: np.ndarray, num: in
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles that many texts of a bounded hash sample hold, most frequent first up to MOST_FREQUENT."""
+def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, list[int]]:
+    """Shingles that many distinct texts of a bounded hash sample hold, up to MOST_FREQUENT, and those of them that are hot."""
     rows = docs.count()
     share = min(1.0, SAMPLE_ROWS / max(1, rows))
-    sample = text_of(docs, "doc_id").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text")
+    sample = text_of(docs, "doc_id").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    sample = sample.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text")).select("text")
     schema = pa.schema([("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +190,14 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
     found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
     top = found.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
-    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+    hot = [r["h"] for r in top[:MOST_HOT] if r["n"] >= max(FREQUENT, HOT_SHARE * min(rows, SAMPLE_ROWS))]
+    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64)), hot
 
 
-def set_rows(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """doc_id, t (text hash), s1, s2 (set digest), n, prefix and point of each row."""
-    spark = docs.sparkSession
-    ship(spark)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))  # at most MOST_FREQUENT hashes
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("point", pa.list_(pa.int32()))])
+def set_rows(docs: DataFrame, k: int, num: int, den: int, late: np.ndarray, scratch: Scratch) -> DataFrame:
+    """doc_id, t (SHA-256 of the text), s1, s2 (set digest), n, prefix and point of each row; late: shingles that come last in prefixes."""
+    frequent = docs.sparkSession.sparkContext.broadcast(late)  # at most MOST_FREQUENT hashes
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.binary()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("point", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
@@ -213,8 +223,8 @@ def set_rows(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> D
                 [rows.column("doc_id"), rows.column("t"), pa.array(digest[0]), pa.array(digest[1]), pa.array(n), lists(prefix, np.concatenate([[0], np.cumsum(take)]), pa.int64()), lists(points, point_first, pa.int32())], schema=schema
             )
 
-    source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", F.xxhash64("text").alias("t"), "text")
-    return scratch.written(source.mapInArrow(run, "doc_id long, t long, s1 long, s2 long, n long, prefix array<long>, point array<int>"), "sets")
+    source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", sha_of("text").alias("t"), "text")
+    return scratch.written(source.mapInArrow(run, "doc_id long, t binary, s1 long, s2 long, n long, prefix array<long>, point array<int>"), "sets")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, weigh: str | None = None) -> Iterator[pa.Table]:
@@ -250,118 +260,216 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), table.num_rows)
 
 
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def candidate_links(classes: DataFrame, num: int, den: int, meeting: int, scratch: Scratch) -> DataFrame:
-    """Spanning links (a, b) between classes that can link."""
-    met = classes.select("s1", F.explode("prefix").alias("x"))
-    w = Window.partitionBy("x")
-    met = scratch.written(met.select("s1", "x", F.count(F.lit(1)).over(w).alias("m"), F.min("s1").over(w).alias("low")).filter("m > 1"), "meetings")
-    large = met.filter(F.col("m") > meeting).filter("s1 <> low").select(F.col("low").alias("a"), F.col("s1").alias("b"))
+def _links(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_LINK)
+
+
+class Members:
+    """Nodes of one group with what they are compared by: points, and whole sets where there are any."""
+
+    def __init__(self, table: pa.Table, lo: int, hi: int, first: list[int], num: int, den: int):
+        """Rows lo to hi of a table; nodes of the list `first` come first. A node may stand in several rows."""
+        node, at = np.unique(table.column("node").to_numpy()[lo:hi], return_index=True)
+        head = np.isin(node, first)
+        order = np.concatenate([np.flatnonzero(head), np.flatnonzero(~head)])
+        self.node, self.num, self.den = node[order], num, den
+        rows = pa.array(at[order] + lo)
+        if "members" in table.column_names:
+            raw, off = buffers(table.column("members").take(rows))
+            sets, self.start = np.ascontiguousarray(raw).view(np.uint64), off // 8
+            ids, self.member = np.unique(sets, return_inverse=True)
+            self.n, self.flags = np.diff(self.start), np.zeros(len(ids), bool)
+            self.points, self.verify = Points(*points_of(sets, self.start)), self._true
+        else:
+            held = table.column("point").take(rows)
+            held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+            self.points, self.verify = Points(held.flatten().to_numpy(), held.offsets.to_numpy().astype(np.int64) - held.offsets[0].as_py()), None
+
+    def _true(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Those of js that link with i, by their whole sets."""
+        own = self.member[self.start[i] : self.start[i + 1]]
+        self.flags[own] = True
+        count = self.n[js]
+        begins = np.cumsum(count) - count
+        place = np.repeat(self.start[js] - begins, count) + np.arange(count.sum())
+        both = np.add.reduceat(self.flags[self.member[place]].astype(np.int64), begins)
+        self.flags[own] = False
+        return js[both * self.den >= self.num * (count + self.n[i] - both)]
+
+    def links(self, queries: int | None = None) -> np.ndarray:
+        """Spanning links as two rows of places."""
+        return np.array(spanning(self.points, self.num, self.den, self.verify, queries), np.int64).reshape(-1, 2).T
+
+
+def _grouped(rows: DataFrame, payload: DataFrame, num: int, den: int, weigh: str | None, size: int) -> DataFrame:
+    """Spanning links within each group (g) of rows (g, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, ["x"], 20_000):
-            s1 = table.column("s1").to_numpy()
-            held = table.column("point").combine_chunks()
-            points = Points(held.flatten().to_numpy(), held.offsets.to_numpy().astype(np.int64) - held.offsets[0].as_py())
-            first = _starts(table, ["x"])
-            counts = np.diff(first)
-            small = counts <= 12
-            rows = np.flatnonzero(np.repeat(small, counts))
-            a, b = _small_meetings(points, np.concatenate([[0], np.cumsum(counts[small])]), rows, num, den)
-            out = [np.stack([s1[a], s1[b]])]
-            for g in np.flatnonzero(~small):
-                lo, hi = first[g], first[g + 1]
-                links = spanning(points.subset(lo, hi), num, den)
-                if links:
-                    out.append(s1[lo + np.array(links).T])
-            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_EDGE)
-
-    small = met.filter(F.col("m") <= meeting).select("s1", "x").join(classes.select("s1", "point"), "s1")
-    small = small.repartition("x").sortWithinPartitions("x").mapInArrow(run, "a long, b long")
-    return small.unionByName(large).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
+        for table in _runs(batches, ["g"], size, weigh):
+            first = _starts(table, ["g"])
+            counts, out = np.diff(first), []
+            leaf = (counts <= LEAF) & ("point" in table.column_names)  # a tree of one box: all its points are tested
+            if leaf.any():
+                held = table.column("point").combine_chunks()
+                points = Points(held.flatten().to_numpy(), held.offsets.to_numpy().astype(np.int64) - held.offsets[0].as_py())
+                a, b = _small_meetings(points, np.concatenate([[0], np.cumsum(counts[leaf])]), np.flatnonzero(np.repeat(leaf, counts)), num, den)
+                node = table.column("node").to_numpy()
+                out.append(np.stack([node[a], node[b]]))
+            for g in np.flatnonzero(~leaf & (counts > 1)):
+                m = Members(table, first[g], first[g + 1], [], num, den)
+                out.append(m.node[m.links()])
+            yield _links([np.unique(np.concatenate(out, axis=1), axis=1)] if out else [])
+
+    held = rows.join(payload, "node")
+    return held.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, "a long, b long")
+
+
+def _parted(rows: DataFrame, payload: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The same for groups that are dealt to parts: rows (g, part, node)."""
+    pivots = rows.groupBy("g").agg(F.min("node").alias("node"))
+    parts = rows.select("g", "part").distinct()
+    asked = rows.withColumn("role", F.lit(0)).unionByName(parts.join(pivots, "g").withColumn("role", F.lit(1)))
+    keys = ["g", "part"]
+    schema = pa.schema([("g", pa.int64()), ("part", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, list[int]]]:
+        for table in _runs(batches, keys, 1):
+            first, role, node = _starts(table, keys), table.column("role").to_numpy(), table.column("node").to_numpy()
+            for lo, hi in zip(first, first[1:], strict=False):
+                yield table, lo, hi, node[lo:hi][role[lo:hi] == 1].tolist()
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each part and the pivot, and with a null in b the nodes that aren't connected with the pivot."""
+        for table, lo, hi, head in groups(batches):
+            m = Members(table, lo, hi, head, num, den)
+            a, b = m.links()
+            label = np.arange(len(m.node))
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                label[label == label[j]] = label[i]
+            rest = m.node[label != label[0]]
+            n = len(a) + len(rest)
+            key = [pa.array(np.full(n, table.column(k)[int(lo)].as_py(), np.int64)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*key, pa.array(np.concatenate([m.node[a], rest])), pa.array([*m.node[b].tolist(), *[None] * len(rest)], pa.int64())], schema=schema)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links from the asking nodes to the members of each part."""
+        for table, lo, hi, head in groups(batches):
+            m = Members(table, lo, hi, head, num, den)
+            yield _links([m.node[m.links(len(head))]])
+
+    order = [*keys, "node"]
+    held = asked.join(payload, "node").repartition(*keys).sortWithinPartitions(*order)
+    found = scratch.written(held.mapInArrow(within, "g long, part long, a long, b long"), "parted")
+    rest = found.filter("b is null").select("g", F.col("part").alias("own"), F.col("a").alias("node"))
+    links = found.filter("b is not null").select("a", "b")
+    if not rest.limit(1).count():
+        return links
+    elsewhere = rest.join(parts, "g").filter("part <> own").select("g", "part", "node", F.lit(1).alias("role"))
+    asked = rows.join(elsewhere.select("g", "part").distinct(), keys, "left_semi").withColumn("role", F.lit(0)).unionByName(elsewhere)
+    held = asked.join(payload, "node").repartition(*keys).sortWithinPartitions(*order)
+    return links.unionByName(held.mapInArrow(across, "a long, b long"))
+
+
+_MET = pa.schema([("g", pa.int64()), ("salt", pa.int32()), ("part", pa.int64()), ("node", pa.int64())])
+
+
+def _meetings(classes: DataFrame, hot: list[int], meeting: int, scratch: Scratch) -> DataFrame:
+    """(g: prefix member, salt, part, node) of the members that several classes share; hot ones are dealt by salt (else -1) and all kept."""
+    spark = classes.sparkSession
+    met = classes.select("node", F.explode("prefix").alias("g"))
+    table = spark.createDataFrame([(h,) for h in hot], "g long").withColumn("hot", F.lit(True))  # at most MOST_HOT rows
+    met = met.join(F.broadcast(table), "g", "left")
+    met = met.select("g", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(tasks_for(spark)))).otherwise(-1).cast("int").alias("salt"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Streams over sorted rows and keeps one of them: a row that may be alone waits for the next batch."""
+        key, seen, held = None, 0, None
+
+        def placed(g, salt, node, nth, take) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(g[take]), pa.array(salt[take]), pa.array(nth[take] // meeting), pa.array(node[take])], schema=_MET)
+
+        for batch in batches:
+            g, salt, node = (batch.column(c).to_numpy() for c in ("g", "salt", "node"))
+            if held is not None:
+                g, salt, node = (np.concatenate([h, x]) for h, x in zip(held, (g, salt, node), strict=True))
+            if not len(g):
+                continue
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])
+            carried = seen if held is None and key == (g[0], salt[0]) else 0
+            run_of = np.cumsum(new) - 1
+            begins = np.flatnonzero(new)
+            nth = np.arange(len(g)) - begins[run_of] + np.where(run_of == 0, carried, 0)
+            length = np.diff(np.append(begins, len(g)))[run_of] + np.where(run_of == 0, carried, 0)
+            take = (length > 1) | (salt >= 0)
+            held = None
+            if not take[-1]:
+                held = g[-1:], salt[-1:], node[-1:]
+            key, seen = (g[-1], salt[-1]), int(nth[-1]) + 1
+            yield placed(g, salt, node, nth, take)
+
+    return scratch.written(met.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(run, "g long, salt int, part long, node long"), "meetings")
+
+
+def candidate_links(classes: DataFrame, hot: list[int], num: int, den: int, meeting: int, scratch: Scratch) -> DataFrame:
+    """Spanning links (a, b) between classes that can link."""
+    met = _meetings(classes, hot, meeting, scratch)
+    payload = classes.select("node", "point")
+    large = scratch.written(met.filter("part > 0 or salt >= 0").select("g").distinct(), "large-meetings")
+    if large.limit(1).count():
+        parted = met.join(large, "g").select("g", (F.col("part") * tasks_for(met.sparkSession) + F.greatest("salt", F.lit(0))).alias("part"), "node")
+        small = _grouped(met.join(large, "g", "left_anti").select("g", "node"), payload, num, den, None, meeting)
+        links = small.unionByName(_parted(parted, payload, num, den, scratch))
+    else:
+        links = _grouped(met.select("g", "node"), payload, num, den, None, meeting)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num: int, den: int, held: int, scratch: Scratch) -> DataFrame:
     """Spanning true links (a, b) within each group (node, root) of connected candidates."""
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    placed = groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.join(classes.select(F.col("s1").alias("node"), "doc_id", "t"), "node")
-    texts = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("t", F.xxhash64("text"))
-    found = texts.join(placed, (texts["t"] == placed["t"]) & texts["doc_id"].eqNullSafe(placed["doc_id"])).select("root", "node", "own", "blocks", "text")
-    schema = pa.schema([("root", pa.int64()), ("node", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32()), ("n", pa.int64()), ("members", pa.binary())])
+    named = groups.join(classes.select("node", "doc_id", "t", "n"), "node")
+    texts = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("t", sha_of("text"))
+    found = texts.join(named.select("node", "doc_id", "t"), (texts["t"] == named["t"]) & texts["doc_id"].eqNullSafe(named["doc_id"])).select("node", "text")
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
             h, first = sets_of(data, off, k)
             members = pa.Array.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("root", "node", "own", "blocks")], pa.array(np.diff(first)), members], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(np.diff(first)), members], schema=schema)
 
-    held = found.mapInArrow(sets, "root long, node long, own int, blocks int, n long, members binary")
-    # a block meets each block of its group, itself included, once
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    payload = scratch.written(found.mapInArrow(sets, "node long, n long, members binary"), "candidate-sets")
+    sizes = named.groupBy("root").agg(F.ceil(F.sum("n") / held).alias("parts"))
+    rows = groups.join(sizes, "root").select(F.col("root").alias("g"), "parts", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
+    rows = scratch.written(rows, "candidate-groups")
+    links = _grouped(rows.filter("parts = 1").select("g", "node"), payload, num, den, "n", held)
+    if rows.filter("parts > 1").limit(1).count():
+        links = links.unionByName(_parted(rows.filter("parts > 1").select("g", "part", "node"), payload.select("node", "members"), num, den, scratch))
+    return links
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["root", "i", "j"]
-        for table in _runs(batches, keys, HELD, "n"):
-            first = _starts(table, keys)
-            out = []
-            for lo, hi in zip(first, first[1:], strict=False):
-                node, at = np.unique(table.column("node").to_numpy()[lo:hi], return_index=True)  # repeated rows of one text
-                if len(node) < 2:
-                    continue
-                at = at + lo
-                raw, off = _binary(table.column("members").take(pa.array(at)))
-                start = off // 8
-                ids, member = np.unique(raw.view(np.uint64), return_inverse=True)
-                n = np.diff(start)
-                side = table.column("own").to_numpy()[at] if table.column("i")[int(lo)].as_py() != table.column("j")[int(lo)].as_py() else None
-                flags = np.zeros(len(ids), bool)
-
-                def verify(i, js, start=start, member=member, n=n, flags=flags):
-                    own = member[start[i] : start[i + 1]]
-                    flags[own] = True
-                    count = n[js]
-                    place = np.repeat(start[js] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                    both = np.add.reduceat(flags[member[place]].astype(np.int64), np.concatenate([[0], np.cumsum(count)[:-1]]))
-                    flags[own] = False
-                    return js[both * den >= num * (count + n[i] - both)]
-
-                links = spanning(Points(*points_of(raw.view(np.uint64), start)), num, den, verify, side)
-                if links:
-                    out.append(node[np.array(links).T])
-            a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_EDGE)
-
-    return held.select("root", "i", "j", "node", "own", "n", "members").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a long, b long")
-
-
-def _binary(column) -> tuple[np.ndarray, np.ndarray]:
-    from .common import buffers
-
-    raw, off = buffers(column)
-    return np.ascontiguousarray(raw), off
-
-
-def jaccard_components(docs: DataFrame, k: int, num: int, den: int, meeting: int = MEETING, block: int = BLOCK) -> DataFrame:
-    """doc_id, t (xxhash64 of the text), n_shingles, component_id and component_t of every row; sets link when overlap / union >= num / den.
-
-    (component_id, component_t) are the doc_id and t of the component's representative.
+
+def jaccard_components(docs: DataFrame, k: int, num: int, den: int, meeting: int = MEETING, held: int = HELD, hot: list[int] | None = None) -> DataFrame:
+    """doc_id, t (SHA-256 of the text), n_shingles, component_id and component_t of every row; sets link when overlap / union >= num / den.
+
+    (component_id, component_t) are the doc_id and t of the component's representative. hot: shingles to treat as hot, if not the sample's.
     """
+    ship(docs.sparkSession)
     first_of = lambda name: F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias(name)
     with Scratch(docs.sparkSession) as scratch:
-        rows = set_rows(docs, k, num, den, scratch)
-        classes = rows.filter("n > 0").groupBy("s1", "s2").agg(first_of("r"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
-        classes = scratch.written(classes.select("s1", "s2", F.col("r.doc_id").alias("doc_id"), F.col("r.t").alias("t"), "prefix", "point"), "classes")
-        groups = components(candidate_links(classes, num, den, meeting, scratch))
-        found = components(verified_links(docs, classes, groups, k, num, den, block))
-        ids = found.join(classes.select(F.col("s1").alias("node"), "doc_id", "t"), "node")
-        ids = ids.join(ids.groupBy("root").agg(first_of("c")), "root").select(F.col("node").alias("s1"), "c")
+        late, found_hot = frequent_shingles(docs, k)
+        rows = set_rows(docs, k, num, den, late, scratch)
+        classes = rows.filter("n > 0").groupBy("s1", "s2").agg(first_of("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
+        classes = scratch.written(classes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("r.doc_id").alias("doc_id"), F.col("r.t").alias("t"), "n", "prefix", "point"), "classes")
+        groups = components(candidate_links(classes, found_hot if hot is None else hot, num, den, meeting, scratch))
+        found = components(verified_links(docs, classes, groups, k, num, den, held, scratch))
+        ids = found.join(classes.select("node", "doc_id", "t"), "node")
+        ids = ids.join(ids.groupBy("root").agg(first_of("c")), "root").select("node", "c")
         own = F.struct(F.col("doc_id").isNull(), "doc_id", "t")
-        classes = classes.select("s1", "s2", "doc_id", "t").join(ids, "s1", "left").select("s1", "s2", F.coalesce("c", own).alias("c"))
+        classes = classes.select("node", "s1", "s2", "doc_id", "t").join(ids, "node", "left").select("s1", "s2", F.coalesce("c", own).alias("c"))
         out = rows.select("doc_id", "t", "s1", "s2", F.col("n").alias("n_shingles")).join(classes, ["s1", "s2"], "left")
         of = lambda name: F.when(F.col("n_shingles") > 0, F.col(f"c.{name}")).otherwise(F.col(name)).alias(f"component_{name.removeprefix('doc_')}")
         return written(out.select("doc_id", "t", "n_shingles", of("doc_id"), of("t")), "jaccard")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, record, ship, text_of
+from .common import LOWER, chunks, record, ship, text_of, with_fields
 
 WINDOW = 192
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
@@ -191,8 +191,7 @@ def predict(docs: DataFrame, model: ByteCNN, keep: list[str] | None = None) -> D
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], pa.array([labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     source = docs.select(*keep, *([F.col("text").cast("string").alias("text")] if "text" not in keep else []))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c in keep)
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return source.mapInArrow(run, with_fields(source, keep, "lang_pred string, score double"))
 
 
 def _groups(off: np.ndarray, size: int = 1 << 17) -> Iterator[tuple[int, int]]:

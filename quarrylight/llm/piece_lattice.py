@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lists, mix, powers, ship
+from .common import chunks, lists, mix, powers, ship, with_fields
 
 MARK = "▁"
 #: An unknown character scores this much below the worst piece.
@@ -390,8 +390,7 @@ def encode(docs: DataFrame, model: str, n: int = 4, keep: list[str] | None = Non
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *out], names=[*keep, *names])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c in keep)
-    return source.mapInArrow(run, f"{kinds}, n_pieces long, best_score long, nbest_scores array<long>, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)
+    return source.mapInArrow(run, with_fields(source, keep, "n_pieces long, best_score long, nbest_scores array<long>, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids))
 
 
 def decode(encoded: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
@@ -405,5 +404,4 @@ def decode(encoded: DataFrame, model: str, keep: list[str] | None = None) -> Dat
             text = [None if x is None else v.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(text, pa.string())], names=[*keep, "text"])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c in keep)
-    return encoded.select(*keep, "ids").mapInArrow(run, f"{kinds}, text string")
+    return encoded.select(*keep, "ids").mapInArrow(run, with_fields(encoded, keep, "text string"))

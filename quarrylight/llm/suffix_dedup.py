@@ -30,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt_merge import repeated_places
-from .common import Scratch, as_long, buffers, chunks, lists, mix, packed, powers, prefix_hash, ship, spans, text_of, unpacked, written
+from .common import Scratch, as_long, buffers, chunks, lists, mix, packed, powers, prefix_hash, sha_of, ship, spans, text_of, unpacked, written
 from .jaccard_join import _runs
 
 LENGTH, ANCHOR, DEPTH = 200, 32, 4
@@ -79,10 +79,6 @@ def runs(data: np.ndarray, off: np.ndarray, length: int, anchor: int) -> tuple[n
     return text[first], starts[first], starts[final], gram[a[first]]
 
 
-def _sha(text: str = "text") -> Column:
-    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-
-
 def _text_rows(docs: DataFrame, length: int, anchor: int, scratch: Scratch) -> DataFrame:
     """doc_id, tid (SHA-256 of the text), n_bytes and anchors of each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.binary()), ("n_bytes", pa.int64()), ("anchors", pa.list_(pa.int64()))])
@@ -92,7 +88,7 @@ def _text_rows(docs: DataFrame, length: int, anchor: int, scratch: Scratch) -> D
             text, _, _, h = runs(data, off, length, anchor)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tid"), pa.array(np.diff(off)), lists(as_long(h), np.searchsorted(text, np.arange(len(off))), pa.int64())], schema=schema)
 
-    source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", _sha().alias("tid"), "text")
+    source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", sha_of("text").alias("tid"), "text")
     return scratch.written(source.mapInArrow(run, "doc_id long, tid binary, n_bytes long, anchors array<long>"), "text-rows")
 
 
@@ -200,7 +196,7 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     repeated = marked.filter("hot").select("t", "i").unionByName(marked.filter("hot is null").join(twice.select("h"), "h").select("t", "i"))
     repeated = repeated.groupBy("t").agg(F.collect_list("i").alias("repeated"))
     repeated = repeated.join(texts.select("t", "tid", F.col("rep.doc_id").alias("rep")), "t")
-    source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tid", _sha())
+    source = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tid", sha_of("text"))
     # the one row that stands for its text; should that row itself be repeated, one of it
     candidates = source.join(repeated, (source["tid"] == repeated["tid"]) & source["doc_id"].eqNullSafe(repeated["rep"])).select("t", "repeated", "text")
     candidates = scratch.written(candidates, "candidates")
@@ -271,7 +267,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         texts = rows.groupBy("tid", "t").agg(F.max(whole).alias("whole")).join(cut.select("t", "kept_text"), "t", "left")
         change = texts.filter("whole or kept_text is not null").select("tid", F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
         change = written(change, "cut-texts")
-    keyed = packed(docs).withColumn("tid", _sha())
+    keyed = packed(docs).withColumn("tid", sha_of("text"))
     out = keyed.join(change, "tid", "left").select("row", F.coalesce("kept_text", "text").alias("text"))
     return unpacked(out, docs)
 

@@ -263,13 +263,19 @@ def brute_components(texts, k, num, den):
     return [len(s) for s in sets], root
 
 
-@pytest.mark.parametrize("k,num,den,meeting,block", [(4, 85, 100, 20_000, 4096), (5, 80, 100, 20_000, 4096), (2, 60, 100, 20_000, 4096), (4, 85, 100, 3, 4), (2, 60, 100, 2, 3)])
-def test_jaccard(spark, odd_texts, empty, k, num, den, meeting, block):
-    got = rows_of(jaccard_join.jaccard_components(table(spark, odd_texts), k, num, den, meeting, block))
+@pytest.mark.parametrize("k,num,den,meeting,held,hot", [(4, 85, 100, 20_000, 2_000_000, 0), (5, 80, 100, 20_000, 2_000_000, 0), (2, 60, 100, 20_000, 2_000_000, 0), (4, 85, 100, 3, 500, 0), (2, 60, 100, 2, 200, 0), (4, 85, 100, 2, 300, 1), (2, 60, 100, 20_000, 1, 1)])
+def test_jaccard(spark, odd_texts, empty, k, num, den, meeting, held, hot):
+    """Small bounds send meetings and candidate groups to parts; hot shingles are dealt before they are gathered."""
+    chosen = None
+    if hot:
+        raw = [(t or "").encode() for t in odd_texts]
+        h = jaccard_join.sets_of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), k)[0]
+        chosen = np.unique(h)[::3].view(np.int64).tolist()
+    got = rows_of(jaccard_join.jaccard_components(table(spark, odd_texts), k, num, den, meeting, held, chosen))
     sizes, root = brute_components(odd_texts, k, num, den)
     assert list(got.n_shingles) == sizes and list(got.component_id) == root
     assert len(set(root)) < len(root) - 5
-    if block == 4096:
+    if held == 2_000_000:
         assert jaccard_join.jaccard_components(empty, k, num, den).count() == 0
 
 

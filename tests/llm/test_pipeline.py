@@ -114,6 +114,21 @@ def test_near_duplicates_without_telling_ids(spark):
     assert len(got) == 7 and set(rows[-2:]) <= set(got)
 
 
+def test_any_column_names(spark, made):
+    """Columns named like an operator's own, and `text` in other case, neither clash nor change."""
+    sf, _, _ = made
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    names = ["t", "__t", "__tid", "__kept", "id", "tid", "kept_text", "row", "rows", "node", "g", "item_ids", "score", "a.b"]
+    wide = docs.withColumnRenamed("text", "Text").withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    for stage in (corpus_pipeline.language, corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages, corpus_pipeline.decontamination):
+        want = sorted(map(str, stage(spark, docs, sf).collect()))
+        got = stage(spark, wide, sf)
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert all(r[n] == f"{n}{'-' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+        assert sorted(map(str, got.select("doc_id", F.col("Text").alias("text"), "lang").collect())) == want
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
