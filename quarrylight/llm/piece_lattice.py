@@ -7,13 +7,16 @@ sum of its pieces'. Forward Viterbi gives the best score from the start to every
 heuristic of an A-star search that runs backward from the end, so paths come off its heap in order and the first n
 are the n best. Of equal scores the batch form takes the smaller piece ids, read from the end of the text.
 
-No piece has a mark after another character, so a lattice falls apart at word starts: the best segmentation joins those
-of the words. For a batch of texts, Viterbi runs over the distinct words at once in numpy and also tells what each
-word's second-best path costs; a text's n best differ from its best one only in the n - 1 words where that is least,
-and the A-star search runs for these.
+Where no piece holds two neighbouring characters every path has a node between them, so a lattice falls apart there into
+segments (a word start is such a place, as no piece has a mark after another character): the best segmentation joins those
+of the segments. For a batch of texts, Viterbi runs over the distinct segments at once in numpy and gives each one's best ids and
+what its second-best path costs. A text's n best differ from its best one only in the n - 1 segments where that is least; for
+these the A-star search gives the paths from which the second to nth segmentations are put together. A segment of more than LONG
+characters runs through the same recursions by itself.
 
 Defined cases: a null or empty text has no pieces, score 0 and one segmentation; decoding gives the text back except that
-the mark character itself comes back as a space; texts of any length are segmented whole.
+the mark character itself comes back as a space; texts of any length are segmented whole; repeated rows get equal results; an empty
+table gives an empty result; columns that aren't in `keep`, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10
 #: Bytes of text segmented at a time.
 CHUNK = 1 << 20
+#: Characters of a segment that goes through the recursions by itself.
+LONG = 1000
+_PAIR_BITS = 22
 _FAR = np.int64(1) << 60
 
 
@@ -62,6 +68,11 @@ class Pieces:
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if self.kind[i] == 6}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.longest = max(len(self.piece[i]) for i in normal)
+        # character pairs inside pieces, by hash: one that isn't marked is in no piece
+        self.inside = np.zeros(1 << _PAIR_BITS, bool)
+        for i in normal:
+            c = code_points(self.piece[i])
+            self.inside[pair_hash(c[:-1], c[1:])] = True
         text = "".join(self.piece[i] for i in normal)
         off = np.concatenate([[0], np.cumsum([len(self.piece[i]) for i in normal])])
         h = span_hash(char_prefix(code_points(text)), off[:-1], off[1:])
@@ -135,6 +146,10 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+
+
 def char_prefix(cp: np.ndarray) -> np.ndarray:
     out = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum(mix(cp.astype(np.uint64) + np.uint64(1)) * powers(len(cp))[0][: len(cp)], out=out[1:])
@@ -279,12 +294,46 @@ class Words:
         self.ids, self.first = flat, to[np.searchsorted(start, off)]
 
 
-def combined(lists_: list[list[int]], n: int) -> list[int]:
-    """The n least sums of one entry from each ascending list (each starts with 0)."""
+def long_word(v: Pieces, cp: np.ndarray) -> tuple[list[int], int, int]:
+    """Best ids, score and what the second best costs of one long segment: the recursions of Words, place by place."""
+    size, far = len(cp), -int(_FAR)
+    prefix = char_prefix(cp)
+    ids, cost = [], []
+    for k in range(1, min(v.longest, size) + 1):
+        start = np.arange(size - k + 1)
+        found = v.find(span_hash(prefix, start, start + k))
+        ids.append(found.tolist())
+        cost.append(np.where(found >= 0, v.score[found], v.unknown if k == 1 else far).tolist())
+    ahead, back = [0] + [far] * size, [0] * (size + 1)
+    for t in range(1, size + 1):
+        best, won, by = far, 0, 0
+        for k in range(1, min(len(ids), t) + 1):
+            c = cost[k - 1][t - k]
+            if c > far:
+                total, piece = ahead[t - k] + c, ids[k - 1][t - k]
+                if total > best or (total == best and piece < by):
+                    best, won, by = total, k, piece
+        ahead[t], back[t] = best, won
+    behind = [far] * size + [0]
+    for t in range(size - 1, -1, -1):
+        behind[t] = max(cost[k - 1][t] + behind[t + k] for k in range(1, min(len(ids), size - t) + 1) if cost[k - 1][t] > far)
+    path, on, t = [], set(), size
+    while t:
+        k = back[t]
+        t -= k
+        on.add((t, k))
+        i = ids[k - 1][t]
+        path.append([i] if i >= 0 else [v.byte[b] for b in chr(int(cp[t])).encode("utf-8", "surrogatepass")])
+    second = max((ahead[t] + c + behind[t + k] for k, row in enumerate(cost, 1) for t, c in enumerate(row) if c > far and (t, k) not in on), default=far)
+    return [i for part in reversed(path) for i in part], ahead[size], ahead[size] - second if second > far else int(_FAR)
+
+
+def combined(lists_: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The n least sums of one entry from each ascending list (each starts with 0), with the entries' places."""
     heap, out, seen = [(0, (0,) * len(lists_))], [], {(0,) * len(lists_)}
     while heap and len(out) < n:
         cost, at = heapq.heappop(heap)
-        out.append(cost)
+        out.append((cost, at))
         for i, x in enumerate(at):
             if x + 1 < len(lists_[i]):
                 nxt = (*at[:i], x + 1, *at[i + 1 :])
@@ -295,7 +344,7 @@ def combined(lists_: list[list[int]], n: int) -> list[int]:
 
 
 class Batch:
-    """Best ids and n-best scores of a run of texts."""
+    """Best ids, and the ids and scores of the n best, of a run of texts."""
 
     def __init__(self, v: Pieces, data: np.ndarray, off: np.ndarray, n: int):
         lead = (data & 0xC0) != 0x80
@@ -307,40 +356,68 @@ class Batch:
         cp = np.insert(cp, char_off[:-1][some], mark)
         inserted = np.concatenate([[0], np.cumsum(np.diff(char_off) > 0)])
         text_off = char_off + inserted
-        marks = cp == mark
-        new = marks.copy()
-        new[1:] &= ~marks[:-1]
+        new = np.ones(len(cp), bool)
+        new[1:] = ~v.inside[pair_hash(cp[:-1], cp[1:])] | ((cp[1:] == mark) & (cp[:-1] != mark))
         new[text_off[:-1][some]] = True
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(cp))
         prefix = char_prefix(cp)
         _, one, which = np.unique(span_hash(prefix, start, end), return_index=True, return_inverse=True)
         size = (end - start)[one]
-        word_off = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(start[one] - word_off[:-1], size) + np.arange(word_off[-1])
+        spelled = lambda w: cp[start[one[w]] : end[one[w]]]
+        short = np.flatnonzero(size <= LONG)
+        word_off = np.concatenate([[0], np.cumsum(size[short])])
+        at = np.repeat(start[one[short]] - word_off[:-1], size[short]) + np.arange(word_off[-1])
         words = Words(v, cp[at], word_off)
+        score, second, length = (np.zeros(len(size), np.int64) for _ in range(3))
+        score[short], second[short], length[short] = words.score, words.second_costs, np.diff(words.first)
+        alone = {}
+        for w in np.flatnonzero(size > LONG).tolist():
+            alone[w], score[w], second[w] = long_word(v, spelled(w))
+            length[w] = len(alone[w])
+        begin = np.concatenate([[0], np.cumsum(length)])
+        flat = np.empty(begin[-1], np.int32)
+        flat[np.repeat(begin[:-1][short] - words.first[:-1], length[short]) + np.arange(words.first[-1])] = words.ids
+        for w, ids in alone.items():
+            flat[begin[w] : begin[w + 1]] = ids
         first = np.searchsorted(start, text_off)
-        count = np.diff(words.first)[which]
-        place = np.repeat(words.first[:-1][which] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        self.ids = words.ids[place].astype(np.int32)
+        count = length[which]
+        place = np.repeat(begin[:-1][which] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        self.ids = flat[place]
         pieces = np.concatenate([[0], np.cumsum(count)])
         self.first = pieces[first]
-        total = np.concatenate([[0], np.cumsum(words.score[which])])
+        total = np.concatenate([[0], np.cumsum(score[which])])
         self.best = total[first[1:]] - total[first[:-1]]
-        known: dict[int, list[int]] = {}
+        known: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+
+        def alternatives(w: int) -> tuple[list[int], list[np.ndarray]]:
+            """What the n best paths of a segment cost more than the best, and their ids; the first is the best one above."""
+            if w not in known:
+                best = flat[begin[w] : begin[w + 1]].tolist()
+                found = n_best(v, spelled(w).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), n)
+                rest = [(int(score[w]) - s, ids) for s, ids in found if ids != best][: n - 1]
+                known[w] = [0, *[c for c, _ in rest]], [np.array(ids, np.int32) for ids in (best, *[ids for _, ids in rest])]
+            return known[w]
+
         self.scores: list[list[int]] = []
-        costs = words.second_costs[which]
+        self.n_best: list[list[np.ndarray]] = []
+        costs = second[which]
         for d in range(len(off) - 1):
             own = costs[first[d] : first[d + 1]]
             near = np.argsort(own, kind="stable")[: n - 1] if len(own) < 64 else _least(own, n - 1)
-            table = []
-            for w in which[first[d] + near].tolist():
-                if words.second_costs[w] < _FAR:
-                    if w not in known:
-                        text = cp[at[word_off[w] : word_off[w + 1]]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                        known[w] = [int(words.score[w]) - s for s, _ in n_best(v, text, n)]
-                    table.append(known[w])
-            self.scores.append([int(self.best[d]) - c for c in combined(table, n)])
+            near = [first[d] + i for i in sorted(near.tolist()) if own[i] < _FAR]
+            table = [alternatives(int(which[q])) for q in near]
+            chosen = combined([t[0] for t in table], n)
+            self.scores.append([int(self.best[d]) - c for c, _ in chosen])
+            lo, hi, paths = self.first[d], self.first[d + 1], []
+            for _, entries in chosen:
+                parts, done = [], lo
+                for q, t, e in zip(near, table, entries, strict=True):
+                    if e:
+                        parts += [self.ids[done : pieces[q]], t[1][e]]
+                        done = pieces[q + 1]
+                paths.append(np.concatenate([*parts, self.ids[done:hi]]) if parts else self.ids[lo:hi])
+            self.n_best.append(paths)
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -362,8 +439,12 @@ def pieces(model: str) -> Pieces:
     return _MODELS[model]
 
 
-def encode(docs: DataFrame, model: str, n: int = 4, keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
-    """The columns of `keep` with n_pieces, best_score, nbest_scores, ids_sha256 (of little-endian 32-bit ids), round_trip and, if asked for, ids."""
+def _digest(ids: np.ndarray) -> str:
+    return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+
+
+def encode(docs: DataFrame, model: str, n: int = 4, keep: list[str] | None = None, with_ids: bool = True, with_n_best: bool = False) -> DataFrame:
+    """The columns of `keep` with n_pieces, best_score, nbest_scores, nbest_sha256 (of the little-endian 32-bit ids of each of the n best), ids_sha256, round_trip and, if asked for, ids and nbest_ids."""
     ship(docs.sparkSession)
     keep = keep or ["doc_id"]
     source = docs.select(*keep, *([F.col("text").cast("string").alias("text")] if "text" not in keep else []))
@@ -375,22 +456,28 @@ def encode(docs: DataFrame, model: str, n: int = 4, keep: list[str] | None = Non
             b = Batch(v, data, off, n)
             digests, same = [], []
             raw = data.tobytes()
-            for d, (lo, hi) in enumerate(zip(b.first, b.first[1:], strict=False)):
-                ids = b.ids[lo:hi]
-                digests.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
-                known = [plain[i] for i in ids.tolist()]
-                text = "".join(known).replace(MARK, " ")[1:] if None not in known else v.decode(ids.tolist())
+            for d, paths in enumerate(b.n_best):
+                ids = paths[0].tolist()
+                digests.append([_digest(p) for p in paths])
+                known = [plain[i] for i in ids]
+                text = "".join(known).replace(MARK, " ")[1:] if None not in known else v.decode(ids)
                 same.append(text.encode("utf-8", "surrogatepass") == raw[off[d] : off[d + 1]])
             scores = np.array([s for x in b.scores for s in x], np.int64)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in b.scores])])
-            out = [pa.array(np.diff(b.first)), pa.array(b.best), lists(scores, ends, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
-            names = ["n_pieces", "best_score", "nbest_scores", "ids_sha256", "round_trip"]
+            columns = {
+                "n_pieces": pa.array(np.diff(b.first)), "best_score": pa.array(b.best), "nbest_scores": lists(scores, ends, pa.int64()), "nbest_sha256": pa.array(digests, pa.list_(pa.string())),
+                "ids_sha256": pa.array([x[0] for x in digests], pa.string()), "round_trip": pa.array(same, pa.bool_()),
+            }
             if with_ids:
-                out.append(lists(b.ids, b.first, pa.int32()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *out], names=[*keep, *names])
-
-    return source.mapInArrow(run, with_fields(source, keep, "n_pieces long, best_score long, nbest_scores array<long>, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids))
+                columns["ids"] = lists(b.ids, b.first, pa.int32())
+            if with_n_best:
+                flat = [p for paths in b.n_best for p in paths]
+                inner = np.concatenate([[0], np.cumsum([len(p) for p in flat])])
+                columns["nbest_ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists(np.concatenate(flat) if flat else np.zeros(0, np.int32), inner, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *columns.values()], names=[*keep, *columns])
+
+    more = "n_pieces long, best_score long, nbest_scores array<long>, nbest_sha256 array<string>, ids_sha256 string, round_trip boolean"
+    return source.mapInArrow(run, with_fields(source, keep, more + ", ids array<int>" * with_ids + ", nbest_ids array<array<int>>" * with_n_best))
 
 
 def decode(encoded: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:

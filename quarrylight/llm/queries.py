@@ -27,7 +27,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best segmentation (as a digest), the four best scores and the round trip of every document."""
+    """The four best segmentations (as digests) with their scores, and the round trip of every document."""
     return piece_lattice.encode(read_table(spark, sf_dir, "documents"), "piece_bpe_32k.model", n=4, with_ids=False)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -158,6 +159,27 @@ def test_n_best_against_all_paths():
         data = np.frombuffer(t.encode(), np.uint8)
         b = piece_lattice.Batch(v, data, np.array([0, 0, len(data)]), 4)
         assert b.scores == [[0], [s for s, _ in every[:4]]] and b.ids.tolist() == every[0][1]
+        paths = [(s, p.tolist()) for s, p in zip(b.scores[1], b.n_best[1], strict=True)]
+        assert all(p in every for p in paths) and paths[0] == every[0] and len({tuple(ids) for _, ids in paths}) == len(paths)
+
+
+def test_long_segments(monkeypatch):
+    """A segment by itself gets what the recursions over many give, in time that grows with its length."""
+    v = piece_lattice.pieces(MODEL)
+    rng = random.Random(5)
+    text = "".join(rng.choice(["the", "er", "a", "in", "é", "st", "\U0001f984"]) for _ in range(900)) + " ab" + "a" * 2000
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = []
+    for long in (1, 5, 10**9):
+        monkeypatch.setattr(piece_lattice, "LONG", long)
+        b = piece_lattice.Batch(v, data, np.array([0, len(data)]), 4)
+        found.append((b.scores, [p.tolist() for p in b.n_best[0]][0]))
+    assert found[0] == found[1] == found[2]
+    monkeypatch.undo()
+    began = time.perf_counter()
+    data = np.frombuffer(b"a" * 100_000, np.uint8)
+    b = piece_lattice.Batch(v, data, np.array([0, len(data)]), 4)
+    assert len(b.scores[0]) == 4 and time.perf_counter() - began < 30
 
 
 def test_encode_and_decode(spark, odd_texts, empty):
@@ -165,7 +187,7 @@ def test_encode_and_decode(spark, odd_texts, empty):
     import public_tokenizers
 
     lib = sp.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
-    docs = table(spark, odd_texts)
+    docs, v = table(spark, odd_texts), piece_lattice.pieces(MODEL)
     out = piece_lattice.encode(docs, MODEL)
     got = rows_of(out)
     for r, t in zip(got.itertuples(), odd_texts, strict=True):
@@ -174,6 +196,14 @@ def test_encode_and_decode(spark, odd_texts, empty):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
         scores = list(r.nbest_scores)
         assert scores[0] == r.best_score and scores == sorted(scores, reverse=True)
+        assert r.nbest_sha256[0] == r.ids_sha256 and len(r.nbest_sha256) == len(scores) == len(set(r.nbest_sha256))
+    many = rows_of(piece_lattice.encode(docs, MODEL, with_ids=False, with_n_best=True))
+    for r, t in zip(many.itertuples(), odd_texts, strict=True):
+        assert [hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() for ids in r.nbest_ids] == list(r.nbest_sha256)
+        assert all(lib.decode([int(i) for i in ids]) == (t or "") for ids in r.nbest_ids)
+        worth = [sum(int(v.score[i]) if v.kind[i] == 1 else 0 for i in ids) for ids in r.nbest_ids]
+        if all(v.kind[i] == 1 for ids in r.nbest_ids for i in ids):
+            assert worth == list(r.nbest_scores)
     back = rows_of(piece_lattice.decode(out, MODEL))
     assert list(back.text) == [t or "" for t in odd_texts]
     assert piece_lattice.encode(empty, MODEL).count() == 0
