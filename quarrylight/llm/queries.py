@@ -17,8 +17,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the benchmark items that it holds."""
-    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    """Every document with the benchmark items that it holds, as text."""
+    found = decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join("item_ids", ","))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_decontamination": decontaminate.SQL,
     "op4_suffix_dedup": suffix_dedup.SQL,
     "op5_jaccard_join": jaccard_join.SQL,
 }

@@ -32,7 +32,8 @@ def test_contract(spark, sf_dir, name):
     assert set(CONTRACTS[name]) <= set(got.columns) and len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     if name in queries.ORACLE_SQL:
         db = duckdb.connect()
-        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+        for table in ("documents", "benchmark"):
+            db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
         want = db.sql(queries.ORACLE_SQL[name]).df()
         columns = sorted(got.columns)
         assert columns == sorted(want.columns)
