@@ -2,14 +2,17 @@
 
 A text is put in the model's normal form (spaces become the word mark, one mark in front) and cut into
 pre-tokens at places that no vocabulary piece spans. The distinct pre-tokens of a batch are held as ragged
-numpy arrays of symbol ids, grouped by length; in each round every sequence applies its own lowest-rank pair
+numpy arrays of symbol ids; in each round every sequence applies its own lowest-rank pair
 (the leftmost of equal ranks) at the same time, until no sequence has a pair left. What counts is the symbols
-that survive, with one token for each byte of a character that the vocabulary lacks.
+that survive, with one token for each byte of a character that the vocabulary lacks. Sequences of one length lie side
+by side as rows; those of more than LONG symbols lie end to end in blocks that know their lowest rank, so that a round needn't
+look at, or move, whole sequences.
 
 Pair ranks come from the public model file, whose path is a parameter; nothing is trained.
 
 Defined cases: null or empty text has no tokens; strings of special tokens inside a text are ordinary text,
-as in the library; texts of any length are counted whole.
+as in the library; texts of any length are counted whole; repeated rows get equal counts; an empty table gives an empty result;
+other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from .common import chunks, record, ship, text_of
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
-#: Longer pre-tokens are cut at character pairs that no piece holds; what stays longer merges in blocks.
+#: Longer pre-tokens are cut at character pairs that no piece holds; what stays longer lies in blocks.
 LONG = 64
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
 MEMORY = 400_000
@@ -136,45 +139,51 @@ def merge_rows(v: PieceVocabulary, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_long(v: PieceVocabulary, symbols: list[int]) -> int:
-    """One long sequence: the same rounds, with the lowest rank kept by blocks so that a round touches one block."""
-    x = np.array(symbols, np.int32)
-    n = len(x)
-    block = max(16, int(n**0.5))
-    size = -(-n // block) * block
-    rank = np.full(size, NONE, np.int32)
-    rank[: n - 1] = v.pairs(x[:-1], x[1:])[0]
-    nxt, prv = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
-    alive = np.ones(n, bool)
+def merge_blocks(v: PieceVocabulary, sequences: list[list[int]], block: int) -> np.ndarray:
+    """Rank-synchronous merging of sequences of different lengths, laid end to end in blocks: tokens of each."""
+    blocks = np.array([-(-len(s) // block) for s in sequences])
+    first = np.cumsum(blocks) - blocks
+    owner = np.repeat(np.arange(len(sequences)), blocks)
+    size = int(blocks.sum()) * block
+    x, alive = np.zeros(size, np.int32), np.zeros(size, bool)
+    for s, f in zip(sequences, first.tolist(), strict=True):
+        x[f * block : f * block + len(s)] = s
+        alive[f * block : f * block + len(s)] = True
+    after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+    begin = first * block
+    last = begin + np.array([len(s) for s in sequences]) - 1
+    after[last], before[begin] = -1, -1
+    rank, merged = np.full(size, NONE, np.int32), np.zeros(size, np.int32)
+    inner = np.flatnonzero(alive & (after >= 0))
+    rank[inner], merged[inner] = v.pairs(x[inner], x[inner + 1])
     grid = rank.reshape(-1, block)
     low = grid.min(1)
-
-    def put(i: int) -> None:
-        j = nxt[i]
-        rank[i] = v.pairs(x[i : i + 1], x[j : j + 1])[0][0] if j >= 0 else NONE
-        low[i // block] = grid[i // block].min()
-
     while True:
-        b = int(low.argmin())
-        if low[b] == NONE:
-            return int(np.where(x[alive] >= 0, 1, -x[alive]).sum())
-        i = b * block + int(grid[b].argmin())
-        j = nxt[i]
-        x[i] = v.pairs(x[i : i + 1], x[j : j + 1])[1][0]
-        alive[j] = False
-        rank[j] = NONE
-        low[j // block] = grid[j // block].min()
-        nxt[i] = nxt[j]
-        if nxt[j] >= 0:
-            prv[nxt[j]] = i
-        put(i)
-        if prv[i] >= 0:
-            put(prv[i])
+        least = np.minimum.reduceat(low, first)
+        live = np.flatnonzero(least != NONE)
+        if not len(live):
+            return np.add.reduceat(np.where(alive, np.where(x >= 0, 1, -x), 0).astype(np.int64), begin)
+        # the leftmost block of each sequence that has its lowest rank, and the leftmost place there
+        hits = np.flatnonzero(low == least[owner])
+        at = hits[np.searchsorted(hits, first[live])]
+        i = at * block + grid[at].argmin(1)
+        j = after[i]
+        k, p = after[j], before[i]
+        x[i], alive[j], rank[j], after[i] = merged[i], False, NONE, k
+        some = k >= 0
+        before[k[some]] = i[some]
+        rank[i] = NONE
+        rank[i[some]], merged[i[some]] = v.pairs(x[i[some]], x[k[some]])
+        some = p >= 0
+        rank[p[some]], merged[p[some]] = v.pairs(x[p[some]], x[i[some]])
+        touched = np.concatenate([at, j // block, p[some] // block])
+        low[touched] = grid[touched].min(1)
 
 
 def count_tokens(v: PieceVocabulary, tokens: list[str]) -> list[int]:
     """Tokens of each distinct pre-token."""
     by_length: dict[int, tuple[list[int], list[list[int]]]] = {}
+    by_block: dict[int, tuple[list[int], list[list[int]]]] = {}
     out = [0] * len(tokens)
     for i, t in enumerate(tokens):
         s = v.symbols(t)
@@ -184,14 +193,15 @@ def count_tokens(v: PieceVocabulary, tokens: list[str]) -> list[int]:
             cuts = [0, *[j for j in range(1, len(t)) if t[j - 1 : j + 1] not in v.inside], len(t)]
             parts = [s[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         for p in parts:
-            if len(p) > LONG:
-                out[i] += merge_long(v, p)
-            elif p:
-                at, rows = by_length.setdefault(len(p), ([], []))
+            if p:
+                # blocks about as long as there are blocks in a sequence
+                at, rows = by_length.setdefault(len(p), ([], [])) if len(p) <= LONG else by_block.setdefault(1 << (len(p).bit_length() + 1) // 2, ([], []))
                 at.append(i)
                 rows.append(p)
-    for at, rows in by_length.values():
-        for i, n in zip(at, merge_rows(v, np.array(rows, np.int32)).tolist(), strict=True):
+    merged = [(at, merge_rows(v, np.array(rows, np.int32))) for at, rows in by_length.values()]
+    merged += [(at, merge_blocks(v, rows, block)) for block, (at, rows) in by_block.items()]
+    for at, counts in merged:
+        for i, n in zip(at, counts.tolist(), strict=True):
             out[i] += n
     return out
 

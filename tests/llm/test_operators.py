@@ -421,9 +421,10 @@ def test_token_counts(spark, odd_texts, empty):
     assert list(got.n_bytes) == [len((t or "").encode()) for t in texts] and list(got.over_limit) == [n > 4096 for n in got.n_tokens]
     assert bpe_counts.token_counts(empty, MODEL).count() == 0
     v = bpe_counts.vocabulary(public_tokenizers.path(MODEL))
-    for t in ("banana" * 40, "the▁the", "aaaaaaaaaaaaaaaaab", "▁" * 70):
-        s = v.symbols(t)
-        assert bpe_counts.merge_long(v, s) == int(bpe_counts.merge_rows(v, np.array([s], np.int32))[0])
+    sequences = [v.symbols(t) for t in ("banana" * 40, "the▁the", "aaaaaaaaaaaaaaaaab", "▁" * 70, "a", "\U0001f984", "".join(rng.choice("thesinat") for _ in range(700)))]
+    want = [int(bpe_counts.merge_rows(v, np.array([s], np.int32))[0]) for s in sequences]
+    for block in (1, 2, 16, 1000):
+        assert bpe_counts.merge_blocks(v, sequences, block).tolist() == want
 
 
 # -- sharding
