@@ -26,12 +26,26 @@ def ship_engine(spark: SparkSession) -> None:
     sc._quarrylight_engine = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset and all runs on one machine, a folder of our own."""
+    found, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not hasattr(sc, "_quarrylight_dir"):
+            sc._quarrylight_dir = tempfile.mkdtemp(prefix="spark-quarrylight-")
+        found = sc._quarrylight_dir
+    return found.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in spark.checkpoint.dir. Where that is unset and all runs on one machine, in a folder of our own."""
+    """The rows, computed once and kept in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-quarrylight-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.detect import ALERT_IDS, MOST_HITS, _hits, alerts_of
@@ -101,3 +102,39 @@ def live_alerts(events: DataFrame, rules: list[Rule], expire: bool = True) -> Da
 
     hits = _hits(events, rules)
     return alerts_of(hits.groupBy("rule", "grp").applyInPandasWithState(run, _FIRE, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout), rules)
+
+
+#: What rules remember of a group after a batch (fire: null), or one of its alerts.
+JUDGED = f"rule int, grp string, {_STATE}, seen bigint, fire struct<rule: int, grp: string, ts: bigint, id: bigint, ev: array<string>, n: int, since: bigint, ids: array<bigint>>"
+
+
+def judged(events: DataFrame, state: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The alerts of one batch of stored events, and what the rules remember after it.
+
+    Groups leave by event time: once the latest event is more than a window after their last one, and they aren't quiet any more.
+    """
+
+    def run(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        rule, memory, seen = rules[key[0]], Memory(), 0
+        for row in old.itertuples():
+            memory = Memory(list(zip(map(int, row.ts), map(int, row.ids), row.vals, strict=True)), None if pd.isna(row.quiet_until) else int(row.quiet_until))
+            seen = int(row.seen)
+        out = []
+        for row in new.sort_values(["ts", "id"], kind="stable").itertuples():
+            seen = max(seen, row.ts)
+            fired = fold(memory, rule, row)
+            if fired:
+                fire = dict(zip(("rule", "grp", "ts", "id", "ev", "n", "since", "ids"), (key[0], key[1], row.ts, row.id, list(row.ev), *fired), strict=True))
+                out.append((key[0], key[1], None, None, None, None, None, fire))
+        if rule.window:
+            ts, ids, vals = map(list, zip(*memory.hits, strict=True)) if memory.hits else ([], [], [])
+            out.append((key[0], key[1], ts, ids, vals, memory.quiet_until, seen, None))
+        found = pd.DataFrame(out, columns=["rule", "grp", "ts", "ids", "vals", "quiet_until", "seen", "fire"])
+        return found.astype({"rule": "int32", "quiet_until": "Int64", "seen": "Int64"})
+
+    ends = [f.agg(F.max(c)).first()[0] for f, c in ((events, F.unix_micros("timestamp")), (state, F.col("seen")))]
+    latest = F.lit(max((e for e in ends if e is not None), default=0))
+    window = F.element_at(F.array(*[F.lit(r.window) for r in rules]), F.col("rule") + 1)
+    gone = F.col("fire").isNull() & (latest - F.col("seen") > window) & (F.coalesce("quiet_until", F.lit(0)) <= latest)
+    hits = _hits(events, rules)
+    return hits.groupBy("rule", "grp").cogroup(state.groupBy("rule", "grp")).applyInPandas(run, JUDGED).filter(~F.coalesce(gone, F.lit(False)))

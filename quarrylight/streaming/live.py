@@ -1,7 +1,9 @@
 """The live path: lines of a folder, parsed, enriched, stored and judged micro-batch by micro-batch.
 
-A batch is written before it is judged; a failed write drops the batch and is counted. Ids follow (timestamp, arrival) in
-a batch. Sinks get every alert of the batch in order; the webhook and the fan-out are best effort, as they are for people.
+pipeline_stream does all of it in one stream: a batch is numbered and written before it is judged, so alerts carry the ids under
+which their events are stored; a failed write drops the batch and is counted. store_stream and alert_stream do one half each.
+Ids follow the time in a batch. Sinks get every alert of the batch in order; the webhook and the fan-out are best effort, as they
+are for people.
 """
 
 from __future__ import annotations
@@ -16,16 +18,19 @@ from datetime import datetime, timezone
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..deploy import delete_folder
 from ..functions.fields import SEVERITIES
 from ..operators import intel, store
+from ..operators.detect import alerts_of
 from ..plans.rules import Rule
 from ..sources import parsers
 from ..sources.feeds import FeedSet
-from .detection import live_alerts
+from .detection import JUDGED, judged, live_alerts
 
 
 @dataclass
@@ -33,6 +38,8 @@ class Counters:
     ingested: int = 0
     alerts: int = 0
     store_failures: int = 0
+    engine_state: int = 0  #: groups that the rules remember
+    queued: int = 0  #: lines of the batch that is being worked on
 
 
 @dataclass
@@ -126,6 +133,65 @@ def store_stream(lines: DataFrame, parser: str, events_path: str, checkpoint: st
     return lines.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()
 
 
+def _announce(alerts: DataFrame, hub: Hub | None, webhook: Webhook | None) -> None:
+    if hub or webhook:
+        for row in alerts.orderBy("id").toLocalIterator():
+            alert = row.asDict()
+            if hub:
+                hub.publish({"kind": "alert", "alert": alert})
+            if webhook:
+                webhook.notify(alert)
+
+
+def pipeline_stream(
+    lines: DataFrame, parser: str, rules: list[Rule], events_path: str, alerts_path: str, state_path: str, checkpoint: str, feeds: FeedSet | None = None, hub: Hub | None = None, webhook: Webhook | None = None, counters: Counters | None = None, now: datetime | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Parse, enrich, number, store and judge a stream of lines. What rules remember of their groups is a table of its own in state_path, one version a batch."""
+    spark, counters = lines.sparkSession, counters or Counters()
+    rules = [r for r in rules if not r.disabled]
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        at = now or datetime.now(timezone.utc)
+        parsed = parsers.parse_lines(batch, parser, at)
+        events = parsers.events_of(parsed)
+        if feeds is not None:
+            events = intel.enrich(events, feeds.prefixes())
+        events = store.with_ids(events, after=batch_id << 32)  # numbered once, in a checkpoint
+        counters.queued = batch.count()
+        try:
+            store.write_events(events, events_path)
+        except Exception:  # noqa: BLE001  the stream goes on
+            counters.store_failures += 1
+            counters.queued = 0
+            return
+        counters.ingested += events.count()
+        if hub:
+            hub.publish({"kind": "events", "count": counters.queued})
+        version = f"{state_path}/batch-{{}}".format
+        judged(events, _state(spark, version, batch_id), rules).write.mode("overwrite").parquet(version(batch_id))
+        out = spark.read.schema(JUDGED).parquet(version(batch_id))
+        counters.engine_state = out.filter("fire is null").count()
+        found = alerts_of(out.filter("fire is not null").select("fire.*"), rules)
+        found = store.with_ids(found, after=batch_id << 32, order=("last_seen", "rule_id", "group_key"))
+        store.write_alerts(found, alerts_path, at)
+        counters.alerts += found.count()
+        _announce(found, hub, webhook)
+        counters.queued = 0
+        delete_folder(spark, version(batch_id - 2))
+
+    return lines.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()
+
+
+def _state(spark: SparkSession, version: Callable[[int], str], batch_id: int) -> DataFrame:
+    """What the batch before left; a batch whose events couldn't be stored leaves what it found."""
+    for last in (batch_id - 1, batch_id - 2):
+        try:
+            return spark.read.schema(JUDGED).parquet(version(last)).filter("fire is null").drop("fire")
+        except AnalysisException:  # no such version
+            continue
+    return spark.createDataFrame([], JUDGED).drop("fire")
+
+
 def alert_stream(events: DataFrame, rules: list[Rule], alerts_path: str, checkpoint: str, hub: Hub | None = None, webhook: Webhook | None = None, counters: Counters | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Judge a stream of events and append the alerts; sinks hear of each."""
     counters = counters or Counters()
@@ -134,13 +200,7 @@ def alert_stream(events: DataFrame, rules: list[Rule], alerts_path: str, checkpo
         found = store.with_ids(batch.select(F.lit(0).alias("id"), *batch.columns), after=batch_id << 32, order=("last_seen", "rule_id", "group_key")).persist()
         store.write_alerts(found, alerts_path, datetime.now(timezone.utc))
         counters.alerts += found.count()
-        if hub or webhook:
-            for row in found.orderBy("id").toLocalIterator():
-                alert = row.asDict()
-                if hub:
-                    hub.publish({"kind": "alert", "alert": alert})
-                if webhook:
-                    webhook.notify(alert)
+        _announce(found, hub, webhook)
         found.unpersist()
 
     ends = bool(trigger) and "availableNow" in trigger

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.plans.rules import Rule
 from quarrylight.sources.feeds import Feed, FeedSet
-from quarrylight.streaming.live import Counters, Hub, Webhook, alert_stream, ingest_lines, store_stream
+from quarrylight.sources.parsers import stream_lines
+from quarrylight.streaming.live import Counters, Hub, Webhook, alert_stream, ingest_lines, pipeline_stream, store_stream
 
 from .test_parsers import NOW
 from .test_rules import EVENT, T0
@@ -48,6 +49,39 @@ def test_alert_stream(spark, tmp_path):
     assert len(sent) == 2 and heard.qsize() == 2 and heard.get()["alert"]["rule_id"] == "r"
 
 
+def test_pipeline_stream(spark, tmp_path):
+    """One stream parses, stores and judges: alerts carry the ids of stored events, state goes on from batch to batch and leaves by event time."""
+    import random
+
+    from quarrylight.operators.detect import evaluate
+
+    rng, base = random.Random(5), 1741942800
+    made = [(base + 7 * i + rng.randrange(7), f"192.0.2.{rng.randrange(4)}", rng.choice(["login", "fail", "fail", "other"])) for i in range(240)]
+    rules = [
+        Rule(id="many", severity="high", kind="threshold", where={"type": "fail"}, group_by="src_ip", threshold=3, window=90_000_000), Rule(id="kinds", severity="low", kind="threshold", group_by="src_ip", distinct="type", threshold=3, window=60_000_000),
+        Rule(id="then", severity="critical", kind="sequence", where={"type": "fail"}, then={"type": "login"}, group_by="src_ip", threshold=2, window=60_000_000), Rule(id="seen", severity="low", kind="match", where={"type": "other"}, group_by="src_ip", window=120_000_000),
+        Rule(id="every", severity="low", kind="match", where={"type": "login"}),
+    ]
+    rules = [r.validate() for r in rules]
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    counters, hub = Counters(), Hub(depth=10_000)
+    heard = hub.subscribe()
+    run = lambda: pipeline_stream(stream_lines(spark, str(inbox)), "json", rules, str(tmp_path / "ev"), str(tmp_path / "al"), str(tmp_path / "st"), str(tmp_path / "cp"), hub=hub, counters=counters, now=NOW, trigger={"availableNow": True}).awaitTermination(120)
+    for n in range(3):
+        (inbox / f"{n}.log").write_text("".join(f'{{"ts":{t},"ip":"{ip}","type":"{kind}"}}\n' for t, ip, kind in made[80 * n : 80 * n + 80]) + "bad\n")
+        run()
+    events = spark.read.parquet(str(tmp_path / "ev"))
+    key = lambda df: sorted((r.rule_id, r.group_key, str(r.last_seen), r["count"], r.description, tuple(r.event_ids)) for r in df.collect())
+    stored = key(spark.read.parquet(str(tmp_path / "al")))
+    assert stored == key(evaluate(events, rules)) and len({s[0] for s in stored}) == 5
+    assert counters.ingested == 240 == events.select("id").distinct().count() and counters.alerts == len(stored) and counters.queued == 0 and 0 < counters.engine_state <= 16
+    assert heard.qsize() == len(stored) + 3
+    (inbox / "late.log").write_text(f'{{"ts":{base + 86_400},"ip":"198.51.100.1","type":"fail"}}\n')
+    run()
+    assert counters.engine_state == 3  # a day later only the new address is remembered, by the three rules that it concerns
+
+
 def test_sinks():
     hub = Hub(depth=1)
     q = hub.subscribe()
