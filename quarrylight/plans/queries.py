@@ -6,14 +6,20 @@ fields straight from the columns, without parsing.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import shared_folder
 from ..functions.fields import severity_rank
 from ..operators import detect, intel, stats, store
 from ..sources import feeds, parsers
+from ..streaming.detection import JUDGED, judged, live_alerts
+from ..streaming.live import Counters, pipeline_stream
 from . import sigma
 from .conditions import compile_condition
 from .rules import Rule, parse_rules, rule_table
@@ -73,7 +79,10 @@ def _user(user: Column) -> Column:
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as log events."""
-    e = _table(spark, sf_dir, "events")
+    return _as_logs(_table(spark, sf_dir, "events"))
+
+
+def _as_logs(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     return e.select(
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit("json").alias("source"), F.concat(F.lit("host"), (F.col("user_id") % 7).cast("string")).alias("host"), F.col("event_type").alias("type"), _ip(F.col("user_id")).alias("src_ip"),
@@ -191,6 +200,38 @@ SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (1704067200 + event_id) * 10000
   '1e3' AS f_n, event_id::VARCHAR AS f_id, 'true' AS f_on, '' AS f_off, 4 AS n_fields FROM events WHERE event_id % 50 <> 0
 """
 
+
+
+def parse_hostile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that no parser may stumble over: times out of bounds, numbers that JSON lacks, half characters."""
+    e = _table(spark, sf_dir, "events")
+    forms = ['{"time":"2024-13-01T00:00:00Z"}', '{"time":1e999}', '{"time":1e15}', '{"a":"\\ud800!"}', '{"a":NaN}', '{"a":1e999}', '{"a":', '{"ts":-1.5,"a":null}', '{"time":"2024-02-30T00:00:00Z","ts":1}']
+    line = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("event_id") % len(forms) + 1).cast("int"))
+    found = parsers.parse_lines(e.select("event_id", line.alias("line")), "json", NOW)
+    return found.select("event_id", "status", F.coalesce(F.try_element_at("fields", F.lit("a")), F.lit("-")).alias("a"), F.coalesce(F.unix_micros("timestamp"), F.lit(-1).cast("long")).alias("micros"))
+
+
+_HOSTILE_JSON = """
+SELECT event_id, ['fail', 'fail', 'fail', 'ok', 'fail', 'ok', 'fail', 'ok', 'fail'][event_id % 9 + 1] AS status, ['-', '-', '-', chr(65533) || '!', '-', '1e999', '-', '', '-'][event_id % 9 + 1] AS a,
+  [-1, -1, -1, 1706745600000000, -1, 1706745600000000, -1, -1500000, -1][event_id % 9 + 1] AS micros FROM events
+"""
+
+
+def parse_hostile_ssh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User names that look like messages of the server."""
+    e = _table(spark, sf_dir, "events")
+    said = ["Invalid user Accepted password for root from 198.51.100.1 port 22 from ", "error: Failed password for root from ", "Failed password for  from ", "Accepted password for a b from "]
+    text = F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("event_id") % len(said) + 1).cast("int"))
+    line = F.concat(F.lit("Jan 10 00:00:00 h sshd[1]: "), text, _ip(F.col("user_id")), F.lit(" port "), (F.col("event_id") % 60000).cast("string"))
+    found = parsers.parse_lines(e.select("event_id", line.alias("line")), "ssh", NOW)
+    return found.select("event_id", "status", "type", "user", "src_ip")
+
+
+_HOSTILE_SSH = """
+SELECT event_id, CASE WHEN event_id % 4 = 2 THEN 'ok' ELSE 'skip' END AS status, CASE WHEN event_id % 4 = 2 THEN 'auth_failure' ELSE '' END AS type, '' AS "user",
+  CASE WHEN event_id % 4 = 2 THEN '203.0.' || (user_id % 4) || '.' || (user_id % 256) ELSE '' END AS src_ip FROM events
+"""
+
 # -- predicates
 
 
@@ -227,6 +268,54 @@ SELECT event_id, '203.0.' || (user_id % 4) || '.' || (user_id % 256) AS src_ip,
 FROM x WHERE (event_id % 5 = 1 OR regexp_matches(k, '^[1-3]\\d$')) AND event_id % 4 <> 2 AND (user_id % 4 = 2 OR event_type IN ('click', 'purchase'))
 """
 
+SIGMA_FORMS = """
+title: Either form
+level: low
+logsource: {product: nginx}
+detection:
+  asked: {uri_query|exists: true}
+  plain: {uri_query|exists: 'false', sc-status: [404, 301]}
+  odd:
+    - {cs-uri-stem|startswith: /view}
+    - {sc-bytes|lt: 10}
+  condition:
+    - asked and odd
+    - plain and not odd
+"""
+
+
+def sigma_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests for existence, lists of maps and lists of conditions."""
+    rule = sigma.compile_rule(sigma.parse_document(SIGMA_FORMS))
+    web = parsers.parse_lines(nginx_lines(spark, sf_dir), "nginx", NOW).filter("status = 'ok'")
+    return web.filter(rule.matches()).select("event_id", F.lit(rule.id).alias("rule_id"))
+
+
+_SIGMA_FORMS = """
+WITH x AS (SELECT event_id, event_id % 2 = 0 AS asked, event_id % 4 IN (1, 3) AS plain, event_type = 'view' OR json_extract_string(props, '$.k')::INTEGER < 10 AS odd FROM events)
+SELECT event_id, 'sigma-either-form' AS rule_id FROM x WHERE (asked AND odd) OR (plain AND NOT odd)
+"""
+
+
+def sigma_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loading a folder of documents: what was skipped, by reason."""
+    base = "title: T\nlevel: low\nlogsource: {category: webserver}\ndetection:\n  a: {method: GET}\n  condition: "
+    docs = {
+        "a.yml": base + "a", "b.yml": base + "a", "c.yml": base.replace("title: T", "title: U") + "a", "d.yaml": base + "x", "e.yml": base.replace("webserver", "dns") + "a", "f.yml": "status: deprecated\n" + base + "a", "g.yml": base + "a | count() > 1",
+        "h.yml": base.replace("method: GET", "method|base64: x") + "a", "i.yml": base.replace("level: low", "level: informational").replace("T", "V", 1) + "a", "j.yml": base + "a\n---\nx: 1", "k.yml": "correlation: {}\n" + base + "a", "l.yml": "- 1", "m.txt": "x",
+    }
+    with tempfile.TemporaryDirectory() as folder:  # rule files are read by the driver
+        for name, text in docs.items():
+            with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+                f.write(text)
+        report = sigma.load_paths([folder])[1]
+    return report.table(spark).withColumns({"files": F.lit(report.files), "loaded": F.lit(report.loaded)})
+
+
+_SIGMA_REPORT = """
+SELECT *, 12 AS files, 3 AS loaded FROM (VALUES ('aggregation in condition', 1), ('correlation rule', 1), ('duplicate id', 1), ('invalid rule', 2), ('logsource', 1), ('modifier base64', 1), ('multi-document rule', 1), ('status deprecated', 1)) t(reason, rules)
+"""
+
 # -- detection
 
 
@@ -312,6 +401,69 @@ def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = "\nUNION ALL\n".join(f"SELECT rule_id, severity, count(*) AS alerts, count(DISTINCT group_key) AS groups FROM ({q}) GROUP BY ALL" for q in (_THRESHOLD, _DISTINCT, _SEQUENCE, _MATCH, _EVERY))
 
+def detect_hit_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group remembers 10,000 hits at most: that many fire a rule, one more never do. Events are taken a dozen times."""
+    rules = [Rule(id=f"r{n}", severity="low", kind="threshold", group_by="source", threshold=n, window=10**15).validate() for n in (10_000, 10_001)]
+    e = log_events(spark, sf_dir).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("id", F.col("id") * 12 + F.col("j"))
+    return _alert_rows(detect.evaluate(e, rules))
+
+
+_HIT_CAP = """
+WITH x AS (SELECT event_id * 12 + j AS id, ts, row_number() OVER (ORDER BY ts, event_id * 12 + j) AS rn FROM events, generate_series(0, 11) t(j))
+SELECT 'r10000' AS rule_id, 'low' AS severity, 'json' AS group_key, 10000 AS count, 'r10000: json' AS description, min(ts) AS first_seen, max(ts) AS last_seen, 50 AS n_ids, arg_min(id, rn) FILTER (rn = 9951) AS first_id, max(id) FILTER (rn = 10000) AS last_id FROM x WHERE rn <= 10000
+"""
+
+
+def stream_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold rule over a stream of the events, by keyed state: the same alerts as over the table."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's path must be no plain file
+    live = live_alerts(_as_logs(source), _rules("errors"), expire=False)
+    live.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/alerts/{n}")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _alert_rows(spark.read.parquet(f"{at}/alerts/*"))
+
+
+def _live(spark: SparkSession, sf_dir: str) -> tuple[str, Counters]:
+    """The events as JSON lines in a folder, taken through the live path."""
+    at = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    e = log_events(spark, sf_dir)
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    e.select(F.to_json(F.struct(stamp.alias("time"), "type", "user", F.col("src_ip").alias("ip"), F.col("fields")["value"].alias("value"))).alias("line")).write.text(f"{at}/in")
+    counters = Counters()
+    query = pipeline_stream(parsers.stream_lines(spark, f"{at}/in"), "json", _rules("errors", "kinds"), f"{at}/events", f"{at}/alerts", f"{at}/state", f"{at}/checkpoint", counters=counters, now=NOW, trigger={"availableNow": True})
+    query.awaitTermination()
+    return at, counters
+
+
+def live_alerts_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of the live path, and how many of the ids that they carry are stored events of their group."""
+    at, _ = _live(spark, sf_dir)
+    alerts = spark.read.parquet(f"{at}/alerts")
+    named = alerts.select("id", F.explode("event_ids").alias("event_id"), "group_key").join(store.read_events(spark, f"{at}/events").select(F.col("id").alias("event_id"), F.col("user").alias("group_key")), ["event_id", "group_key"])
+    held = named.groupBy("id").agg(F.count(F.lit(1)).alias("n_stored"))
+    return _plain(alerts.join(held, "id").select("rule_id", "group_key", "count", "last_seen", "n_stored"))
+
+
+def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c = _live(spark, sf_dir)
+    return spark.createDataFrame([(c.ingested, c.alerts, c.store_failures, c.queued)], "ingested bigint, alerts bigint, store_failures bigint, queued bigint")
+
+
+_LIVE_ALERTS = f"SELECT rule_id, group_key, count, last_seen, n_ids::BIGINT AS n_stored FROM ({_THRESHOLD}) UNION ALL SELECT rule_id, group_key, count, last_seen, n_ids::BIGINT FROM ({_DISTINCT})"
+_LIVE_COUNTERS = f"SELECT (SELECT count(*) FROM events) AS ingested, (SELECT count(*) FROM ({_LIVE_ALERTS})) AS alerts, 0::BIGINT AS store_failures, 0::BIGINT AS queued"
+
+
+def engine_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that a rule still remembers after all events: those with a hit in the last window, or still quiet."""
+    left = judged(log_events(spark, sf_dir), spark.createDataFrame([], JUDGED).drop("fire"), _rules("errors")).filter("fire is null")
+    return _plain(left.select("grp", F.timestamp_micros("seen").alias("seen")))
+
+
+_ENGINE_STATE = f"""
+WITH f AS ({_THRESHOLD}), s AS (SELECT 'user' || user_id AS grp, max(ts) AS seen FROM events WHERE event_type = 'error' GROUP BY ALL)
+SELECT grp, seen FROM s WHERE (SELECT max(ts) FROM events) - seen <= INTERVAL 24 HOUR OR (SELECT max(last_seen) FROM f WHERE group_key = grp) + INTERVAL 24 HOUR > (SELECT max(ts) FROM events)
+"""
+
 # -- enrichment
 
 
@@ -341,6 +493,29 @@ q AS (SELECT id, src_ip, (c = 0 AND d < 128) OR (c = 1 AND d = 7) AS a, (c = 0 A
 SELECT id, src_ip, CASE WHEN a AND b THEN 'first,second' WHEN a THEN 'first' WHEN b THEN 'second' ELSE '' END AS ti_lists, CASE WHEN a OR b THEN 3 ELSE 2 END AS n_fields FROM q
 """
 
+def feed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed whose refresh fails keeps what it had, and says so."""
+    with tempfile.TemporaryDirectory(dir=_folder(spark)) as folder:
+        path = os.path.join(folder, "feed.txt")
+        with open(path, "w", encoding="utf-8") as f:
+            f.write("\n".join(FEED_TEXT["first"]))
+        found = feeds.FeedSet(spark, [feeds.Feed("kept", path), feeds.Feed("never", os.path.join(folder, "missing.txt"))])
+        found.refresh()
+        with open(path, "w", encoding="utf-8") as f:
+            f.write("not an address\n")
+        found.refresh()
+        return found.status().select("feed", "entries", (F.col("error") != "").alias("failed"), F.col("loaded_at").isNotNull().alias("loaded"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder as a path of this machine."""
+    path = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+_FEED_REFRESH = "SELECT * FROM (VALUES ('kept', 3::BIGINT, true, true), ('never', 0::BIGINT, true, false)) t(feed, entries, failed, loaded)"
+
 # -- store
 
 
@@ -407,11 +582,12 @@ _RETENTION = f"WITH {_SQL_EVENTS} SELECT type, count(*) AS n, min(id) AS first F
 
 
 def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = log_events(spark, sf_dir).select(F.col("id").alias("event_id"), "timestamp", F.lit(0).alias("id"))
-    return store.with_ids(e, after=100, order=("timestamp", "event_id")).select("id", "event_id")
+    """Ids in time order, over rows with all their columns."""
+    e = log_events(spark, sf_dir).withColumnRenamed("id", "event_id")
+    return store.with_ids(e, after=100, order=("timestamp", "event_id")).select("id", "event_id", "user", "message", "src_ip", F.col("fields")["value"].cast("double").alias("value"))
 
 
-_ASSIGN = "SELECT 100 + row_number() OVER (ORDER BY ts, event_id) AS id, event_id FROM events"
+_ASSIGN = f"WITH {_SQL_EVENTS} SELECT 100 + row_number() OVER (ORDER BY timestamp, id) AS id, id AS event_id, \"user\", message, src_ip, value::DOUBLE AS value FROM le"
 
 # -- statistics
 
@@ -471,6 +647,15 @@ SELECT g.start, coalesce(e.n, 0) AS events, coalesce(a.n, 0) AS alerts FROM g LE
 """
 
 
+def stats_default_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's ranges: the last day's timeline, in buckets of that range."""
+    span, width = stats.range_preset("24h")
+    return _plain(stats.timeline(log_events(spark, sf_dir), _stored_alerts(spark, sf_dir), SINCE - span, SINCE, width))
+
+
+_DEFAULT_RANGE = _TIMELINE.replace("2024-01-20 20:00:00", "@").replace("2024-01-20", "2024-01-19").replace("@", "2024-01-20")
+
+
 def stats_flagged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top sources joined with alert counts: alerts here are grouped by address."""
     e = log_events(spark, sf_dir)
@@ -506,11 +691,12 @@ FROM f JOIN le b ON b."user" = f.group_key AND b.type = 'error' AND (b.timestamp
 """
 
 _ALL_QUERIES = (
-    (parse_nginx, _PARSE_NGINX), (parse_ssh, _PARSE_SSH), (parse_json, _PARSE_JSON), (parse_report, _PARSE_REPORT), (condition, _CONDITION), (sigma_rule, _SIGMA),
-    (detect_threshold, _THRESHOLD), (detect_distinct, _DISTINCT), (detect_sequence, _SEQUENCE), (detect_match, _MATCH), (detect_every_match, _EVERY), (detect_all, _ALL),
-    (feed_entries, _FEED_ENTRIES), (enrich, _ENRICH), (list_events, _LIST_EVENTS), (search_events, _SEARCH), (get_events, _GET), (list_alerts, _LIST_ALERTS), (alert_status, _ALERT_STATUS), (alert_events, _ALERT_EVENTS),
+    (parse_nginx, _PARSE_NGINX), (parse_ssh, _PARSE_SSH), (parse_json, _PARSE_JSON), (parse_report, _PARSE_REPORT), (parse_hostile_json, _HOSTILE_JSON), (parse_hostile_ssh, _HOSTILE_SSH), (condition, _CONDITION), (sigma_rule, _SIGMA), (sigma_forms, _SIGMA_FORMS), (sigma_report, _SIGMA_REPORT),
+    (detect_threshold, _THRESHOLD), (detect_distinct, _DISTINCT), (detect_sequence, _SEQUENCE), (detect_match, _MATCH), (detect_every_match, _EVERY), (detect_all, _ALL), (detect_hit_cap, _HIT_CAP),
+    (stream_threshold, _THRESHOLD), (live_alerts_stored, _LIVE_ALERTS), (live_counters, _LIVE_COUNTERS), (engine_state, _ENGINE_STATE),
+    (feed_entries, _FEED_ENTRIES), (feed_refresh, _FEED_REFRESH), (enrich, _ENRICH), (list_events, _LIST_EVENTS), (search_events, _SEARCH), (get_events, _GET), (list_alerts, _LIST_ALERTS), (alert_status, _ALERT_STATUS), (alert_events, _ALERT_EVENTS),
     (retention, _RETENTION), (assign_ids, _ASSIGN), (stats_totals, _TOTALS), (stats_by_type, _BY_TYPE), (stats_top_sources, _TOP), (stats_top_alerted, _TOP_ALERTED), (stats_open_by_severity, _OPEN), (stats_open_and_high, _OPEN_HIGH),
-    (stats_timeline, _TIMELINE), (stats_flagged_sources, _FLAGGED), (rule_search, _RULE_SEARCH), (rule_counts, _RULE_COUNTS),
+    (stats_timeline, _TIMELINE), (stats_default_range, _DEFAULT_RANGE), (stats_flagged_sources, _FLAGGED), (rule_search, _RULE_SEARCH), (rule_counts, _RULE_COUNTS),
 )
 
 QUERIES = {f.__name__: f for f, _ in _ALL_QUERIES}

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import checkpointed
 from ..functions.addresses import bits_of, parse_prefix
 
 PREFIXES = "feed_idx int, feed string, family int, len int, network string"
@@ -95,7 +96,7 @@ class FeedSet:
     def refresh(self) -> None:
         for i, f in enumerate(self.feeds):
             try:
-                self.tables[f.name] = load_feed(self.spark, i, f).cache()
+                self.tables[f.name] = checkpointed(load_feed(self.spark, i, f))  # the file may change or go
                 self.loaded[f.name] = datetime.now(timezone.utc)
                 self.errors.pop(f.name, None)
             except Exception as e:  # noqa: BLE001  any failure of one feed leaves the others alone

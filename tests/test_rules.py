@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -29,8 +30,6 @@ def rule(**kw):
 @pytest.fixture(autouse=True)
 def utc(monkeypatch):
     monkeypatch.setenv("TZ", "UTC")
-    import time
-
     time.tzset()
 
 
@@ -118,3 +117,14 @@ def test_descriptions(spark):
     r = rule(kind="match", threshold=0, description="{group}: {event.path}/{event.none}", where={}, group_by="user")
     (got,) = fired(spark, r, [(0, "1.1.1.1", "x", "", {"path": "{count}"})])
     assert got[4].description == "{count}/"
+
+
+def test_hot_group(spark):
+    """A million events of one group in one window: no row looks at the window again, and the memory of hits is bounded."""
+    hot = spark.range(1_000_000).selectExpr("id", "timestamp_micros(id * 50) AS timestamp", "'x' AS source", "'' AS host", "CASE WHEN id % 1000 = 999 THEN 'auth_success' ELSE 'auth_failure' END AS type", "'10.9.8.7' AS src_ip", "'u' AS user", "'' AS message", "cast(map() AS map<string,string>) AS fields")
+    rules = [rule(id="t", threshold=9_000), rule(id="s", kind="sequence", then={"type": "auth_success"}, threshold=9_000), rule(id="m", kind="match", threshold=0, group_by="")]
+    began = time.perf_counter()
+    got = {r.rule_id: r for r in evaluate(hot, [r.validate() for r in rules]).collect()}
+    assert set(got) == {"t", "s", "m"} and got["t"]["count"] == 9_000 and got["s"]["count"] == 9_990 and got["m"].event_ids == [0]
+    assert len(got["t"].event_ids) == 50 and got["t"].event_ids[-1] == 9_008 and len(got["s"].event_ids) == 51 and got["s"].event_ids[-1] == 9_999
+    assert time.perf_counter() - began < 300
