@@ -419,9 +419,12 @@ def candidate_links(classes: DataFrame, hot: list[int], num: int, den: int, meet
     """Spanning links (a, b) between classes that can link."""
     met = _meetings(classes, hot, meeting, scratch)
     payload = classes.select("node", "point")
-    large = scratch.written(met.filter("part > 0 or salt >= 0").select("g").distinct(), "large-meetings")
+    # hot members were dealt whatever they hold; only meetings that exceed one part are parted
+    seen = met.filter("part > 0 or salt >= 0").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("salt").alias("salt"))
+    size = F.when(F.col("salt") < 0, F.col("n") + meeting).otherwise(F.col("n"))
+    large = scratch.written(seen.filter(size > meeting).select("g", F.ceil(size / meeting).alias("parts")), "large-meetings")
     if large.limit(1).count():
-        parted = met.join(large, "g").select("g", (F.col("part") * tasks_for(met.sparkSession) + F.greatest("salt", F.lit(0))).alias("part"), "node")
+        parted = met.join(large, "g").select("g", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
         small = _grouped(met.join(large, "g", "left_anti").select("g", "node"), payload, num, den, None, meeting)
         links = small.unionByName(_parted(parted, payload, num, den, scratch))
     else:
