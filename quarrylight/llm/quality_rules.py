@@ -1,12 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
-The rules are yes/no tests on whole texts. On a bounded sample each rule's cost (seconds a byte) and
-selectivity (share of texts rejected) are measured; the rules then run in order of rejection per cost,
+The rules are yes/no tests on whole texts. On a bounded sample each rule's cost (seconds a byte, with the setting apart of the
+texts that it gets) and selectivity (share of texts rejected) are measured; the rules then run in order of rejection per cost,
 each only on the texts that every earlier rule let pass. The order changes only the work: a text is
-kept when no rule rejects it.
+kept when no rule rejects it. Figures that are asked for of every text are counted once; rules that need them take them as
+they are, which their measured cost shows.
 
-Defined cases: a null text has no words, as an empty one; texts without words fail the base test;
-repeated rows get equal results; an empty table gives an empty result.
+Defined cases: a null text has no words, as an empty one; texts without words fail the base test; texts of any length are
+judged whole; rules of equal worth run in the order of their names; repeated rows get equal results; an empty table gives an empty
+result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -33,22 +35,33 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 class Texts:
     """A run of whole texts with the word spans that the rules share."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         self.data, self.off = data, off
-        self.starts, self.ends, self.first = word_spans(data, off)
+        self.starts, self.ends, self.first = word_spans(data, off) if words is None else words
         self.n_words = np.diff(self.first)
+        self.known: dict[str, np.ndarray] = {}  # figures counted so far, one for each text
         self._hash = None
 
     def __len__(self) -> int:
         return len(self.off) - 1
 
+    def figure(self, name: str, count: Callable[[], np.ndarray]) -> np.ndarray:
+        if name not in self.known:
+            self.known[name] = count()
+        return self.known[name]
+
     def subset(self, rows: np.ndarray) -> Texts:
-        if len(rows) == len(self):
-            return self
-        lengths = np.diff(self.off)[rows]
-        off = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(self.off[rows] - off[:-1], lengths) + np.arange(off[-1])
-        return Texts(self.data[at], off)
+        """Some of the texts, with their word spans and known figures."""
+        taken = []
+        for edge in (self.off, self.first):
+            size = np.diff(edge)[rows]
+            begin = np.concatenate([[0], np.cumsum(size)])
+            taken.append((begin, np.repeat(edge[rows] - begin[:-1], size) + np.arange(begin[-1])))
+        (off, at), (first, word) = taken
+        moved = np.repeat(off[:-1] - self.off[rows], np.diff(first))
+        out = Texts(self.data[at], off, (self.starts[word] + moved, self.ends[word] + moved, first))
+        out.known = {k: x[rows] for k, x in self.known.items()}
+        return out
 
     @property
     def prefix(self) -> np.ndarray:
@@ -90,15 +103,21 @@ def _of_text(h: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def word_chars(t: Texts) -> np.ndarray:
-    return t.sum_words(t.per_word((t.data & 0xC0) != 0x80))
+    return t.figure("word_chars", lambda: t.sum_words(t.per_word((t.data & 0xC0) != 0x80)))
 
 
 def symbols(t: Texts) -> np.ndarray:
-    return t.count(_SYMBOL[t.data])
+    return t.figure("symbols", lambda: t.count(_SYMBOL[t.data]))
 
 
 def lines(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word, and those of them that are equal to an earlier one."""
+    if "lines" not in t.known:
+        t.known["lines"], t.known["dup_lines"] = _lines(t)
+    return t.known["lines"], t.known["dup_lines"]
+
+
+def _lines(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     breaks = np.flatnonzero(t.data == 10)
     text_of_break = np.searchsorted(t.off, breaks, "right") - 1
     starts = np.concatenate([t.off[:-1], breaks + 1])
@@ -180,6 +199,11 @@ RULES: dict[str, Callable[[Texts], np.ndarray]] = {
 }
 
 
+def base_figures(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is asked for of every text: word_chars, n_symbols, n_dup_lines."""
+    return word_chars(t), symbols(t), lines(t)[1]
+
+
 def cascade(t: Texts, rules: list[str]) -> np.ndarray:
     """Index of the rule (in the given order) that rejects each text first; -1: kept."""
     out = np.full(len(t), -1)
@@ -187,8 +211,9 @@ def cascade(t: Texts, rules: list[str]) -> np.ndarray:
     for i, name in enumerate(rules):
         if not len(alive):
             break
-        t = t.subset(np.flatnonzero(out[alive] < 0)) if i else t
-        alive = alive[out[alive] < 0] if i else alive
+        left = np.flatnonzero(out[alive] < 0)
+        if len(left) < len(alive):
+            t, alive = t.subset(left), alive[left]
         if len(alive):
             out[alive[RULES[name](t)]] = i
     return out
@@ -204,10 +229,11 @@ def measure(docs: DataFrame, rules: list[str] | None = None, rows: int = SAMPLE_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in chunks(batches):
-            out = []
+            out, whole = [], Texts(data, off)
+            base_figures(whole)
             for name in names:
-                t = Texts(data, off)
                 began = time.perf_counter()
+                t = whole.subset(np.arange(len(whole)))  # as the cascade sets apart what a rule gets
                 no = RULES[name](t)
                 out.append((name, time.perf_counter() - began, len(data), len(t), int(no.sum())))
             yield record(schema, *map(list, zip(*out, strict=True)))
@@ -229,13 +255,13 @@ def apply_rules(docs: DataFrame, rules: list[str] | None = None, sample_rows: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
             t = Texts(data, off)
-            repeated = repeat_words(t)
+            figures, repeated = base_figures(t), repeat_words(t)
             failed = (t.n_words < 50) | (100 * repeated > 50 * t.n_words)
             by = np.full(len(t), -1)
             passed = np.flatnonzero(~failed)
             if len(passed):
                 by[passed] = cascade(t.subset(passed), order)
-            yield record(schema, rows.column("doc_id"), t.n_words, word_chars(t), symbols(t), lines(t)[1], repeated, failed, ~failed & (by < 0), [order[i] if i >= 0 else None for i in by])
+            yield record(schema, rows.column("doc_id"), t.n_words, *figures, repeated, failed, ~failed & (by < 0), [order[i] if i >= 0 else None for i in by])
 
     return text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
 

@@ -8,9 +8,10 @@ gathered; only bounded tables of bin counts reach the driver.
 
 The raw model counts every n-gram of every text. The target model uses at most TARGET_ROWS labelled rows, picked by hash.
 
-Defined cases: null or empty texts and texts without words have weight 0 (log weight 0); the noise depends on doc_id and seed
-alone, so repeated rows are drawn together and rows that tie with the k-th value are all drawn; an empty table gives an
-empty result; without target rows all log weights are 0.
+Defined cases: null or empty texts and texts without words have weight 0 (log weight 0); texts of any length are counted whole; the
+noise depends on doc_id and seed alone, so repeated rows are drawn together and rows that tie with the k-th value are all drawn;
+rows without a doc_id share one noise; an empty table gives an empty result; without target rows all log weights are 0; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

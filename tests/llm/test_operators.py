@@ -75,6 +75,11 @@ def test_quality_rules(spark, odd_texts, empty):
     alone = np.array([quality_rules.RULES[n](texts) for n in names]).any(0)
     for order in (names, names[::-1]):
         assert ((quality_rules.cascade(texts, order) >= 0) == alone).all()
+    # what is set apart for a rule is what a fresh look at those texts gives
+    rows = np.array([5, 0, 17, 16, 3])
+    part, fresh = texts.subset(rows), quality_rules.Texts(np.frombuffer(b"".join(raw[i] for i in rows), np.uint8), np.concatenate([[0], np.cumsum([len(raw[i]) for i in rows])]))
+    assert all((getattr(part, k) == getattr(fresh, k)).all() for k in ("data", "off", "starts", "ends", "first", "n_words"))
+    assert set(part.known) == {"word_chars", "symbols", "lines", "dup_lines"} and all((a == b).all() for a, b in zip(quality_rules.base_figures(part), quality_rules.base_figures(fresh), strict=True))
     assert quality_rules.rule_order([{"rule": "shouting", "rejected": 9, "texts": 10, "seconds": 1, "bytes": 1}, {"rule": "exclaiming", "rejected": 9, "texts": 10, "seconds": 0.1, "bytes": 1}])[:2] == ["exclaiming", "shouting"]
     assert quality_rules.apply_rules(empty).count() == 0
 
@@ -386,6 +391,24 @@ def test_resampling(spark, odd_texts, empty):
     assert list(got.selected) == list(got.drawn_value >= least) and got.selected.sum() == k
     raw = resample.bucket_counts(docs)
     assert raw.sum() == sum(grams)
+    # everything again, a word at a time
+    import math
+
+    import xxhash
+
+    def buckets(t):
+        w = [int(quality_rules.Texts(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())])).word_hash()[0]) for x in WORD.findall((t or "").translate(LOWER))]
+        two = [int(resample.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) for a, b in zip(w, w[1:], strict=False)]
+        return [x % resample.BUCKETS for x in w + two]
+
+    every = [buckets(t) for t in odd_texts]
+    all_, good_ = Counter(b for x in every for b in x), Counter(b for i in range(1, 50, 2) for b in every[i])
+    n_all, n_good = sum(all_.values()), sum(good_.values())
+    weight = [sum(math.log((good_[b] + 1) / (n_good + resample.BUCKETS)) - math.log((all_[b] + 1) / (n_all + resample.BUCKETS)) for b in x) for x in every]
+    assert np.allclose(got.log_weight, weight)
+    for i, (value, w) in enumerate(zip(got.drawn_value, weight, strict=True)):
+        uniform = ((xxhash.xxh64_intdigest((1).to_bytes(4, "little"), xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)) & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+        assert abs(value - (w - math.log(-math.log(uniform))) * resample.SCALE) <= 2, i
     bucket, text = resample.ngram_buckets(np.frombuffer(b"a b a", np.uint8), np.array([0, 5]))
     assert len(bucket) == 5 and set(text) == {0} and bucket[0] == bucket[2]
     ratio = resample.log_ratio(np.eye(1, resample.BUCKETS, 3)[0] * 50, raw)
