@@ -105,8 +105,14 @@ def _post(url: str, body: bytes) -> int:
         return e.code
 
 
+#: Bytes of one request of lines.
+MOST_INGEST_BYTES = 10 << 20
+
+
 def ingest_lines(spark: SparkSession, lines: list[str], parser: str = "json", now: datetime | None = None) -> tuple[DataFrame, dict]:
-    """Lines of one request: their events, and a report with at most five of the lines that failed."""
+    """Lines of one request: their events, and a report with the reasons of at most five lines that failed. A request that is too large is a ValueError."""
+    if sum(len(x.encode("utf-8", "surrogatepass")) + 1 for x in lines) > MOST_INGEST_BYTES:
+        raise ValueError(f"more than {MOST_INGEST_BYTES} bytes")
     frame = spark.createDataFrame([(x,) for x in lines] or [("",)], "line string")
     parsed = parsers.parse_lines(frame, parser, now or datetime.now(timezone.utc))
     return parsers.events_of(parsed), parsers.parse_report(parsed).first().asDict() | {"errors": parsers.failures(parsed)}

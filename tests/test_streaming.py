@@ -2,6 +2,7 @@ import queue
 import time
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.plans.rules import Rule
@@ -106,3 +107,7 @@ def test_ingest(spark):
     events, report = ingest_lines(spark, ['{"type":"a"}', "bad", "", '{"type":"b"}'], "json", NOW)
     assert events.count() == 2 and {k: v for k, v in report.items() if k != "errors"} == {"accepted": 2, "skipped": 0, "failed": 1}
     assert len(report["errors"]) == 1 and report["errors"][0].startswith("json: ")
+    with pytest.raises(ValueError, match="bytes"):
+        ingest_lines(spark, ["x" * (1 << 20)] * 11, "json", NOW)
+    with pytest.raises(ValueError, match="unknown parser"):
+        ingest_lines(spark, ["x"], "csv", NOW)
