@@ -22,8 +22,8 @@ from ..deploy import ship_engine
 #: Bytes of text that one round of numpy operations takes; a longer text makes a round of its own.
 CHUNK_BYTES = 1 << 20
 
-#: Rows of a batch that Spark hands to Python.
-BATCH_ROWS = 2000
+#: Rows and bytes of a batch that Spark hands to Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 #: Word separators fixed by the data contracts: space, and tab to carriage return.
 SEPARATOR = np.zeros(256, bool)
@@ -43,8 +43,11 @@ _POWERS: dict[str, np.ndarray] = {}
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, for clusters whose Python path doesn't have it."""
     # texts are long: smaller batches bound what a worker and its executor hold
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        have = int(spark.conf.get(key).rstrip("bB"))
+        if have <= 0 or have > most:
+            spark.conf.set(key, str(most))
     ship_engine(spark)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, chunks, lists, mix, owner, prefix_hash, record, sha_of, ship, spans, with_fields, word_spans, written
+from .common import LOWER, Scratch, chunks, lists, mix, owner, record, sha_of, ship, with_fields, word_hashes, word_spans, written
 
 #: Lossless for 13 words with 2 substitutions.
 MASKS = ("11101011", "11001111")
@@ -51,7 +51,7 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
     data, off = LOWER[data[keep]], before[off]
     starts, ends, first = word_spans(data, off)
-    return spans(prefix_hash(data), starts, ends), first
+    return word_hashes(data, starts, ends), first
 
 
 def seeds(words: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:

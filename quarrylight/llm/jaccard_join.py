@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, as_long, buffers, chunks, lists, mix, prefix_hash, sha_of, ship, shingles, spans, tasks_for, text_of, word_spans, written
+from .common import LOWER, Scratch, as_long, buffers, chunks, lists, mix, sha_of, ship, shingles, tasks_for, text_of, word_hashes, word_spans, written
 from .components import components
 
 GROUPS, MOST_GROUPS, LEAF = 32, 4096, 16
@@ -62,7 +62,7 @@ def sets_of(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     """Distinct shingle hashes of each text in ascending order, and the index of each text's first."""
     data = LOWER[data]
     starts, ends, first = word_spans(data, off)
-    h, text = shingles(spans(prefix_hash(data), starts, ends), first, k)
+    h, text = shingles(word_hashes(data, starts, ends), first, k)
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
     new = np.ones(len(h), bool)
