@@ -48,8 +48,11 @@ def test_held_out_quality(spark):
     found = queries.QUERIES["op6_language_id"](spark, sf_dir).filter("held_out").join(docs, "doc_id")
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    tox = queries.QUERIES["op10_toxicity"](spark, sf_dir).filter("held_out").join(labels, "doc_id").toPandas()
-    assert (tox.predicted == tox.toxic).mean() > 0.9 and (tox[tox.toxic == 0].predicted == 0).mean() > 0.95
+    # the network needs some hundreds of toxic rows, which the tenth scale has (this scale has 44)
+    large = "/root/testdata/sf0.1"
+    found = queries.QUERIES["op10_toxicity"](spark, large).filter("held_out")
+    tox = found.join(spark.read.parquet(f"{large}/labels.parquet").filter("toxic is not null"), "doc_id").toPandas()
+    assert (tox[tox.toxic == 1].predicted == 1).mean() >= 0.9 and (tox[tox.toxic == 0].predicted == 0).mean() > 0.98
     quality = queries.QUERIES["op7_importance_resampling"](spark, sf_dir).join(labels, "doc_id").toPandas()
     assert quality[quality.quality == 1].selected.mean() > 0.95 and quality[quality.quality == 0].selected.mean() < 0.5
 
