@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, decontaminate, jaccard_join, lang_id, piece_lattice, quality_rules, resample, sharding, suffix_dedup, toxicity
+from . import bpe_counts, decontaminate, jaccard_join, lang_id, order_minhash, piece_lattice, quality_rules, resample, sharding, suffix_dedup, toxicity
 from .common import read_table
 
 SHARDS = 40
@@ -75,6 +75,11 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprints of every document and of its edited text, with their likeness and that to the next document."""
+    return order_minhash.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_toxicity": op10_toxicity,
+    "op13_order_minhash": op13_order_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
