@@ -2,12 +2,12 @@
 
 A text's words [^\\x20\\x09-\\x0D]+ give its k-mers of K words (a shorter text gives one of all its words). The c-th occurrence of a
 k-mer is an element of its own, so repeats count. Each of M components ranks the elements by a hash of k-mer and occurrence,
-takes the L least, puts them back in the order of the text, and hashes that tuple of k-mers. Two texts agree in a component only if
+takes the two least, puts them back in the order of the text, and hashes that pair. Two texts agree in a component only if
 they hold the same least k-mers in the same order, so the likeness (the share of equal components) falls with their edit
 distance, moved passages included, where a plain MinHash sees none.
 
 The M rankings are turns of one hash: ranking j counts from the point j / M of the ring of 64-bit values. So a text is
-hashed and sorted once, whatever M is: M markers are sorted among the elements, and component j takes the L elements behind marker j.
+hashed and sorted once, whatever M is: M markers are sorted among the elements, and component j takes the two elements behind marker j.
 
 The table needs each text's next one. Documents are dealt to blocks by cuts of their ids (approximate quantiles; an id that holds
 several cuts is dealt further by a hash of the text), each block gets the first row of the one behind it as halo, and
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import tasks_for
 
-#: Words of a k-mer, elements of a tuple, components of a fingerprint.
-K, L, M = 5, 2, 64
+#: Words of a k-mer, components of a fingerprint.
+K, M = 5, 64
 #: Blocks of neighbours for each shuffle partition of the session.
 BLOCKS_A_TASK = 4
 #: Rows of a block that a window holds outside Spark's spilling memory: texts may be long.
@@ -56,21 +56,20 @@ def _element(rank: Column, at: Column) -> Column:
     return rank.bitwiseAND(_RANK).bitwiseOR(at.cast("long").bitwiseOR(_IS_ELEMENT))
 
 
-def _numbered(elements: Column) -> Column:
-    """The elements of a text in which k-mers repeat: sorted, each k-mer's occurrences are a run, and all but the first are ranked anew by k-mer and number."""
-    rank = lambda found, i: F.get(found, i).bitwiseAND(_RANK)
+def _numbered(found: Column) -> Column:
+    """The sorted elements of a text in which k-mers repeat: each k-mer's occurrences are a run, and all but the first are ranked anew by k-mer and number."""
+    rank = lambda x: x.bitwiseAND(_RANK)
+    again = F.filter(found, lambda x, i: (i > 0) & (rank(x) == rank(F.get(found, i - 1))))
 
-    def in_runs(found: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (rank(found, i) != rank(found, i - 1)))
-        return _let(starts, lambda s: F.flatten(F.transform(s, lambda start, nth: occurrences(found, start, F.coalesce(F.get(s, nth + 1), F.size(found))))))
+    def ranked_anew(repeats: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(repeats) - 1), lambda i: (i == 0) | (rank(F.get(repeats, i)) != rank(F.get(repeats, i - 1))))
+        runs = _let(starts, lambda s: F.flatten(F.transform(s, lambda start, nth: F.transform(F.slice(repeats, start + 1, F.coalesce(F.get(s, nth + 1), F.size(repeats)) - start), lambda x, c: _element(F.xxhash64(rank(x), c), x.bitwiseAND(_IS_ELEMENT - 1))))))
+        return F.sort_array(F.concat(F.array_except(found, repeats), runs))
 
-    def occurrences(found: Column, start: Column, end: Column) -> Column:
-        return F.transform(F.slice(found, start + 1, end - start), lambda x, c: F.when(c == 0, x).otherwise(_element(F.xxhash64(x.bitwiseAND(_RANK), c), x.bitwiseAND(_IS_ELEMENT - 1))))
+    return _let(again, ranked_anew)
 
-    return _let(F.sort_array(elements), in_runs)
 
-
-def with_signature(df: DataFrame, text: str, name: str, k: int = K, l: int = L, m: int = M) -> DataFrame:  # noqa: E741
+def with_signature(df: DataFrame, text: str, name: str, k: int = K, m: int = M) -> DataFrame:
     """The column `name` (m ints): the order MinHash signature of the column `text`."""
     keep = df.columns
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
@@ -80,28 +79,30 @@ def with_signature(df: DataFrame, text: str, name: str, k: int = K, l: int = L,
     shifted = F.arrays_zip(F.col("_words").alias("w0"), *[F.slice("_words", F.lit(j + 1), F.size("_words")).alias(f"w{j}") for j in range(1, k)])
     whole = F.slice(shifted, 1, F.greatest(F.size("_words") - (k - 1), F.lit(1)))
     df = _computed(df, _kmers=F.transform(whole, lambda x: F.xxhash64(x).bitwiseAND(_RANK))).drop("_words")
+    elements = F.sort_array(F.transform("_kmers", _element))
     once = F.size(F.array_distinct("_kmers")) == F.size("_kmers")
-    elements = F.transform("_kmers", _element)
-    elements = F.when(once, elements).otherwise(_numbered(elements))
+    df = _computed(df, _sorted=elements, _once=once).drop("_kmers")
+    df = _computed(df, _elements=F.when(F.col("_once"), F.col("_sorted")).otherwise(_numbered(F.col("_sorted")))).drop("_sorted", "_once")
     markers = F.array(*[F.lit(_LEAST + j * 2**64 // m).cast("long") for j in range(m)])
-    df = _computed(df, _ring=F.sort_array(F.concat(elements, markers)))
-    is_element = lambda x: x.bitwiseAND(_IS_ELEMENT) != 0
-    behind = F.filter(F.sequence(F.lit(0), F.size("_ring") - 1), lambda i: ~is_element(F.get("_ring", i)))
-    df = _computed(df, _markers=behind, _elements=F.filter("_ring", is_element)).drop("_ring")
+    df = _computed(df, _ring=F.sort_array(F.concat("_elements", markers)))
+    behind = F.filter(F.sequence(F.lit(0), F.size("_ring") - 1), lambda i: F.get("_ring", i).bitwiseAND(_IS_ELEMENT) == 0)
+    df = _computed(df, _behind=F.transform(behind, lambda at, j: at - j)).drop("_ring")
+
+    def component(begin: Column) -> Column:
+        n = F.greatest(F.size("_elements"), F.lit(1))
+        return _let(F.struct(F.get("_elements", F.pmod(begin, n)).alias("a"), F.get("_elements", F.pmod(begin + 1, n)).alias("b")), lambda x: in_order(x["a"], x["b"]))
 
-    def component(j: Column) -> Column:
-        begin, n = F.get("_markers", j) - j, F.size("_elements")
-        place = lambda t: F.get("_elements", F.pmod(begin + t, n)).bitwiseAND(_IS_ELEMENT - 1).cast("int")
-        places = F.sort_array(F.transform(F.sequence(F.lit(0), F.least(F.lit(l), n) - 1), place))
-        tuple_ = F.when(n > 0, F.transform(places, lambda at: F.get("_kmers", at))).otherwise(F.array().cast("array<bigint>"))
-        return F.shiftright(F.xxhash64(tuple_), 32).cast("int")
+    def in_order(a: Column, b: Column) -> Column:
+        at = lambda x: x.bitwiseAND(_IS_ELEMENT - 1)
+        rank = lambda x: x.bitwiseAND(_RANK)
+        return F.shiftright(F.when(at(a) < at(b), F.xxhash64(rank(a), rank(b))).otherwise(F.xxhash64(rank(b), rank(a))), 32).cast("int")
 
-    return df.select(*keep, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), component).alias(name))
+    return df.select(*keep, F.transform("_behind", component).alias(name))
 
 
 def spelled(signature: str) -> Column:
     """A signature as text: eight hexadecimal digits a component."""
-    return F.array_join(F.transform(signature, lambda c: F.lower(F.right(F.concat(F.lit("0000000"), F.hex(c.cast("long"))), F.lit(8)))), "")
+    return F.array_join(F.transform(signature, lambda c: F.right(F.hex(c.cast("long") + 2**40), F.lit(8))), "")
 
 
 def likeness(a: str, b: str) -> Column:
