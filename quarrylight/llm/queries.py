@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, decontaminate, jaccard_join, lang_id, order_minhash, piece_lattice, quality_rules, resample, sharding, suffix_dedup, toxicity
+from . import bpe_counts, decontaminate, errata_trie, jaccard_join, lang_id, order_minhash, piece_lattice, prefix_trie, quality_rules, resample, sharding, suffix_dedup, toxicity
 from .common import read_table
 
 SHARDS = 40
@@ -75,6 +75,16 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words, forms and roots."""
+    return errata_trie.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every document and of its edited text, with their likeness and that to the next document."""
     return order_minhash.fingerprints(read_table(spark, sf_dir, "documents"))
@@ -91,6 +101,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_order_minhash": op13_order_minhash,
 }
 
