@@ -1,4 +1,4 @@
-"""Queries over the event and alert tables, and their writing.
+"""Queries over the event and alert tables, and the numbering of their rows.
 
 Filters are plain columns, so they reach the Parquet scan; lists are ordered top-k (limit is a feature of the API: a page).
 """
@@ -9,11 +9,11 @@ import string
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..deploy import checkpointed
-from ..functions.fields import STATUSES, storage_time
+from ..functions.fields import STATUSES
 
 PAGE, MOST = 100, 1000
 
@@ -100,11 +100,11 @@ def kept_events(events: DataFrame, now: datetime, retention: timedelta) -> DataF
 _ROW_BITS = 33
 
 
-def with_ids(events: DataFrame, after: int = 0, order: Sequence[str] = ("timestamp",)) -> DataFrame:
+def with_ids(events: DataFrame, after: int = 0, order: Sequence[str] = ("timestamp",), folder: str | None = None) -> DataFrame:
     """Ids after + 1, after + 2, ... in the given order, without a sort on one task.
 
-    Rows are dealt to ranges, sorted and numbered there; the numbered rows are kept as a checkpoint, from which both the sizes of
-    the ranges and the ids are read, so that they can't differ. Rows that are equal in the order follow a hash of all they hold.
+    Rows are dealt to ranges, sorted and numbered there; the numbered rows are kept (in `folder`, which is the caller's to delete, or as a
+    checkpoint), and both the sizes of the ranges and the ids are read from that, so that they can't differ. Rows that are equal in the order follow a hash of all they hold.
     """
     payload = [c for c in events.columns if c != "id"]
     kinds = dict(events.dtypes)
@@ -112,7 +112,12 @@ def with_ids(events: DataFrame, after: int = 0, order: Sequence[str] = ("timesta
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*order, "__tie"]
     ranged = events.select(*payload).withColumn("__tie", tie).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    ranged = checkpointed(ranged.withColumn("__row", F.monotonically_increasing_id()).drop("__tie"))
+    ranged = ranged.withColumn("__row", F.monotonically_increasing_id()).drop("__tie")
+    if folder:
+        ranged.write.mode("overwrite").parquet(folder)
+        ranged = events.sparkSession.read.schema(ranged.schema).parquet(folder)
+    else:
+        ranged = checkpointed(ranged)
     part, nth = F.shiftright("__row", _ROW_BITS), F.col("__row").bitwiseAND((1 << _ROW_BITS) - 1)
     sizes = ranged.groupBy(part.alias("__part")).agg((F.max(nth) + 1).alias("n"))
     begins = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__begins"))  # a row a partition
@@ -120,16 +125,8 @@ def with_ids(events: DataFrame, after: int = 0, order: Sequence[str] = ("timesta
     return numbered.select((F.lit(after) + F.col("__begins") + nth + 1).alias("id"), *payload)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Append to the event table, partitioned by day, times in milliseconds."""
-    storage_time(events).withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
-
-
-def write_alerts(alerts: DataFrame, path: str, now: datetime) -> None:
+def as_alerts(alerts: DataFrame, now: datetime) -> DataFrame:
+    """Alerts as they are stored."""
     if "created_at" not in alerts.columns:
         alerts = alerts.withColumn("created_at", F.lit(now).cast("timestamp"))
-    alerts.withColumn("status", F.coalesce("status", F.lit("open"))).write.mode("append").parquet(path)
-
-
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("day")
+    return alerts.withColumn("status", F.coalesce("status", F.lit("open")))

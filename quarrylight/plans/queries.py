@@ -11,15 +11,17 @@ import tempfile
 import uuid
 from datetime import datetime, timedelta, timezone
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import shared_folder
+from ..deploy import delete_folder, shared_folder
 from ..functions.fields import severity_rank
 from ..operators import detect, intel, stats, store
+from ..operators.ledger import Store
 from ..sources import feeds, parsers
-from ..streaming.detection import JUDGED, judged, live_alerts
-from ..streaming.live import Counters, pipeline_stream
+from ..streaming.detection import STATE, judged, live_alerts
+from ..streaming.live import Counters, open_store, pipeline_stream
 from . import sigma
 from .conditions import compile_condition
 from .rules import Rule, parse_rules, rule_table
@@ -298,7 +300,7 @@ SELECT event_id, 'sigma-either-form' AS rule_id FROM x WHERE (asked AND odd) OR
 
 
 def sigma_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loading a folder of documents: what was skipped, by reason."""
+    """Loading a folder of documents: what was skipped, by reason; and how often the loaded rules hold for web events."""
     base = "title: T\nlevel: low\nlogsource: {category: webserver}\ndetection:\n  a: {method: GET}\n  condition: "
     docs = {
         "a.yml": base + "a", "b.yml": base + "a", "c.yml": base.replace("title: T", "title: U") + "a", "d.yaml": base + "x", "e.yml": base.replace("webserver", "dns") + "a", "f.yml": "status: deprecated\n" + base + "a", "g.yml": base + "a | count() > 1",
@@ -308,12 +310,14 @@ def sigma_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name, text in docs.items():
             with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
                 f.write(text)
-        report = sigma.load_paths([folder])[1]
-    return report.table(spark).withColumns({"files": F.lit(report.files), "loaded": F.lit(report.loaded)})
+        rules, report = sigma.load_paths([folder])
+    web = parsers.parse_lines(nginx_lines(spark, sf_dir), "nginx", NOW).filter("status = 'ok'")
+    matched = web.agg(*[F.count_if(r.matches()).alias(f"n{i}") for i, r in enumerate(rules)]).first()
+    return report.table(spark).withColumns({"files": F.lit(report.files), "loaded": F.lit(report.loaded), "matches": F.lit(sum(matched))})
 
 
 _SIGMA_REPORT = """
-SELECT *, 12 AS files, 3 AS loaded FROM (VALUES ('aggregation in condition', 1), ('correlation rule', 1), ('duplicate id', 1), ('invalid rule', 2), ('logsource', 1), ('modifier base64', 1), ('multi-document rule', 1), ('status deprecated', 1)) t(reason, rules)
+SELECT *, 12 AS files, 3 AS loaded, 3 * (SELECT count(*) FROM events) AS matches FROM (VALUES ('aggregation in condition', 1), ('correlation rule', 1), ('duplicate id', 1), ('invalid rule', 2), ('logsource', 1), ('modifier base64', 1), ('multi-document rule', 1), ('status deprecated', 1)) t(reason, rules)
 """
 
 # -- detection
@@ -414,38 +418,53 @@ SELECT 'r10000' AS rule_id, 'low' AS severity, 'json' AS group_key, 10000 AS cou
 """
 
 
+def _result(spark: SparkSession, rows: DataFrame, at: str) -> DataFrame:
+    """The rows as a table of their own, so that the folder that they come from can go."""
+    path = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    delete_folder(spark, at)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def stream_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold rule over a stream of the events, by keyed state: the same alerts as over the table."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's path must be no plain file
     live = live_alerts(_as_logs(source), _rules("errors"), expire=False)
     live.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/alerts/{n}")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return _alert_rows(spark.read.parquet(f"{at}/alerts/*"))
+    return _result(spark, _alert_rows(spark.read.parquet(f"{at}/alerts/*")), at)
+
+
+def _json_lines(e: DataFrame) -> DataFrame:
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return e.select(F.to_json(F.struct(stamp.alias("time"), "type", "user", F.col("src_ip").alias("ip"), F.col("fields")["value"].alias("value"))).alias("line"))
 
 
-def _live(spark: SparkSession, sf_dir: str) -> tuple[str, Counters]:
+def _live(spark: SparkSession, sf_dir: str) -> tuple[str, Store, Counters]:
     """The events as JSON lines in a folder, taken through the live path."""
     at = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
-    e = log_events(spark, sf_dir)
-    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    e.select(F.to_json(F.struct(stamp.alias("time"), "type", "user", F.col("src_ip").alias("ip"), F.col("fields")["value"].alias("value"))).alias("line")).write.text(f"{at}/in")
-    counters = Counters()
-    query = pipeline_stream(parsers.stream_lines(spark, f"{at}/in"), "json", _rules("errors", "kinds"), f"{at}/events", f"{at}/alerts", f"{at}/state", f"{at}/checkpoint", counters=counters, now=NOW, trigger={"availableNow": True})
-    query.awaitTermination()
-    return at, counters
+    _json_lines(log_events(spark, sf_dir)).write.text(f"{at}/in")
+    counters, held = Counters(), open_store(spark, f"{at}/store")
+    pipeline_stream(parsers.stream_lines(spark, f"{at}/in"), "json", _rules("errors", "kinds"), held, f"{at}/checkpoint", counters=counters, now=NOW, trigger={"availableNow": True}).awaitTermination()
+    return at, held, counters
+
+
+def _with_stored(held: Store) -> DataFrame:
+    """Stored alerts, and how many of the ids that they carry are stored events of their group."""
+    alerts = held.alerts()
+    named = alerts.select("id", F.explode("event_ids").alias("event_id"), "group_key").join(held.events().select(F.col("id").alias("event_id"), F.col("user").alias("group_key")), ["event_id", "group_key"])
+    return _plain(alerts.join(named.groupBy("id").agg(F.count(F.lit(1)).alias("n_stored")), "id").select("rule_id", "group_key", "count", "last_seen", "n_stored"))
 
 
 def live_alerts_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of the live path, and how many of the ids that they carry are stored events of their group."""
-    at, _ = _live(spark, sf_dir)
-    alerts = spark.read.parquet(f"{at}/alerts")
-    named = alerts.select("id", F.explode("event_ids").alias("event_id"), "group_key").join(store.read_events(spark, f"{at}/events").select(F.col("id").alias("event_id"), F.col("user").alias("group_key")), ["event_id", "group_key"])
-    held = named.groupBy("id").agg(F.count(F.lit(1)).alias("n_stored"))
-    return _plain(alerts.join(held, "id").select("rule_id", "group_key", "count", "last_seen", "n_stored"))
+    """Alerts of the live path with their stored events."""
+    at, held, _ = _live(spark, sf_dir)
+    return _result(spark, _with_stored(held), at)
 
 
 def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, c = _live(spark, sf_dir)
+    at, _, c = _live(spark, sf_dir)
+    delete_folder(spark, at)
     return spark.createDataFrame([(c.ingested, c.alerts, c.store_failures, c.queued)], "ingested bigint, alerts bigint, store_failures bigint, queued bigint")
 
 
@@ -453,9 +472,108 @@ _LIVE_ALERTS = f"SELECT rule_id, group_key, count, last_seen, n_ids::BIGINT AS n
 _LIVE_COUNTERS = f"SELECT (SELECT count(*) FROM events) AS ingested, (SELECT count(*) FROM ({_LIVE_ALERTS})) AS alerts, 0::BIGINT AS store_failures, 0::BIGINT AS queued"
 
 
+class Killed(RuntimeError):
+    """The end that a crash would make of a stream."""
+
+
+class _Mortal(Store):
+    """A store whose process dies once before it commits a batch, and once right after it has."""
+
+    def __init__(self, spark: SparkSession, path: str, before: int, after: int):
+        super().__init__(spark, path, STATE)
+        self.before, self.after = {before}, {after}
+
+    def commit_batch(self, batch: int, **tables) -> int:
+        if batch in self.before:
+            self.before.remove(batch)
+            for name in ("events", "alerts"):  # what it has written by then lies about
+                tables.get(name) is not None and self.write(tables[name], name, f"batch-{batch}")
+            raise Killed("before the commit")
+        out = super().commit_batch(batch, **tables)
+        if batch in self.after:
+            self.after.remove(batch)
+            raise Killed("after the commit")
+        return out
+
+
+def live_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches, in the order of time; the process dies between writing and commit of the second, and after the commit of the third, before Spark knows of it. Restarted, both times Spark replays
+    the batch: the alerts are those of a run without crashes, and every event is stored once."""
+    at = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    held = _Mortal(spark, f"{at}/store", before=1, after=2)
+    e = log_events(spark, sf_dir)
+    cuts = e.agg(F.percentile_approx(F.unix_micros("timestamp"), [0.25, 0.5, 0.75])).first()[0]
+    quarter = sum((F.unix_micros("timestamp") >= c).cast("int") for c in cuts)
+    for n in range(4):
+        _json_lines(e.filter(quarter == n)).coalesce(1).write.mode("append").text(f"{at}/in")
+        for _ in range(2):  # the second run is the restart
+            query = pipeline_stream(parsers.stream_lines(spark, f"{at}/in"), "json", _rules("errors", "kinds"), held, f"{at}/checkpoint", now=NOW, trigger={"availableNow": True})
+            try:
+                query.awaitTermination()
+                break
+            except StreamingQueryException:
+                held = open_store(spark, f"{at}/store") if not held.before | held.after else held
+    events = held.events()
+    out = _with_stored(held).withColumns({"n_events": F.lit(events.count()), "n_event_ids": F.lit(events.select("id").distinct().count())})
+    return _result(spark, out, at)
+
+
+_LIVE_REPLAY = f"SELECT *, (SELECT count(*) FROM events) AS n_events, (SELECT count(*) FROM events) AS n_event_ids FROM ({_LIVE_ALERTS})"
+
+
+def _filled(spark: SparkSession, sf_dir: str, batches: int) -> tuple[str, Store]:
+    """A store with the events in batches of equal ranges of ids, and the alerts of one rule."""
+    at = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    held, e = open_store(spark, at), log_events(spark, sf_dir)
+    low, high = e.agg(F.min("id"), F.max("id")).first()
+    for n in range(batches):
+        part = e.filter(F.expr(f"(id - {low}) * {batches} div {high - low + 1} = {n}"))
+        found = store.as_alerts(detect.evaluate(part, _rules("every-large")).withColumn("id", F.element_at("event_ids", 1)), NOW)
+        held.commit_batch(n, events=part, alerts=found.select(*held.schemas["alerts"].names))
+    return at, held
+
+
+def store_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old events are removed from the store: files of whole days without reading them, those of the day at the edge by rewriting; alerts stay."""
+    at, held = _filled(spark, sf_dir, 3)
+    files = {p.path for p in held.parts("events")}
+    done = held.expire(NOW - timedelta(hours=6), timedelta(days=7))
+    left = {p.path for p in held.parts("events")}
+    e = held.events()
+    out = e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).withColumns({"alerts": F.lit(held.alerts().count()), "gone": F.lit(done["rows"]), "by_file": F.lit(done["removed"] > done["rewritten"] > 0 and len(files - left) == done["removed"] + done["rewritten"])})
+    return _result(spark, out, at)
+
+
+_STORE_RETENTION = f"""
+WITH {_SQL_EVENTS}, k AS (SELECT * FROM le WHERE date_trunc('millisecond', timestamp) >= TIMESTAMP '2024-01-24 18:00:00')
+SELECT type, count(*) AS n, min(id) AS first, (SELECT count(*) FROM le WHERE value >= 100) AS alerts, (SELECT count(*) FROM le) - (SELECT count(*) FROM k) AS gone, true AS by_file FROM k GROUP BY ALL
+"""
+
+
+def store_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page and single events from the store: only files that can hold them are opened."""
+    at, held = _filled(spark, sf_dir, 8)
+    total, (low, high) = len(held.parts("events")), held.events().agg(F.min("id"), F.max("id")).first()
+    opened: list[int] = []
+    table = held.table
+    held.table = lambda name, parts=None: opened.append(len(parts)) or table(name, parts)
+    before = low + (high - low + 1) // 2
+    page = held.page(100, before_id=before, where=F.col("type") == "click")
+    some = held.get_events([low, low + 1, high])
+    out = page.select("id", F.lit("page").alias("asked")).unionByName(some.select("id", F.lit("ids").alias("asked"))).withColumn("few_files", F.lit(all(n < 0.6 * total for n in opened)))
+    return _result(spark, out, at)
+
+
+_STORE_PAGE = f"""
+WITH {_SQL_EVENTS}, b AS (SELECT min(id) AS low, max(id) AS high FROM le)
+(SELECT id, 'page' AS asked, true AS few_files FROM le, b WHERE type = 'click' AND id < low + (high - low + 1) // 2 ORDER BY id DESC LIMIT 100)
+UNION ALL SELECT id, 'ids', true FROM le, b WHERE id IN (low, low + 1, high)
+"""
+
+
 def engine_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups that a rule still remembers after all events: those with a hit in the last window, or still quiet."""
-    left = judged(log_events(spark, sf_dir), spark.createDataFrame([], JUDGED).drop("fire"), _rules("errors")).filter("fire is null")
+    left = judged(log_events(spark, sf_dir), spark.createDataFrame([], STATE), _rules("errors")).filter("fire is null")
     return _plain(left.select("grp", F.timestamp_micros("seen").alias("seen")))
 
 
@@ -475,11 +593,23 @@ def _prefixes(spark: SparkSession) -> DataFrame:
     return out
 
 
+def _feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of the addresses that errors came from, with networks, comments and wrong entries between."""
+    e = log_events(spark, sf_dir)
+    errors = e.filter("type = 'error'").select(F.concat("src_ip", F.lit(" # seen")).alias("line"))
+    networks = e.select(F.concat(F.lit("  "), "src_ip", F.lit("/24;"), "type").alias("line"))
+    return errors.unionByName(networks.filter("line like '%purchase'")).unionByName(e.select(F.concat(F.lit("user "), "user").alias("line")))
+
+
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prefixes(spark).groupBy("feed", "family").agg(F.count(F.lit(1)).alias("entries"))
+    return feeds.parse_feed(_feed_lines(spark, sf_dir), 0, "errors").groupBy("feed", "family", "len").agg(F.count(F.lit(1)).alias("entries"))
 
 
-_FEED_ENTRIES = "SELECT * FROM (VALUES ('first', 4, 2::BIGINT), ('first', 6, 1::BIGINT), ('second', 4, 3::BIGINT)) t(feed, family, entries)"
+_FEED_ENTRIES = f"""
+WITH {_SQL_EVENTS}
+SELECT 'errors' AS feed, 4 AS family, 32 AS len, count(DISTINCT src_ip) AS entries FROM le WHERE type = 'error' HAVING count(*) > 0
+UNION ALL SELECT 'errors', 4, 24, count(DISTINCT split_part(src_ip, '.', 3)) FROM le WHERE type = 'purchase' HAVING count(*) > 0
+"""
 
 
 def enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,28 +623,26 @@ q AS (SELECT id, src_ip, (c = 0 AND d < 128) OR (c = 1 AND d = 7) AS a, (c = 0 A
 SELECT id, src_ip, CASE WHEN a AND b THEN 'first,second' WHEN a THEN 'first' WHEN b THEN 'second' ELSE '' END AS ti_lists, CASE WHEN a OR b THEN 3 ELSE 2 END AS n_fields FROM q
 """
 
-def feed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed whose refresh fails keeps what it had, and says so."""
-    with tempfile.TemporaryDirectory(dir=_folder(spark)) as folder:
-        path = os.path.join(folder, "feed.txt")
-        with open(path, "w", encoding="utf-8") as f:
-            f.write("\n".join(FEED_TEXT["first"]))
-        found = feeds.FeedSet(spark, [feeds.Feed("kept", path), feeds.Feed("never", os.path.join(folder, "missing.txt"))])
-        found.refresh()
-        with open(path, "w", encoding="utf-8") as f:
-            f.write("not an address\n")
-        found.refresh()
-        return found.status().select("feed", "entries", (F.col("error") != "").alias("failed"), F.col("loaded_at").isNotNull().alias("loaded"))
-
-
-def _folder(spark: SparkSession) -> str:
-    """The shared folder as a path of this machine."""
-    path = shared_folder(spark).removeprefix("file://").removeprefix("file:")
-    os.makedirs(path, exist_ok=True)
-    return path
-
 
-_FEED_REFRESH = "SELECT * FROM (VALUES ('kept', 3::BIGINT, true, true), ('never', 0::BIGINT, true, false)) t(feed, entries, failed, loaded)"
+def feed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed that is renewed when its time has come: its new content holds, and a refresh that fails keeps what there was and says so. Events are flagged by the second of three versions."""
+    at = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    lines = _feed_lines(spark, sf_dir)
+    found = feeds.FeedSet(spark, [feeds.Feed("kept", f"{at}/feed"), feeds.Feed("never", f"{at}/missing")], timedelta(hours=6), f"{at}/tables")
+    asked = []
+    for hours, text in ((0, lines.filter("line like '%/24;%'")), (5, lines), (6, lines.filter("line like '%seen'")), (12, lines.filter("line like 'user%'"))):
+        text.write.mode("overwrite").text(f"{at}/feed")
+        asked.append(found.refresh_if_due(NOW + timedelta(hours=hours)))
+    status = {r["feed"]: (r["error"] != "", r["loaded_at"] is not None) for r in found.status().collect()}
+    rows = intel.enrich(log_events(spark, sf_dir), found.prefixes()).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count(F.try_element_at("fields", F.lit("ti_lists"))).alias("flagged"))
+    states = asked == [True, False, True, True] and status == {"kept": (True, True), "never": (True, False)}
+    return _result(spark, rows.withColumn("as_told", F.lit(states)), at)
+
+
+_FEED_REFRESH = f"""
+WITH {_SQL_EVENTS}, bad AS (SELECT DISTINCT src_ip FROM le WHERE type = 'error')
+SELECT type, count(*) AS n, count(*) FILTER (src_ip IN (SELECT src_ip FROM bad)) AS flagged, true AS as_told FROM le GROUP BY ALL
+"""
 
 # -- store
 
@@ -670,19 +798,26 @@ SELECT src_ip, n, coalesce(m, 0) AS alerts FROM t LEFT JOIN a USING (src_ip)
 """
 
 
-def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rules_and_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = rule_table(spark, [*_rules(), sigma.compile_rule(sigma.parse_document(SIGMA))])
-    return stats.search_rules(table, "LARGE").select("id", "name", "severity", severity_rank(F.col("severity")).alias("rank"))
+    return table.join(alerts(spark, sf_dir).groupBy(F.col("rule_id").alias("id")).agg(F.count(F.lit(1)).alias("alerts")), "id", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0)))
+
+
+def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules by a word, with the alerts that they have raised."""
+    return stats.search_rules(_rules_and_alerts(spark, sf_dir), "LARGE").select("id", "name", "severity", severity_rank(F.col("severity")).alias("rank"), "alerts")
 
 
-_RULE_SEARCH = "SELECT * FROM (VALUES ('large', 'Large value', 'medium', 2), ('every-large', 'Every large value', 'low', 1)) t(id, name, severity, rank)"
+_RULE_SEARCH = f"SELECT t.*, (SELECT count(*) FROM ({_MATCH})) AS alerts FROM (VALUES ('large', 'Large value', 'medium', 2)) t(id, name, severity, rank) UNION ALL SELECT t.*, (SELECT count(*) FROM ({_EVERY})) FROM (VALUES ('every-large', 'Every large value', 'low', 1)) t(id, name, severity, rank)"
 
 
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.rule_counts(rule_table(spark, [*_rules(), sigma.compile_rule(sigma.parse_document(SIGMA))]))
+    """Rules by their state, and how many of them have raised alerts."""
+    table = _rules_and_alerts(spark, sf_dir)
+    return stats.rule_counts(table).withColumn("fired", F.lit(table.filter("alerts > 0").count()))
 
 
-_RULE_COUNTS = "SELECT 6::BIGINT AS active, 6::BIGINT AS builtin, 1::BIGINT AS sigma"
+_RULE_COUNTS = f"SELECT 6::BIGINT AS active, 6::BIGINT AS builtin, 1::BIGINT AS sigma, (SELECT count(*) FROM ({_ALL}) WHERE alerts > 0) AS fired"
 
 _ALERT_EVENTS = f"""
 WITH {_SQL_EVENTS}, f AS ({_THRESHOLD})
@@ -693,7 +828,7 @@ FROM f JOIN le b ON b."user" = f.group_key AND b.type = 'error' AND (b.timestamp
 _ALL_QUERIES = (
     (parse_nginx, _PARSE_NGINX), (parse_ssh, _PARSE_SSH), (parse_json, _PARSE_JSON), (parse_report, _PARSE_REPORT), (parse_hostile_json, _HOSTILE_JSON), (parse_hostile_ssh, _HOSTILE_SSH), (condition, _CONDITION), (sigma_rule, _SIGMA), (sigma_forms, _SIGMA_FORMS), (sigma_report, _SIGMA_REPORT),
     (detect_threshold, _THRESHOLD), (detect_distinct, _DISTINCT), (detect_sequence, _SEQUENCE), (detect_match, _MATCH), (detect_every_match, _EVERY), (detect_all, _ALL), (detect_hit_cap, _HIT_CAP),
-    (stream_threshold, _THRESHOLD), (live_alerts_stored, _LIVE_ALERTS), (live_counters, _LIVE_COUNTERS), (engine_state, _ENGINE_STATE),
+    (stream_threshold, _THRESHOLD), (live_alerts_stored, _LIVE_ALERTS), (live_counters, _LIVE_COUNTERS), (live_replay, _LIVE_REPLAY), (engine_state, _ENGINE_STATE), (store_retention, _STORE_RETENTION), (store_page, _STORE_PAGE),
     (feed_entries, _FEED_ENTRIES), (feed_refresh, _FEED_REFRESH), (enrich, _ENRICH), (list_events, _LIST_EVENTS), (search_events, _SEARCH), (get_events, _GET), (list_alerts, _LIST_ALERTS), (alert_status, _ALERT_STATUS), (alert_events, _ALERT_EVENTS),
     (retention, _RETENTION), (assign_ids, _ASSIGN), (stats_totals, _TOTALS), (stats_by_type, _BY_TYPE), (stats_top_sources, _TOP), (stats_top_alerted, _TOP_ALERTED), (stats_open_by_severity, _OPEN), (stats_open_and_high, _OPEN_HIGH),
     (stats_timeline, _TIMELINE), (stats_default_range, _DEFAULT_RANGE), (stats_flagged_sources, _FLAGGED), (rule_search, _RULE_SEARCH), (rule_counts, _RULE_COUNTS),

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import ipaddress
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import checkpointed
+from ..deploy import delete_folder, shared_folder
 from ..functions.addresses import bits_of, parse_prefix
 
 PREFIXES = "feed_idx int, feed string, family int, len int, network string"
@@ -86,21 +89,45 @@ def load_feed(spark: SparkSession, index: int, feed: Feed) -> DataFrame:
 class FeedSet:
     """Feeds with their last good content: a failed refresh keeps what there was and records the error."""
 
-    def __init__(self, spark: SparkSession, feeds: list[Feed]):
+    def __init__(self, spark: SparkSession, feeds: list[Feed], every: timedelta = timedelta(hours=6), folder: str | None = None):
         validate_feeds(feeds)
-        self.spark, self.feeds = spark, feeds
+        self.spark, self.feeds, self.every = spark, feeds, every
+        self.folder = folder or f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}"
+        self.asked: datetime | None = None
+        self.paths: dict[str, str] = {}
         self.tables: dict[str, DataFrame] = {}
         self.loaded: dict[str, datetime] = {}
         self.errors: dict[str, str] = {}
 
-    def refresh(self) -> None:
+    def refresh(self, now: datetime | None = None) -> None:
+        """Read all feeds anew. Each version is a table of its own, as files may change or go; the last one is deleted once the new one is there."""
+        self.asked = now or datetime.now(timezone.utc)
         for i, f in enumerate(self.feeds):
+            path = f"{self.folder}/{f.name}-{uuid.uuid4().hex}"
             try:
-                self.tables[f.name] = checkpointed(load_feed(self.spark, i, f))  # the file may change or go
-                self.loaded[f.name] = datetime.now(timezone.utc)
-                self.errors.pop(f.name, None)
-            except Exception as e:  # noqa: BLE001  any failure of one feed leaves the others alone
+                load_feed(self.spark, i, f).write.parquet(path)
+            except (OSError, ValueError, Py4JError, PySparkException) as e:  # any failure of one feed leaves the others alone
+                delete_folder(self.spark, path)
                 self.errors[f.name] = str(e)
+                continue
+            if f.name in self.paths:
+                delete_folder(self.spark, self.paths[f.name])
+            self.paths[f.name], self.loaded[f.name] = path, self.asked
+            self.tables[f.name] = self.spark.read.schema(PREFIXES).parquet(path)
+            self.errors.pop(f.name, None)
+
+    def refresh_if_due(self, now: datetime) -> bool:
+        """Refresh once `every` has passed since the last time that was tried; a stream asks before each batch."""
+        due = self.asked is None or now - self.asked >= self.every
+        if due:
+            self.refresh(now)
+        return due
+
+    def close(self) -> None:
+        """Delete the tables."""
+        for path in self.paths.values():
+            delete_folder(self.spark, path)
+        self.paths, self.tables = {}, {}
 
     def prefixes(self) -> DataFrame:
         out = self.spark.createDataFrame([], PREFIXES)

@@ -7,11 +7,12 @@ time against what the state still holds. States leave by a processing-time timeo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,26 +21,43 @@ from ..plans.rules import Rule
 
 _STATE = "ts array<bigint>, ids array<bigint>, vals array<string>, quiet_until bigint"
 _FIRE = "rule int, grp string, ts bigint, id bigint, ev array<string>, n int, since bigint, ids array<bigint>"
+#: What the rules remember of groups is kept in so many parts, of which a batch rewrites those that it has groups of.
+STATE_BUCKETS = 64
 
 
-@dataclass
 class Memory:
-    """Hits of one group, oldest first, and the end of its suppression."""
+    """Hits of one group, oldest first, how often each value is among them, and the end of the group's suppression."""
 
-    hits: list[tuple[int, int, str]] = field(default_factory=list)
-    quiet_until: int | None = None
+    def __init__(self, hits: Iterable[tuple[int, int, str]] = (), quiet_until: int | None = None):
+        self.hits, self.quiet_until = deque(hits), quiet_until
+        self.values = Counter(h[2] for h in self.hits)
+
+    def drop(self) -> None:
+        val = self.hits.popleft()[2]
+        self.values[val] -= 1
+        if not self.values[val]:
+            del self.values[val]
 
     def prune(self, cutoff: int) -> None:
-        at = next((i for i, h in enumerate(self.hits) if h[0] > cutoff), len(self.hits))
-        del self.hits[:at]
+        while self.hits and self.hits[0][0] <= cutoff:
+            self.drop()
 
     def add(self, hit: tuple[int, int, str], cutoff: int) -> None:
         self.hits.append(hit)
+        self.values[hit[2]] += 1
         self.prune(cutoff)
-        del self.hits[: max(0, len(self.hits) - MOST_HITS)]
+        while len(self.hits) > MOST_HITS:
+            self.drop()
+
+    def clear(self) -> None:
+        self.hits.clear(), self.values.clear()
 
     def last_ids(self) -> list[int]:
-        return [h[1] for h in self.hits[-ALERT_IDS:]]
+        return [h[1] for h in islice(reversed(self.hits), ALERT_IDS)][::-1]
+
+    def columns(self) -> tuple[list[int], list[int], list[str]]:
+        ts, ids, vals = map(list, zip(*self.hits, strict=True)) if self.hits else ([], [], [])
+        return ts, ids, vals
 
 
 def fold(memory: Memory, rule: Rule, row) -> tuple[int, int, list[int]] | None:
@@ -65,11 +83,12 @@ def fold(memory: Memory, rule: Rule, row) -> tuple[int, int, list[int]] | None:
             return None
     else:
         memory.add(hit, cutoff)
-        n = len({h[2] for h in memory.hits}) if rule.distinct else len(memory.hits)
+        n = len(memory.values) if rule.distinct else len(memory.hits)
         if n < rule.threshold or quiet:
             return None
         fired = n, memory.hits[0][0], memory.last_ids()
-    memory.hits, memory.quiet_until = [], row.ts + rule.window
+    memory.clear()
+    memory.quiet_until = row.ts + rule.window
     return fired
 
 
@@ -95,7 +114,7 @@ def live_alerts(events: DataFrame, rules: list[Rule], expire: bool = True) -> Da
             fired = fold(memory, rule, row)
             if fired:
                 out.append((key[0], key[1], row.ts, row.id, list(row.ev), *fired))
-        state.update(([h[0] for h in memory.hits], [h[1] for h in memory.hits], [h[2] for h in memory.hits], memory.quiet_until))
+        state.update((*memory.columns(), memory.quiet_until))
         if expire:
             state.setTimeoutDuration(longest)
         yield pd.DataFrame(out, columns=["rule", "grp", "ts", "id", "ev", "n", "since", "ids"]).astype({"rule": "int32", "n": "int32"})
@@ -104,37 +123,46 @@ def live_alerts(events: DataFrame, rules: list[Rule], expire: bool = True) -> Da
     return alerts_of(hits.groupBy("rule", "grp").applyInPandasWithState(run, _FIRE, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout), rules)
 
 
-#: What rules remember of a group after a batch (fire: null), or one of its alerts.
-JUDGED = f"rule int, grp string, {_STATE}, seen bigint, fire struct<rule: int, grp: string, ts: bigint, id: bigint, ev: array<string>, n: int, since: bigint, ids: array<bigint>>"
+#: What rules remember of a group after a batch, and (fire) its alerts.
+STATE = f"bucket int, rule int, grp string, {_STATE}, seen bigint"
+JUDGED = f"{STATE}, fire struct<rule: int, grp: string, ts: bigint, id: bigint, ev: array<string>, n: int, since: bigint, ids: array<bigint>>"
+
+
+def bucket_of() -> Column:
+    return F.pmod(F.xxhash64("rule", "grp"), F.lit(STATE_BUCKETS)).cast("int").alias("bucket")
+
+
+def touched_buckets(events: DataFrame, rules: list[Rule]) -> list[int]:
+    """The buckets of the groups that a batch has hits of: at most STATE_BUCKETS numbers."""
+    return sorted(r["bucket"] for r in _hits(events, rules).select(bucket_of()).distinct().collect())
 
 
 def judged(events: DataFrame, state: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The alerts of one batch of stored events, and what the rules remember after it.
+    """The alerts of one batch of stored events, and what the rules remember after it of the groups in `state` and in the batch.
 
     Groups leave by event time: once the latest event is more than a window after their last one, and they aren't quiet any more.
     """
 
     def run(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        rule, memory, seen = rules[key[0]], Memory(), 0
+        rule, memory, seen = rules[key[1]], Memory(), 0
         for row in old.itertuples():
-            memory = Memory(list(zip(map(int, row.ts), map(int, row.ids), row.vals, strict=True)), None if pd.isna(row.quiet_until) else int(row.quiet_until))
+            memory = Memory(zip(map(int, row.ts), map(int, row.ids), row.vals, strict=True), None if pd.isna(row.quiet_until) else int(row.quiet_until))
             seen = int(row.seen)
         out = []
         for row in new.sort_values(["ts", "id"], kind="stable").itertuples():
             seen = max(seen, row.ts)
             fired = fold(memory, rule, row)
             if fired:
-                fire = dict(zip(("rule", "grp", "ts", "id", "ev", "n", "since", "ids"), (key[0], key[1], row.ts, row.id, list(row.ev), *fired), strict=True))
-                out.append((key[0], key[1], None, None, None, None, None, fire))
+                fire = dict(zip(("rule", "grp", "ts", "id", "ev", "n", "since", "ids"), (*key[1:], row.ts, row.id, list(row.ev), *fired), strict=True))
+                out.append((*key, None, None, None, None, None, fire))
         if rule.window:
-            ts, ids, vals = map(list, zip(*memory.hits, strict=True)) if memory.hits else ([], [], [])
-            out.append((key[0], key[1], ts, ids, vals, memory.quiet_until, seen, None))
-        found = pd.DataFrame(out, columns=["rule", "grp", "ts", "ids", "vals", "quiet_until", "seen", "fire"])
-        return found.astype({"rule": "int32", "quiet_until": "Int64", "seen": "Int64"})
+            out.append((*key, *memory.columns(), memory.quiet_until, seen, None))
+        found = pd.DataFrame(out, columns=["bucket", "rule", "grp", "ts", "ids", "vals", "quiet_until", "seen", "fire"])
+        return found.astype({"bucket": "int32", "rule": "int32", "quiet_until": "Int64", "seen": "Int64"})
 
     ends = [f.agg(F.max(c)).first()[0] for f, c in ((events, F.unix_micros("timestamp")), (state, F.col("seen")))]
     latest = F.lit(max((e for e in ends if e is not None), default=0))
     window = F.element_at(F.array(*[F.lit(r.window) for r in rules]), F.col("rule") + 1)
     gone = F.col("fire").isNull() & (latest - F.col("seen") > window) & (F.coalesce("quiet_until", F.lit(0)) <= latest)
-    hits = _hits(events, rules)
-    return hits.groupBy("rule", "grp").cogroup(state.groupBy("rule", "grp")).applyInPandas(run, JUDGED).filter(~F.coalesce(gone, F.lit(False)))
+    hits, key = _hits(events, rules), ["bucket", "rule", "grp"]
+    return hits.select(bucket_of(), "*").groupBy(*key).cogroup(state.groupBy(*key)).applyInPandas(run, JUDGED).filter(~F.coalesce(gone, F.lit(False)))

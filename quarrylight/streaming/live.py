@@ -1,36 +1,42 @@
 """The live path: lines of a folder, parsed, enriched, stored and judged micro-batch by micro-batch.
 
 pipeline_stream does all of it in one stream: a batch is numbered and written before it is judged, so alerts carry the ids under
-which their events are stored; a failed write drops the batch and is counted. store_stream and alert_stream do one half each.
-Ids follow the time in a batch. Sinks get every alert of the batch in order; the webhook and the fan-out are best effort, as they
-are for people.
+which their events are stored. Events, alerts and what the rules remember become one page of the store's ledger, so a batch is there once
+or not at all, however often it is replayed. Events that can't be written drop their batch; that is logged and counted, and the rules go on
+from the last batch that committed. store_stream and alert_stream do one half each. Ids follow the time in a batch. Sinks get every
+alert of a batch in order once it is stored; the webhook and the fan-out are best effort, as they are for people.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import queue
 import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..deploy import delete_folder
-from ..functions.fields import SEVERITIES
-from ..operators import intel, store
+from ..functions.fields import SEVERITIES, storage_time
+from ..operators import intel
+from ..operators import store as store_ops
 from ..operators.detect import alerts_of
+from ..operators.ledger import Part, Store
 from ..plans.rules import Rule
 from ..sources import parsers
 from ..sources.feeds import FeedSet
-from .detection import JUDGED, judged, live_alerts
+from .detection import JUDGED, STATE, STATE_BUCKETS, judged, live_alerts, touched_buckets
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -105,6 +111,8 @@ def _post(url: str, body: bytes) -> int:
         return e.code
 
 
+#: Batches from one look at all that the rules remember to the next.
+SWEEP = 50
 #: Bytes of one request of lines.
 MOST_INGEST_BYTES = 10 << 20
 
@@ -118,25 +126,54 @@ def ingest_lines(spark: SparkSession, lines: list[str], parser: str = "json", no
     return parsers.events_of(parsed), parsers.parse_report(parsed).first().asDict() | {"errors": parsers.failures(parsed)}
 
 
-def store_stream(lines: DataFrame, parser: str, events_path: str, checkpoint: str, feeds: FeedSet | None = None, counters: Counters | None = None, now: datetime | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Parse, enrich, number and append a stream of lines to the event table."""
+def open_store(spark: SparkSession, path: str) -> Store:
+    """The store that live streams write."""
+    return Store(spark, path, STATE)
+
+
+def _numbered(batch: DataFrame, batch_id: int, store: Store, parser: str, feeds: FeedSet | None, now: datetime) -> DataFrame:
+    """A batch's events with their ids, kept in a folder of the batch until it is done. A batch has its own range of ids."""
+    events = parsers.events_of(parsers.parse_lines(batch, parser, now))
+    if feeds is not None:
+        feeds.refresh_if_due(now)
+        events = intel.enrich(events, feeds.prefixes())
+    return store_ops.with_ids(events, after=batch_id << 32, order=("timestamp", "source", "message"), folder=f"{store.path}/work/events-{batch_id}")
+
+
+def _stored(store: Store, events: DataFrame, batch_id: int, counters: Counters) -> list[Part] | None:
+    """The files of the batch's events, which no page names yet; None if they can't be written, which drops the batch."""
+    try:
+        return store.write(storage_time(events), "events", f"batch-{batch_id}", "timestamp")
+    except (OSError, Py4JError, PySparkException):
+        log.exception("batch %s is dropped: its events can't be written", batch_id)
+        counters.store_failures += 1
+        return None
+
+
+def _start(lines: DataFrame, process: Callable[[DataFrame, int], None], store: Store, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    """Batches that have committed are skipped when Spark replays them; what a batch kept for its work goes with it."""
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        if batch_id > store.last_batch():
+            try:
+                process(batch, batch_id)
+            finally:
+                delete_folder(store.spark, f"{store.path}/work")
+
+    return lines.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()
+
+
+def store_stream(lines: DataFrame, parser: str, store: Store, checkpoint: str, feeds: FeedSet | None = None, counters: Counters | None = None, now: datetime | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Parse, enrich, number and store a stream of lines."""
     counters = counters or Counters()
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        events = parsers.events_of(parsers.parse_lines(batch, parser, now or datetime.now(timezone.utc)))
-        if feeds is not None:
-            events = intel.enrich(events, feeds.prefixes())
-        # a batch has its own range of ids, so a repeated batch gets the same ones
-        events = store.with_ids(events.select(F.lit(0).alias("id"), *events.columns), after=batch_id << 32, order=("timestamp", "source", "message")).persist()
-        try:
-            store.write_events(events, events_path)
-            counters.ingested += events.count()
-        except Exception:  # noqa: BLE001  the stream goes on
-            counters.store_failures += 1
-        finally:
-            events.unpersist()
+        events = _numbered(batch, batch_id, store, parser, feeds, now or datetime.now(timezone.utc))
+        parts = _stored(store, events, batch_id, counters)
+        if parts is not None:
+            counters.ingested += store.commit_batch(batch_id, parts=parts)
 
-    return lines.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()
+    return _start(lines, process, store, checkpoint, trigger)
 
 
 def _announce(alerts: DataFrame, hub: Hub | None, webhook: Webhook | None) -> None:
@@ -150,64 +187,51 @@ def _announce(alerts: DataFrame, hub: Hub | None, webhook: Webhook | None) -> No
 
 
 def pipeline_stream(
-    lines: DataFrame, parser: str, rules: list[Rule], events_path: str, alerts_path: str, state_path: str, checkpoint: str, feeds: FeedSet | None = None, hub: Hub | None = None, webhook: Webhook | None = None, counters: Counters | None = None, now: datetime | None = None, trigger: dict | None = None
+    lines: DataFrame, parser: str, rules: list[Rule], store: Store, checkpoint: str, feeds: FeedSet | None = None, hub: Hub | None = None, webhook: Webhook | None = None, counters: Counters | None = None, now: datetime | None = None, trigger: dict | None = None, retention: timedelta | None = None
 ) -> StreamingQuery:
-    """Parse, enrich, number, store and judge a stream of lines. What rules remember of their groups is a table of its own in state_path, one version a batch."""
+    """Parse, enrich, number, store and judge a stream of lines. With a retention, older events are removed once an hour."""
     spark, counters = lines.sparkSession, counters or Counters()
     rules = [r for r in rules if not r.disabled]
+    cleaned: list[datetime] = []
 
     def process(batch: DataFrame, batch_id: int) -> None:
         at = now or datetime.now(timezone.utc)
-        parsed = parsers.parse_lines(batch, parser, at)
-        events = parsers.events_of(parsed)
-        if feeds is not None:
-            events = intel.enrich(events, feeds.prefixes())
-        events = store.with_ids(events, after=batch_id << 32)  # numbered once, in a checkpoint
+        if retention is not None and (not cleaned or at - cleaned[-1] >= timedelta(hours=1)):
+            store.expire(at, retention)
+            cleaned[:] = [at]
+        events = _numbered(batch, batch_id, store, parser, feeds, at)
         counters.queued = batch.count()
-        try:
-            store.write_events(events, events_path)
-        except Exception:  # noqa: BLE001  the stream goes on
-            counters.store_failures += 1
+        parts = _stored(store, events, batch_id, counters)
+        if parts is None:
             counters.queued = 0
             return
-        counters.ingested += events.count()
+        out_path = f"{store.path}/work/judged-{batch_id}"
+        # once in SWEEP batches all groups are looked at, and those that have gone quiet leave
+        buckets = list(range(STATE_BUCKETS)) if batch_id % SWEEP == 0 else touched_buckets(events, rules)
+        judged(events, store.state(buckets), rules).write.mode("overwrite").parquet(out_path)
+        out = spark.read.schema(JUDGED).parquet(out_path)
+        found = alerts_of(out.filter("fire is not null").select("fire.*"), rules)
+        found = store_ops.with_ids(found, after=batch_id << 32, order=("last_seen", "rule_id", "group_key"), folder=f"{store.path}/work/alerts-{batch_id}")
+        counters.ingested += store.commit_batch(batch_id, alerts=store_ops.as_alerts(found, at), state=out.filter("fire is null").drop("fire"), buckets=buckets, parts=parts)
+        counters.engine_state = sum(p.rows for p in store.parts("state"))
+        counters.alerts += sum(p.rows for p in store.parts("alerts", ids=(batch_id << 32, (batch_id + 1 << 32) - 1)))
         if hub:
             hub.publish({"kind": "events", "count": counters.queued})
-        version = f"{state_path}/batch-{{}}".format
-        judged(events, _state(spark, version, batch_id), rules).write.mode("overwrite").parquet(version(batch_id))
-        out = spark.read.schema(JUDGED).parquet(version(batch_id))
-        counters.engine_state = out.filter("fire is null").count()
-        found = alerts_of(out.filter("fire is not null").select("fire.*"), rules)
-        found = store.with_ids(found, after=batch_id << 32, order=("last_seen", "rule_id", "group_key"))
-        store.write_alerts(found, alerts_path, at)
-        counters.alerts += found.count()
         _announce(found, hub, webhook)
         counters.queued = 0
-        delete_folder(spark, version(batch_id - 2))
-
-    return lines.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()
 
-
-def _state(spark: SparkSession, version: Callable[[int], str], batch_id: int) -> DataFrame:
-    """What the batch before left; a batch whose events couldn't be stored leaves what it found."""
-    for last in (batch_id - 1, batch_id - 2):
-        try:
-            return spark.read.schema(JUDGED).parquet(version(last)).filter("fire is null").drop("fire")
-        except AnalysisException:  # no such version
-            continue
-    return spark.createDataFrame([], JUDGED).drop("fire")
+    return _start(lines, process, store, checkpoint, trigger)
 
 
-def alert_stream(events: DataFrame, rules: list[Rule], alerts_path: str, checkpoint: str, hub: Hub | None = None, webhook: Webhook | None = None, counters: Counters | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Judge a stream of events and append the alerts; sinks hear of each."""
+def alert_stream(events: DataFrame, rules: list[Rule], store: Store, checkpoint: str, hub: Hub | None = None, webhook: Webhook | None = None, counters: Counters | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Judge a stream of events by Spark's keyed state and store the alerts; sinks hear of each."""
     counters = counters or Counters()
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        found = store.with_ids(batch.select(F.lit(0).alias("id"), *batch.columns), after=batch_id << 32, order=("last_seen", "rule_id", "group_key")).persist()
-        store.write_alerts(found, alerts_path, datetime.now(timezone.utc))
-        counters.alerts += found.count()
+        found = store_ops.with_ids(batch, after=batch_id << 32, order=("last_seen", "rule_id", "group_key"), folder=f"{store.path}/work/alerts-{batch_id}")
+        store.commit_batch(batch_id, alerts=store_ops.as_alerts(found, datetime.now(timezone.utc)))
+        counters.alerts += sum(p.rows for p in store.parts("alerts", ids=(batch_id << 32, (batch_id + 1 << 32) - 1)))
         _announce(found, hub, webhook)
-        found.unpersist()
 
     ends = bool(trigger) and "availableNow" in trigger
-    return live_alerts(events, rules, expire=not ends).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()
+    return _start(live_alerts(events, rules, expire=not ends), process, store, checkpoint, trigger)

@@ -8,13 +8,13 @@ from quarrylight.plans.conditions import compile_condition
 from quarrylight.plans.rules import Rule, parse_rules, render, rule_table
 from quarrylight.streaming.detection import Memory, fold
 
-T0 = datetime(2026, 10, 5, 12, tzinfo=timezone.utc)
+T0 = datetime(2025, 3, 14, 9, 30, tzinfo=timezone.utc)
 EVENT = "id bigint, timestamp timestamp, source string, host string, type string, src_ip string, user string, message string, fields map<string,string>"
 
 
 def events(spark, rows):
     """rows: (seconds, src_ip, type, user, fields)."""
-    data = [(i, T0 + timedelta(seconds=s), "ssh", "", kind, ip, user, "m", fields) for i, (s, ip, kind, user, fields) in enumerate(rows, 1)]
+    data = [(i, T0 + timedelta(seconds=s), "door", "", kind, ip, user, "m", fields) for i, (s, ip, kind, user, fields) in enumerate(rows, 1)]
     return spark.createDataFrame(data, EVENT)
 
 
@@ -24,7 +24,7 @@ def fired(spark, rule, rows):
 
 
 def rule(**kw):
-    return Rule(**({"id": "r", "severity": "low", "kind": "threshold", "where": {"type": "auth_failure"}, "group_by": "src_ip", "threshold": 3, "window": 60_000_000} | kw))
+    return Rule(**({"id": "r", "severity": "low", "kind": "threshold", "where": {"type": "refused"}, "group_by": "src_ip", "threshold": 3, "window": 60_000_000} | kw))
 
 
 @pytest.fixture(autouse=True)
@@ -34,30 +34,34 @@ def utc(monkeypatch):
 
 
 def test_threshold(spark):
-    at = [0, 10, 20, 30, 30, 30, 30, 30, 90, 91, 92]
-    got = fired(spark, rule(description="{count} from {group} in {window}"), [(s, "1.1.1.1", "auth_failure", "u", {}) for s in at])
-    assert [g[:4] for g in got] == [("1.1.1.1", 20, 3, 3), ("1.1.1.1", 92, 3, 3)]
-    assert got[0][4].description == "3 from 1.1.1.1 in 1m0s"
-    assert fired(spark, rule(), [(s, "2.2.2.2", "auth_failure", "u", {}) for s in range(0, 201, 40)]) == []
-    assert fired(spark, rule(), [(0, f"3.3.3.{i}", "auth_failure", "u", {}) for i in range(3)]) == []
+    # hits of the quiet minute don't fire, but count once it is over
+    swipes = [(s, "192.0.2.1", "refused", "u", {}) for s in (101, 145, 160, 204, 205, 219, 220, 226)] + [(s, "192.0.2.2", "refused", "u", {}) for s in (100, 131, 161, 192)]
+    got = fired(spark, rule(description="{count} of {group} in {window}, {threshold} allowed"), sorted(swipes, key=lambda r: r[0]))
+    assert [g[:4] for g in got] == [("192.0.2.1", 160, 3, 3), ("192.0.2.1", 220, 4, 4)]
+    assert got[0][4].description == "3 of 192.0.2.1 in 1m0s, 3 allowed"
+    assert fired(spark, rule(threshold=5), [(7, f"192.0.2.{i % 3}", "refused", "u", {}) for i in range(12)]) == []
 
 
 def test_distinct(spark):
-    rows = [(s, "1.1.1.1", "auth_failure", "root", {}) for s in range(10)] + [(11, "1.1.1.1", "auth_failure", "admin", {}), (12, "1.1.1.1", "auth_failure", "oracle", {})]
-    assert [g[:3] for g in fired(spark, rule(distinct="user", window=300_000_000), rows)] == [("1.1.1.1", 12, 3)]
+    badges = [(s, "192.0.2.5", "refused", user, {}) for s, user in [(5, "ines"), (6, "ines"), (7, "ole"), (8, "ines"), (70, "pia"), (71, "ole"), (72, "ines"), (73, "ines")]]
+    # at 70 two of the three are out of the window; at 72 all three are in it again
+    assert [g[:3] for g in fired(spark, rule(distinct="user"), badges)] == [("192.0.2.5", 72, 3)]
 
 
 def test_sequence(spark):
-    f, s = "auth_failure", "auth_success"
-    rows = [(0, "7.7.7.7", f), (1, "7.7.7.7", f), (2, "7.7.7.7", s), (0, "8.8.8.8", f), (1, "8.8.8.8", f), (2, "8.8.8.8", f), (3, "9.9.9.9", s), (4, "8.8.8.8", s), (0, "10.0.0.1", f), (1, "10.0.0.1", f), (2, "10.0.0.1", f), (660, "10.0.0.1", s)]
-    got = fired(spark, rule(kind="sequence", then={"type": s}, window=600_000_000), [(*r, "u", {}) for r in rows])
-    assert [g[:4] for g in got] == [("8.8.8.8", 4, 3, 4)]
+    no, yes = "refused", "opened"
+    doors = [(s, "192.0.2.1", no) for s in (1, 2)] + [(3, "192.0.2.1", yes)]  # one too few
+    doors += [(s, "192.0.2.2", no) for s in (10, 20, 30, 40)] + [(41, "192.0.2.2", yes), (42, "192.0.2.2", yes)]  # the second is in the quiet time
+    doors += [(s, "192.0.2.3", no) for s in (0, 5, 9)] + [(66, "192.0.2.3", yes), (4, "192.0.2.4", yes)]  # of three hits one is left
+    doors += [(50, "192.0.2.5", no)] * 3 + [(50, "192.0.2.5", yes)]  # at one time, in the order of ids
+    got = fired(spark, rule(kind="sequence", then={"type": yes}), [(*r, "u", {}) for r in doors])
+    assert [g[:4] for g in got] == [("192.0.2.2", 41, 4, 5), ("192.0.2.5", 50, 3, 4)]
 
 
 def test_match(spark):
-    r = rule(kind="match", where={"path": {"regex": r"^/\.env"}}, threshold=0, window=600_000_000)
-    rows = [(0, "1.2.3.4", "x", "", {"path": "/index.html"}), (0, "1.2.3.4", "x", "", {"path": "/.env"}), (60, "1.2.3.4", "x", "", {"path": "/.env.bak"}), (60, "5.6.7.8", "x", "", {"path": "/.env"}), (660, "1.2.3.4", "x", "", {"path": "/.env"})]
-    assert [g[:2] for g in fired(spark, r, rows)] == [("1.2.3.4", 0), ("5.6.7.8", 60), ("1.2.3.4", 660)]
+    r = rule(kind="match", where={"zone": {"regex": "^vault-[0-9]$"}}, threshold=0)
+    zones = [(0, "a", "vault-1"), (0, "b", "lobby"), (59, "a", "vault-2"), (59, "b", "vault-1"), (60, "a", "vault-1"), (61, "a", "vault-10"), (119, "a", "vault-3"), (120, "a", "vault-3")]
+    assert [g[:2] for g in fired(spark, r, [(s, ip, "x", "", {"zone": z}) for s, ip, z in zones])] == [("a", 0), ("b", 59), ("a", 60), ("a", 120)]
 
 
 @pytest.mark.parametrize("kind,distinct", [("threshold", ""), ("threshold", "user"), ("sequence", ""), ("match", "")])
@@ -66,11 +70,11 @@ def test_batch_equals_fold(spark, kind, distinct):
     import random
 
     rng = random.Random(7)
-    rows = sorted((rng.randrange(0, 9000), f"1.1.1.{rng.randrange(3)}", rng.choice(["auth_failure", "auth_success", "x"]), rng.choice("abc"), {}) for _ in range(1500))
-    r = rule(kind=kind, distinct=distinct, then={"type": "auth_success"} if kind == "sequence" else {}, threshold=0 if kind == "match" else 3).validate()
+    rows = sorted((rng.randrange(0, 9000), f"192.0.2.{rng.randrange(3)}", rng.choice(["refused", "opened", "x"]), rng.choice("abc"), {}) for _ in range(1500))
+    r = rule(kind=kind, distinct=distinct, then={"type": "opened"} if kind == "sequence" else {}, threshold=0 if kind == "match" else 3).validate()
     memory, want = {}, []
     for i, (s, ip, t, user, _) in enumerate(rows, 1):
-        row = type("Row", (), {"ts": s * 1_000_000, "id": i, "first": t == "auth_failure", "then": t == "auth_success", "val": user if distinct else ""})
+        row = type("Row", (), {"ts": s * 1_000_000, "id": i, "first": t == "refused", "then": t == "opened", "val": user if distinct else ""})
         if row.first or (kind == "sequence" and row.then):
             out = fold(memory.setdefault(ip, Memory()), r, row)
             if out:
@@ -115,14 +119,14 @@ def test_rules_file(spark):
 
 def test_descriptions(spark):
     r = rule(kind="match", threshold=0, description="{group}: {event.path}/{event.none}", where={}, group_by="user")
-    (got,) = fired(spark, r, [(0, "1.1.1.1", "x", "", {"path": "{count}"})])
+    (got,) = fired(spark, r, [(0, "192.0.2.1", "x", "", {"path": "{count}"})])
     assert got[4].description == "{count}/"
 
 
 def test_hot_group(spark):
     """A million events of one group in one window: no row looks at the window again, and the memory of hits is bounded."""
-    hot = spark.range(1_000_000).selectExpr("id", "timestamp_micros(id * 50) AS timestamp", "'x' AS source", "'' AS host", "CASE WHEN id % 1000 = 999 THEN 'auth_success' ELSE 'auth_failure' END AS type", "'10.9.8.7' AS src_ip", "'u' AS user", "'' AS message", "cast(map() AS map<string,string>) AS fields")
-    rules = [rule(id="t", threshold=9_000), rule(id="s", kind="sequence", then={"type": "auth_success"}, threshold=9_000), rule(id="m", kind="match", threshold=0, group_by="")]
+    hot = spark.range(1_000_000).selectExpr("id", "timestamp_micros(id * 50) AS timestamp", "'x' AS source", "'' AS host", "CASE WHEN id % 1000 = 999 THEN 'opened' ELSE 'refused' END AS type", "'192.0.2.77' AS src_ip", "'u' AS user", "'' AS message", "cast(map() AS map<string,string>) AS fields")
+    rules = [rule(id="t", threshold=9_000), rule(id="s", kind="sequence", then={"type": "opened"}, threshold=9_000), rule(id="m", kind="match", threshold=0, group_by="")]
     began = time.perf_counter()
     got = {r.rule_id: r for r in evaluate(hot, [r.validate() for r in rules]).collect()}
     assert set(got) == {"t", "s", "m"} and got["t"]["count"] == 9_000 and got["s"]["count"] == 9_990 and got["m"].event_ids == [0]

@@ -3,12 +3,15 @@ import time
 from datetime import timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quarrylight.plans.rules import Rule
 from quarrylight.sources.feeds import Feed, FeedSet
 from quarrylight.sources.parsers import stream_lines
-from quarrylight.streaming.live import Counters, Hub, Webhook, alert_stream, ingest_lines, pipeline_stream, store_stream
+from quarrylight.streaming import live
+from quarrylight.streaming.detection import Memory, fold
+from quarrylight.streaming.live import Counters, Hub, Webhook, alert_stream, ingest_lines, open_store, pipeline_stream, store_stream
 
 from .test_parsers import NOW
 from .test_rules import EVENT, T0
@@ -24,33 +27,35 @@ def test_store_stream(spark, tmp_path):
     feeds.refresh()
     counters = Counters()
     lines = spark.readStream.text(str(inbox)).withColumnRenamed("value", "line")
-    store_stream(lines, "json", str(tmp_path / "events"), str(tmp_path / "cp"), feeds, counters, NOW, {"availableNow": True}).awaitTermination(120)
-    rows = spark.read.parquet(str(tmp_path / "events")).orderBy("id").collect()
+    held = open_store(spark, str(tmp_path / "store"))
+    store_stream(lines, "json", held, str(tmp_path / "cp"), feeds, counters, NOW, {"availableNow": True}).awaitTermination(120)
+    rows = held.events().orderBy("id").collect()
     assert [r.id for r in rows] == [1, 2, 3, 4, 5] and counters.ingested == 5 and counters.store_failures == 0
     assert [r.fields.get("ti_lists") for r in rows] == ["local", "local", None, None, None]
 
 
 def test_alert_stream(spark, tmp_path):
-    rows = [(i, T0 + timedelta(seconds=s), "ssh", "", "auth_failure", "1.1.1.1", "u", "m", {}) for i, s in enumerate([0, 10, 20, 30, 90, 91, 92], 1)]
+    rows = [(i, T0 + timedelta(seconds=s), "door", "", "refused", "192.0.2.1", "u", "m", {}) for i, s in enumerate([40, 52, 77, 99, 137, 138, 140], 1)]
     source = str(tmp_path / "events")
     spark.createDataFrame(rows[:4], EVENT).coalesce(1).write.parquet(source)
-    rule = Rule(id="r", severity="high", kind="threshold", where={"type": "auth_failure"}, group_by="src_ip", threshold=3, window=60_000_000).validate()
+    rule = Rule(id="r", severity="high", kind="threshold", where={"type": "refused"}, group_by="src_ip", threshold=3, window=60_000_000).validate()
     hub, sent = Hub(), []
     heard = hub.subscribe()
     hook = Webhook("http://x", "medium", post=lambda url, body: sent.append(body) or 200)
     stream = spark.readStream.schema(EVENT).parquet(source)
-    run = lambda: alert_stream(stream, [rule], str(tmp_path / "alerts"), str(tmp_path / "cp"), hub, hook, trigger={"availableNow": True}).awaitTermination(120)
+    held = open_store(spark, str(tmp_path / "store"))
+    run = lambda: alert_stream(stream, [rule], held, str(tmp_path / "cp"), hub, hook, trigger={"availableNow": True}).awaitTermination(120)
     run()
     spark.createDataFrame(rows[4:], EVENT).coalesce(1).write.mode("append").parquet(source)
     run()  # the state of the first run goes on
-    got = spark.read.parquet(str(tmp_path / "alerts")).orderBy("last_seen").select(F.unix_seconds("last_seen").alias("s"), "count", "event_ids", "status").collect()
+    got = held.alerts().orderBy("last_seen").select(F.unix_seconds("last_seen").alias("s"), "count", "event_ids", "status").collect()
     base = int(T0.timestamp())
-    assert [(r.s - base, r["count"], r.event_ids) for r in got] == [(20, 3, [1, 2, 3]), (92, 3, [5, 6, 7])]
+    assert [(r.s - base, r["count"], r.event_ids) for r in got] == [(77, 3, [1, 2, 3]), (138, 3, [4, 5, 6])]
     hook.queue.join()
     assert len(sent) == 2 and heard.qsize() == 2 and heard.get()["alert"]["rule_id"] == "r"
 
 
-def test_pipeline_stream(spark, tmp_path):
+def test_pipeline_stream(spark, tmp_path, monkeypatch):
     """One stream parses, stores and judges: alerts carry the ids of stored events, state goes on from batch to batch and leaves by event time."""
     import random
 
@@ -68,19 +73,79 @@ def test_pipeline_stream(spark, tmp_path):
     inbox.mkdir()
     counters, hub = Counters(), Hub(depth=10_000)
     heard = hub.subscribe()
-    run = lambda: pipeline_stream(stream_lines(spark, str(inbox)), "json", rules, str(tmp_path / "ev"), str(tmp_path / "al"), str(tmp_path / "st"), str(tmp_path / "cp"), hub=hub, counters=counters, now=NOW, trigger={"availableNow": True}).awaitTermination(120)
+    held = open_store(spark, str(tmp_path / "store"))
+    run = lambda: pipeline_stream(stream_lines(spark, str(inbox)), "json", rules, held, str(tmp_path / "cp"), hub=hub, counters=counters, now=NOW, trigger={"availableNow": True}).awaitTermination(120)
     for n in range(3):
         (inbox / f"{n}.log").write_text("".join(f'{{"ts":{t},"ip":"{ip}","type":"{kind}"}}\n' for t, ip, kind in made[80 * n : 80 * n + 80]) + "bad\n")
         run()
-    events = spark.read.parquet(str(tmp_path / "ev"))
+    events = held.events()
     key = lambda df: sorted((r.rule_id, r.group_key, str(r.last_seen), r["count"], r.description, tuple(r.event_ids)) for r in df.collect())
-    stored = key(spark.read.parquet(str(tmp_path / "al")))
+    stored = key(held.alerts())
     assert stored == key(evaluate(events, rules)) and len({s[0] for s in stored}) == 5
     assert counters.ingested == 240 == events.select("id").distinct().count() and counters.alerts == len(stored) and counters.queued == 0 and 0 < counters.engine_state <= 16
     assert heard.qsize() == len(stored) + 3
     (inbox / "late.log").write_text(f'{{"ts":{base + 86_400},"ip":"198.51.100.1","type":"fail"}}\n')
+    monkeypatch.setattr(live, "SWEEP", 1)
     run()
     assert counters.engine_state == 3  # a day later only the new address is remembered, by the three rules that it concerns
+    assert not (tmp_path / "store" / "work").exists()
+
+
+def test_crashes_and_failed_writes(spark, tmp_path, monkeypatch):
+    """A process that dies before or after a commit leaves each event once; batches whose events can't be written are dropped, and the rules remember what they knew before, however many fail in a row."""
+    rule = Rule(id="r", severity="high", kind="threshold", group_by="user", threshold=3, window=10**10).validate()
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    counters = Counters()
+
+    def run(n, user="u", store=None):
+        if n:
+            (inbox / f"{time.time_ns()}.log").write_text("".join(f'{{"ts":{1741942800 + i},"user":"{user}","type":"t"}}\n' for i in range(n)))
+        held = store or open_store(spark, str(tmp_path / "store"))
+        pipeline_stream(stream_lines(spark, str(inbox)), "json", [rule], held, str(tmp_path / "cp"), counters=counters, now=NOW, trigger={"availableNow": True}).awaitTermination(120)
+        return held
+
+    assert run(2).alerts().count() == 0
+    broken = open_store(spark, str(tmp_path / "store"))
+    monkeypatch.setattr(broken, "write", lambda *a, **k: (_ for _ in ()).throw(OSError("disk full")))
+    for _ in range(3):
+        run(5, store=broken)
+    assert counters.store_failures == 3
+    held = run(1)  # the third hit: the two of the first batch are still known
+    assert [r["count"] for r in held.alerts().collect()] == [3] and held.events().count() == 3
+    for point in ("before", "after"):
+        dying = open_store(spark, str(tmp_path / "store"))
+        commit = dying.ledger.commit
+
+        def die(*a, point=point, commit=commit, **k):
+            if point == "after":
+                commit(*a, **k)
+            raise RuntimeError("killed")
+
+        monkeypatch.setattr(dying.ledger, "commit", die)
+        with pytest.raises(StreamingQueryException):
+            run(4, f"user-{point}", dying)
+        held = run(0)  # Spark replays the batch
+        mine = held.events().filter(F.col("user") == f"user-{point}")
+        assert mine.count() == 4 == mine.select("id").distinct().count()
+        assert [(r["count"], len(r.event_ids)) for r in held.alerts().filter(F.col("group_key") == f"user-{point}").collect()] == [(3, 3)]
+
+
+def test_late_rows_count(spark):
+    """A row that comes late is judged by its own time against what is remembered, and never dropped."""
+    rule = Rule(id="r", severity="high", kind="threshold", group_by="user", distinct="type", threshold=3, window=60_000_000).validate()
+    memory, row = Memory(), lambda s, val: type("Row", (), {"ts": s * 1_000_000, "id": s, "first": True, "then": False, "val": val})
+    assert [fold(memory, rule, row(s, v)) for s, v in [(100, "a"), (130, "b"), (110, "b")]] == [None] * 3
+    assert fold(memory, rule, row(90, "c")) == (3, 100_000_000, [100, 130, 110, 90]) and not memory.values
+
+
+def test_distinct_values_in_constant_time():
+    """Rows of one group cost the same however many hits the window holds."""
+    rule = Rule(id="r", severity="high", kind="threshold", group_by="user", distinct="type", threshold=9_000, window=10**12)
+    memory, began = Memory(), time.perf_counter()
+    for i in range(60_000):
+        fold(memory, rule, type("Row", (), {"ts": i, "id": i, "first": True, "then": False, "val": str(i % 8_000)}))
+    assert len(memory.hits) == 10_000 and len(memory.values) == 8_000 and time.perf_counter() - began < 5
 
 
 def test_sinks():
