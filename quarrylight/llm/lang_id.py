@@ -27,8 +27,8 @@ from .common import LOWER, chunks, record, ship, text_of, with_fields
 
 WINDOW = 192
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
-#: Labelled texts and their windows a language, languages, and passes over the windows.
-TRAIN_TEXTS, TRAIN_WINDOWS, MOST_LANGUAGES, EPOCHS = 400, 3000, 200, 4
+#: Labelled texts and their windows a language, and passes over the windows. Every language that is labelled can be predicted.
+TRAIN_TEXTS, TRAIN_WINDOWS, EPOCHS = 400, 3000, 4
 UNKNOWN = "und"
 
 _SPAN = WINDOW + max(WIDTHS) - 1
@@ -138,14 +138,12 @@ def fit(docs: DataFrame, usable: Column, texts: int = TRAIN_TEXTS, most_windows:
     """Train on rows where `usable` holds and lang isn't null."""
     ship(docs.sparkSession)
     labelled = text_of(docs, F.col("lang").cast("string").alias("lang"), usable.alias("usable")).filter("usable and lang is not null and octet_length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     labels = sorted(counts)
     if not labels:
         return ByteCNN([UNKNOWN])
     # ten times the bound by hash, then distinct texts in the order of their hash: a bounded sample without a sort of all rows
-    share = F.lit(None)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, min(1.0, 10 * texts / n)).otherwise(share)
+    share = F.try_element_at(F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 10 * texts / n))]), F.col("lang"))
     near = labelled.withColumns({"h": F.xxhash64("text"), "size": F.ceil(F.octet_length("text") / WINDOW)})
     near = near.filter((F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)) & (F.col("size") <= most_windows)).groupBy("lang", "h").agg(F.min("size").alias("size"))
     by = Window.partitionBy("lang").orderBy("h")
@@ -159,7 +157,7 @@ def fit(docs: DataFrame, usable: Column, texts: int = TRAIN_TEXTS, most_windows:
             first = np.searchsorted(text, np.arange(len(off)))
             yield record(schema, rows.column("lang"), rows.column("h"), [w[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)])
 
-    whole = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "h"])  # at most MOST_LANGUAGES * TRAIN_TEXTS rows
+    whole = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "h"])  # at most TRAIN_TEXTS rows a language
     whole = whole.groupBy("lang", "h").agg(F.min("text").alias("text"))
     got = whole.mapInArrow(cut, "lang string, h long, rows binary").orderBy("lang", "h").collect()
     x = [np.frombuffer(r["rows"], np.uint8).reshape(-1, _SPAN) for r in got]

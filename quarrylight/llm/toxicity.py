@@ -6,9 +6,10 @@ their states, and a logistic unit gives the window's score. All windows of WINDO
 before, are scored; a text's score is that of its worst window.
 
 Labels say which texts are toxic, not where. So training alternates: score all windows of the training texts, take each
-text's worst window (twice if the text is toxic, else with one by chance), and fit the network on those. The first WARM_EPOCHS
-take WARM_WINDOWS windows of each text by chance. At most TRAIN_ROWS labelled rows are used, picked by hash, each with its
-whole text. Tasks score their windows; only those few windows a text reach the driver.
+text's worst window (twice if the text is toxic, else with some by chance), and fit the network on those. The first WARM_EPOCHS
+take windows by chance. Chance gives every text windows in proportion to its length, WARM_WINDOWS or CLEAN_WINDOWS in all.
+At most TRAIN_ROWS labelled rows are used, picked by hash, each with its whole text. Tasks score their windows; only the windows that
+are taken reach the driver, at most WARM_WINDOWS and two a row.
 
 Defined cases: null or empty texts, and texts without words, are one window of no words, scored like any other; texts of any
 length are scored whole; of windows with equal scores training takes the first; without training rows (an empty table has none)
@@ -18,6 +19,7 @@ columns, whatever their names, are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ WORDS, WORD_SIZE, HEADS, HEAD_SIZE, TRIGRAMS, TRIGRAM_SIZE, HIDDEN = 1 << 13, 8,
 #: Bytes of a word that its head has.
 HEAD = 6
 TRAIN_ROWS, EPOCHS = 4000, 8
-#: The first epochs take windows by chance: so many of each text.
-WARM_EPOCHS, WARM_WINDOWS = 2, 3
+#: The first epochs take windows by chance, so many of all texts; later ones take so many of the clean ones, besides the worst.
+WARM_EPOCHS, WARM_WINDOWS, CLEAN_WINDOWS = 2, 12_000, 4_000
 #: Batches that an epoch has at least: a few windows are gone through more often.
 LEAST_BATCHES = 60
 
@@ -186,19 +188,25 @@ class BiGRU:
         np.add.at(g["trigram"], v.trigram[at], np.repeat(drows[used, WORD_SIZE + HEAD_SIZE :] / size[:, None], size, axis=0))
         return g
 
-    def pick(self, data: np.ndarray, off: np.ndarray, key: np.ndarray, toxic: np.ndarray, epoch: int) -> list[list[bytes]]:
-        """The windows of each whole text that an epoch trains on: some by chance at first, later the worst one, and one by chance if the text is clean."""
+    def pick(self, data: np.ndarray, off: np.ndarray, key: np.ndarray, toxic: np.ndarray, epoch: int, shares: tuple[float, float] = (1.0, 1.0)) -> list[list[bytes]]:
+        """The windows of each whole text that an epoch trains on. shares: of a text's windows that chance takes in the first epochs, and of a clean text's later."""
         v = Vocabulary(data, off)
         ids, text = v.windows()
         edge = np.searchsorted(text, np.arange(len(off)))
-        chance = [(mix(key ^ mix(np.array([WARM_WINDOWS * epoch + n + 1], np.uint64))) % np.diff(edge).astype(np.uint64)).astype(np.int64) for n in range(WARM_WINDOWS)]
-        if epoch < WARM_EPOCHS:
-            nth = np.stack(chance, 1)
-        else:
-            score = self.logits(v, ids)
-            worst = np.array([score[a:b].argmax() for a, b in zip(edge, edge[1:], strict=False)], np.int64)
-            nth = np.stack([worst, np.where(toxic == 1, worst, chance[0])], 1)
-        return [[v.spelled(i, int(n)) for n in own] for i, own in enumerate(nth)]
+        score = self.logits(v, ids) if epoch >= WARM_EPOCHS else None
+
+        def by_chance(i: int, share: float) -> np.ndarray:
+            n = int(edge[i + 1] - edge[i])
+            h = mix(key[i] ^ mix(np.arange(n, dtype=np.uint64) + np.uint64(epoch + 1 << 40)))
+            return np.argsort(h, kind="stable")[: math.ceil(n * share)]
+
+        def own(i: int) -> np.ndarray:
+            if score is None:
+                return by_chance(i, shares[0])
+            worst = score[edge[i] : edge[i + 1]].argmax()
+            return np.array([worst, worst]) if toxic[i] else np.append(by_chance(i, shares[1]), worst)
+
+        return [[v.spelled(i, int(n)) for n in own(i)] for i in range(len(off) - 1)]
 
     def train(self, rounds: Iterable[tuple[list[bytes], np.ndarray]], epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, decay: float = 0.6, seed: int = 3) -> None:
         """Each round has the windows of an epoch and their labels, and is asked for when the one before is done. decay: shared by the windows of an epoch."""
@@ -251,16 +259,24 @@ def _part(v: Vocabulary, words: np.ndarray) -> Vocabulary:
     return out
 
 
-def windows_of(texts: DataFrame, model: BiGRU, epoch: int) -> tuple[list[bytes], np.ndarray]:
-    """What an epoch trains on: a few windows of each text (key, toxic, text) and its label for each of them."""
+def chance_shares(texts: DataFrame) -> tuple[float, float]:
+    """The shares of windows that chance takes of texts (toxic, text), so that they come to WARM_WINDOWS and CLEAN_WINDOWS."""
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    n = F.lit(1) + F.greatest(F.lit(0), F.ceil((words - WINDOW) / STRIDE))
+    every, clean = texts.agg(F.sum(n), F.sum(F.when(F.col("toxic") == 0, n))).first()
+    return tuple(min(1.0, most / max(1, have or 0)) for most, have in ((WARM_WINDOWS, every), (CLEAN_WINDOWS, clean)))
+
+
+def windows_of(texts: DataFrame, model: BiGRU, epoch: int, shares: tuple[float, float] = (1.0, 1.0)) -> tuple[list[bytes], np.ndarray]:
+    """What an epoch trains on: some windows of each text (key, toxic, text) and its label for each of them."""
     schema = pa.schema([("key", pa.int64()), ("toxic", pa.int32()), ("windows", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
             key, toxic = np.asarray(rows.column("key")), np.asarray(rows.column("toxic"))
-            yield record(schema, rows.column("key"), rows.column("toxic"), pa.array(model.pick(data, off, key.view(np.uint64), toxic, epoch), pa.list_(pa.binary())))
+            yield record(schema, rows.column("key"), rows.column("toxic"), pa.array(model.pick(data, off, key.view(np.uint64), toxic, epoch, shares), pa.list_(pa.binary())))
 
-    got = texts.mapInArrow(run, "key long, toxic int, windows array<binary>").toArrow().sort_by("key")  # WARM_WINDOWS windows of at most TRAIN_ROWS texts
+    got = texts.mapInArrow(run, "key long, toxic int, windows array<binary>").toArrow().sort_by("key")  # at most WARM_WINDOWS windows and two of each of TRAIN_ROWS texts
     windows = got.column("windows").to_pylist()
     return [w for own in windows for w in own], np.repeat(got.column("toxic").to_numpy(), [len(own) for own in windows])
 
@@ -282,7 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_RO
         n, toxic = texts.agg(F.count(F.lit(1)), F.sum("toxic")).first()
         if n:
             model.p["bias"][0] = np.log((toxic + 1) / (n - toxic + 1))
-            model.train(windows_of(texts, model, epoch) for epoch in range(EPOCHS))
+            shares = chance_shares(texts)
+            model.train(windows_of(texts, model, epoch, shares) for epoch in range(EPOCHS))
     return model
 
 
