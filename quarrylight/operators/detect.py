@@ -1,39 +1,43 @@
 """Detection over a table of events, in (timestamp, id) order: match, threshold, distinct and sequence rules.
 
-One scan compiles all rules into an array of the rules that an event concerns; exploding it gives slim hit rows. These are dealt
-by (rule, group, time slice), so that a group which holds a third of all events spreads over many tasks: a slice is SLICE windows
-long, and has the rows of the window before it as halo. A fold over a slice's sorted rows keeps the hits of one window
-(at most MOST_HITS, as the rules' memory is bounded) and finds the candidates: rows at which the count reaches the threshold.
+One scan compiles all rules into an array of the rules that an event concerns; exploding it gives slim hit rows, which are dealt by (rule, group).
+A task takes its sorted rows as Arrow columns, many groups at a time, and counts without a loop over rows: how many hits a window holds
+comes from a search in the sorted times; how many distinct values, from where each value comes next and when it falls out of the window;
+a row at which the count reaches the threshold is a candidate. At most MOST_HITS hits count, as the rules' memory is bounded.
 
-A candidate fires if the last fire of its group is at least a window older. Which candidates of a slice fire depends on the slice
-before only by the first of them. So it takes three steps:
+A candidate fires if the last fire of its group is at least a window older: from fire to fire another search leads to the next one. Clearing
+the hits when a rule fires needs no work: hits up to the last fire are out of the window by the time the rule may fire again.
 
-1. Each slice tells, for every candidate that may be its first fire, what its last fire would be. Fires from different starts
-   soon fall together, and one pass follows all of them.
-2. These few rows are read in time order group by group, which picks each slice's first fire.
-3. Each slice is folded again from its first fire on, and gives the fires with their counts and event ids.
+A group of more than SLICE_ROWS hits is cut into slices of about that many rows, at quantiles of its times. A slice has as halo the hits
+before it that its windows can hold, but not more than its rules can remember, however long the window is. Which candidates
+of a slice fire depends on the slices before only by the first of them. So it takes three steps:
 
-Step 3 reads the shuffled rows of step 1. Clearing the hits when a rule fires needs no work in timestamp order: hits up to the
-last fire are out of the window by the time the rule may fire again.
+1. Each slice tells, for every candidate that may be its first fire, what its last fire would be.
+2. These few rows are read in time order group by group, which picks each slice's first fire.
+3. Each slice is read again from its first fire on, and gives the fires with their counts and event ids.
 """
 
 from __future__ import annotations
 
-from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import checkpointed
 from ..functions.fields import field_ref
 from ..plans.conditions import compile_condition
 from ..plans.rules import Rule
 
 MOST_HITS = 10_000
 ALERT_IDS = 50
-#: Windows of a slice.
-SLICE = 64
+#: Rows of a slice of a large group, slices that a group has at most, and rows that a task looks at together at least.
+SLICE_ROWS, MOST_SLICES, BLOCK_ROWS = 200_000, 1000, 100_000
+#: Quantiles for each slice that tell where its halo begins.
+HALO_STEPS = 16
 #: Rows that a fold gives to Spark at a time.
 OUT_ROWS = 10_000
 
@@ -63,180 +67,240 @@ def _of_rule(values: list, rule: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), rule + 1)
 
 
-def _sliced(hits: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Hits dealt by rule, group and time slice; those less than a window before the next slice are in it too, as halo."""
-    rule = F.col("rule")
+def _cuts(hits: DataFrame, rules: list[Rule]) -> DataFrame | None:
+    """(rule, grp, cuts) of the groups that are cut: the time at which each further slice begins and the time after which its halo does. None if there are none."""
+    sizes = hits.groupBy("rule", "grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE_ROWS)
+    most = sizes.agg(F.max("n")).first()[0]
+    if most is None:
+        return None
+    slices = min(MOST_SLICES, -(-most // SLICE_ROWS))
+    steps, accuracy = slices * HALO_STEPS, slices * HALO_STEPS * 10
+    large = hits.join(sizes.select("rule", "grp"), ["rule", "grp"], "left_semi")
+    found = large.groupBy("rule", "grp").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("first").alias("m"), F.percentile_approx("ts", [i / slices for i in range(1, slices)], accuracy).alias("at"), F.percentile_approx(F.when(F.col("first"), F.col("ts")), [i / steps for i in range(1, steps)], accuracy).alias("marks")
+    )
+    # every so many of the quantiles cut the smaller ones of the large groups
+    every = F.greatest(F.floor(F.lit(slices) * SLICE_ROWS / F.col("n")), F.lit(1)).cast("int")
+    cuts = F.array_distinct(F.filter("at", lambda c, i: (i + 1) % every == 0))
+    back = F.lit(2) + F.ceil(F.lit(MOST_HITS * steps) / F.greatest("m", F.lit(1))).cast("int")  # marks between which lie MOST_HITS hits, whatever the quantiles' error
+
+    def halo(cut: Column) -> Column:
+        mark = F.size(F.filter(F.coalesce("marks", F.array().cast("array<bigint>")), lambda m: m < cut)) - back
+        return F.when(mark >= 0, F.get("marks", mark)).otherwise(F.lit(-(2**63)).cast("long"))
+
+    return checkpointed(found.select("rule", "grp", F.transform(cuts, lambda c: F.struct(c.alias("cut"), halo(c).alias("halo"))).alias("cuts")))
+
+
+def _sliced(hits: DataFrame, cuts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The hits of large groups by slice; those that a later slice can remember are in it too, as halo. `begin` is the time at which the slice begins (null: the first)."""
+    rule, ts = F.col("rule"), F.col("ts")
     window = _of_rule([r.window for r in rules], rule).cast("long")
-    span = window * SLICE
-    own = F.floor(F.col("ts") / span)
-    near = (F.col("ts") > (own + 1) * span - window) & _of_rule([r.kind != "match" for r in rules], rule)
-    out = hits.withColumn("own", own).withColumn("slice", F.explode(F.when(near, F.array(own, own + 1)).otherwise(F.array(own))))
-    return out.withColumn("halo", F.col("slice") != F.col("own")).drop("own").repartition("rule", "grp", "slice")
-
-
-class Hits:
-    """What a rule remembers of one group: the hits of its window, oldest first."""
-
-    def __init__(self, rule: Rule):
-        self.rule, self.hits, self.values = rule, deque(), Counter()
-
-    def _add(self, ts: int, event: int, val: str) -> None:
-        self.hits.append((ts, event, val))
-        if self.rule.distinct:
-            self.values[val] += 1
-        if len(self.hits) > MOST_HITS:
-            self._drop()
-
-    def _drop(self) -> None:
-        val = self.hits.popleft()[2]
-        if self.rule.distinct:
-            self.values[val] -= 1
-            if not self.values[val]:
-                del self.values[val]
-
-    def see(self, ts: int, event: int, first: bool, then: bool, val: str) -> int:
-        """The count if the rule may fire at this event, else 0. A sequence counts the hits before the event."""
-        rule = self.rule
-        if rule.kind == "match":
-            return 1
-        while self.hits and self.hits[0][0] <= ts - rule.window:
-            self._drop()
-        if rule.kind == "sequence":
-            n = len(self.hits) if then else 0
-        else:
-            self._add(ts, event, val)
-            n = len(self.values) if rule.distinct else len(self.hits)
-        return n if n >= rule.threshold else 0
-
-    def seen(self, ts: int, event: int, first: bool, val: str) -> None:
-        """The event is over: it may be a hit of a sequence."""
-        if first and self.rule.kind == "sequence":
-            self._add(ts, event, val)
-
-    def told(self, ts: int, event: int) -> tuple[int, list[int]]:
-        """Time of the oldest hit and event ids of an alert at this event."""
-        if self.rule.kind == "match":
-            return ts, [event]
-        ids = [h[1] for h in list(self.hits)[-ALERT_IDS:]] if len(self.hits) <= 2 * ALERT_IDS else [self.hits[i][1] for i in range(-ALERT_IDS, 0)]
-        return self.hits[0][0], ids + [event] * (self.rule.kind == "sequence")
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], rules: list[Rule]) -> Iterator[tuple]:
-    """(new, rule, grp, slice, ts, id, n, hits, batch, row) of the first candidate at each time of a slice; `new`: of another slice than the last one."""
-    key, hits, last, fresh = None, None, None, True
+    remembers = _of_rule([r.kind != "match" for r in rules], rule) & F.col("first")
+    own = F.size(F.filter("cuts", lambda c: c["cut"] <= ts))
+    ahead = F.filter(F.transform("cuts", lambda c, i: F.struct((i + 1).alias("slice"), F.lit(True).alias("halo"), (remembers & (c["cut"] > ts) & (ts >= c["halo"]) & (ts > c["cut"] - window)).alias("in"))), lambda x: x["in"])
+    places = F.concat(F.array(F.struct(own.alias("slice"), F.lit(False).alias("halo"))), F.transform(ahead, lambda x: F.struct(x["slice"].alias("slice"), x["halo"].alias("halo"))))
+    out = hits.join(cuts, ["rule", "grp"]).select(*hits.columns, "cuts", F.inline(places))
+    return out.withColumn("begin", F.get("cuts", F.col("slice") - 1)["cut"]).drop("cuts").repartition("rule", "grp", "slice")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], key: list[str], rows: int | None = None) -> Iterator[pa.Table]:
+    """Runs of whole groups of sorted rows, of `rows` or more each but the last."""
+    held: list[pa.RecordBatch] = []
+    rows = wanted = rows or BLOCK_ROWS
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("rule", "grp", "slice", "ts", "id", "first", "then", "val", "halo")]
-        for row, (rule, grp, slice_, ts, event, first, then, val, halo) in enumerate(zip(*columns, strict=True)):
-            if key != (rule, grp, slice_):
-                key, hits, last, fresh = (rule, grp, slice_), Hits(rules[rule]), None, True
-            n = hits.see(ts, event, first, then, val)
-            if n and not halo and ts != last:
-                yield fresh, rule, grp, slice_, ts, event, n, hits, batch, row
-                last, fresh = ts, False
-            hits.seen(ts, event, first, val)
-
-
-class Chains:
-    """Fires of one slice from every possible first one. Chains that meet are one from then on."""
-
-    def __init__(self, begin: int, window: int):
-        self.window, self.early, self.late = window, begin + window, False
-        self.entries: list[int] = []
-        self.groups: deque[tuple[int, list[int]]] = deque()  # last fire of some chains, and the entries that they began with
-
-    def step(self, ts: int) -> None:
-        members: list[int] = []
-        while self.groups and self.groups[0][0] + self.window <= ts:
-            more = self.groups.popleft()[1]
-            if len(more) > len(members):
-                members, more = more, members
-            members += more
-        if ts < self.early or not self.late:
-            # a fire of the slice before ends its quiet in this slice's first window, or before
-            self.late = ts >= self.early
-            members.append(len(self.entries))
-            self.entries.append(ts)
-        if members:
-            self.groups.append((ts, members))
-
-    def ends(self) -> Iterator[tuple[int, int]]:
-        last = dict.fromkeys(range(len(self.entries)), 0)
-        for ts, members in self.groups:
-            for m in members:
-                last[m] = ts
-        return zip(self.entries, last.values(), strict=True)
-
-
-def _outputs(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= OUT_ROWS:
-            yield _batch(held, schema)
-            held = []
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= wanted:
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(_changes(table, key))[-1])
+            if last:
+                yield table.slice(0, last)
+            table = table.slice(last)
+            held, wanted = table.to_batches(), max(rows, 2 * table.num_rows)
     if held:
-        yield _batch(held, schema)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _changes(table: pa.Table, key: list[str]) -> np.ndarray:
+    """Whether a row begins another group than the one before."""
+    out = np.zeros(table.num_rows, bool)
+    out[:1] = True
+    for name in key:
+        c = table.column(name)
+        out[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, table.num_rows - 1)), False).to_numpy()
+    return out
+
+
+class Groups:
+    """A block of sorted hits of whole groups, and what rules count at each of them."""
+
+    def __init__(self, table: pa.Table, rules: list[Rule], key: list[str], most: int = MOST_HITS):
+        self.table, n = table, table.num_rows
+        self.ts, self.ids = table.column("ts").to_numpy(), table.column("id").to_numpy()
+        self.rule = table.column("rule").to_numpy()
+        self.first, then = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("first", "then"))
+        self.seg = np.cumsum(_changes(table, key)) - 1
+        self.window = np.array([r.window for r in rules], np.int64)[self.rule]
+        kinds = np.array([{"match": 0, "threshold": 1, "sequence": 2}[r.kind] for r in rules])[self.rule]
+        least = np.array([r.threshold for r in rules])[self.rule]
+        distinct = np.array([bool(r.distinct) for r in rules])[self.rule]
+        self.kinds = kinds
+        # one number for group and time, with more than a window between groups
+        self.order = self._order()
+        at = np.arange(n)
+        # hits: all rows of a threshold rule, the first condition's of a sequence
+        self.hits = np.flatnonzero(self.first & (kinds > 0))
+        before = np.searchsorted(self.hits, at)  # hits before each row
+        oldest = self._search(self.order[self.hits], self.order, self.window)
+        upto = before + (kinds == 1)
+        self.oldest, self.upto = np.maximum(oldest, upto - most), upto
+        self.n = np.where(kinds == 0, 1, upto - self.oldest)
+        if distinct.any():
+            self.n = np.where(distinct, self._distinct(), self.n)
+        fits = np.where(kinds == 0, True, (self.n >= least) & ((kinds == 1) | then))
+        if "halo" in table.column_names:
+            fits &= ~table.column("halo").to_numpy(zero_copy_only=False).astype(bool)
+        found = np.flatnonzero(fits)
+        again = np.zeros(len(found), bool)  # of one time the first
+        again[1:] = self.order[found[1:]] == self.order[found[:-1]]
+        self.found = found[~again]
+
+    def _order(self) -> np.ndarray:
+        low = self.ts.min()
+        span = int(self.ts.max() - low) + int(self.window.max()) + 2
+        if span * (int(self.seg[-1]) + 1) < 2**62:
+            return self.seg * span + (self.ts - low)
+        # times too far apart for one number: distances from each group's first row, cut where they exceed its window and so can't matter
+        gap = np.diff(self.ts, prepend=self.ts[0])
+        new = np.concatenate([[True], np.diff(self.seg) > 0])
+        gap = np.where(new, self.window + 2, np.minimum(gap, self.window + 2))
+        return np.cumsum(gap)
+
+    @staticmethod
+    def _search(times: np.ndarray, order: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """The first of the times that is less than a window before each row."""
+        return np.searchsorted(times, order - window, side="right")
+
+    def _distinct(self) -> np.ndarray:
+        """Distinct values among the hits up to each row: a hit counts from its place to where its value comes again or it falls out of the window."""
+        hits = self.hits
+        if not len(hits):
+            return np.zeros(len(self.ts), np.int64)
+        value = self.table.column("val").combine_chunks().dictionary_encode()
+        value = (value.chunk(0) if isinstance(value, pa.ChunkedArray) else value).indices.to_numpy(zero_copy_only=False)[hits]
+        by = np.lexsort((np.arange(len(hits)), value, self.seg[hits]))
+        again = np.full(len(hits), len(hits))
+        same = (value[by][1:] == value[by][:-1]) & (self.seg[hits][by][1:] == self.seg[hits][by][:-1])
+        again[by[:-1][same]] = by[1:][same]
+        gone = np.searchsorted(np.maximum.accumulate(self.oldest[hits]), np.arange(len(hits)), side="right")
+        count = np.cumsum(1 - np.bincount(np.minimum(again, gone), minlength=len(hits) + 1)[: len(hits)])
+        out = np.zeros(len(self.ts), np.int64)
+        out[hits] = count
+        return out
+
+    def chains(self) -> np.ndarray:
+        """For each candidate the place of the next one that may fire after it; past the end where its group has none."""
+        order = self.order[self.found]
+        follow = np.searchsorted(order, order + self.window[self.found], side="left")
+        inside = follow < len(order)
+        inside[inside] = self.seg[self.found][follow[inside]] == self.seg[self.found][inside]
+        return np.where(inside, follow, len(order))
+
+    def firing(self, first: np.ndarray) -> np.ndarray:
+        """All candidates that fire, from those of each group that fire first."""
+        follow, out = self.chains(), [first]
+        while len(first):
+            first = follow[first]
+            first = first[first < len(self.found)]
+            out.append(first)
+        return np.sort(np.concatenate(out))
+
+    def group_starts(self) -> np.ndarray:
+        """Each group's first candidate."""
+        seg = self.seg[self.found]
+        return np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else np.zeros(0, np.int64)
+
+    def told(self, which: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The fires at these candidates: rule, grp, ts, id, ev, n, since, ids."""
+        for lo in range(0, len(which), OUT_ROWS):
+            at = self.found[which[lo : lo + OUT_ROWS]]
+            since, ids = self.ts[at].copy(), []
+            for i, row in enumerate(at):  # a fire
+                own = self.ids[row : row + 1]
+                if self.kinds[row]:
+                    a, b = self.oldest[row], self.upto[row]
+                    since[i] = self.ts[self.hits[a]]
+                    last = self.ids[self.hits[max(a, b - ALERT_IDS) : b]]
+                    own = np.append(last, own) if self.kinds[row] == 2 else last
+                ids.append(own)
+            rows = self.table.take(pa.array(at))
+            taken = [rows.column(c).combine_chunks().cast(t) for c, t in (("rule", pa.int32()), ("grp", pa.string()), ("ts", pa.int64()), ("id", pa.int64()), ("ev", pa.list_(pa.string())))]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(self.n[at], pa.int32()), pa.array(since, pa.int64()), lists], names=["rule", "grp", "ts", "id", "ev", "n", "since", "ids"])
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def suppressed(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The fires among the hits of rules with a window: rule, grp, ts, id, ev, n, since, ids."""
+    cuts = _cuts(hits, rules)
+    key, most = ["rule", "grp"], MOST_HITS
+    whole = hits if cuts is None else hits.join(cuts, key, "left_anti")
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, key):
+            groups = Groups(block, rules, key, most)
+            yield from groups.told(groups.firing(groups.group_starts()))
 
-_KEY = [("rule", pa.int32()), ("grp", pa.string())]
+    out = whole.repartition(*key).sortWithinPartitions(*key, "ts", "id").mapInArrow(fold, _FIRE)
+    return out if cuts is None else out.unionByName(_of_slices(_sliced(hits, cuts, rules), rules))
 
 
-def suppressed(hits: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The fires among the hits of rules with a window: rule, grp, ts, id, ev, n, since, ids."""
-    sliced = _sliced(hits, rules)
-    order = ["rule", "grp", "slice", "ts", "id"]
-    entry_schema = pa.schema([*_KEY, ("slice", pa.int64()), ("entry", pa.int64()), ("last", pa.int64())])
-    pick_schema = pa.schema([*_KEY, ("slice", pa.int64()), ("entry", pa.int64())])
-    fire_schema = pa.schema([*_KEY, ("ts", pa.int64()), ("id", pa.int64()), ("ev", pa.list_(pa.string())), ("n", pa.int32()), ("since", pa.int64()), ("ids", pa.list_(pa.int64()))])
+def _of_slices(sliced: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The fires of groups that are cut into slices."""
+    key, most = ["rule", "grp", "slice"], MOST_HITS
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            key, chains = None, None
-            for fresh, rule, grp, slice_, ts, *_ in _candidates(batches, rules):
-                if fresh:
-                    if key:
-                        yield from ((*key, *x) for x in chains.ends())
-                    key, chains = (rule, grp, slice_), Chains(slice_ * SLICE * rules[rule].window, rules[rule].window)
-                chains.step(ts)
-            if key:
-                yield from ((*key, *x) for x in chains.ends())
-
-        return _outputs(rows(), entry_schema)
+        """Every candidate that may be a slice's first fire, with the last fire that follows: those of its first window and the one after, as a fire before it ends its quiet by then."""
+        for block in _blocks(batches, key):
+            groups = Groups(block, rules, key, most)
+            begin = block.column("begin").to_numpy(zero_copy_only=False).astype(float)[groups.found]
+            ts = groups.ts[groups.found]
+            early = ts < np.where(np.isnan(begin), -np.inf, begin + groups.window[groups.found])
+            starts = np.zeros(len(ts), bool)
+            starts[groups.group_starts()] = True
+            may = early | starts | np.concatenate([[False], early[:-1]])
+            follow = groups.chains()
+            last = np.where(follow < len(ts), follow, np.arange(len(ts)))
+            while not np.array_equal(jump := last[last], last):
+                last = jump
+            at = groups.found[may]
+            rows = block.select(key).take(pa.array(at)).append_column("entry", pa.array(groups.ts[at])).append_column("last", pa.array(ts[last[may]], pa.int64()))
+            yield from rows.to_batches()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            group, chosen, free = None, None, None
-            for batch in batches:
-                for rule, grp, slice_, entry, last in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    if group != (rule, grp):
-                        group, chosen, free = (rule, grp), None, None
-                    if slice_ != chosen and (free is None or entry >= free):
-                        chosen, free = slice_, last + rules[rule].window
-                        yield rule, grp, slice_, entry
-
-        return _outputs(rows(), pick_schema)
+        group, chosen, free = None, None, None
+        for batch in batches:
+            out = []
+            for rule, grp, slice_, entry, last in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group != (rule, grp):
+                    group, chosen, free = (rule, grp), None, None
+                if slice_ != chosen and (free is None or entry >= free):
+                    chosen, free = slice_, last + rules[rule].window
+                    out.append((rule, grp, slice_, entry))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=[*key, "entry"])
 
     def fires(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            free = 0
-            some = (b.filter(b.column("entry").is_valid()) for b in batches)  # slices in which nothing fires have no entry
-            for fresh, rule, grp, _, ts, event, n, hits, batch, row in _candidates(some, rules):
-                if fresh:
-                    free = batch.column("entry")[row].as_py()
-                if ts >= free:
-                    free = ts + rules[rule].window
-                    yield (rule, grp, ts, event, batch.column("ev")[row].as_py(), n, *hits.told(ts, event))
-
-        return _outputs(rows(), fire_schema)
-
-    ends = sliced.sortWithinPartitions(*order).mapInArrow(entries, "rule int, grp string, slice long, entry long, last long")
-    first = ends.repartition("rule", "grp").sortWithinPartitions("rule", "grp", "slice", "entry").mapInArrow(pick, "rule int, grp string, slice long, entry long")
+        some = (b.filter(b.column("entry").is_valid()) for b in batches)  # slices in which nothing fires have no entry
+        for block in _blocks(some, key):
+            groups = Groups(block, rules, key, most)
+            entry = block.column("entry").to_numpy()[groups.found]
+            yield from groups.told(groups.firing(np.flatnonzero(groups.ts[groups.found] == entry)))
+
+    order = [*key, "ts", "id"]
+    ends = sliced.sortWithinPartitions(*order).mapInArrow(entries, "rule int, grp string, slice int, entry long, last long")
+    first = ends.repartition("rule", "grp").sortWithinPartitions("rule", "grp", "slice", "entry").mapInArrow(pick, "rule int, grp string, slice int, entry long")
     # a left join, as an inner one would filter its sides and so shuffle the hits a second time
-    return sliced.join(first, ["rule", "grp", "slice"], "left").sortWithinPartitions(*order).mapInArrow(fires, _FIRE)
+    return sliced.join(first, key, "left").sortWithinPartitions(*order).mapInArrow(fires, _FIRE)
 
 
 def evaluate(events: DataFrame, rules: list[Rule]) -> DataFrame:

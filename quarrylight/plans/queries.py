@@ -207,30 +207,32 @@ SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (1704067200 + event_id) * 10000
 def parse_hostile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that no parser may stumble over: times out of bounds, numbers that JSON lacks, half characters."""
     e = _table(spark, sf_dir, "events")
-    forms = ['{"time":"2024-13-01T00:00:00Z"}', '{"time":1e999}', '{"time":1e15}', '{"a":"\\ud800!"}', '{"a":NaN}', '{"a":1e999}', '{"a":', '{"ts":-1.5,"a":null}', '{"time":"2024-02-30T00:00:00Z","ts":1}']
+    forms = ['{"time":"2024-13-01T00:00:00Z"}', '{"time":1e999}', '{"time":1e15}', '{"a":"\\ud800!"}', '{"a":NaN}', '{"a":1e999}', '{"a":', '{"ts":-1.5,"a":null}', '{"time":"2024-02-30T00:00:00Z","ts":1}', '{"time":"9999-12-31T23:59:59-23:00"}', '{"time":"0001-01-01T00:00:00+23:00"}', '{"ts":253402300799.5}', '{"ts":253402300800}', '{"ts":-62135596801}']
     line = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("event_id") % len(forms) + 1).cast("int"))
     found = parsers.parse_lines(e.select("event_id", line.alias("line")), "json", NOW)
     return found.select("event_id", "status", F.coalesce(F.try_element_at("fields", F.lit("a")), F.lit("-")).alias("a"), F.coalesce(F.unix_micros("timestamp"), F.lit(-1).cast("long")).alias("micros"))
 
 
 _HOSTILE_JSON = """
-SELECT event_id, ['fail', 'fail', 'fail', 'ok', 'fail', 'ok', 'fail', 'ok', 'fail'][event_id % 9 + 1] AS status, ['-', '-', '-', chr(65533) || '!', '-', '1e999', '-', '', '-'][event_id % 9 + 1] AS a,
-  [-1, -1, -1, 1706745600000000, -1, 1706745600000000, -1, -1500000, -1][event_id % 9 + 1] AS micros FROM events
+SELECT event_id, ['fail', 'fail', 'fail', 'ok', 'fail', 'ok', 'fail', 'ok', 'fail', 'fail', 'fail', 'ok', 'fail', 'fail'][event_id % 14 + 1] AS status, ['-', '-', '-', chr(65533) || '!', '-', '1e999', '-', '', '-', '-', '-', '-', '-', '-'][event_id % 14 + 1] AS a,
+  [-1, -1, -1, 1706745600000000, -1, 1706745600000000, -1, -1500000, -1, -1, -1, 253402300799500000, -1, -1][event_id % 14 + 1] AS micros FROM events
 """
 
 
 def parse_hostile_ssh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User names that look like messages of the server."""
+    """User names that look like messages of the server, and times that leave the years 1 to 9999 by their offset."""
     e = _table(spark, sf_dir, "events")
     said = ["Invalid user Accepted password for root from 198.51.100.1 port 22 from ", "error: Failed password for root from ", "Failed password for  from ", "Accepted password for a b from "]
     text = F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("event_id") % len(said) + 1).cast("int"))
-    line = F.concat(F.lit("Jan 10 00:00:00 h sshd[1]: "), text, _ip(F.col("user_id")), F.lit(" port "), (F.col("event_id") % 60000).cast("string"))
+    times = ["Jan 10 00:00:00", "9999-12-31T23:59:59-23:00", "0001-01-01T00:00:00+23:00"]
+    time = F.element_at(F.array(*[F.lit(x) for x in times]), F.when(F.col("event_id") % 5 > 0, 1).otherwise(F.col("event_id") % 2 + 2).cast("int"))
+    line = F.concat(time, F.lit(" h sshd[1]: "), text, _ip(F.col("user_id")), F.lit(" port "), (F.col("event_id") % 60000).cast("string"))
     found = parsers.parse_lines(e.select("event_id", line.alias("line")), "ssh", NOW)
     return found.select("event_id", "status", "type", "user", "src_ip")
 
 
 _HOSTILE_SSH = """
-SELECT event_id, CASE WHEN event_id % 4 = 2 THEN 'ok' ELSE 'skip' END AS status, CASE WHEN event_id % 4 = 2 THEN 'auth_failure' ELSE '' END AS type, '' AS "user",
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'fail' WHEN event_id % 4 = 2 THEN 'ok' ELSE 'skip' END AS status, CASE WHEN event_id % 4 = 2 THEN 'auth_failure' ELSE '' END AS type, '' AS "user",
   CASE WHEN event_id % 4 = 2 THEN '203.0.' || (user_id % 4) || '.' || (user_id % 256) ELSE '' END AS src_ip FROM events
 """
 

@@ -54,12 +54,17 @@ def _with_event(lines: DataFrame, event: Column, keep: list[str]) -> DataFrame:
     return lines.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(event)))
 
 
+def _possible(time: Column) -> Column:
+    """A time, or null where it is out of bounds, offsets included; every parser's times go through here."""
+    return F.when(F.unix_micros(time).between(*TIME_BOUNDS), time)
+
+
 def _event(status: Column, reason: Column, **columns: Column) -> Column:
     return F.struct(status.alias("status"), *[columns.get(n, F.lit("")).alias(n) for n in EVENT_COLUMNS], reason.alias("reason"))
 
 
 def _rfc3339(text: Column) -> Column:
-    return F.when(text.rlike(_RFC3339), F.try_to_timestamp(F.replace(text, F.lit(","), F.lit("."))))
+    return _possible(F.when(text.rlike(_RFC3339), F.try_to_timestamp(F.replace(text, F.lit(","), F.lit(".")))))
 
 
 def _in_year(stamp: Column, year: int) -> Column:
@@ -98,7 +103,7 @@ def parse_nginx(lines: DataFrame, now: datetime) -> DataFrame:
     lines = lines.withColumn("__g", _groups(F.rtrim("line", F.lit("\r\n")), _COMBINED))
     address, user, stamp, request, code, size, referer, agent = (F.col("__g")[i] for i in range(8))
     parts = F.split(request, " ", 3)
-    lines = lines.withColumns({"__time": F.try_to_timestamp(stamp, F.lit("dd/MMM/yyyy:HH:mm:ss Z")), "__parts": parts, "__stem": F.substring_index(F.get(parts, F.lit(1)), "?", 1)})
+    lines = lines.withColumns({"__time": _possible(F.try_to_timestamp(stamp, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))), "__parts": parts, "__stem": F.substring_index(F.get(parts, F.lit(1)), "?", 1)})
     path, stem, split = F.get("__parts", F.lit(1)), F.col("__stem"), F.size("__parts") >= 2
     query, last = F.substr(path, F.length(stem) + 2), F.substring_index(stem, "/", -1)
     extension = F.when(F.contains(last, F.lit(".")), F.substring_index(last, ".", -1)).otherwise("")
@@ -112,6 +117,10 @@ def parse_nginx(lines: DataFrame, now: datetime) -> DataFrame:
     return _with_event(lines, event, keep)
 
 
+#: The first and the last microsecond of an event's time (years 1 to 9999).
+TIME_BOUNDS = (-62_135_596_800_000_000, 253_402_300_799_999_999)
+
+
 #: JSON keys that fill the event's own columns, first of each list first (fixed names of the format).
 JSON_ALIASES = {
     "timestamp": ("timestamp", "time", "@timestamp", "ts"),
@@ -124,9 +133,6 @@ JSON_ALIASES = {
 }
 
 
-#: The first and the last second of an event's time (years 1 to 9999).
-TIME_BOUNDS = (-62_135_596_800, 253_402_300_799)
-
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _LONE = re.compile("[\ud800-\udfff]")
 
@@ -147,7 +153,7 @@ def json_time(value: str) -> int:
     """Microseconds since 1970 of an RFC 3339 text, or of a number of seconds; a ValueError if it is neither or out of bounds."""
     if isinstance(value, _Number):
         seconds = float(value)
-        if not TIME_BOUNDS[0] <= seconds <= TIME_BOUNDS[1]:
+        if not abs(seconds) < 1e12:
             raise ValueError(f"bad timestamp {value}")
         whole = int(seconds)
         return (whole * 10**9 + int((seconds - whole) * 1e9)) // 1000
@@ -202,7 +208,9 @@ def parse_json(lines: DataFrame, now: datetime) -> DataFrame:
 
     found = lines.withColumn("__e", parse(F.coalesce("line", F.lit(""))))
     e = F.col("__e")
-    event = _event(F.when(e["reason"].isNull(), "ok").otherwise("fail"), e["reason"], timestamp=F.timestamp_micros(e["t"]), **{n: e[n] for n in EVENT_COLUMNS[1:]})
+    time = _possible(F.timestamp_micros(e["t"]))
+    reason = F.coalesce(e["reason"], F.when(time.isNull(), "json: time out of bounds"))
+    event = _event(F.when(reason.isNull(), "ok").otherwise("fail"), reason, timestamp=time, **{n: e[n] for n in EVENT_COLUMNS[1:]})
     return _with_event(found, event, keep)
 
 

@@ -123,12 +123,57 @@ def test_descriptions(spark):
     assert got[4].description == "{count}/"
 
 
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("kind,distinct", [("threshold", ""), ("threshold", "user"), ("sequence", ""), ("match", "")])
+def test_slices_equal_fold(spark, monkeypatch, kind, distinct, seed):
+    """Large groups in many slices, some shorter than a window, with a memory that is smaller than a window's hits."""
+    import random
+
+    from quarrylight.operators import detect
+    from quarrylight.streaming import detection
+
+    monkeypatch.setattr(detect, "SLICE_ROWS", 60)
+    monkeypatch.setattr(detect, "MOST_HITS", 25)
+    monkeypatch.setattr(detection, "MOST_HITS", 25)
+    rng = random.Random(seed)
+    rows = sorted((rng.randrange(0, 3000), f"192.0.2.{min(rng.randrange(9), 3)}", rng.choice(["refused", "opened", "x"]), rng.choice("abcdefgh"), {}) for _ in range(2500))
+    window = rng.choice((20, 90, 400)) * 1_000_000
+    r = rule(kind=kind, distinct=distinct, window=window, then={"type": "opened"} if kind == "sequence" else {}, threshold={"match": 0, "sequence": 6}.get(kind, 7)).validate()
+    memory, want = {}, []
+    for i, (s, ip, t, user, _) in enumerate(rows, 1):
+        row = type("Row", (), {"ts": s * 1_000_000, "id": i, "first": t == "refused", "then": t == "opened", "val": user if distinct else ""})
+        if row.first or (kind == "sequence" and row.then):
+            out = fold(memory.setdefault(ip, Memory()), r, row)
+            if out:
+                want.append((ip, s, out[0], out[2]))
+    got = [(g[0], g[1], g[2], g[4].event_ids) for g in fired(spark, r, rows)]
+    assert sorted(got) == sorted(want) and len(want) > 2
+    cuts = detect._cuts(detect._hits(events(spark, rows), [r]), [r])
+    assert cuts.count() == 4 and cuts.selectExpr("max(size(cuts))").first()[0] >= 5
+
+
+def test_times_too_far_apart(spark):
+    """Groups whose times don't fit one number together."""
+    far = [(i, T0 + timedelta(days=300 * i), "door", "", "refused", f"192.0.2.{i % 2}", "u", "m", {}) for i in range(0, 7000, 7) if i < 6000]
+    near = [(10_000 + i, T0 + timedelta(seconds=i), "door", "", "refused", "192.0.2.9", "u", "m", {}) for i in range(3)]
+    rules = [rule().validate(), rule(id="long", window=10**17).validate()]
+    got = sorted((r.rule_id, r.group_key, r["count"]) for r in evaluate(spark.createDataFrame(far + near, EVENT), rules).collect())
+    # a window of 10**17 microseconds holds 276 of the times, which are 4,200 days apart in a group
+    assert got == [("long", "192.0.2.0", 3), ("long", "192.0.2.0", 276), ("long", "192.0.2.1", 3), ("long", "192.0.2.1", 276), ("long", "192.0.2.9", 3), ("r", "192.0.2.9", 3)]
+
+
 def test_hot_group(spark):
-    """A million events of one group in one window: no row looks at the window again, and the memory of hits is bounded."""
+    """A million events of one group in one window spread over tasks, without a loop over rows."""
+    from quarrylight.operators import detect
+
     hot = spark.range(1_000_000).selectExpr("id", "timestamp_micros(id * 50) AS timestamp", "'x' AS source", "'' AS host", "CASE WHEN id % 1000 = 999 THEN 'opened' ELSE 'refused' END AS type", "'192.0.2.77' AS src_ip", "'u' AS user", "'' AS message", "cast(map() AS map<string,string>) AS fields")
     rules = [rule(id="t", threshold=9_000), rule(id="s", kind="sequence", then={"type": "opened"}, threshold=9_000), rule(id="m", kind="match", threshold=0, group_by="")]
+    rules = [r.validate() for r in rules]
     began = time.perf_counter()
-    got = {r.rule_id: r for r in evaluate(hot, [r.validate() for r in rules]).collect()}
+    got = {r.rule_id: r for r in evaluate(hot, rules).collect()}
     assert set(got) == {"t", "s", "m"} and got["t"]["count"] == 9_000 and got["s"]["count"] == 9_990 and got["m"].event_ids == [0]
     assert len(got["t"].event_ids) == 50 and got["t"].event_ids[-1] == 9_008 and len(got["s"].event_ids) == 51 and got["s"].event_ids[-1] == 9_999
-    assert time.perf_counter() - began < 300
+    assert time.perf_counter() - began < 120
+    hits = detect._hits(hot, rules)
+    sizes = [r["count"] for r in detect._sliced(hits, detect._cuts(hits, rules), rules).groupBy("rule", "grp", "slice").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 1.4 * detect.SLICE_ROWS and sum(sizes) < 1.3 * hits.count()
