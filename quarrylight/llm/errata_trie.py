@@ -344,3 +344,28 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
         words = scratch.written(count_words(docs), "errata-words")
         found = scratch.written(near_words(words, scratch), "errata-found")
         return written(with_roots(found, scratch).select("word", "form", "root", "n", "n_near", "form_n"), "errata")
+
+
+#: The same in DuckDB SQL. It has no CRC-32, so a table of the 256 remainders is made first; runs have one or two bytes a character.
+SQL = """
+WITH RECURSIVE remainders AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(0, 256) r(i)),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS named, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT run, n, t, flatten(list_transform(string_split(named, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END)) AS bytes FROM runs, remainders),
+hashed AS (SELECT run, n, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM coded),
+edited AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 7 GROUP BY ALL HAVING sum(n) >= 2),
+places AS (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+shorter AS (SELECT DISTINCT p.word AS x, p.n AS nx, w.word AS y, w.n AS ny FROM places p JOIN words w ON w.word = p.a || p.b),
+pairs AS (
+  SELECT p.word AS x, q.word AS y, q.n AS ny FROM places p JOIN places q ON p.i = q.i AND p.a = q.a AND p.b = q.b AND p.word <> q.word
+  UNION ALL SELECT x, y, ny FROM shorter UNION ALL SELECT y, x, nx FROM shorter),
+best AS (SELECT x, count(*) AS n_near, max(ny) AS top FROM pairs GROUP BY x),
+firsts AS (SELECT p.x, min(p.y) AS y FROM pairs p JOIN best b ON p.x = b.x AND p.ny = b.top GROUP BY p.x),
+found AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 10 * w.n THEN f.y END AS form, CASE WHEN b.top >= 10 * w.n THEN b.top END AS form_n
+  FROM words w LEFT JOIN best b ON b.x = w.word LEFT JOIN firsts f ON f.x = w.word),
+ways AS (SELECT word, word AS root, form FROM found UNION ALL SELECT w.word, f.word, f.form FROM ways w JOIN found f ON f.word = w.form)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM found f JOIN ways w ON w.word = f.word AND w.form IS NULL
+"""

@@ -326,3 +326,29 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
             F.when(F.col("last"), F.col("n_children")).otherwise(F.lit(1)).cast("long").alias("n_children"), "n_leaves", "saved_tokens", F.when(F.col("last"), F.col("ends_sha256")).otherwise(F.lit(_NO_ENDS)).alias("ends_sha256"),
         )
         return written(out, "trie")
+
+
+#: The same in DuckDB SQL. It has no CRC-32, so a table of the 256 remainders is made first. A sequence is named by the SHA-256 chain of its turns.
+SQL = r"""
+WITH RECURSIVE remainders AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(0, 256) r(i)),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS nth, sha256(strlen(coalesce(role, '')) || ' ' || coalesce(role, '') || coalesce(text, '')) AS d,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base FROM turns),
+kept AS (SELECT conv_id, base, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 4 AS h FROM ids, remainders),
+built AS (
+  SELECT k.conv_id, t.nth, t.d, t.w FROM kept k JOIN turns t ON t.conv_id = k.base AND t.nth <= k.h
+  UNION ALL SELECT k.conv_id, t.nth + 1000000000, t.d, t.w FROM kept k JOIN turns t ON t.conv_id = k.conv_id AND t.nth > k.h),
+placed AS (SELECT conv_id, d, w, row_number() OVER (PARTITION BY conv_id ORDER BY nth) AS depth FROM built),
+path AS (
+  SELECT conv_id, 0::BIGINT AS depth, '' AS node, '' AS above, 0 AS w FROM ids
+  UNION ALL SELECT p.conv_id, q.depth, sha256(p.node || q.d), p.node, q.w FROM path p JOIN placed q ON q.conv_id = p.conv_id AND q.depth = p.depth + 1),
+ends AS (SELECT conv_id, arg_max(node, depth) AS node FROM path GROUP BY conv_id),
+listed AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM ends GROUP BY node),
+nodes AS (SELECT node, any_value(above) AS above, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM path GROUP BY node),
+children AS (SELECT above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM path a JOIN path b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (SELECT b.top, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.w)::BIGINT AS saved_tokens FROM below b JOIN nodes n ON n.node = b.node LEFT JOIN children c ON c.above = b.node GROUP BY b.top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(l.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.top = n.node LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.above LEFT JOIN children c ON c.above = n.node LEFT JOIN listed l ON l.node = n.node
+"""

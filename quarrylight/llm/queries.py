@@ -111,4 +111,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.SQL,
     "op4_suffix_dedup": suffix_dedup.SQL,
     "op5_jaccard_join": jaccard_join.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op12_spelling_variants": errata_trie.SQL,
 }
