@@ -8,15 +8,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+_NUMBER = r"^(?:[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:[+-]?inf(?:inity)?|nan))\z"
 
 
 def number_of(text: Column) -> Column:
     """The double that a field holds, or null: no blanks, suffixes or overflow; `inf` and `nan` words count. Hexadecimal floats don't."""
-    plain = F.when(text.rlike(_DECIMAL), text.try_cast("double"))
-    plain = F.when(F.abs(plain) != float("inf"), plain)
-    infinite = F.when(text.rlike(r"^(?i)\+?inf(inity)?\z"), F.lit(float("inf"))).when(text.rlike(r"^(?i)-inf(inity)?\z"), F.lit(float("-inf")))
-    return F.coalesce(plain, infinite, F.when(text.rlike(r"^(?i)nan\z"), F.lit(float("nan"))))
+    value = text.try_cast("double")
+    return F.when(text.rlike(_NUMBER) & ((F.abs(value) != float("inf")) | text.rlike("^[+-]?[iI]")), value)
 
 
 def parse_number(text: str) -> float:

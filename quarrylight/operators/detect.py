@@ -51,8 +51,13 @@ def _hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
     for n, rule in enumerate(rules):
         group = field_ref(rule.group_by) if rule.group_by else None
         grp = group.value if group else F.lit("")
-        first, then = rule.matches(), compile_condition(rule.then) if rule.kind == "sequence" else F.lit(False)
-        wanted = first | then
+        first, then = rule.matches(), F.lit(False)
+        wanted = first
+        if rule.kind == "sequence":
+            then = compile_condition(rule.then)
+            wanted = first | then
+        else:
+            first = F.lit(True)  # of the hits
         if rule.kind != "match":
             wanted &= group.exists & (group.value != "")
         values = [field_ref(f).value for f in rule.event_fields()]
@@ -239,9 +244,9 @@ class Groups:
             yield pa.RecordBatch.from_arrays([*taken, pa.array(self.n[at], pa.int32()), pa.array(since, pa.int64()), lists], names=["rule", "grp", "ts", "id", "ev", "n", "since", "ids"])
 
 
-def suppressed(hits: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The fires among the hits of rules with a window: rule, grp, ts, id, ev, n, since, ids."""
-    cuts = _cuts(hits, rules)
+def suppressed(hits: DataFrame, rules: list[Rule], events: int | None = None) -> DataFrame:
+    """The fires among the hits of rules with a window: rule, grp, ts, id, ev, n, since, ids. `events`: how many events there are, if that is known; few can't make a large group."""
+    cuts = None if events is not None and events <= SLICE_ROWS else _cuts(hits, rules)
     key, most = ["rule", "grp"], MOST_HITS
     whole = hits if cuts is None else hits.join(cuts, key, "left_anti")
 
@@ -312,7 +317,7 @@ def evaluate(events: DataFrame, rules: list[Rule]) -> DataFrame:
     at_once = [n for n, r in enumerate(rules) if r.window == 0]  # match rules that fire on every event
     found = None
     if len(at_once) < len(rules):
-        found = suppressed(hits.filter(~F.col("rule").isin(at_once)) if at_once else hits, rules)
+        found = suppressed(hits.filter(~F.col("rule").isin(at_once)) if at_once else hits, rules, events.count())  # of a stored table the footers tell
     if at_once:
         every = hits.filter(F.col("rule").isin(at_once)).select("rule", "grp", "ts", "id", "ev", F.lit(1).alias("n"), F.col("ts").alias("since"), F.array("id").alias("ids"))
         found = every if found is None else found.unionByName(every)

@@ -67,8 +67,8 @@ def compile_matcher(field: str, matcher) -> Column:
             tests.append(value.rlike(re2_to_java(scalar_text(want))))
         elif op in ("gte", "lte"):
             number, bound = number_of(value), parse_number(want)
-            # a NaN field passes both bounds: neither "below" nor "above" is true of it
-            ok = F.isnan(number) | ((number >= bound) if op == "gte" else (number <= bound))
+            # a NaN field passes both bounds: neither "below" nor "above" is true of it. To Spark it is above all
+            ok = number >= bound if op == "gte" else F.nanvl(number, F.lit(float("-inf"))) <= bound
             tests.append(F.coalesce(ok, F.lit(False)))
     return reduce(and_, tests)
 
