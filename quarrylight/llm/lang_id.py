@@ -6,7 +6,7 @@ max-pooled over the window, and a softmax layer gives the languages. A text's pr
 its windows' probabilities, weighted by their letters.
 
 Training uses distinct labelled texts, taken by hash and each with all its windows: at most TRAIN_TEXTS texts and
-TRAIN_WINDOWS windows a language, for the MOST_LANGUAGES languages with the most rows. These bounds are the only sample
+TRAIN_WINDOWS windows a language, for every language that is labelled. These bounds are the only sample
 (a text of more than TRAIN_WINDOWS windows is never in it); every byte of every text is scored.
 
 Defined cases: null text, or text without a letter, gives `und` with score 0; texts of any length are scored whole; of equally

@@ -560,6 +560,7 @@ def test_toxicity_held_out():
     shares = min(1, toxicity.WARM_WINDOWS / n.sum()), min(1, toxicity.CLEAN_WINDOWS / n[toxic == 0].sum())
     for seed in (5, 6, 7):
         model = toxicity.BiGRU(seed)
+        model.start(toxic.sum(), (toxic == 0).sum())
 
         def rounds(model=model):
             for epoch in range(toxicity.EPOCHS):
