@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +23,25 @@ CONTRACTS = {
     "op8_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op9_kd_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op13_order_minhash": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
 }
+#: Operators whose rows aren't documents.
+OTHER_ROWS = {
+    "op11_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op12_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
+}
+
+
+@pytest.mark.parametrize("name", list(OTHER_ROWS))
+def test_other_rows(spark, sf_dir, name):
+    got = queries.QUERIES[name](spark, sf_dir).toPandas()
+    assert list(got.columns) == OTHER_ROWS[name] and len(got) > 10
+    db = duckdb.connect()
+    for table in ("documents", "conversations"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    want = db.sql(queries.ORACLE_SQL[name]).df()
+    plain = lambda f: sorted(tuple("" if pd.isna(x) else str(int(x)) if isinstance(x, float) else str(x) for x in row) for row in f[OTHER_ROWS[name]].itertuples(index=False))
+    assert plain(got) == plain(want)
 
 
 @pytest.mark.parametrize("name", list(CONTRACTS))
