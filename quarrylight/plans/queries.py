@@ -315,7 +315,7 @@ def sigma_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules, report = sigma.load_paths([folder])
     web = parsers.parse_lines(nginx_lines(spark, sf_dir), "nginx", NOW).filter("status = 'ok'")
     matched = web.agg(*[F.count_if(r.matches()).alias(f"n{i}") for i, r in enumerate(rules)]).first()
-    return report.table(spark).withColumns({"files": F.lit(report.files), "loaded": F.lit(report.loaded), "matches": F.lit(sum(matched))})
+    return report.table(spark).withColumns({"files": F.lit(report.files), "loaded": F.lit(report.loaded), "matches": F.lit(sum(matched)).cast("long")})
 
 
 _SIGMA_REPORT = """
@@ -516,7 +516,7 @@ def live_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
             except StreamingQueryException:
                 held = open_store(spark, f"{at}/store") if not held.before | held.after else held
     events = held.events()
-    out = _with_stored(held).withColumns({"n_events": F.lit(events.count()), "n_event_ids": F.lit(events.select("id").distinct().count())})
+    out = _with_stored(held).withColumns({"n_events": F.lit(events.count()).cast("long"), "n_event_ids": F.lit(events.select("id").distinct().count()).cast("long")})
     return _result(spark, out, at)
 
 
@@ -542,7 +542,7 @@ def store_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = held.expire(NOW - timedelta(hours=6), timedelta(days=7))
     left = {p.path for p in held.parts("events")}
     e = held.events()
-    out = e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).withColumns({"alerts": F.lit(held.alerts().count()), "gone": F.lit(done["rows"]), "by_file": F.lit(done["removed"] > done["rewritten"] > 0 and len(files - left) == done["removed"] + done["rewritten"])})
+    out = e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).withColumns({"alerts": F.lit(held.alerts().count()).cast("long"), "gone": F.lit(done["rows"]).cast("long"), "by_file": F.lit(done["removed"] > done["rewritten"] > 0 and len(files - left) == done["removed"] + done["rewritten"])})
     return _result(spark, out, at)
 
 
@@ -816,7 +816,7 @@ _RULE_SEARCH = f"SELECT t.*, (SELECT count(*) FROM ({_MATCH})) AS alerts FROM (V
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules by their state, and how many of them have raised alerts."""
     table = _rules_and_alerts(spark, sf_dir)
-    return stats.rule_counts(table).withColumn("fired", F.lit(table.filter("alerts > 0").count()))
+    return stats.rule_counts(table).withColumn("fired", F.lit(table.filter("alerts > 0").count()).cast("long"))
 
 
 _RULE_COUNTS = f"SELECT 6::BIGINT AS active, 6::BIGINT AS builtin, 1::BIGINT AS sigma, (SELECT count(*) FROM ({_ALL}) WHERE alerts > 0) AS fired"
