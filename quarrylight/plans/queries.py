@@ -420,6 +420,9 @@ SELECT 'r10000' AS rule_id, 'low' AS severity, 'json' AS group_key, 10000 AS cou
 """
 
 
+_STREAM_EXPIRY = f"SELECT *, true AS remembered, 0::BIGINT AS \"left\" FROM (({_THRESHOLD}) UNION ALL ({_SEQUENCE}) UNION ALL ({_MATCH}))"
+
+
 def _result(spark: SparkSession, rows: DataFrame, at: str) -> DataFrame:
     """The rows as a table of their own, so that the folder that they come from can go."""
     path = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
@@ -432,11 +435,30 @@ def stream_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold rule over a stream of the events, by keyed state: the same alerts as over the table."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's path must be no plain file
-    live = live_alerts(_as_logs(source), _rules("errors"), expire=False)
+    live = live_alerts(_as_logs(source), _rules("errors"))
     live.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/alerts/{n}")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return _result(spark, _alert_rows(spark.read.parquet(f"{at}/alerts/*")), at)
 
 
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rules over a stream that is stopped and started again twice; at last an event of ten days later, which no rule concerns. The alerts are the table's, and no state is left."""
+    at = f"{shared_folder(spark)}/expiry-{uuid.uuid4().hex}"
+    e = _table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = e.agg(F.percentile_approx(micros, [0.33, 0.67])).first()[0]
+    third = sum((micros >= c).cast("int") for c in cuts)
+    end = e.agg(F.max("event_id").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts")).withColumn("event_type", F.lit("end"))
+    held = []
+    for part in (*[e.filter(third == n) for n in range(3)], spark.createDataFrame([], e.schema).unionByName(end, allowMissingColumns=True)):
+        part.write.mode("append").parquet(f"{at}/events")
+        live = live_alerts(_as_logs(spark.readStream.schema(e.schema).parquet(f"{at}/events")), _rules("errors", "errors-then-purchase", "large"))
+        query = live.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/alerts/{n}")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    out = _alert_rows(spark.read.parquet(f"{at}/alerts/*")).withColumns({"remembered": F.lit(all(held[:3])), "left": F.lit(held[3]).cast("long")})
+    return _result(spark, out, at)
+
+
 def _json_lines(e: DataFrame) -> DataFrame:
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return e.select(F.to_json(F.struct(stamp.alias("time"), "type", "user", F.col("src_ip").alias("ip"), F.col("fields")["value"].alias("value"))).alias("line"))
@@ -830,7 +852,7 @@ FROM f JOIN le b ON b."user" = f.group_key AND b.type = 'error' AND (b.timestamp
 _ALL_QUERIES = (
     (parse_nginx, _PARSE_NGINX), (parse_ssh, _PARSE_SSH), (parse_json, _PARSE_JSON), (parse_report, _PARSE_REPORT), (parse_hostile_json, _HOSTILE_JSON), (parse_hostile_ssh, _HOSTILE_SSH), (condition, _CONDITION), (sigma_rule, _SIGMA), (sigma_forms, _SIGMA_FORMS), (sigma_report, _SIGMA_REPORT),
     (detect_threshold, _THRESHOLD), (detect_distinct, _DISTINCT), (detect_sequence, _SEQUENCE), (detect_match, _MATCH), (detect_every_match, _EVERY), (detect_all, _ALL), (detect_hit_cap, _HIT_CAP),
-    (stream_threshold, _THRESHOLD), (live_alerts_stored, _LIVE_ALERTS), (live_counters, _LIVE_COUNTERS), (live_replay, _LIVE_REPLAY), (engine_state, _ENGINE_STATE), (store_retention, _STORE_RETENTION), (store_page, _STORE_PAGE),
+    (stream_threshold, _THRESHOLD), (stream_expiry, _STREAM_EXPIRY), (live_alerts_stored, _LIVE_ALERTS), (live_counters, _LIVE_COUNTERS), (live_replay, _LIVE_REPLAY), (engine_state, _ENGINE_STATE), (store_retention, _STORE_RETENTION), (store_page, _STORE_PAGE),
     (feed_entries, _FEED_ENTRIES), (feed_refresh, _FEED_REFRESH), (enrich, _ENRICH), (list_events, _LIST_EVENTS), (search_events, _SEARCH), (get_events, _GET), (list_alerts, _LIST_ALERTS), (alert_status, _ALERT_STATUS), (alert_events, _ALERT_EVENTS),
     (retention, _RETENTION), (assign_ids, _ASSIGN), (stats_totals, _TOTALS), (stats_by_type, _BY_TYPE), (stats_top_sources, _TOP), (stats_top_alerted, _TOP_ALERTED), (stats_open_by_severity, _OPEN), (stats_open_and_high, _OPEN_HIGH),
     (stats_timeline, _TIMELINE), (stats_default_range, _DEFAULT_RANGE), (stats_flagged_sources, _FLAGGED), (rule_search, _RULE_SEARCH), (rule_counts, _RULE_COUNTS),

@@ -2,7 +2,7 @@
 
 The state is what a rule still remembers of a group: the hits in its window and the time until which it is suppressed.
 Rows of a micro-batch are folded in (timestamp, arrival id) order. Late rows are never dropped: a late row is judged by its own
-time against what the state still holds. States leave by a processing-time timeout once their window has surely passed.
+time against what the state still holds. States leave by event time, by timers or with the batch that shows that their window has passed.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.detect import ALERT_IDS, MOST_HITS, _hits, alerts_of
 from ..plans.rules import Rule
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = "ts array<bigint>, ids array<bigint>, vals array<string>, quiet_until bigint"
 _FIRE = "rule int, grp string, ts bigint, id bigint, ev array<string>, n int, since bigint, ids array<bigint>"
 #: What the rules remember of groups is kept in so many parts, of which a batch rewrites those that it has groups of.
@@ -92,35 +93,76 @@ def fold(memory: Memory, rule: Rule, row) -> tuple[int, int, list[int]] | None:
     return fired
 
 
-def live_alerts(events: DataFrame, rules: list[Rule], expire: bool = True) -> DataFrame:
-    """Alerts of a streaming event table (with id), as operators.detect.evaluate gives them for a whole one.
+class RuleMemory(StatefulProcessor):
+    """What a rule remembers of a group, in keyed state: its hits as a list and one row with the end of suppression and the time of the timer.
 
-    expire: states time out. A query that ends once its input is read must not wait for that, so it runs without.
+    A group has one timer. It is set with the group's first hit and looked at when the watermark passes it: if the group has had hits
+    since, it is set anew, else the group's state goes. So a hit costs no timer of its own.
     """
-    rules = [r for r in rules if not r.disabled]
-    longest = max((r.window for r in rules), default=0) // 1000 + 60_000
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, rules: list[Rule]):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hits = handle.getListState("hits", "ts bigint, id bigint, val string")
+        self.times = handle.getValueState("times", "quiet_until bigint, seen bigint, timer bigint")
+
+    def _until(self, rule: Rule, seen: int, quiet_until: int | None) -> int:
+        """The first millisecond at which nothing of a group counts any more."""
+        return max(seen + rule.window, quiet_until or 0) // 1000 + 1
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rule = self.rules[key[0]]
+        if not rule.window:  # each hit is an alert, so there is nothing to remember
+            for r in rows:
+                yield Row(rule=key[0], grp=key[1], ts=r.ts, id=r.id, ev=list(r.ev), **dict(zip(("n", "since", "ids"), fold(Memory(), rule, r), strict=True)))
             return
-        rule = rules[key[0]]
-        memory = Memory()
-        if state.exists:
-            ts, ids, vals, quiet = state.get
-            memory = Memory(list(zip(ts, ids, vals, strict=True)), quiet)
-        out = []
-        for row in pd.concat(list(frames)).sort_values(["ts", "id"], kind="stable").itertuples():
-            fired = fold(memory, rule, row)
+        times = self.times.get()
+        quiet, seen, timer = times if times else (None, 0, None)
+        memory = Memory(map(tuple, self.hits.get()) if times else (), quiet)
+        for r in sorted(rows, key=lambda r: (r.ts, r.id)):
+            seen = max(seen, r.ts)
+            fired = fold(memory, rule, r)
             if fired:
-                out.append((key[0], key[1], row.ts, row.id, list(row.ev), *fired))
-        state.update((*memory.columns(), memory.quiet_until))
-        if expire:
-            state.setTimeoutDuration(longest)
-        yield pd.DataFrame(out, columns=["rule", "grp", "ts", "id", "ev", "n", "since", "ids"]).astype({"rule": "int32", "n": "int32"})
-
-    hits = _hits(events, rules)
-    return alerts_of(hits.groupBy("rule", "grp").applyInPandasWithState(run, _FIRE, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout), rules)
+                yield Row(rule=key[0], grp=key[1], ts=r.ts, id=r.id, ev=list(r.ev), **dict(zip(("n", "since", "ids"), fired, strict=True)))
+        if memory.hits:
+            self.hits.put(list(memory.hits))
+        else:
+            self.hits.clear()
+        if timer is None:
+            timer = max(self._until(rule, seen, memory.quiet_until), timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(timer)
+        self.times.update((memory.quiet_until, seen, timer))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        quiet, seen, _ = self.times.get()
+        until = self._until(self.rules[key[0]], seen, quiet)
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(until)
+            self.times.update((quiet, seen, until))
+        else:
+            self.hits.clear()
+            self.times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def live_alerts(events: DataFrame, rules: list[Rule], lateness: str = "1 hour") -> DataFrame:
+    """Alerts of a streaming event table (with id), as operators.detect.evaluate gives them for a whole one.
+
+    State leaves by event time, once the watermark, `lateness` behind the latest event, has passed all that a group is remembered for. So rows
+    that come at most so late find what they would have found in time; later ones are judged too, against what is left. Events
+    whose times lie ahead of the clock don't move the watermark beyond it. Rules with window 0 keep no state. Sets the session's state store to RocksDB, which timers need.
+    """
+    rules = [r for r in rules if not r.disabled]
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # the rows that are judged don't have the watermark's column, so that Spark drops none as late
+    seen = events.withColumn("__seen", F.least("timestamp", F.current_timestamp())).withWatermark("__seen", lateness)
+    fires = _hits(seen, rules).groupBy("rule", "grp").transformWithState(RuleMemory(rules), _FIRE, "Append", "EventTime")
+    return alerts_of(fires, rules)
 
 
 #: What rules remember of a group after a batch, and (fire) its alerts.

@@ -233,5 +233,4 @@ def alert_stream(events: DataFrame, rules: list[Rule], store: Store, checkpoint:
         counters.alerts += sum(p.rows for p in store.parts("alerts", ids=(batch_id << 32, (batch_id + 1 << 32) - 1)))
         _announce(found, hub, webhook)
 
-    ends = bool(trigger) and "availableNow" in trigger
-    return _start(live_alerts(events, rules, expire=not ends), process, store, checkpoint, trigger)
+    return _start(live_alerts(events, rules), process, store, checkpoint, trigger)

@@ -1,6 +1,6 @@
 import queue
 import time
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -10,7 +10,7 @@ from quarrylight.plans.rules import Rule
 from quarrylight.sources.feeds import Feed, FeedSet
 from quarrylight.sources.parsers import stream_lines
 from quarrylight.streaming import live
-from quarrylight.streaming.detection import Memory, fold
+from quarrylight.streaming.detection import Memory, fold, live_alerts
 from quarrylight.streaming.live import Counters, Hub, Webhook, alert_stream, ingest_lines, open_store, pipeline_stream, store_stream
 
 from .test_parsers import NOW
@@ -176,3 +176,32 @@ def test_ingest(spark):
         ingest_lines(spark, ["x" * (1 << 20)] * 11, "json", NOW)
     with pytest.raises(ValueError, match="unknown parser"):
         ingest_lines(spark, ["x"], "csv", NOW)
+
+
+def test_keyed_state_leaves_by_event_time(spark, tmp_path):
+    """A group's state goes once the watermark has passed its window; events ahead of the clock don't hurry it, and late rows are still judged."""
+    rule = Rule(id="r", severity="high", kind="threshold", where={"type": "refused"}, group_by="user", threshold=2, window=60_000_000).validate()
+    every = Rule(id="e", severity="low", kind="match", where={"type": "refused"}).validate()
+    source = str(tmp_path / "events")
+
+    def run(*hits):
+        rows = [(i, at if isinstance(at, datetime) else T0 + timedelta(seconds=at), "door", "", kind, "192.0.2.1", user, "m", {}) for i, at, user, kind in hits]
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(source)
+        live = live_alerts(spark.readStream.schema(EVENT).parquet(source), [rule, every], lateness="10 seconds")
+        query = live.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        found = sorted((r.rule_id, r.group_key, r["count"], r.event_ids) for r in spark.read.parquet(f"{tmp_path}/out/*").filter("rule_id = 'r'").collect())
+        return found, query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    found, alone = run((1, 0, "a", "refused"))
+    assert found == [] and alone > 0
+    ahead = datetime.now(timezone.utc) + timedelta(days=400)
+    found, _ = run((2, 65, "b", "other"), (3, 1, "c", "refused"))
+    assert found == []
+    found, held = run((4, 50, "a", "refused"), (5, -5, "c", "refused"))  # within the lateness, and beyond it
+    assert found == [("r", "a", 2, [1, 4]), ("r", "c", 2, [3, 5])] and held == 2 == alone  # one row of times for each group that is quiet now; before, one and a hit
+    found, held = run((6, 86_400, "b", "other"))
+    assert len(found) == 2 and held == 0
+    found, held = run((7, 86_401, "d", "refused"), (8, ahead, "b", "other"))
+    assert held == 0  # the watermark stands at the clock, long after
+    assert spark.read.parquet(f"{tmp_path}/out/*").filter("rule_id = 'e'").count() == 5
