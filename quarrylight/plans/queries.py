@@ -20,6 +20,7 @@ from ..functions.fields import severity_rank
 from ..operators import detect, intel, stats, store
 from ..operators.ledger import Store
 from ..sources import feeds, parsers
+from ..sources.follow import follow_lines
 from ..streaming.detection import STATE, judged, live_alerts
 from ..streaming.live import Counters, open_store, pipeline_stream
 from . import sigma
@@ -486,6 +487,33 @@ def live_alerts_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(spark, _with_stored(held), at)
 
 
+def follow_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files followed as they are rotated: the earlier half of the events lies in some files, which get new names once they have been read, and files of the later half take their place."""
+    at = f"{shared_folder(spark)}/follow-{uuid.uuid4().hex}"
+    e = log_events(spark, sf_dir)
+    half = e.agg(F.percentile_approx(F.unix_micros("timestamp"), 0.5)).first()[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{at}/logs"))
+    folder = fs.resolvePath(path(f"{at}/logs")).toUri().getPath()  # the followed files are opened by their plain paths
+    for later in (False, True, None):
+        if later is not None:
+            _json_lines(e.filter((F.unix_micros("timestamp") >= half) == later)).repartition(4).write.text(f"{at}/{later}")
+            for n, part in enumerate(fs.globStatus(path(f"{at}/{later}/part-*"))):
+                name = f"{at}/logs/{n}.log"
+                if later:
+                    fs.rename(path(name), path(f"{name}.1"))
+                fs.rename(part.getPath(), path(name))
+        lines = follow_lines(spark, f"{folder}/*.log", from_start=True)
+        parsed = parsers.events_of(parsers.parse_lines(lines, "json", NOW))
+        parsed.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/events").awaitTermination()
+    out = spark.read.schema(parsed.schema).parquet(f"{at}/events")
+    return _result(spark, _plain(out.groupBy("user", "type").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))), at)
+
+
+_FOLLOW = f"WITH {_SQL_EVENTS} SELECT \"user\", type, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM le GROUP BY ALL"
+
+
 def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, _, c = _live(spark, sf_dir)
     delete_folder(spark, at)
@@ -852,7 +880,7 @@ FROM f JOIN le b ON b."user" = f.group_key AND b.type = 'error' AND (b.timestamp
 _ALL_QUERIES = (
     (parse_nginx, _PARSE_NGINX), (parse_ssh, _PARSE_SSH), (parse_json, _PARSE_JSON), (parse_report, _PARSE_REPORT), (parse_hostile_json, _HOSTILE_JSON), (parse_hostile_ssh, _HOSTILE_SSH), (condition, _CONDITION), (sigma_rule, _SIGMA), (sigma_forms, _SIGMA_FORMS), (sigma_report, _SIGMA_REPORT),
     (detect_threshold, _THRESHOLD), (detect_distinct, _DISTINCT), (detect_sequence, _SEQUENCE), (detect_match, _MATCH), (detect_every_match, _EVERY), (detect_all, _ALL), (detect_hit_cap, _HIT_CAP),
-    (stream_threshold, _THRESHOLD), (stream_expiry, _STREAM_EXPIRY), (live_alerts_stored, _LIVE_ALERTS), (live_counters, _LIVE_COUNTERS), (live_replay, _LIVE_REPLAY), (engine_state, _ENGINE_STATE), (store_retention, _STORE_RETENTION), (store_page, _STORE_PAGE),
+    (stream_threshold, _THRESHOLD), (stream_expiry, _STREAM_EXPIRY), (live_alerts_stored, _LIVE_ALERTS), (live_counters, _LIVE_COUNTERS), (follow_rotation, _FOLLOW), (live_replay, _LIVE_REPLAY), (engine_state, _ENGINE_STATE), (store_retention, _STORE_RETENTION), (store_page, _STORE_PAGE),
     (feed_entries, _FEED_ENTRIES), (feed_refresh, _FEED_REFRESH), (enrich, _ENRICH), (list_events, _LIST_EVENTS), (search_events, _SEARCH), (get_events, _GET), (list_alerts, _LIST_ALERTS), (alert_status, _ALERT_STATUS), (alert_events, _ALERT_EVENTS),
     (retention, _RETENTION), (assign_ids, _ASSIGN), (stats_totals, _TOTALS), (stats_by_type, _BY_TYPE), (stats_top_sources, _TOP), (stats_top_alerted, _TOP_ALERTED), (stats_open_by_severity, _OPEN), (stats_open_and_high, _OPEN_HIGH),
     (stats_timeline, _TIMELINE), (stats_default_range, _DEFAULT_RANGE), (stats_flagged_sources, _FLAGGED), (rule_search, _RULE_SEARCH), (rule_counts, _RULE_COUNTS),
