@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..deploy import checkpointed
 from ..functions.fields import field_ref
@@ -67,13 +68,8 @@ def _hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
     return found.select("h.*", "ts", "id")
 
 
-def _of_rule(values: list, rule: Column) -> Column:
-    """The value of each rule, by its number."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), rule + 1)
-
-
 def _cuts(hits: DataFrame, rules: list[Rule]) -> DataFrame | None:
-    """(rule, grp, cuts) of the groups that are cut: the time at which each further slice begins and the time after which its halo does. None if there are none."""
+    """(rule, grp, cuts, halos) of the groups that are cut: the times at which the further slices begin, and for each the time at which its halo does. None if there are none."""
     sizes = hits.groupBy("rule", "grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE_ROWS)
     most = sizes.agg(F.max("n")).first()[0]
     if most is None:
@@ -93,19 +89,47 @@ def _cuts(hits: DataFrame, rules: list[Rule]) -> DataFrame | None:
         mark = F.size(F.filter(F.coalesce("marks", F.array().cast("array<bigint>")), lambda m: m < cut)) - back
         return F.when(mark >= 0, F.get("marks", mark)).otherwise(F.lit(-(2**63)).cast("long"))
 
-    return checkpointed(found.select("rule", "grp", F.transform(cuts, lambda c: F.struct(c.alias("cut"), halo(c).alias("halo"))).alias("cuts")))
+    return checkpointed(found.select("rule", "grp", cuts.alias("cuts"), F.transform(cuts, halo).alias("halos")))
 
 
 def _sliced(hits: DataFrame, cuts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The hits of large groups by slice; those that a later slice can remember are in it too, as halo. `begin` is the time at which the slice begins (null: the first)."""
-    rule, ts = F.col("rule"), F.col("ts")
-    window = _of_rule([r.window for r in rules], rule).cast("long")
-    remembers = _of_rule([r.kind != "match" for r in rules], rule) & F.col("first")
-    own = F.size(F.filter("cuts", lambda c: c["cut"] <= ts))
-    ahead = F.filter(F.transform("cuts", lambda c, i: F.struct((i + 1).alias("slice"), F.lit(True).alias("halo"), (remembers & (c["cut"] > ts) & (ts >= c["halo"]) & (ts > c["cut"] - window)).alias("in"))), lambda x: x["in"])
-    places = F.concat(F.array(F.struct(own.alias("slice"), F.lit(False).alias("halo"))), F.transform(ahead, lambda x: F.struct(x["slice"].alias("slice"), x["halo"].alias("halo"))))
-    out = hits.join(cuts, ["rule", "grp"]).select(*hits.columns, "cuts", F.inline(places))
-    return out.withColumn("begin", F.get("cuts", F.col("slice") - 1)["cut"]).drop("cuts").repartition("rule", "grp", "slice")
+    """The hits of large groups by slice; those that a later slice can remember are in it too, as halo. `begin` is the time at which the slice begins (null: the first).
+
+    A row's slices are searched in its group's sorted cuts, so a row costs the same however many slices a group has. The driver holds the cuts: a number for each SLICE_ROWS rows.
+    """
+    spark, names, windows = hits.sparkSession, hits.columns, [min(r.window, 2**62) for r in rules]
+    remembers = np.array([r.kind != "match" for r in rules])
+    found = cuts.collect()
+    held = spark.sparkContext.broadcast([(np.array(r["cuts"], np.int64), np.array(r["halos"], np.int64), windows[r["rule"]]) for r in found])
+    numbers = spark.createDataFrame([(r["rule"], r["grp"], n) for n, r in enumerate(found)], "rule int, grp string, nth int")
+    joined = hits.join(F.broadcast(numbers), ["rule", "grp"]).select(*names, "nth")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nth, ts = batch.column("nth").to_numpy(), batch.column("ts").to_numpy()
+            by = np.argsort(nth, kind="stable")
+            numbers, at = np.unique(nth[by], return_index=True)
+            own, upto = np.zeros(len(ts), np.int64), np.zeros(len(ts), np.int64)
+            for n, rows in zip(numbers.tolist(), np.split(by, at[1:]), strict=True):
+                cut, halo, window = held.value[n]
+                own[rows] = np.searchsorted(cut, ts[rows], "right")
+                upto[rows] = np.minimum(np.searchsorted(halo, ts[rows], "right"), np.searchsorted(cut - window, ts[rows], "left"))
+            halos = batch.column("first").to_numpy(zero_copy_only=False).astype(bool) & remembers[batch.column("rule").to_numpy()]
+            places = np.where(halos, np.maximum(upto - own, 0), 0) + 1
+            row = np.repeat(np.arange(len(ts)), places)
+            further = np.arange(len(row)) - np.repeat(np.cumsum(places) - places, places)
+            slice_ = own[row] + further
+            begin = np.zeros(len(row), np.int64)
+            later = np.flatnonzero(slice_)
+            for n in numbers.tolist():
+                mine = later[nth[row[later]] == n] if len(numbers) > 1 else later
+                begin[mine] = held.value[n][0][slice_[mine] - 1]
+            out = batch.select(names).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(slice_, pa.int32()), pa.array(further > 0), pa.array(begin, mask=slice_ == 0)], names=[*names, "slice", "halo", "begin"])
+
+    return joined.mapInArrow(run, StructType([*hits.schema, *StructType.fromDDL("slice int, halo boolean, begin bigint")])).repartition("rule", "grp", "slice")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], key: list[str], rows: int | None = None) -> Iterator[pa.Table]:
@@ -282,17 +306,27 @@ def _of_slices(sliced: DataFrame, rules: list[Rule]) -> DataFrame:
             yield from rows.to_batches()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each slice's first fire: from the last one before it a search leads to the first entry that is no longer quiet."""
         group, chosen, free = None, None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            slices, entry, last = (batch.column(c).to_numpy() for c in ("slice", "entry", "last"))
+            begins = [*np.flatnonzero(_changes(pa.Table.from_batches([batch]), ["rule", "grp"])).tolist(), batch.num_rows]
             out = []
-            for rule, grp, slice_, entry, last in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if group != (rule, grp):
-                    group, chosen, free = (rule, grp), None, None
-                if slice_ != chosen and (free is None or entry >= free):
-                    chosen, free = slice_, last + rules[rule].window
-                    out.append((rule, grp, slice_, entry))
+            for at, end in zip(begins, begins[1:], strict=False):
+                own = batch.column("rule")[at].as_py(), batch.column("grp")[at].as_py()
+                if group != own:
+                    group, chosen, free = own, None, None
+                while True:
+                    if chosen is not None:
+                        at += max(int(np.searchsorted(slices[at:end], chosen, "right")), int(np.searchsorted(entry[at:end], free, "left")))
+                    if at >= end:
+                        break
+                    out.append(at)
+                    chosen, free = int(slices[at]), int(last[at]) + rules[own[0]].window
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=[*key, "entry"])
+                yield batch.select([*key, "entry"]).take(pa.array(out))
 
     def fires(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = (b.filter(b.column("entry").is_valid()) for b in batches)  # slices in which nothing fires have no entry
