@@ -177,3 +177,19 @@ def test_hot_group(spark):
     hits = detect._hits(hot, rules)
     sizes = [r["count"] for r in detect._sliced(hits, detect._cuts(hits, rules), rules).groupBy("rule", "grp", "slice").count().collect()]
     assert len(sizes) >= 12 and max(sizes) < 1.4 * detect.SLICE_ROWS and sum(sizes) < 1.3 * hits.count()
+
+
+def test_slices_are_searched(spark, monkeypatch):
+    """A row costs the same however many slices its group has: no row carries its group's cuts or tests each of them. With a window longer than all slices only the first candidate fires."""
+    from quarrylight.operators import detect
+
+    monkeypatch.setattr(detect, "SLICE_ROWS", 50)
+    monkeypatch.setattr(detect, "MOST_HITS", 20)
+    r = [rule(threshold=20, window=10**15).validate(), rule(id="never", threshold=21, window=10**15).validate()]
+    e = events(spark, [(i // 3, "192.0.2.1", "refused", "", {}) for i in range(3000)])
+    hits = detect._hits(e, r)
+    cuts = detect._cuts(hits, r)
+    assert cuts.selectExpr("min(size(cuts))").first()[0] > 40
+    sliced = detect._sliced(hits, cuts, r)
+    assert "lambda" not in sliced._jdf.queryExecution().optimizedPlan().toString()
+    assert [(a.rule_id, a["count"], a.event_ids) for a in detect.evaluate(e, r).collect()] == [(r[0].id, 20, list(range(1, 21)))]
