@@ -205,3 +205,44 @@ def test_keyed_state_leaves_by_event_time(spark, tmp_path):
     found, held = run((7, 86_401, "d", "refused"), (8, ahead, "b", "other"))
     assert held == 0  # the watermark stands at the clock, long after
     assert spark.read.parquet(f"{tmp_path}/out/*").filter("rule_id = 'e'").count() == 5
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_judged_in_columns_equals_fold(spark, monkeypatch, seed):
+    """Batches with late rows, equal times and a small memory: fires and states are the fold's, and no group costs a call of its own."""
+    import random
+
+    from quarrylight.streaming import detection
+
+    monkeypatch.setattr(detection, "MOST_HITS", 6)
+    rng = random.Random(seed)
+    make = lambda **k: Rule(severity="low", group_by="user", **k).validate()
+    rules = [
+        make(id="t", kind="threshold", where={"type": "a"}, threshold=3, window=9_000_000), make(id="d", kind="threshold", distinct="type", threshold=3, window=15_000_000),
+        make(id="s", kind="sequence", where={"type": {"in": ["a", "b"]}}, then={"type": {"in": ["b", "c"]}}, threshold=2, window=12_000_000), make(id="m", kind="match", where={"type": "c"}, window=20_000_000), Rule(id="e", severity="low", kind="match", where={"type": "b"}).validate(),
+    ]
+    kinds = {0: ("a",), 1: ("a", "b", "c", "d"), 3: ("c",), 4: ("b",)}
+    state, memories, seen = spark.createDataFrame([], detection.STATE), {}, {}
+    for n in range(3):
+        rows = [(100 * n + i, T0 + timedelta(seconds=25 * n + rng.randrange(-12 if rng.random() < 0.1 else 0, 25)), "x", "", rng.choice("abcd"), "192.0.2.1", f"u{rng.randrange(5)}", "m", {}) for i in range(90)]
+        want = []
+        for id_, at, *_, kind, _, user, _, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+            ts = round(at.timestamp() * 1_000_000)
+            for r, rule in enumerate(rules):
+                first, then = (kind in "ab", kind in "bc") if r == 2 else (True, False)
+                if kind in kinds[r] if r != 2 else first or then:
+                    grp = "" if r == 4 else user
+                    out = fold(memories.setdefault((r, grp), Memory()), rule, type("Row", (), {"ts": ts, "id": id_, "first": first, "then": then, "val": kind if r == 1 else ""}))
+                    seen[r, grp] = max(seen.get((r, grp), 0), ts)
+                    if out:
+                        want.append((r, grp, ts, id_, *out))
+        found = detection.judged(spark.createDataFrame(rows, EVENT), state, rules)
+        assert "CoGroup" not in found._jdf.queryExecution().toString()
+        found = found.collect()
+        assert sorted((*(f[k] for k in ("rule", "grp", "ts", "id", "n", "since")), f["ids"]) for f in (r.fire for r in found) if f) == sorted(want) and len(want) > 20
+        held = [r for r in found if not r.fire]
+        latest = max(seen.values())
+        stay = {k: m for k, m in memories.items() if k[0] != 4 and not (latest - seen[k] > rules[k[0]].window and (m.quiet_until or 0) <= latest)}
+        assert {(r.rule, r.grp): (r.ts, r.ids, r.vals, r.quiet_until, r.seen) for r in held} == {k: (*m.columns(), m.quiet_until, seen[k]) for k, m in stay.items()}
+        memories = stay
+        state = spark.createDataFrame([tuple(r)[:-1] for r in held], detection.STATE)
