@@ -557,7 +557,8 @@ def live_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = e.agg(F.percentile_approx(F.unix_micros("timestamp"), [0.25, 0.5, 0.75])).first()[0]
     quarter = sum((F.unix_micros("timestamp") >= c).cast("int") for c in cuts)
     for n in range(4):
-        _json_lines(e.filter(quarter == n)).coalesce(1).write.mode("append").text(f"{at}/in")
+        # a quarter is one batch, so it has fewer files than a batch may have
+        _json_lines(e.filter(quarter == n)).repartition(min(32, int(spark.conf.get("spark.sql.shuffle.partitions")))).write.mode("append").text(f"{at}/in")
         for _ in range(2):  # the second run is the restart
             query = pipeline_stream(parsers.stream_lines(spark, f"{at}/in"), "json", _rules("errors", "kinds"), held, f"{at}/checkpoint", now=NOW, trigger={"availableNow": True})
             try:
