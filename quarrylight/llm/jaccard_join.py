@@ -51,6 +51,8 @@ SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 20_000, 12, 200_000
 HOT_SHARE, MOST_HOT = 0.01, 10_000
 #: Classes that meet in one part; shingles of whole sets that one part holds.
 MEETING, HELD = 20_000, 2_000_000
+#: Rows, and shingles of whole sets, of small groups that a task takes together; a larger group is a run of its own.
+RUN_ROWS, RUN_SHINGLES = 4_000, 250_000
 
 
 def needed(num: int, den: int, n: np.ndarray) -> np.ndarray:
@@ -306,7 +308,8 @@ class Members:
 
 
 def _grouped(rows: DataFrame, payload: DataFrame, num: int, den: int, weigh: str | None, size: int) -> DataFrame:
-    """Spanning links within each group (g) of rows (g, node)."""
+    """Spanning links within each group (g) of rows (g, node). Small groups are taken in runs, which needn't hold as much as the largest group."""
+    size = min(size, RUN_SHINGLES if weigh else RUN_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, ["g"], size, weigh):
