@@ -25,6 +25,9 @@ CHUNK_BYTES = 1 << 20
 #: Rows and bytes of a batch that Spark hands to Python.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
+#: Whether a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Word separators fixed by the data contracts: space, and tab to carriage return.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -67,7 +70,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # else shuffle files stay until the driver happens to collect its garbage
+    had = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, had)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarrylight_path = path
     return out

@@ -8,9 +8,12 @@ a fixed number, chance differences would vanish in the slack that long texts hav
 1. One pass over the texts gives a digest of the set, its size, its point and its prefix: sets that link share one
    of the first n - ceil(t n) + 1 members under any common order. The order puts members that a bounded sample
    finds frequent last; it changes the work, never the result. Equal sets (by 128 bits) become one class, with a number.
-2. Classes that share a prefix member meet. An R-tree over their points (LEAF points or boxes to a box, level on level)
-   answers, for each point, which points of other branches can reach the needed overlap; a union-find keeps the
-   spanning links only.
+2. Classes that share a prefix member meet. Of two sets that link the first n - needed + s members of each, n its size, share s
+   or more (as many as lie in the prefixes, SHARED at most). So of a meeting whose sizes and places leave few such pairs
+   only the pairs go on, those that meet s times or more, each in one meeting. Pairs that share shingles by chance, whose number
+   grows faster than the texts', end here, before points are joined. An R-tree over the points (LEAF points or boxes to a box,
+   level on level) answers, for each point, which points of other branches can reach the needed overlap; a union-find keeps
+   the spanning links only.
 3. Connected candidates come together with their whole sets, and pairs that the R-tree passes are verified exactly,
    again only between branches that aren't connected yet.
 4. Connected verified links are the components.
@@ -53,6 +56,8 @@ HOT_SHARE, MOST_HOT = 0.01, 10_000
 MEETING, HELD = 20_000, 2_000_000
 #: Rows, and shingles of whole sets, of small groups that a task takes together; a larger group is a run of its own.
 RUN_ROWS, RUN_SHINGLES = 4_000, 250_000
+#: Classes, and pairs for each of them, of a meeting that goes on as pairs; prefix members that such a pair is asked to share at most; pairs that are looked at together.
+PAIRED, PAIRS_EACH, SHARED, PAIR_RUN = 512, 4, 8, 500_000
 
 
 def needed(num: int, den: int, n: np.ndarray) -> np.ndarray:
@@ -377,61 +382,115 @@ def _parted(rows: DataFrame, payload: DataFrame, num: int, den: int, scratch: Sc
     return links.unionByName(held.mapInArrow(across, "a long, b long"))
 
 
-_MET = pa.schema([("g", pa.int64()), ("salt", pa.int32()), ("part", pa.int64()), ("node", pa.int64())])
+_MET = pa.schema([("g", pa.int64()), ("salt", pa.int32()), ("part", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("least", pa.int32())])
 
 
-def _meetings(classes: DataFrame, hot: list[int], meeting: int, scratch: Scratch) -> DataFrame:
-    """(g: prefix member, salt, part, node) of the members that several classes share; hot ones are dealt by salt (else -1) and all kept."""
+def least_shared(num: int, den: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many members two sets of a and b members that link share at least among the first a (or b) - needed + as many; 0: their sizes don't allow a link.
+
+    That many of the common members, in the common order, have all but so many of the needed ones behind them. They lie in both prefixes of n - ceil(t n) + 1 members.
+    """
+    need = needed(num, den, a + b)
+    return np.where(np.minimum(a, b) >= need, np.clip(need - -(-num * np.maximum(a, b) // den) + 1, 1, SHARED), 0)
+
+
+def _pairs(node: np.ndarray, n: np.ndarray, at: np.ndarray, first: np.ndarray, m: int, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Of meetings of m rows that begin at `first`: the meeting, both rows and the least shared members of each pair whose sizes and places allow a link."""
+    i, j = np.triu_indices(m, 1)
+    meets, a, b = np.repeat(np.arange(len(first)), len(i)), (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+    ok = np.flatnonzero(den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b]))
+    meets, a, b = meets[ok], a[ok], b[ok]
+    least = least_shared(num, den, n[a], n[b])
+    need = needed(num, den, n[a] + n[b])
+    ok = np.flatnonzero((least > 0) & (at[a] < n[a] - need + least) & (at[b] < n[b] - need + least))
+    return meets[ok], a[ok], b[ok], least[ok]
+
+
+def _meetings(classes: DataFrame, hot: list[int], num: int, den: int, meeting: int, scratch: Scratch) -> DataFrame:
+    """(g: prefix member, salt, part, node) of the members that several classes share; hot ones are dealt by salt (else -1) and all kept.
+
+    Of members that leave few pairs the pairs (g, node, other, least: see least_shared) in place of the rows.
+    """
     spark = classes.sparkSession
-    met = classes.select("node", F.explode("prefix").alias("g"))
+    met = classes.select("node", "n", F.posexplode("prefix").alias("at", "g"))
     table = spark.createDataFrame([(h,) for h in hot], "g long").withColumn("hot", F.lit(True))  # at most MOST_HOT rows
     met = met.join(F.broadcast(table), "g", "left")
-    met = met.select("g", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(tasks_for(spark)))).otherwise(-1).cast("int").alias("salt"), "node")
+    met = met.select("g", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(tasks_for(spark)))).otherwise(-1).cast("int").alias("salt"), "node", "n", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Streams over sorted rows and keeps one of them: a row that may be alone waits for the next batch."""
+        """Streams over sorted rows and keeps at most PAIRED of them: a meeting that may go on as pairs waits for the next batch."""
         key, seen, held = None, 0, None
 
         def placed(g, salt, node, nth, take) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(g[take]), pa.array(salt[take]), pa.array(nth[take] // meeting), pa.array(node[take])], schema=_MET)
+            none = pa.nulls(int(take.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(g[take]), pa.array(salt[take]), pa.array(nth[take] // meeting), pa.array(node[take]), none, none.cast(pa.int32())], schema=_MET)
+
+        def paired(g, node, n, at, begins, counts) -> Iterator[pa.RecordBatch]:
+            """Sets in `counts` the meetings of few pairs, which it gives, to 0."""
+            for m in np.unique(counts[(counts > 1) & (counts <= PAIRED)]).tolist():
+                same = np.flatnonzero(counts == m)
+                for some in np.array_split(same, -(-len(same) * m * m // (2 * PAIR_RUN))):
+                    meets, a, b, least = _pairs(node, n, at, begins[some], m, num, den)
+                    few = np.bincount(meets, minlength=len(some)) <= PAIRS_EACH * m
+                    counts[some[few]] = 0
+                    a, b, least = a[few[meets]], b[few[meets]], least[few[meets]]
+                    low, high, zero = np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), np.zeros(len(a), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(g[a]), pa.array((zero - 1).astype(np.int32)), pa.array(zero), pa.array(low), pa.array(high), pa.array(least.astype(np.int32))], schema=_MET)
+
+        def told(g, salt, node, n, at, carried: int) -> Iterator[pa.RecordBatch]:
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])
+            run_of, begins = np.cumsum(new) - 1, np.flatnonzero(new)
+            nth = np.arange(len(g)) - begins[run_of] + np.where(run_of == 0, carried, 0)
+            counts = np.diff(np.append(begins, len(g)))
+            counts[(counts == 1) & (salt[begins] < 0)] = 0
+            counts[salt[begins] >= 0] = PAIRED + 1
+            if carried:
+                counts[0] = PAIRED + 1
+            yield from paired(g, node, n, at, begins, counts)
+            yield placed(g, salt, node, nth, counts[run_of] > 0)
 
         for batch in batches:
-            g, salt, node = (batch.column(c).to_numpy() for c in ("g", "salt", "node"))
-            if held is not None:
-                g, salt, node = (np.concatenate([h, x]) for h, x in zip(held, (g, salt, node), strict=True))
-            if not len(g):
+            if not batch.num_rows:
                 continue
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])
+            rows = [batch.column(c).to_numpy() for c in ("g", "salt", "node", "n", "at")]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            g, salt = rows[:2]
+            last = int(np.argmax((g == g[-1]) & (salt == salt[-1])))
             carried = seen if held is None and key == (g[0], salt[0]) else 0
-            run_of = np.cumsum(new) - 1
-            begins = np.flatnonzero(new)
-            nth = np.arange(len(g)) - begins[run_of] + np.where(run_of == 0, carried, 0)
-            length = np.diff(np.append(begins, len(g)))[run_of] + np.where(run_of == 0, carried, 0)
-            take = (length > 1) | (salt >= 0)
-            held = None
-            if not take[-1]:
-                held = g[-1:], salt[-1:], node[-1:]
-            key, seen = (g[-1], salt[-1]), int(nth[-1]) + 1
-            yield placed(g, salt, node, nth, take)
+            ended, held = rows, None
+            if salt[-1] < 0 and len(g) - last <= PAIRED and not (carried and not last):
+                ended, held = [x[:last] for x in rows], [x[last:] for x in rows]
+            key, seen = (g[-1], salt[-1]), len(g) - last + (0 if last else carried)
+            if len(ended[0]):
+                yield from told(*ended, carried)
+        if held is not None:
+            yield from told(*held, 0)
+
+    return scratch.written(met.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(run, "g long, salt int, part long, node long, other long, least int"), "meetings")
+
 
-    return scratch.written(met.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(run, "g long, salt int, part long, node long"), "meetings")
+def _met_often(met: DataFrame) -> DataFrame:
+    """Rows (g, node) of the pairs that meet often enough, each in one meeting. Pairs of which a meeting went on as rows are found there."""
+    pairs = met.filter("other is not null").groupBy("node", "other").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least"), F.min("g").alias("g"))
+    return pairs.filter("shared >= least").select("g", F.explode(F.array("node", "other")).alias("node")).distinct()
 
 
-def candidate_links(classes: DataFrame, hot: list[int], num: int, den: int, meeting: int, scratch: Scratch) -> DataFrame:
-    """Spanning links (a, b) between classes that can link."""
-    met = _meetings(classes, hot, meeting, scratch)
+def candidate_links(met: DataFrame, classes: DataFrame, num: int, den: int, meeting: int, scratch: Scratch) -> DataFrame:
+    """Spanning links (a, b) between classes that can link; met: their meetings."""
     payload = classes.select("node", "point")
+    often, met = _met_often(met), met.filter("other is null").select("g", "salt", "part", "node")
     # hot members were dealt whatever they hold; only meetings that exceed one part are parted
     seen = met.filter("part > 0 or salt >= 0").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("salt").alias("salt"))
     size = F.when(F.col("salt") < 0, F.col("n") + meeting).otherwise(F.col("n"))
     large = scratch.written(seen.filter(size > meeting).select("g", F.ceil(size / meeting).alias("parts")), "large-meetings")
     if large.limit(1).count():
         parted = met.join(large, "g").select("g", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
-        small = _grouped(met.join(large, "g", "left_anti").select("g", "node"), payload, num, den, None, meeting)
+        small = _grouped(met.join(large, "g", "left_anti").select("g", "node").unionByName(often), payload, num, den, None, meeting)
         links = small.unionByName(_parted(parted, payload, num, den, scratch))
     else:
-        links = _grouped(met.select("g", "node"), payload, num, den, None, meeting)
+        links = _grouped(met.select("g", "node").unionByName(often), payload, num, den, None, meeting)
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -470,7 +529,12 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, meeting: int
         rows = set_rows(docs, k, num, den, late, scratch)
         classes = rows.filter("n > 0").groupBy("s1", "s2").agg(first_of("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
         classes = scratch.written(classes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("r.doc_id").alias("doc_id"), F.col("r.t").alias("t"), "n", "prefix", "point"), "classes")
-        groups = components(candidate_links(classes, found_hot if hot is None else hot, num, den, meeting, scratch))
+        sets, rows = rows, scratch.written(rows.drop("prefix", "point"), "rows")
+        scratch.drop(sets)
+        met = _meetings(classes, found_hot if hot is None else hot, num, den, meeting, scratch)
+        whole, classes = classes, scratch.written(classes.drop("prefix"), "points")
+        scratch.drop(whole)
+        groups = components(candidate_links(met, classes, num, den, meeting, scratch))
         found = components(verified_links(docs, classes, groups, k, num, den, held, scratch))
         ids = found.join(classes.select("node", "doc_id", "t"), "node")
         ids = ids.join(ids.groupBy("root").agg(first_of("c")), "root").select("node", "c")

@@ -187,6 +187,8 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     rows = _text_rows(docs, length, anchor, scratch)
     texts = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id")).alias("rep"), F.first("anchors").alias("anchors"))
     texts = scratch.written(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
+    whole, rows = rows, scratch.written(rows.drop("anchors"), "rows")
+    scratch.drop(whole)
     anchors = texts.select("t", F.posexplode("anchors").alias("i", "h"))
     total = texts.agg(F.sum(F.size("anchors"))).first()[0] or 0
     twice = scratch.written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
@@ -200,6 +202,9 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     # the one row that stands for its text; should that row itself be repeated, one of it
     candidates = source.join(repeated, (source["tid"] == repeated["tid"]) & source["doc_id"].eqNullSafe(repeated["rep"])).select("t", "repeated", "text")
     candidates = scratch.written(candidates, "candidates")
+    whole, texts = texts, scratch.written(texts.select("tid", "t", "copies"), "text-numbers")
+    for table in (whole, twice):
+        scratch.drop(table)
     if candidates.groupBy("t").count().filter("count > 1").limit(1).count():
         candidates = candidates.dropDuplicates(["t"])
     contexts = scratch.written(_contexts(candidates, length, anchor), "contexts")

@@ -329,6 +329,51 @@ def test_bounds_never_lose_a_link():
                 assert j in found
 
 
+def test_chance_meetings_end_before_points(spark, monkeypatch):
+    """Texts that share frequent phrases, but don't link, leave no rows to join points to; near copies among them stay linked."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(4000)]
+    phrases = [[rng.choice(words) for _ in range(5)] for _ in range(60)]
+    texts = []
+    for _ in range(300):
+        parts = [[rng.choice(words) for _ in range(rng.randint(4, 9))] + (rng.choice(phrases) if rng.random() < 0.5 else []) for _ in range(rng.randint(8, 60))]
+        texts.append(" ".join(w for p in parts for w in p))
+    for i in range(0, 30, 3):
+        near = texts[i].split()
+        for at in rng.sample(range(len(near)), max(1, len(near) // 90)):
+            near[at] = rng.choice(words)
+        texts.append(" ".join(near))
+    counts, grouped = [], jaccard_join._grouped
+
+    def counted(rows, *args):
+        counts.append(rows.count())
+        return grouped(rows, *args)
+
+    monkeypatch.setattr(jaccard_join, "_grouped", counted)
+    for k, num in ((4, 85), (2, 60)):
+        del counts[:]
+        got = rows_of(jaccard_join.jaccard_components(table(spark, texts), k, num, 100, hot=[]))
+        assert list(got.component_id) == brute_components(texts, k, num, 100)[1]
+        assert len(set(got.component_id)) < len(texts)
+        assert counts[0] < 100
+
+
+def test_least_shared_never_loses_a_link():
+    rng = np.random.default_rng(6)
+    for num, den in ((85, 100), (80, 100), (60, 100)):
+        for _ in range(2000):
+            n, both = rng.integers(1, 60, 2)
+            a = np.sort(rng.choice(200, n, replace=False))
+            b = np.union1d(rng.choice(a, min(n, both), replace=False), rng.choice(200, rng.integers(0, 8)))
+            common = np.intersect1d(a, b)
+            if den * len(common) < num * (len(a) + len(b) - len(common)):
+                continue
+            least = int(jaccard_join.least_shared(num, den, np.array([len(a)]), np.array([len(b)]))[0])
+            need = int(jaccard_join.needed(num, den, np.array([len(a) + len(b)]))[0])
+            assert least > 0 and len(np.intersect1d(a[: len(a) - need + least], b[: len(b) - need + least])) >= least
+            assert all(len(x) - need + least <= len(x) - -(-num * len(x) // den) + 1 for x in (a, b))
+
+
 def test_repeated_rows_and_components(spark):
     got = jaccard_join.jaccard_components(table(spark, ["a b c d e"] * 3 + ["x"], [5, 5, None, 9]), 4, 85, 100).toPandas()
     assert sorted(got.component_id.fillna(-1)) == [5, 5, 5, 9]
