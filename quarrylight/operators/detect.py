@@ -15,6 +15,9 @@ of a slice fire depends on the slices before only by the first of them. So it ta
 1. Each slice tells, for every candidate that may be its first fire, what its last fire would be.
 2. These few rows are read in time order group by group, which picks each slice's first fire.
 3. Each slice is read again from its first fire on, and gives the fires with their counts and event ids.
+
+Slices of a group that surely fires in its first one can't fire until a window after its first hit; they are left out where no later slice
+remembers their rows. A rule that asks for more hits than MOST_HITS never fires and is left out from the start.
 """
 
 from __future__ import annotations
@@ -76,7 +79,7 @@ def _cuts(hits: DataFrame, rules: list[Rule]) -> DataFrame | None:
         return None
     slices = min(MOST_SLICES, -(-most // SLICE_ROWS))
     steps, accuracy = slices * HALO_STEPS, slices * HALO_STEPS * 10
-    large = hits.join(sizes.select("rule", "grp"), ["rule", "grp"], "left_semi")
+    large = hits.join(F.broadcast(sizes.select("rule", "grp")), ["rule", "grp"], "left_semi")  # a row for each SLICE_ROWS hits at most
     found = large.groupBy("rule", "grp").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("first").alias("m"), F.percentile_approx("ts", [i / slices for i in range(1, slices)], accuracy).alias("at"), F.percentile_approx(F.when(F.col("first"), F.col("ts")), [i / steps for i in range(1, steps)], accuracy).alias("marks")
     )
@@ -92,17 +95,49 @@ def _cuts(hits: DataFrame, rules: list[Rule]) -> DataFrame | None:
     return checkpointed(found.select("rule", "grp", cuts.alias("cuts"), F.transform(cuts, halo).alias("halos")))
 
 
-def _sliced(hits: DataFrame, cuts: DataFrame, rules: list[Rule]) -> DataFrame:
+def _quiet(hits: DataFrame, cuts: DataFrame, rules: list[Rule]) -> dict[tuple[int, str], int]:
+    """For groups that surely fire in their first slice: up to which slice none from the second on can fire, as they end within a window of the group's first hit.
+
+    Sure are match rules, and threshold rules that count hits if the first slice is no longer than the window and has enough of them.
+    """
+    least = {n: max(r.threshold, 1) for n, r in enumerate(rules) if r.kind == "match" or (r.kind == "threshold" and not r.distinct)}
+    cuts = cuts.filter(F.col("rule").isin(list(least)) & (F.size("cuts") > 0))
+    of = {(r["rule"], r["grp"]): r["cuts"] for r in cuts.collect()}
+    if not of:
+        return {}
+    found = hits.join(F.broadcast(cuts.select("rule", "grp", F.element_at("cuts", 1).alias("cut"))), ["rule", "grp"])
+    found = found.groupBy("rule", "grp").agg(F.count_if(F.col("ts") < F.col("cut")).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+    out = {}
+    for r in found.collect():
+        at, rule = of[r["rule"], r["grp"]], rules[r["rule"]]
+        end = r["low"] + rule.window
+        if r["n"] >= least[r["rule"]] and (rule.kind == "match" or at[0] <= end):
+            upto = len(at) if r["high"] < end else sum(c <= end for c in at) - 1
+            if upto > 0:
+                out[r["rule"], r["grp"]] = upto
+    return out
+
+
+def _sliced(hits: DataFrame, cuts: DataFrame, rules: list[Rule], quiet: dict[tuple[int, str], int] | None = None) -> DataFrame:
     """The hits of large groups by slice; those that a later slice can remember are in it too, as halo. `begin` is the time at which the slice begins (null: the first).
 
+    `quiet`: of groups in it the slices from the second to that one are left out.
     A row's slices are searched in its group's sorted cuts, so a row costs the same however many slices a group has. The driver holds the cuts: a number for each SLICE_ROWS rows.
     """
     spark, names, windows = hits.sparkSession, hits.columns, [min(r.window, 2**62) for r in rules]
     remembers = np.array([r.kind != "match" for r in rules])
     found = cuts.collect()
     held = spark.sparkContext.broadcast([(np.array(r["cuts"], np.int64), np.array(r["halos"], np.int64), windows[r["rule"]]) for r in found])
-    numbers = spark.createDataFrame([(r["rule"], r["grp"], n) for n, r in enumerate(found)], "rule int, grp string, nth int")
-    joined = hits.join(F.broadcast(numbers), ["rule", "grp"]).select(*names, "nth")
+    upto_quiet = np.array([(quiet or {}).get((r["rule"], r["grp"]), 0) for r in found], np.int64)
+    numbers = []
+    for n, (r, last) in enumerate(zip(found, upto_quiet.tolist(), strict=True)):
+        later = max(r["halos"][last], r["cuts"][last] - windows[r["rule"]]) if last < len(r["cuts"]) else None  # from then on hits are in the slices after the quiet ones
+        numbers.append((r["rule"], r["grp"], n, r["cuts"][0] if last else None, later))
+    numbers = spark.createDataFrame(numbers, "rule int, grp string, nth int, quiet long, later long")
+    joined = hits.join(F.broadcast(numbers), ["rule", "grp"])
+    if upto_quiet.any():
+        joined = joined.filter(F.col("quiet").isNull() | (F.col("ts") < F.col("quiet")) | F.coalesce(F.col("ts") >= F.col("later"), F.lit(False)))
+    joined = joined.select(*names, "nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,6 +156,9 @@ def _sliced(hits: DataFrame, cuts: DataFrame, rules: list[Rule]) -> DataFrame:
             row = np.repeat(np.arange(len(ts)), places)
             further = np.arange(len(row)) - np.repeat(np.cumsum(places) - places, places)
             slice_ = own[row] + further
+            if upto_quiet.any():
+                open_ = (slice_ == 0) | (slice_ > upto_quiet[nth[row]])
+                row, further, slice_ = row[open_], further[open_], slice_[open_]
             begin = np.zeros(len(row), np.int64)
             later = np.flatnonzero(slice_)
             for n in numbers.tolist():
@@ -272,7 +310,7 @@ def suppressed(hits: DataFrame, rules: list[Rule], events: int | None = None) ->
     """The fires among the hits of rules with a window: rule, grp, ts, id, ev, n, since, ids. `events`: how many events there are, if that is known; few can't make a large group."""
     cuts = None if events is not None and events <= SLICE_ROWS else _cuts(hits, rules)
     key, most = ["rule", "grp"], MOST_HITS
-    whole = hits if cuts is None else hits.join(cuts, key, "left_anti")
+    whole = hits if cuts is None else hits.join(F.broadcast(cuts.select(*key)), key, "left_anti")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, key):
@@ -280,7 +318,7 @@ def suppressed(hits: DataFrame, rules: list[Rule], events: int | None = None) ->
             yield from groups.told(groups.firing(groups.group_starts()))
 
     out = whole.repartition(*key).sortWithinPartitions(*key, "ts", "id").mapInArrow(fold, _FIRE)
-    return out if cuts is None else out.unionByName(_of_slices(_sliced(hits, cuts, rules), rules))
+    return out if cuts is None else out.unionByName(_of_slices(_sliced(hits, cuts, rules, _quiet(hits, cuts, rules)), rules))
 
 
 def _of_slices(sliced: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -344,7 +382,7 @@ def _of_slices(sliced: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def evaluate(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """All alerts of the rules over the events: rule_id, rule_name, severity, group_key, count, description, first_seen, last_seen, event_ids, status."""
-    rules = [r for r in rules if not r.disabled]
+    rules = [r for r in rules if not r.disabled and (r.kind == "match" or r.threshold <= MOST_HITS)]
     if not rules:
         return events.sparkSession.createDataFrame([], _ALERT)
     hits = _hits(events, rules)

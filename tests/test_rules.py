@@ -193,3 +193,37 @@ def test_slices_are_searched(spark, monkeypatch):
     sliced = detect._sliced(hits, cuts, r)
     assert "lambda" not in sliced._jdf.queryExecution().optimizedPlan().toString()
     assert [(a.rule_id, a["count"], a.event_ids) for a in detect.evaluate(e, r).collect()] == [(r[0].id, 20, list(range(1, 21)))]
+
+
+@pytest.mark.parametrize("window", [40, 700, 10**9])
+@pytest.mark.parametrize("kind", ["threshold", "match"])
+def test_quiet_slices_are_left_out(spark, monkeypatch, kind, window):
+    """Slices within a window of a fire that is sure are neither dealt nor read, but remembered where a later slice needs their hits."""
+    import random
+
+    from quarrylight.operators import detect
+
+    rng = random.Random(window)
+    rows = sorted((rng.randrange(0, 3000), f"192.0.2.{i % 2}", "refused", "", {}) for i in range(4000))
+    r = rule(kind=kind, threshold=12 if kind == "threshold" else 0, window=window * 1_000_000).validate()
+    whole = [(g[0], g[1], g[2], g[4].event_ids) for g in fired(spark, r, rows)]
+    monkeypatch.setattr(detect, "SLICE_ROWS", 60)
+    assert [(g[0], g[1], g[2], g[4].event_ids) for g in fired(spark, r, rows)] == whole and len(whole) >= 2
+    hits = detect._hits(events(spark, rows), [r])
+    cuts = detect._cuts(hits, [r])
+    dealt = detect._sliced(hits, cuts, [r], detect._quiet(hits, cuts, [r]))
+    slices = dealt.groupBy("grp", "slice").count().count()
+    if window == 10**9:
+        assert slices == 2
+    if window > 40:
+        assert slices < detect._sliced(hits, cuts, [r]).groupBy("grp", "slice").count().count()
+
+
+def test_rules_that_never_fire_give_no_hits(spark, monkeypatch):
+    from quarrylight.operators import detect
+
+    asked, hits = [], detect._hits
+    monkeypatch.setattr(detect, "_hits", lambda e, rules: asked.extend(r.id for r in rules) or hits(e, rules))
+    rules = [rule(id="fires", threshold=detect.MOST_HITS).validate(), rule(id="never", threshold=detect.MOST_HITS + 1).validate(), rule(id="match", kind="match", threshold=0).validate()]
+    got = evaluate(events(spark, [(1, "192.0.2.1", "refused", "", {})]), rules).collect()
+    assert asked == ["fires", "match"] and [a.rule_id for a in got] == ["match"]
